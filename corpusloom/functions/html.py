@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .refs import host_of, resolve_link
-from .strings import ANY_SPACE, decode_entities, first_filled, strip, text_or_empty
+from .refs import host_of, path_of, resolve_link
+from .routing import suffix_of
+from .strings import decode_entities, first_filled, strip, text_or_empty
 
 _META = r"(?is)<meta\b[^>]*>"
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<![^>]*>"
@@ -31,7 +32,8 @@ def meta_content(tags: Column, *, prop: str = "", name: str = "") -> Column:
     """Content of the first meta tag with this property or name."""
     key, value = ("property", prop) if prop else ("name", name)
     hits = F.filter(tags, lambda t: raw_attribute(t, key) == value)
-    return strip(F.coalesce(attribute(F.get(hits, F.lit(0)), "content"), F.lit("")))
+    values = F.transform(F.slice(hits, 1, 1), lambda t: strip(attribute(t, "content")))
+    return F.coalesce(F.get(values, F.lit(0)), F.lit(""))
 
 
 def page_title(html: Column) -> Column:
@@ -59,12 +61,12 @@ def document_published(tags: Column) -> Column:
     )
 
 
-def visible_text(html: Column) -> Column:
-    """All visible strings of the fragment, each stripped, joined by one space."""
+def visible_text(html: Column, sep: str = " ") -> Column:
+    """All visible strings of the fragment, each stripped, joined by `sep`."""
     shown = F.regexp_replace(text_or_empty(html), _HIDDEN, "\u0001")
-    pieces = F.split(shown, "(?s)<[/a-zA-Z][^>]*>|\u0001", -1)
-    clean = F.transform(pieces, lambda p: strip(decode_entities(p)))
-    return F.array_join(F.filter(clean, lambda p: p != ""), " ")
+    cut = decode_entities(F.regexp_replace(shown, "(?s)<[/a-zA-Z][^>]*>", "\u0001"))
+    clean = F.transform(F.split(cut, "\u0001+", -1), lambda p: strip(p))
+    return F.array_join(F.filter(clean, lambda p: p != ""), sep)
 
 
 def tags_of(html: Column, name: str) -> Column:
@@ -107,12 +109,8 @@ def image_sources(html: Column) -> Column:
 
 
 def image_extension(url: Column, content_type: Column) -> Column:
-    from .refs import path_of
-    from .routing import suffix_of
-
     declared = F.lower(F.regexp_extract(url, r"wx_fmt=(\w+)", 1))
-    name = F.regexp_extract(F.rtrim(path_of(url), F.lit("/")), r"[^/]*$", 0)
-    suffix = F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
+    suffix = suffix_of(path_of(url))
     ctype = text_or_empty(content_type)
     return (
         F.when(declared != "", declared)
@@ -168,7 +166,7 @@ def epoch_text(seconds: Column, offset: int = 8 * 3600) -> Column:
 def element_text(html: Column, element_id: str) -> Column:
     """Visible text of the first element with this id (elements that hold no nested tag of the same name)."""
     pattern = rf"""(?is)<(\w+)\b[^>]*\bid\s*=\s*["']{element_id}["'][^>]*>(.*?)</\1\s*>"""
-    return F.replace(visible_text(F.regexp_extract(text_or_empty(html), pattern, 2)), F.lit("\n"), F.lit("\n"))
+    return visible_text(F.regexp_extract(text_or_empty(html), pattern, 2), sep="")
 
 
 def article_meta(html: Column) -> Column:

@@ -49,14 +49,17 @@ def join_blocks(*parts: Column, sep: str = "\n\n") -> Column:
     return F.concat_ws(sep, *parts)
 
 
-# Named entities decoded in the JVM tier.
-NAMED_ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": "\xa0",
+# Named entities decoded in the JVM tier. The first group also counts without
+# its semicolon, as browsers read it; `&amp;` is decoded last.
+LEGACY_ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "reg": "®", "middot": "·",
+    "laquo": "«", "raquo": "»", "times": "×", "deg": "°",
 }
+STRICT_ENTITIES = {
+    "apos": "'", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
+    "rdquo": "”", "bull": "•", "trade": "™", "euro": "€",
+}
+_END = "(?:;|(?![A-Za-z0-9]*;))"
 _NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
@@ -72,17 +75,14 @@ def _code_point(entity: Column) -> Column:
 def decode_entities(value: Column) -> Column:
     """Decode numeric references and the common named ones; `&amp;` goes last."""
     pieces = F.split(value, _NUMERIC, -1)
-    found = F.regexp_extract_all(value, F.lit(_NUMERIC), F.lit(0))
+    chars = F.transform(F.regexp_extract_all(value, F.lit(_NUMERIC), F.lit(0)), _code_point)
     numeric = F.array_join(
-        F.transform(
-            pieces,
-            lambda piece, i: F.concat(
-                piece, F.coalesce(_code_point(F.get(found, i)), F.lit(""))
-            ),
-        ),
-        "",
+        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(chars, i), F.lit("")))), ""
     )
     out = F.when(F.contains(value, F.lit("&#")), numeric).otherwise(value)
-    for name, char in NAMED_ENTITIES.items():
-        out = replace_text(out, name, char)
-    return replace_text(out, "&amp;", "&")
+    # A plain chain: every step mentions its input once, so the expression stays small.
+    for name, char in STRICT_ENTITIES.items():
+        out = replace_text(out, f"&{name};", char)
+    for name, char in LEGACY_ENTITIES.items():
+        out = F.regexp_replace(out, f"&{name}{_END}", char)
+    return F.regexp_replace(out, f"&amp{_END}", "&")

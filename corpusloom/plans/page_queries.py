@@ -1 +1,341 @@
-"""Queries."""
+"""Page facts: `pages`, plus pages of other sites built from `documents` and `conversations`."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import pages as P
+from ..functions import text as T
+from ..functions.naming import safe_title
+from ..functions.verdicts import is_thin
+from ..operators.media import prefer
+from ..sources import captures as S
+from . import duck as D
+from .flagship import corpus_documents
+from .registry import Tables, query
+
+_HIDE = "(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->|<![^>]*>"
+
+
+def _decode(e: str) -> str:
+    return f"regexp_replace(replace(replace(replace({e}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
+def _strip(e: str) -> str:
+    return f"trim({e}, {D.SPACES})"
+
+
+def _visible(e: str) -> str:
+    """Visible strings of a fragment joined by a space."""
+    shown = f"regexp_replace({e}, '{_HIDE}', chr(1), 'g')"
+    pieces = f"string_split_regex({shown}, '(?s)<[/a-zA-Z][^>]*>|\\x01')"
+    return (
+        f"array_to_string(list_filter(list_transform({pieces}, lambda p: {_strip(_decode('p'))}), lambda p: p <> ''), ' ')"
+    )
+
+
+def _escaped(e: str) -> str:
+    """HTML text of a value, in SQL both engines read."""
+    return f"replace(replace({e}, '&', '&amp;'), '<', '&lt;')"
+
+
+@query("scan_pages", "SELECT page_id, url, length(html) AS html_length FROM {pages}")
+def scan_pages(t: Tables):
+    pages = S.pages(t.spark, t.path("pages"))
+    return pages.select("page_id", "url", F.length("html").cast("long").alias("html_length"))
+
+
+META_PAGES = """SELECT page_id, url, replace(html, '<head>', '<head>' || CASE CAST(page_id % 4 AS INT)
+    WHEN 0 THEN '<meta property="og:title" content="OG ' || CAST(page_id AS STRING) || ' &amp; more"><meta content="A ' || CAST(page_id AS STRING) || '" name="author">'
+    WHEN 1 THEN '<meta name="twitter:title" content=" TW"/><meta property="article:author" content="B">'
+    WHEN 2 THEN '<meta property="og:title" content=""><meta property="article:published_time" content="2024-05-06">'
+    ELSE '<meta name="date" content="2023">' END) AS html FROM {pages}"""
+
+
+@query("html_meta", f"""
+  SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OG ' || page_id || ' & more' WHEN 1 THEN 'TW'
+      ELSE coalesce(nullif({_strip(_decode("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))}, ''), {D.host('url')}) END AS title,
+    CASE page_id % 4 WHEN 0 THEN 'A ' || page_id WHEN 1 THEN 'B' ELSE '' END AS author,
+    CASE page_id % 4 WHEN 2 THEN '2024-05-06' WHEN 3 THEN '2023' ELSE '' END AS published FROM ({META_PAGES})""")
+def html_meta(t: Tables):
+    rows = t.sql(META_PAGES).withColumn("tags", H.meta_tags(F.col("html")))
+    return rows.select(
+        "page_id",
+        H.document_title(F.col("html"), F.col("tags"), F.col("url")).alias("title"),
+        H.document_author(F.col("tags")).alias("author"),
+        H.document_published(F.col("tags")).alias("published"),
+    )
+
+
+@query("html_text", f"SELECT page_id, {_visible('html')} AS text FROM {{pages}}")
+def html_text(t: Tables):
+    return t["pages"].select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+_ARTICLE = _visible("regexp_extract(html, '(?is)<article>(.*)</article>', 1)")
+
+
+@query("html_main_content", f"SELECT page_id, CAST(length({_ARTICLE}) AS INT) AS text_length, {_ARTICLE} AS text FROM {{pages}}")
+def html_main_content(t: Tables):
+    main = P.main_content(F.col("html"), F.col("url"))
+    return t["pages"].select("page_id", main.alias("m")).select("page_id", "m.text_length", "m.text")
+
+
+@query("thin_content_filter", f"SELECT page_id, {_ARTICLE} AS text FROM {{pages}} WHERE length({_ARTICLE}) < 120")
+def thin_content_filter(t: Tables):
+    text = H.visible_text(F.regexp_extract("html", "(?is)<article>(.*)</article>", 1))
+    return t["pages"].select("page_id", text.alias("text")).where(is_thin(F.col("text")))
+
+
+@query("html_to_markdown")
+def html_to_markdown(t: Tables):
+    main = P.main_content(F.col("html"), F.col("url"))
+    return t["pages"].select("page_id", main["markdown"].alias("markdown"))
+
+
+LINKED = """SELECT page_id, url, replace(html, 'href="/', CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'href="/' WHEN 1 THEN 'href="'
+    WHEN 2 THEN 'href="../' WHEN 3 THEN 'href="?q=' ELSE 'href="//cdn.example.com/' END) AS html FROM {pages}"""
+
+
+@query("html_links_resolve", f"""
+  WITH p AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '{_HIDE}', '', 'g'), '<a href="([^"]*)"', 1) AS hrefs,
+      regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, {D.path('url')} AS path FROM ({LINKED})),
+  e AS (SELECT page_id, origin, path, regexp_extract(path, '^.*/', 0) AS folder, url, unnest(hrefs) AS h, unnest(range(len(hrefs))) AS i FROM p)
+  SELECT page_id, CAST(i AS INT) AS pos, CASE
+      WHEN h LIKE '//%' THEN regexp_extract(url, '^(https?:)', 1) || h
+      WHEN h LIKE '/%' THEN origin || h
+      WHEN h LIKE '?%' THEN origin || path || h
+      WHEN h LIKE '../%' THEN origin || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]+/$', '') END || h[4:]
+      ELSE origin || folder || h END AS resolved FROM e""")
+def html_links_resolve(t: Tables):
+    rows = t.sql(LINKED)
+    found = rows.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l"))
+    return found.select("page_id", "pos", F.col("l")["resolved"].alias("resolved"))
+
+
+PICTURED = """SELECT page_id, '<div id="js_content"><script>x</script><img data-src="https://img.example.com/' || CAST(page_id AS STRING)
+    || '?wx_fmt=jpeg&amp;a=1" src="data:image/svg"><img src="/rel.png"><img src="http://i.example.org/' || CAST(page_id % 7 AS STRING)
+    || '.gif"><img src="data:xyz"><img src="http://i.example.org/' || CAST(page_id % 7 AS STRING) || '.gif"></div>' || html AS html FROM {pages}"""
+
+
+@query("image_urls", f"""
+  SELECT page_id, 0 AS pos, 'https://img.example.com/' || page_id || '?wx_fmt=jpeg&a=1' AS image FROM {{pages}}
+  UNION ALL SELECT page_id, 1 AS pos, 'http://i.example.org/' || page_id % 7 || '.gif' AS image FROM {{pages}}""")
+def image_urls(t: Tables):
+    return t.sql(PICTURED).select("page_id", F.posexplode(H.image_sources(F.col("html"))).alias("pos", "image"))
+
+
+@query("image_rewrite", """
+  SELECT page_id, 'a images/img_001.png b images/img_002.gif ' || 'images/img_001.png' AS body FROM {pages}""")
+def image_rewrite(t: Tables):
+    page = F.col("page_id").cast("string")
+    one, two = F.concat(F.lit("https://x.org/("), page, F.lit(").png")), F.concat(F.lit("https://y.org/"), page, F.lit(".gif"))
+    rows = t["pages"].select(
+        "page_id",
+        F.concat(F.lit("a "), one, F.lit(" b "), two, F.lit(" "), one).alias("body"),
+        F.create_map(one, F.lit("images/img_001.png"), two, F.lit("images/img_002.gif")).alias("image_map"),
+    )
+    return rows.select("page_id", H.rewrite_images(F.col("body"), F.col("image_map")).alias("body"))
+
+
+IMAGES = """SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'https://a.org/x?wx_fmt=PNG' WHEN 1 THEN 'https://a.org/b.JPEG?x=1.gif'
+    WHEN 2 THEN 'https://a.org/c.v2' WHEN 3 THEN 'https://a.org/d' WHEN 4 THEN 'https://a.org/e.longext' ELSE 'https://a.org/f/' END AS url,
+    CASE CAST(p_size % 4 AS INT) WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' ELSE '' END AS content_type FROM {part}"""
+
+
+@query("image_ext", f"""
+  SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg'
+    ELSE CASE content_type WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/gif' THEN 'gif' WHEN 'image/webp' THEN 'webp' ELSE 'png' END END AS extension
+  FROM ({IMAGES})""")
+def image_ext(t: Tables):
+    return t.sql(IMAGES).select("p_partkey", H.image_extension(F.col("url"), F.col("content_type")).alias("extension"))
+
+
+ARTICLES = f"""SELECT doc_id, '<h1 id="activity-name">  Title <b>' || CAST(doc_id AS STRING) || '</b> </h1><a id="js_name"> ' || source || '</a>'
+    || CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '<em id="publish_time">Feb 29, 2024, 6:30 AM</em>'
+       WHEN 1 THEN '<em id="publish_time"></em><script>var create_time = "' || CAST(1700000000 + doc_id AS STRING) || '";</script>'
+       WHEN 2 THEN '<em id="publish_time">2024-03-04 05:06:07</em>' ELSE '<em id="publish_time">yesterday</em>' END
+    || '<div id="js_content"><p>' || {_escaped('text')} || '</p></div>' AS html FROM {{documents}}"""
+
+
+@query("article_meta", """
+  SELECT doc_id, 'Title' || doc_id AS title, source AS author, CASE doc_id % 4 WHEN 0 THEN '2024-02-29 06:30:00'
+      WHEN 1 THEN strftime(make_timestamp((1700000000 + doc_id + 28800) * 1000000), '%Y-%m-%d %H:%M:%S')
+      WHEN 2 THEN '2024-03-04 05:06:07' ELSE 'yesterday' END AS publish_time,
+    CASE doc_id % 4 WHEN 1 THEN 1700000000 + doc_id ELSE 0 END AS publish_epoch FROM {documents}""")
+def article_meta(t: Tables):
+    rows = t.sql(ARTICLES).select("doc_id", H.article_meta(F.col("html")).alias("m"))
+    return rows.select(
+        "doc_id", "m.title", "m.author", "m.publish_time", F.coalesce("m.publish_epoch", F.lit(0)).alias("publish_epoch")
+    )
+
+
+CODE_PAGES = """SELECT page_id, '<div id="js_content"><p>before</p><section class="code-snippet__fix"><ul class="code-snippet__line-index"><li>1</li></ul>'
+    || '<pre data-lang="sql"><code><span>counter(line</span><span>select ' || CAST(page_id AS STRING) || '</span></code></pre></section><p>'
+    || 'after</p><div class="reward_area">tip</div></div>' AS html FROM {pages}"""
+
+
+@query("code_block_protect", """
+  SELECT page_id, 'before' || chr(10) || chr(10) || chr(10) || '```sql' || chr(10) || 'select ' || page_id || chr(10) || '```' || chr(10) || chr(10) || chr(10) || 'after' AS body_md, 1 AS code_blocks FROM {pages}""")
+def code_block_protect(t: Tables):
+    return t.sql(CODE_PAGES).select("page_id", P.article_body(F.col("html")).alias("b")).select("page_id", "b.body_md", "b.code_blocks")
+
+
+# A question page per turn: two answers with ids (one twice), one without, one too short.
+QUESTIONS = f"""SELECT conv_id, turn, 'https://www.zhihu.com/question/' || CAST(conv_id AS STRING) || '/answer/7' AS url, text,
+    '<title>Q - 知乎</title>' || CASE WHEN turn % 2 = 0 THEN '<h1 class="QuestionHeader-title">Conv ' || CAST(conv_id AS STRING) || '</h1>' ELSE '' END
+    || '<div class="QuestionRichText"><div class="RichContent-inner"><p>detail ' || CAST(turn AS STRING) || '</p></div></div>'
+    || '<h4 class="List-headerText">1,' || lpad(CAST(turn AS STRING), 3, '0') || ' 个回答</h4>'
+    || '<div class="List-item"><span class="AuthorInfo-name">' || role || '</span><div class="RichContent-inner"><p>first '
+    || {_escaped("replace(replace(text, '*', ''), '_', '')")} || ' answer body text</p></div><a href="/question/' || CAST(conv_id AS STRING) || '/answer/1' || CAST(turn AS STRING) || '">x</a>'
+    || '<span class="ContentItem-time">t' || CAST(turn AS STRING) || '</span><button class="VoteButton--up">赞同 5</button></div>'
+    || '<div class="List-item"><div class="RichContent-inner">same id, another long body</div><a href="/question/' || CAST(conv_id AS STRING) || '/answer/1' || CAST(turn AS STRING) || '">x</a></div>'
+    || '<div class="List-item"><div class="RichContent-inner">an answer that carries no link</div><a href="/question/999999999/answer/3">x</a></div>'
+    || '<div class="List-item"><div class="RichContent-inner">short</div></div>' AS html FROM {{conversations}}"""
+
+
+@query("qa_parse", f"""
+  SELECT conv_id, turn, CAST(conv_id AS STRING) AS question_id, CASE WHEN turn % 2 = 0 THEN 'Conv ' || conv_id ELSE 'Q' END AS title,
+    'detail ' || turn AS detail_md, CAST(1000 + turn AS INT) AS expected, 2 AS answers,
+    '1' || turn || ',dom-' || left(sha1('an answer that carries no link'), 16) AS answer_ids,
+    'https://www.zhihu.com/question/' || conv_id || '/answer/1' || turn AS first_url, 't' || turn AS first_time,
+    CASE WHEN turn >= 0 THEN '赞同 5' END AS first_votes FROM ({QUESTIONS})""")
+def qa_parse(t: Tables):
+    rows = P.question_snapshots(t.sql(QUESTIONS), F.col("html"), F.col("url"), "q")
+    first = F.get("q.answers", F.lit(0))
+    return rows.select(
+        "conv_id", "turn", "q.question_id", "q.title", "q.detail_md", "q.expected", F.size("q.answers").alias("answers"),
+        F.array_join(F.transform("q.answers", lambda a: a["answer_id"]), ",").alias("answer_ids"),
+        first["url"].alias("first_url"), first["time_text"].alias("first_time"), first["vote_text"].alias("first_votes"),
+    )
+
+
+@query("answer_hash", "SELECT conv_id, turn, 'dom-' || left(sha1(text), 16) AS answer_id FROM {conversations}")
+def answer_hash(t: Tables):
+    return t["conversations"].select("conv_id", "turn", P.body_hash(F.col("text")).alias("answer_id"))
+
+
+NOTES = f"""SELECT doc_id, text, '<head>' || CASE WHEN doc_id % 3 = 0 THEN '<meta property="og:title" content=" Note ' || CAST(doc_id AS STRING) || '">' ELSE '' END
+    || '<meta property="og:description" content="og text"><meta property="og:image" content="https://i.org/cover.jpg"></head>'
+    || '<div id="detail-title">T' || CAST(doc_id AS STRING) || '</div><div class="author"><span class="name">' || source || '</span></div>'
+    || CASE WHEN doc_id % 3 = 1 THEN '' ELSE '<div id="detail-desc">' || {_escaped("replace(replace(left(text, 30), '*', ''), '_', '')")} || '</div>' END
+    || '<div class="carousel"><img src="https://i.org/' || CAST(doc_id AS STRING) || '.jpg"><img src="https://i.org/cover.jpg"><img src="/x.jpg"></div>' AS html FROM {{documents}}"""
+
+
+@query("note_parse", """
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Note ' ELSE 'T' END || doc_id AS title, source AS author, doc_id % 3 = 1 AS from_meta,
+    'https://i.org/cover.jpg,https://i.org/' || doc_id || '.jpg' AS images FROM {documents}""")
+def note_parse(t: Tables):
+    rows = P.note_pages(t.sql(NOTES), F.col("html"), "n")
+    return rows.select(
+        "doc_id", "n.title", "n.author", (F.col("n.body_md") == "og text").alias("from_meta"), F.array_join("n.images", ",").alias("images")
+    )
+
+
+EPISODES = """SELECT p_partkey, 'https://www.xiaoyuzhoufm.com/episode/' || lpad(CAST(p_partkey AS STRING), 24, '0') AS url,
+    '<title>' || p_name || ' - ' || p_brand || ' | 小宇宙</title><meta property="og:audio" content="https://media.org/og.m4a">'
+    || '<meta property="og:title" content="OG ' || p_name || '"><meta name="description" content="about">'
+    || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<script id="__NEXT_DATA__" type="application/json">{"props":{"list":[{"title":"no audio"},'
+      || '{"episode":{"eid":"E' || CAST(p_partkey AS STRING) || '","title":" ' || p_name || ' ","duration":' || CAST(p_size AS STRING)
+      || '.9,"enclosure":' || CASE WHEN p_partkey % 3 = 1 THEN '{"url":"https://media.org/' || CAST(p_partkey AS STRING) || '.m4a"}' ELSE '"https://media.org/s.mp3"' END
+      || ',"podcast":{"title":"' || p_type || '"},"shownotes":"<p>01:00 one</p><p>02:00 two</p>","pubDate":"2024"}}]}}</script>' END AS html FROM {part}"""
+
+
+@query("episode_parse", """
+  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS STRING), 24, '0') ELSE 'E' || p_partkey END AS episode_id,
+    CASE WHEN p_partkey % 3 = 0 THEN 'OG ' || p_name ELSE p_name END AS title,
+    CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS podcast_title,
+    CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS BIGINT) AS duration,
+    CASE p_partkey % 3 WHEN 0 THEN 'https://media.org/og.m4a' WHEN 1 THEN 'https://media.org/' || p_partkey || '.m4a' ELSE 'https://media.org/s.mp3' END AS audio_url,
+    'about' AS description,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '01:00 one' || chr(10) || chr(10) || '02:00 two' END AS shownotes_md,
+    'https://www.xiaoyuzhoufm.com/episode/' || CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS STRING), 24, '0') ELSE 'E' || p_partkey END AS canonical_url
+  FROM {part}""")
+def episode_parse(t: Tables):
+    rows = P.episode_pages(t.sql(EPISODES), F.col("html"), F.col("url"), "e")
+    return rows.select(
+        "p_partkey", "e.episode_id", "e.title", "e.podcast_title", "e.duration", "e.audio_url", "e.description", "e.shownotes_md", "e.canonical_url"
+    )
+
+
+MARKS = """SELECT p_partkey, p_name, '- 01:21 ' || p_name || chr(10) || '- [15:16](https://e.org/t=916) - ' || p_type || chr(10) || '### 1:02:'
+    || lpad(CAST(p_size AS STRING), 2, '0') || ' ' || p_brand || chr(10) || 'plain' || chr(10) || '01:21 again' || chr(10) || '00:05：first —' AS notes FROM {part}"""
+
+
+@query("chapters_parse", f"""
+  SELECT p_partkey, CAST(0 AS INT) AS pos, CAST(5 AS DOUBLE) AS start, 'first' AS title FROM ({MARKS})
+  UNION ALL SELECT p_partkey, 1, 81, p_name FROM ({MARKS})
+  UNION ALL SELECT p_partkey, 2, 916, p_type FROM {{part}}
+  UNION ALL SELECT p_partkey, 3, 3720 + p_size, p_brand FROM {{part}}""")
+def chapters_parse(t: Tables):
+    marks = F.posexplode(T.chapter_lines(F.col("notes"))).alias("pos", "m")
+    return t.sql(MARKS).select("p_partkey", marks).select("p_partkey", "pos", "m.start", "m.title")
+
+
+HINTS = """SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) AS title, source AS podcast, '主播：Ann' || CAST(doc_id AS STRING) || '｜host' || chr(10)
+    || '- Bob | guest' || chr(10) || '[GraphQL Kit](https://k.org/a) see https://Skip.org/Me' || chr(10) || '12:30｜late' || chr(10)
+    || regexp_replace(replace(replace(replace(text, '|', ' '), '[', ' '), '#', ' '), '[^a-zA-Z ]', ' ') AS notes FROM {documents}"""
+_TOKENS = "[A-Za-z][A-Za-z0-9.+_-]{1,31}|[0-9]+[A-Za-z][A-Za-z0-9.+_-]{0,31}"
+
+
+@query("hints_extract")
+def hints_extract(t: Tables):
+    notes = F.col("notes")
+    return t.sql(HINTS.replace("'[^a-zA-Z ]', ' ')", "'[^a-zA-Z ]', ' ', 1)")).select(
+        "doc_id",
+        F.array_join(T.hint_people(notes), "|").alias("people"),
+        F.array_join(T.hint_terms(F.col("title"), F.col("podcast"), notes), "|").alias("terms"),
+        T.episode_context(F.col("podcast"), F.col("title"), notes).alias("context"),
+    )
+
+
+BODIES = """SELECT doc_id, left(text, 200) AS about, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'intro ' || text WHEN 1 THEN 'other notes' ELSE '' END AS notes FROM {documents}"""
+
+
+def _packed(e: str) -> str:
+    return f"regexp_replace({e}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{3000}}]+', '', 'g')"
+
+
+@query("episode_body", f"""
+  WITH b AS (SELECT doc_id, {_strip('about')} AS about, {_strip('notes')} AS notes FROM ({BODIES}))
+  SELECT doc_id, CASE WHEN about <> '' AND NOT contains({_packed('notes')}, {_packed('about')}) THEN '## 节目简介' || chr(10) || chr(10) || about || chr(10) || chr(10) ELSE '' END
+    || CASE WHEN notes <> '' THEN '## Show Notes' || chr(10) || chr(10) || notes || chr(10) || chr(10)
+            WHEN about <> '' THEN '## Show Notes' || chr(10) || chr(10) || about || chr(10) || chr(10) ELSE '' END
+    || '## 转写正文' || chr(10) || chr(10) || 'T' AS body FROM b""")
+def episode_body(t: Tables):
+    return t.sql(BODIES).select("doc_id", T.episode_body(F.col("about"), F.col("notes"), F.lit("T")).alias("body"))
+
+
+@query("video_description", f"""
+  SELECT doc_id, CASE WHEN {_strip('text')} = '' THEN 'B' ELSE '> 视频简介：' || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'B' END AS body FROM {{documents}}""")
+def video_description(t: Tables):
+    return t["documents"].select("doc_id", T.with_description(F.lit("B"), F.col("text")).alias("body"))
+
+
+@query("join_fallback_capture", f"""
+  WITH a AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN left({_ARTICLE}, 60) ELSE {_ARTICLE} END AS body FROM {{pages}})
+  SELECT page_id, CASE WHEN length(body) >= 120 THEN 'primary' WHEN page_id % 2 = 0 THEN 'fallback' ELSE 'none' END AS origin,
+    CASE WHEN length(body) >= 120 THEN body WHEN page_id % 2 = 0 THEN 'rendered ' || page_id ELSE '' END AS body FROM a""")
+def join_fallback_capture(t: Tables):
+    text = H.visible_text(F.regexp_extract("html", "(?is)<article>(.*)</article>", 1))
+    plain = t["pages"].select("page_id", F.when(F.col("page_id") % 3 == 0, F.left(text, F.lit(60))).otherwise(text).alias("body"))
+    rendered = t["pages"].where(F.col("page_id") % 2 == 0).select(
+        "page_id", F.concat(F.lit("rendered "), F.col("page_id").cast("string")).alias("body")
+    )
+    both = prefer(plain, rendered, "page_id", ["body"], ~is_thin(F.col("body")))
+    return both.select("page_id", "origin", F.coalesce("body", F.lit("")).alias("body"))
+
+
+@query("corpus_documents")
+def corpus(t: Tables):
+    return corpus_documents(t)
+
+
+@query("safe_title", f"""
+  WITH c AS (SELECT doc_id, trim({_strip("regexp_replace(regexp_replace(text, '[/\\\\?%*:|\"<>\\x00-\\x1f]', '_', 'g'), '\\s+', ' ', 'g')")}, '.') AS s FROM {{documents}}),
+  d AS (SELECT doc_id, CASE WHEN trim(s, '_ ') = '' THEN 'untitled' ELSE left(s, 137) END AS s FROM c),
+  n AS (SELECT doc_id, s, list_max(list_filter(range(0, length(s) + 1), lambda n: strlen(left(s, n)) <= 137)) AS n FROM d)
+  SELECT doc_id, coalesce(nullif(rtrim(left(s, n), ' .'), ''), 'untitled') AS title FROM n""")
+def safe_titles(t: Tables):
+    return t["documents"].select("doc_id", safe_title(F.col("text")).alias("title"))
