@@ -1 +1,537 @@
-"""Queries."""
+"""Transcripts: `events` of a user and day as segments, `conversations` as cues and edits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import clock as C
+from ..functions import cues as Q
+from ..functions import payloads as J
+from ..functions import text as T
+from ..functions import verdicts as V
+from ..functions.udtf import register
+from ..operators import answers as A
+from ..operators import edits as E
+from ..operators import hooks as HK
+from ..operators import media as M
+from ..operators import segments as S
+from ..runtime import scratch_path
+from ..sinks.documents import export_files
+from ..sources.captures import subtitle_files
+from . import duck as D
+from .page_queries import _escaped
+from .registry import Tables, query
+
+_DOC = "user_id * 100 + CAST(extract(day FROM ts) AS BIGINT)"
+_SECONDS = "CAST(extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)) AS DOUBLE)"
+SEGMENTS = f"""SELECT {_DOC} AS doc_id, event_id AS seg_no, {_SECONDS} AS start, {_SECONDS} + value AS end,
+    CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN '  ' ELSE ' ' || event_type || ' ' || CAST(event_id AS STRING) || ' ' END AS text FROM {{events}}"""
+_LIVE = f"SELECT * FROM ({SEGMENTS}) WHERE trim(text) <> ''"
+NL2 = "chr(10) || chr(10)"
+
+
+def _segments(t: Tables):
+    return t.sql(SEGMENTS)
+
+
+@query("transcript_text", f"SELECT doc_id, CAST(0 AS BIGINT) AS part_no, string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM ({_LIVE}) GROUP BY doc_id")
+def transcript_text(t: Tables):
+    # Event ids are sparse positions: one wide part per document keeps the check simple.
+    return S.transcript_text(_segments(t), part_rows=1 << 40)
+
+
+@query("transcript_bounds", f"""
+  SELECT doc_id, greatest(max("end"), CASE WHEN doc_id % 2 = 0 THEN 50000.0 ELSE 0 END) AS total_seconds FROM ({SEGMENTS}) GROUP BY doc_id""")
+def transcript_bounds(t: Tables):
+    segments = _segments(t)
+    processed = segments.where(F.col("doc_id") % 2 == 0).groupBy("doc_id").agg(F.lit(50000.0).alias("processed_seconds"))
+    return S.bounds(segments, processed)
+
+
+_WINDOWS = f"""
+  WITH k AS (SELECT *, CAST(floor(greatest(0, start) / 300) AS BIGINT) AS slot FROM ({_LIVE})),
+  c AS (SELECT *, CASE WHEN lag(slot) OVER (PARTITION BY doc_id ORDER BY seg_no) = slot THEN 0 ELSE 1 END AS fresh FROM k),
+  i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY seg_no) AS island, max("end") OVER (PARTITION BY doc_id) AS total FROM c),
+  w AS (SELECT doc_id, island, min(seg_no) AS first_seg, slot * 300.0 AS window_start, max("end") AS e, max(total) AS total, count(*) AS n_segments,
+      string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM i GROUP BY doc_id, island, slot)
+  SELECT doc_id, first_seg, CAST(window_start AS DOUBLE) AS window_start, CAST(least(total, greatest(least(window_start + 300, total), e)) AS DOUBLE) AS window_end, n_segments, text FROM w"""
+
+
+@query("segment_windows", _WINDOWS)
+def segment_windows(t: Tables):
+    # Small blocks so that the carry between blocks is exercised at every scale.
+    return S.segment_windows(_segments(t), block_rows=512).select(
+        "doc_id", "first_seg", "window_start", "window_end", "n_segments", "text"
+    )
+
+
+_HEAD = f"'### ' || {D.short_time('window_start')} || '–' || {D.short_time('window_end')} || {NL2}"
+
+
+@query("render_segments_md", f"SELECT doc_id, string_agg({_HEAD} || text, {NL2} ORDER BY first_seg) AS markdown FROM ({_WINDOWS}) GROUP BY doc_id")
+def render_segments_md(t: Tables):
+    return S.render_segments(S.segment_windows(_segments(t))).select("doc_id", "markdown")
+
+
+CHAPTERS = f"""SELECT {_DOC} AS doc_id, {_SECONDS} AS start, event_id AS pos,
+    CASE WHEN event_id % 5 = 0 THEN ' ' ELSE ' Ch ' || CAST(event_id AS STRING) || ' ' END AS title FROM {{events}} WHERE event_type = 'signup'"""
+_CHAPTERS = f"""
+  WITH tot AS (SELECT doc_id, max("end") AS total FROM ({SEGMENTS}) GROUP BY doc_id),
+  c AS (SELECT c.doc_id, c.start, trim(arg_min(title, pos)) AS title, max(total) AS total FROM ({CHAPTERS}) c JOIN tot USING (doc_id)
+        WHERE trim(title) <> '' AND start < total GROUP BY c.doc_id, c.start),
+  o AS (SELECT doc_id, 0.0 AS start, '开场' AS title, max(total) AS total FROM c GROUP BY doc_id HAVING min(start) > 1.0),
+  a AS (SELECT * FROM c UNION ALL SELECT * FROM o)
+  SELECT doc_id, CAST(start AS DOUBLE) AS start, CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), total) AS DOUBLE) AS "end", title FROM a"""
+
+
+@query("chapter_bounds", _CHAPTERS)
+def chapter_bounds(t: Tables):
+    return S.chapter_bounds(t.sql(CHAPTERS), S.bounds(_segments(t)))
+
+
+_PLACED = f"""SELECT s.doc_id, s.seg_no, c.start AS chapter_start, c.title AS chapter_title, trim(s.text) AS text FROM ({_LIVE}) s JOIN ({_CHAPTERS}) c
+    ON s.doc_id = c.doc_id AND (s.start + s."end") / 2 >= c.start AND (s.start + s."end") / 2 < c."end\""""
+
+
+@query("join_chapter_range", f"SELECT doc_id, seg_no, chapter_start, chapter_title FROM ({_PLACED})")
+def join_chapter_range(t: Tables):
+    chapters = S.chapter_bounds(t.sql(CHAPTERS), S.bounds(_segments(t)))
+    return S.segments_in_chapters(_segments(t), chapters).select("doc_id", "seg_no", "chapter_start", "chapter_title")
+
+
+@query("render_chapters_md", f"""
+  WITH p AS ({_PLACED}),
+  m AS (SELECT doc_id, CAST(round_even(chapter_start * 1000, 0) AS BIGINT) AS block_no, '### ' || {D.short_time('chapter_start')} || ' ' || chapter_title || {NL2}
+      || string_agg(text, {NL2} ORDER BY seg_no) AS block_md FROM p GROUP BY doc_id, chapter_start, chapter_title)
+  SELECT doc_id, block_no, block_md FROM m
+  UNION ALL SELECT doc_id, first_seg AS block_no, {_HEAD} || text AS block_md FROM ({_WINDOWS}) WHERE doc_id NOT IN (SELECT doc_id FROM m)""")
+def render_chapters_md(t: Tables):
+    return S.render_chapters(_segments(t), t.sql(CHAPTERS)).select("doc_id", "block_no", "block_md")
+
+
+DURATIONS = "SELECT o_orderkey, o_totalprice / 1000 AS duration FROM {orders}"
+_CHUNKS = f"""
+  WITH d AS (SELECT o_orderkey, least(duration, 400) AS total FROM ({DURATIONS})),
+  e AS (SELECT o_orderkey, total, unnest(range(CAST(ceil((total - 0.5) / 30) AS BIGINT))) AS chunk_no FROM d WHERE total > 0.5)
+  SELECT o_orderkey, chunk_no, CAST(chunk_no * 30 AS DOUBLE) AS chunk_start, round(least(chunk_no * 30 + 30.0, total), 3) AS chunk_end, chunk_no // 2 AS batch_no FROM e"""
+
+
+@query("chunk_plan", f"SELECT o_orderkey, chunk_no, chunk_start, chunk_end FROM ({_CHUNKS})")
+def chunk_plan(t: Tables):
+    return S.chunk_plan(t.sql(DURATIONS), 30, 400).select("o_orderkey", "chunk_no", "chunk_start", "chunk_end")
+
+
+@query("chunk_batches", f"SELECT o_orderkey, batch_no, count(*) AS chunks, min(chunk_no) AS first_chunk FROM ({_CHUNKS}) GROUP BY o_orderkey, batch_no")
+def chunk_batches(t: Tables):
+    plan = S.chunk_plan(t.sql(DURATIONS), 30, 400, batch=2)
+    return plan.groupBy("o_orderkey", "batch_no").agg(
+        F.count(F.lit(1)).alias("chunks"), F.min("chunk_no").alias("first_chunk")
+    )
+
+
+@query("throughput_report", """
+  SELECT l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS audio_s, CAST(sum(l_linenumber) AS DOUBLE) AS inference_s, count(*) AS chunks,
+    sum(CAST(l_quantity AS BIGINT)) / sum(l_linenumber) AS speed, sum(l_linenumber) / sum(CAST(l_quantity AS BIGINT)) AS rtf, CAST(ceil(count(*) / 2) AS BIGINT) AS batches
+  FROM {lineitem} GROUP BY l_suppkey""")
+def throughput_report(t: Tables):
+    log = t["lineitem"].select(
+        "l_suppkey", F.col("l_quantity").alias("audio_s"), F.col("l_linenumber").cast("double").alias("inference_s")
+    )
+    return S.throughput(log, "l_suppkey")
+
+
+@query("models_used", """
+  WITH f AS (SELECT conv_id, role, min(turn) AS first_use FROM {conversations} GROUP BY conv_id, role)
+  SELECT conv_id, role, first_use, row_number() OVER (PARTITION BY conv_id ORDER BY first_use) AS model_no FROM f""")
+def models_used(t: Tables):
+    return S.models_used(t["conversations"], "conv_id", "turn", "role", "none")
+
+
+# ---- cues: a small subtitle text per conversation turn ----
+
+_N = "chr(10)"
+CUES = f"""SELECT conv_id * 1000 + turn AS track_id, turn, role, text, 'WEBVTT' || {_N} || {_N} || '1' || {_N} || '00:00:0' || CAST(turn % 10 AS STRING)
+    || '.000 --> 00:00:09,500 align:start' || chr(13) || {_N} || '<i>Hello</i> &amp; ' || role || {_N} || {_N}
+    || '00:01:00.000 --> 00:01:05.000' || {_N} || 'Hello & ' || role || {_N} || ' ' || {_N} || '01:00.000 --> 01:05.000' || {_N} || 'no hours' || {_N} || {_N}
+    || '00:04:59.999 --> 00:05:30.000' || {_N} || 'said ' || {_escaped(f"replace(text, {_N}, ' ')")} || {_N} || {_N}
+    || '00:05:' || lpad(CAST(turn % 60 AS STRING), 2, '0') || '.000 --> 00:20:00.000' || {_N} || 'late ' || CAST(conv_id AS STRING) || {_N} || 'line' || {_N} || {_N}
+    || '01:00:00.000 --> 01:00:10.000' || {_N} || '<c></c>' AS payload, conv_id FROM {{conversations}}"""
+_SAID = f"'said ' || trim(replace(text, {_N}, ' '))"
+_CUE_ROWS = f"""
+  SELECT track_id, 0 AS cue_no, CAST(turn % 10 AS DOUBLE) AS start, 9.5 AS "end", 'Hello & ' || role AS text FROM ({CUES})
+  UNION ALL SELECT track_id, 1, 299.999, 330.0, {_SAID} FROM ({CUES})
+  UNION ALL SELECT track_id, 2, 300.0 + turn % 60, 1200.0, 'late ' || conv_id || ' line' FROM ({CUES})"""
+
+
+@query("subtitle_parse", f"SELECT track_id, CAST(cue_no AS INT) AS cue_no, CAST(start AS DOUBLE) AS start, CAST(\"end\" AS DOUBLE) AS \"end\", text FROM ({_CUE_ROWS})")
+def subtitle_parse(t: Tables):
+    rows = t.sql(CUES).select("track_id", F.posexplode(Q.parse_cues(F.col("payload"))).alias("cue_no", "c"))
+    return rows.select("track_id", "cue_no", "c.start", "c.end", "c.text")
+
+
+@query("subtitle_udtf", f"SELECT track_id, CAST(cue_no AS INT) AS cue_no, CAST(start AS DOUBLE) AS start, CAST(\"end\" AS DOUBLE) AS \"end\", text FROM ({_CUE_ROWS})")
+def subtitle_udtf(t: Tables):
+    register(t.spark)
+    t.sql(CUES).createOrReplaceTempView("corpusloom_cues")
+    return t.spark.sql(
+        "SELECT track_id, r.cue_no, r.start, r.end, r.text FROM corpusloom_cues, LATERAL parse_subtitles(payload) AS r"
+    )
+
+
+@query("time_parse", f"SELECT track_id, 3600.0 * (turn % 3) + 60 * (turn % 60) + 7.125 AS seconds FROM ({CUES})")
+def time_parse(t: Tables):
+    text = F.format_string("x %d:%02d:07.125", F.col("turn") % 3, F.col("turn") % 60)
+    return t.sql(CUES).select("track_id", C.cue_seconds(text).alias("seconds"))
+
+
+@query("limit_seconds_filter", f"SELECT track_id, count(*) AS cues FROM ({_CUE_ROWS}) WHERE start < 300 GROUP BY track_id")
+def limit_seconds_filter(t: Tables):
+    kept = Q.cues_before(Q.parse_cues(F.col("payload")), F.lit(300))
+    return t.sql(CUES).select("track_id", F.size(kept).cast("long").alias("cues"))
+
+
+@query("subtitle_windows", f"""
+  SELECT track_id, 0 AS window_no, CAST(turn % 10 AS DOUBLE) AS start, CAST(330.0 AS DOUBLE) AS "end", 'Hello & ' || role || ' ' || {_SAID} AS text FROM ({CUES})
+  UNION ALL SELECT track_id, 1, CAST(300.0 + turn % 60 AS DOUBLE), CAST(1200.0 AS DOUBLE), 'late ' || conv_id || ' line' FROM ({CUES})""")
+def subtitle_windows(t: Tables):
+    windows = Q.reading_windows(Q.parse_cues(F.col("payload")))
+    rows = t.sql(CUES).select("track_id", F.posexplode(windows).alias("window_no", "w"))
+    return rows.select("track_id", "window_no", "w.start", "w.end", "w.text")
+
+
+REPEATS = "SELECT user_id AS track_id, event_id AS cue_no, event_type AS text FROM {events}"
+
+
+@query("cue_dedup", f"""
+  SELECT track_id, cue_no, text FROM (SELECT *, lag(text) OVER (PARTITION BY track_id ORDER BY cue_no) AS p FROM ({REPEATS})) WHERE p IS NULL OR p <> text""")
+def cue_dedup(t: Tables):
+    return S.drop_repeats(t.sql(REPEATS)).select("track_id", "cue_no", "text")
+
+
+TRACKS = """SELECT CAST(floor(doc_id / 5) AS BIGINT) AS video_id, doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN 'manual' ELSE 'auto' END AS kind,
+    CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'EN' WHEN 1 THEN 'en-US' WHEN 2 THEN 'zh-cn' WHEN 3 THEN 'danmaku' WHEN 4 THEN 'fr' WHEN 5 THEN 'zh-TW' ELSE lang END AS language FROM {documents}"""
+_RANKS = "CASE language WHEN 'zh-Hans' THEN 0 WHEN 'zh-CN' THEN 1 WHEN 'zh' THEN 2 WHEN 'zh-TW' THEN 3 WHEN 'zh-Hant' THEN 4 WHEN 'en' THEN 5 WHEN 'en-US' THEN 6 WHEN 'en-GB' THEN 7 END"
+_LOOSE = "CASE lower(language) WHEN 'zh-hans' THEN 8 WHEN 'zh-cn' THEN 9 WHEN 'zh' THEN 10 WHEN 'zh-tw' THEN 11 WHEN 'zh-hant' THEN 12 WHEN 'en' THEN 13 WHEN 'en-us' THEN 14 WHEN 'en-gb' THEN 15 ELSE 16 END"
+
+
+@query("pick_subtitle", f"""
+  WITH r AS (SELECT *, coalesce({_RANKS}, {_LOOSE}) AS rk FROM ({TRACKS}) WHERE NOT (kind = 'manual' AND lower(language) = 'danmaku'))
+  SELECT video_id, pos, kind, language FROM (SELECT *, row_number() OVER (PARTITION BY video_id
+    ORDER BY CASE kind WHEN 'manual' THEN 0 ELSE 1 END, rk, CASE WHEN rk BETWEEN 8 AND 15 THEN -pos ELSE pos END) AS n FROM r) WHERE n = 1""")
+def pick_subtitle(t: Tables):
+    return M.pick_subtitle(t.sql(TRACKS), "video_id")
+
+
+@query("pick_inline_format", f"SELECT track_id, CAST(3 AS INT) AS cues, 'Hello & ' || role AS first_text FROM ({CUES})")
+def pick_inline_format(t: Tables):
+    form = lambda ext, data: F.struct(F.lit(ext).alias("ext"), data.alias("data"))
+    payload = F.col("payload")
+    listed = F.array(form("json", payload), form("vtt", F.lit("WEBVTT")), form("SRT", payload), form("vtt", F.lit("nothing here")), form("ttml", payload))
+    picked = t.sql(CUES).select("track_id", Q.pick_inline(listed).alias("c"))
+    return picked.select("track_id", F.size("c").alias("cues"), F.get("c", F.lit(0))["text"].alias("first_text"))
+
+
+@query("scan_subtitles", """
+  SELECT 'v' || c_nationkey AS video_id, 'new ' || count(*) AS text FROM {customer} GROUP BY c_nationkey""")
+def scan_subtitles(t: Tables):
+    """Two files per video, written one after the other: the newer one counts."""
+    path = scratch_path(t.spark, "subtitles")
+    counts = t["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.select(F.concat(F.lit("v"), F.col("c_nationkey").cast("string")).alias("video"), F.col("n").cast("string").alias("n"))
+    for label in ("old", "new"):
+        named = rows.select(
+            F.concat("video", F.lit(f"/{'b' if label == 'old' else 'c'}.vtt")).alias("name"), F.concat(F.lit(f"{label} "), "n").alias("text")
+        )
+        export_files(named, "name", "text", path)
+    return subtitle_files(t.spark, path)
+
+
+PROBES = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'http 500' ELSE '' END AS probe_error, doc_id % 2 AS n_manual, doc_id % 3 AS n_auto, source = 'src1' AS strict FROM {documents}"""
+
+
+@query("acquisition_choice", f"""
+  SELECT doc_id, CASE WHEN probe_error <> '' AND strict THEN 'failed' WHEN probe_error <> '' THEN 'asr' WHEN n_manual > 0 THEN 'manual' WHEN n_auto > 0 THEN 'auto' ELSE 'asr' END AS choice FROM ({PROBES})""")
+def acquisition_choice(t: Tables):
+    choice = V.acquisition_choice(F.col("n_manual"), F.col("n_auto"), F.col("probe_error"), F.col("strict"))
+    return t.sql(PROBES).select("doc_id", choice.alias("choice"))
+
+
+# ---- rendering of times ----
+
+@query("time_short", f"SELECT event_id, {D.short_time('value * 97')} AS short FROM {{events}}")
+def time_short(t: Tables):
+    return t["events"].select("event_id", C.short_time(F.col("value") * 97).alias("short"))
+
+
+@query("time_srt", f"SELECT event_id, {D.ms_time('value * 97.0013')} AS srt FROM {{events}}")
+def time_srt(t: Tables):
+    return t["events"].select("event_id", C.srt_time(F.col("value") * 97.0013).alias("srt"))
+
+
+@query("human_duration", """
+  WITH s AS (SELECT event_id, CAST(floor(value * 37) AS BIGINT) AS s FROM {events})
+  SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || '小时' || CASE WHEN s % 3600 // 60 > 0 THEN (s % 3600 // 60) || '分钟' ELSE '' END
+    ELSE greatest(1, CAST(round_even(s / 60, 0) AS BIGINT)) || '分钟' END AS shown FROM s""")
+def human_duration(t: Tables):
+    return t["events"].select("event_id", C.human_duration(F.floor(F.col("value") * 37)).alias("shown"))
+
+
+TURNS = """SELECT conv_id AS doc_id, turn AS seg_no, CAST(turn * 10 AS DOUBLE) AS start, CAST(turn * 10 + 9.5 AS DOUBLE) AS end, replace(text, chr(10), ' ') AS text FROM {conversations}"""
+_SRT = f"""SELECT doc_id, seg_no, (seg_no + 1) || {_N} || {D.ms_time('start')} || ' --> ' || {D.ms_time('"end"')} || {_N} || text || {NL2} AS srt FROM ({TURNS})"""
+
+
+@query("srt_number", f"SELECT doc_id, seg_no, srt FROM ({_SRT})")
+def srt_number(t: Tables):
+    return S.srt_blocks(t.sql(TURNS))
+
+
+@query("sink_srt", f"SELECT doc_id, string_agg(srt, '' ORDER BY seg_no) AS srt FROM ({_SRT}) GROUP BY doc_id")
+def sink_srt(t: Tables):
+    return S.render_srt(t.sql(TURNS)).select("doc_id", "srt")
+
+
+# ---- normalisation ----
+
+SPOKEN = """SELECT p_partkey AS doc_id, CAST(0 AS BIGINT) AS seg_no, ' the ' || p_name || chr(9) || ' f d e 😊 ok ( ' || p_brand || ' ) 中 文 ， api' || chr(160) || 'and A.P.I end .' AS text FROM {part}"""
+
+
+@query("text_basic_normalize", f"SELECT doc_id, 'the ' || p_name || ' FDE ok (' || p_brand || ') 中文， api and API end.' AS text FROM (SELECT p_partkey AS doc_id, p_name, p_brand FROM {{part}})")
+def text_basic_normalize(t: Tables):
+    return t.sql(SPOKEN).select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+
+
+@query("text_basic_normalize_documents")
+def text_basic_normalize_documents(t: Tables):
+    return t["documents"].select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+
+
+HINTS = """SELECT p_partkey AS doc_id, p_name AS title, '' AS context, 'Api' AS t1, upper(p_name) AS t2, ' ' AS person FROM {part} WHERE p_partkey % 2 = 0"""
+
+
+def _hints(t: Tables):
+    return t.sql(HINTS).select("doc_id", "title", "context", F.array("t1", "t2").alias("terms"), F.array("person").alias("people"))
+
+
+_TERMED = "CASE WHEN p_partkey % 2 = 0 THEN 'the ' || upper(p_name) || ' FDE ok (' || p_brand || ') 中文， Api and Api end.' ELSE 'the ' || p_name || ' FDE ok (' || p_brand || ') 中文， api and API end.' END"
+
+
+@query("term_canonicalize", f"SELECT p_partkey AS doc_id, {_TERMED} AS text FROM {{part}}")
+def term_canonicalize(t: Tables):
+    terms = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Api"), F.upper("title"))).otherwise(F.array().cast("array<string>"))
+    named = t.sql(SPOKEN).join(t["part"].select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")), "doc_id")
+    return named.select("doc_id", T.normalize_text(F.col("text"), terms).alias("text"))
+
+
+@query("join_terms", f"SELECT p_partkey AS doc_id, {_TERMED} AS text FROM {{part}}")
+def join_terms(t: Tables):
+    return S.normalize_segments(t.sql(SPOKEN), _hints(t)).select("doc_id", "text")
+
+
+@query("normalization_report", """
+  SELECT p_partkey AS doc_id, 'basic' AS mode, CAST(1 AS BIGINT) AS processed_segments, CAST(1 AS BIGINT) AS changed_segments,
+    CAST(CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS hints_used FROM {part}""")
+def normalization_report(t: Tables):
+    hints = _hints(t)
+    return S.normalization_report(S.normalize_segments(t.sql(SPOKEN), hints), hints)
+
+
+@query("hint_context", """
+  SELECT doc_id, left('标题：' || source || chr(10) || '人物：A、B' || chr(10) || '术语：' || lang || chr(10) || text, 4000) AS context FROM {documents}""")
+def hint_context(t: Tables):
+    people, terms = F.array(F.lit("A"), F.lit("B")), F.array("lang")
+    return t["documents"].select("doc_id", T.hint_context(F.col("source"), people, terms, F.col("text")).alias("context"))
+
+
+TAGGED = """SELECT conv_id, turn, '<|zh|><|NEUTRAL|> ' || text || ' <|/x|>' AS text FROM {conversations}"""
+
+
+@query("tag_strip", f"SELECT conv_id, turn, trim(text, {D.SPACES} || '') AS text FROM (SELECT conv_id, turn, text FROM {{conversations}})")
+def tag_strip(t: Tables):
+    return t.sql(TAGGED).select("conv_id", "turn", T.strip_speech_tags(F.col("text")).alias("text"))
+
+
+@query("no_speech_filter", "SELECT conv_id, turn FROM {conversations} WHERE turn % 3 = 1")
+def no_speech_filter(t: Tables):
+    silent = F.when(F.col("turn") % 3 == 0, "[无语音]").when(F.col("turn") % 3 == 2, "").otherwise(F.col("text"))
+    return t["conversations"].withColumn("text", silent).where(T.is_speech(F.col("text"))).select("conv_id", "turn")
+
+
+# ---- context windows and edits ----
+
+@query("context_windows", f"""
+  WITH s AS (SELECT *, seg_no // 3 AS window_no FROM ({TURNS})),
+  w AS (SELECT doc_id, window_no, count(*) AS targets, arg_min(text, seg_no) AS head, arg_max(text, seg_no) AS tail FROM s GROUP BY doc_id, window_no)
+  SELECT w.doc_id, w.window_no, w.targets, coalesce(p.tail, '') AS context_before, coalesce(n.head, '') AS context_after FROM w
+  LEFT JOIN w p ON p.doc_id = w.doc_id AND p.window_no = w.window_no - 1 LEFT JOIN w n ON n.doc_id = w.doc_id AND n.window_no = w.window_no + 1""")
+def context_windows(t: Tables):
+    return S.context_windows(t.sql(TURNS), 3).select(
+        "doc_id", "window_no", F.size("targets").cast("long").alias("targets"), "context_before", "context_after"
+    )
+
+
+@query("join_neighbours", f"""
+  SELECT doc_id, seg_no, coalesce(lag(text) OVER w, '') AS text_before, coalesce(lead(text) OVER w, '') AS text_after FROM ({TURNS}) WINDOW w AS (PARTITION BY doc_id ORDER BY seg_no)""")
+def join_neighbours(t: Tables):
+    return S.with_neighbours(t.sql(TURNS)).select("doc_id", "seg_no", "text_before", "text_after")
+
+
+# The reply to a turn proposes: first word, first two words, last word, a strange id, blanks, a non-object.
+_W1, _W2, _W9 = "regexp_extract(text, '^[^ ]+', 0)", "regexp_extract(text, '^[^ ]+ [^ ]+', 0)", "regexp_extract(text, '[^ ]+ [^ ]+$', 0)"
+_EDIT = lambda i, old, new: f"'{{\"id\":' || {i} || ',\"old\":\"' || {old} || '\",\"new\":\"' || {new} || '\"}}'"
+REPLIES = f"""SELECT doc_id, seg_no AS window_no, text, CASE WHEN doc_id % 10 = 9 THEN 'sorry, no' ELSE '```json' || chr(10) || '{{"edits":['
+    || {_EDIT('CAST(seg_no AS STRING)', _W1, "'First'")} || ',' || CASE WHEN doc_id % 2 = 0 THEN {_EDIT('CAST(seg_no AS STRING)', _W2, "'One Two'")} ELSE '7' END || ','
+    || {_EDIT('CAST(seg_no AS STRING)', _W9, "'the end'")} || ',' || {_EDIT("'99'", _W1, "'x'")} || ',' || {_EDIT('CAST(seg_no AS STRING)', "' '", "'x'")} || ','
+    || {_EDIT("'\"a\"'", _W1, "'x'")} || ']}}' || chr(10) || '```' END AS reply FROM ({TURNS})"""
+_PROPOSED = f"""
+  SELECT doc_id, window_no, text, 1 AS number, {_W1} AS old, 'First' AS new, true AS object, 'seg' AS target FROM ({REPLIES}) WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, window_no, text, 2, CASE WHEN doc_id % 2 = 0 THEN {_W2} END, 'One Two', doc_id % 2 = 0, 'seg' FROM ({REPLIES}) WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, window_no, text, 3, {_W9}, 'the end', true, 'seg' FROM ({REPLIES}) WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, window_no, text, 4, {_W1}, 'x', true, '99' FROM ({REPLIES}) WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, window_no, text, 5, ' ', 'x', true, 'seg' FROM ({REPLIES}) WHERE doc_id % 10 <> 9
+  UNION ALL SELECT doc_id, window_no, text, 6, {_W1}, 'x', true, 'a' FROM ({REPLIES}) WHERE doc_id % 10 <> 9"""
+_TIMES = "CASE WHEN length(old) = 0 THEN 0 ELSE (length(text) - length(replace(text, old, ''))) // length(old) END"
+_CHECKED = f"""
+  SELECT doc_id, window_no, number, text, old, new, CASE WHEN NOT object THEN 'not_object' WHEN target = 'a' THEN 'id_not_integer' WHEN target = '99' AND window_no <> 99 THEN 'id_outside_window'
+    WHEN trim(old) = '' THEN 'old_blank' WHEN old = new THEN 'same' WHEN old = text THEN 'whole_segment' WHEN {_TIMES} <> 1 THEN 'not_unique'
+    WHEN length(new) >= length(text) THEN 'new_as_long_as_segment' WHEN length(new) > greatest(24, 4 * length(old)) THEN 'new_too_long' ELSE '' END AS reason FROM ({_PROPOSED})"""
+_SPANS = f"SELECT *, instr(text, old) - 1 AS s, instr(text, old) - 1 + length(old) AS e FROM ({_CHECKED})"
+_MARKED = f"""
+  SELECT a.doc_id, a.window_no, a.number, a.text, a.old, a.new, a.s, a.e, CASE WHEN a.reason = '' AND EXISTS (SELECT 1 FROM ({_SPANS}) b WHERE b.reason = '' AND b.doc_id = a.doc_id
+    AND b.window_no = a.window_no AND b.number <> a.number AND greatest(a.s, b.s) < least(a.e, b.e)) THEN 'overlap' ELSE a.reason END AS reason FROM ({_SPANS}) a"""
+_KEYS = ["doc_id", "window_no"]
+
+
+def _replies(t: Tables):
+    return E.explode_replies(t.sql(REPLIES).select("doc_id", "window_no", "reply"))
+
+
+def _targets(t: Tables):
+    return t.sql(TURNS).select("doc_id", F.col("seg_no").alias("window_no"), "seg_no", "text")
+
+
+def _checked(t: Tables):
+    return E.validate(_replies(t), _targets(t), _KEYS)
+
+
+@query("llm_json_extract", f"SELECT doc_id, seg_no AS window_no, doc_id % 10 <> 9 AS usable, CAST(CASE WHEN doc_id % 10 <> 9 THEN 6 ELSE 0 END AS INT) AS edits FROM ({TURNS})")
+def llm_json_extract(t: Tables):
+    parsed = t.sql(REPLIES).select("doc_id", "window_no", J.proposed_edits(F.col("reply")).alias("e"))
+    return parsed.select("doc_id", "window_no", F.col("e").isNotNull().alias("usable"), F.coalesce(F.size("e"), F.lit(0)).alias("edits")).withColumn(
+        "edits", F.greatest("edits", F.lit(0))
+    )
+
+
+@query("join_edit_segment", f"""
+  SELECT doc_id, window_no, CAST(number AS BIGINT) AS number, CASE WHEN object AND target = 'seg' OR target = '99' AND window_no = 99 THEN length(text) ELSE -1 END AS target_length FROM ({_PROPOSED})""")
+def join_edit_segment(t: Tables):
+    targets = _targets(t).select(*_KEYS, F.col("seg_no").alias("id"), F.length("text").cast("long").alias("n"))
+    joined = _replies(t).where("reply_ok").join(targets, [*_KEYS, "id"], "left")
+    return joined.select(*_KEYS, "number", F.coalesce("n", F.lit(-1)).alias("target_length"))
+
+
+@query("edit_validate", f"SELECT doc_id, window_no, CAST(number AS BIGINT) AS number, reason FROM ({_CHECKED})")
+def edit_validate(t: Tables):
+    return _checked(t).select(*_KEYS, "number", "reason")
+
+
+@query("join_edit_overlap", f"SELECT doc_id, window_no, CAST(number AS BIGINT) AS number, reason FROM ({_MARKED})")
+def join_edit_overlap(t: Tables):
+    return E.mark_overlaps(_checked(t), _KEYS).select(*_KEYS, "number", "reason")
+
+
+@query("edit_apply", f"""
+  WITH m AS (SELECT * FROM ({_MARKED}) WHERE reason = ''),
+  p AS (SELECT t.doc_id, t.seg_no, t.text, f.s AS fs, f.e AS fe, f.new AS fnew, l.s AS ls, l.e AS le, l.new AS lnew FROM ({TURNS}) t
+    LEFT JOIN m f ON f.doc_id = t.doc_id AND f.window_no = t.seg_no AND f.number IN (1, 2) LEFT JOIN m l ON l.doc_id = t.doc_id AND l.window_no = t.seg_no AND l.number = 3)
+  SELECT doc_id, seg_no, coalesce(fnew, '') || text[coalesce(fe, 0) + 1 : coalesce(ls, length(text))] || CASE WHEN ls IS NULL THEN '' ELSE lnew || text[le + 1 :] END AS new_text FROM p""")
+def edit_apply(t: Tables):
+    marked = E.mark_overlaps(_checked(t), _KEYS)
+    return E.apply_edits(_targets(t), marked, _KEYS).select("doc_id", "seg_no", "new_text")
+
+
+# ---- inference hooks ----
+
+def _echo():
+    return lambda texts: [f"<|zh|>{x}" if len(x) % 3 else "[无语音]" for x in texts]
+
+
+@query("segment_infer", f"SELECT conv_id, turn, trim(text, {D.SPACES}) AS text FROM {{conversations}} WHERE length(text) % 3 <> 0")
+def segment_infer(t: Tables):
+    segments, _ = HK.infer_segments(t["conversations"].select("conv_id", "turn", F.col("text").alias("audio")), "audio", _echo)
+    return segments.select("conv_id", "turn", "text")
+
+
+def _proposer():
+    import json
+
+    def run(texts):
+        words = [x.split(" ")[0] for x in texts]
+        return [json.dumps({"edits": [{"id": 0, "old": w, "new": w.upper() + "!"}]}) for w in words]
+
+    return run
+
+
+@query("edit_infer")
+def edit_infer(t: Tables):
+    """Stub model proposes one edit per turn; what it proposes is validated and applied."""
+    turns = t.sql(TURNS).select("doc_id", F.col("seg_no").alias("window_no"), F.lit(0).cast("long").alias("seg_no"), "text")
+    replies = HK.map_texts(turns.select(*_KEYS, "text"), "text", _proposer, batch_size=8, result="reply")
+    exploded = E.explode_replies(replies.select(*_KEYS, "reply"))
+    marked = E.mark_overlaps(E.validate(exploded, turns, _KEYS), _KEYS)
+    return E.apply_edits(turns, marked, _KEYS).select("doc_id", "window_no", "new_text")
+
+
+# ---- question snapshots: a conversation as a question, its turns as capture rounds ----
+
+SNAPSHOTS = """SELECT conv_id AS question_id, turn AS round, CASE WHEN turn = 0 THEN '' ELSE 'Title ' || CAST(turn AS STRING) END AS title,
+    CASE WHEN turn < 2 THEN '' ELSE 'detail ' || CAST(turn AS STRING) END AS detail_md, CASE WHEN turn > 0 THEN CAST(conv_id % 5 AS INT) END AS expected FROM {conversations}"""
+ANSWERS = """SELECT conv_id AS question_id, turn AS round, CAST(0 AS BIGINT) AS pos, 'a' || CAST(turn % 3 AS STRING) AS answer_id, role AS author, text AS body_md,
+    '' AS time_text, 'v' || CAST(turn AS STRING) AS vote_text, 'https://q/' || CAST(turn AS STRING) AS url FROM {conversations}"""
+_FIRST_SEEN = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, answer_id ORDER BY round, pos) AS n FROM ({ANSWERS})) WHERE n = 1"
+_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round, pos) AS answer_no FROM ({_FIRST_SEEN})"
+
+
+@query("snapshot_merge", f"""
+  SELECT question_id, coalesce(arg_min(title, round) FILTER (WHERE title <> ''), '') AS title, coalesce(arg_min(detail_md, round) FILTER (WHERE detail_md <> ''), '') AS detail_md,
+    coalesce(arg_min(expected, round) FILTER (WHERE expected IS NOT NULL), -1) AS expected FROM ({SNAPSHOTS}) GROUP BY question_id""")
+def snapshot_merge(t: Tables):
+    return A.merge_questions(t.sql(SNAPSHOTS)).withColumn("expected", F.coalesce("expected", F.lit(-1)))
+
+
+@query("answer_dedup", f"SELECT question_id, answer_id, round, author FROM ({_FIRST_SEEN})")
+def answer_dedup(t: Tables):
+    return A.first_seen(t.sql(ANSWERS)).select("question_id", "answer_id", "round", "author")
+
+
+@query("answer_number", f"SELECT question_id, answer_id, answer_no FROM ({_NUMBERED})")
+def answer_number(t: Tables):
+    return A.number_answers(t.sql(ANSWERS)).select("question_id", "answer_id", "answer_no")
+
+
+@query("top_answers", f"SELECT question_id, answer_id, CAST(answer_no AS INT) AS answer_no FROM ({_NUMBERED}) WHERE answer_no <= 2")
+def top_answers(t: Tables):
+    return A.top_answers(t.sql(ANSWERS), 2).select("question_id", "answer_id", "answer_no")
+
+
+@query("qa_completeness", f"""
+  WITH f AS (SELECT question_id, round, count(*) AS fresh FROM ({_FIRST_SEEN}) GROUP BY question_id, round),
+  s AS (SELECT s.question_id, s.round, s.expected, sum(coalesce(f.fresh, 0)) OVER w AS found,
+      s.round - max(CASE WHEN coalesce(f.fresh, 0) > 0 OR s.round = 0 THEN s.round END) OVER w AS stable
+    FROM ({SNAPSHOTS}) s LEFT JOIN f USING (question_id, round) WINDOW w AS (PARTITION BY s.question_id ORDER BY s.round)),
+  y AS (SELECT *, CASE WHEN found >= 3 THEN 'max_answers' WHEN expected IS NOT NULL AND found >= expected THEN 'expected' WHEN stable >= 5 THEN 'stable' END AS why FROM s),
+  m AS (SELECT question_id, coalesce(min(round) FILTER (WHERE why IS NOT NULL), max(round)) AS last_round FROM y GROUP BY question_id)
+  SELECT y.question_id, y.round AS last_round, coalesce(y.why, 'exhausted') AS stop_reason, CAST(y.found AS BIGINT) AS answers_found FROM y JOIN m ON m.question_id = y.question_id AND m.last_round = y.round""")
+def qa_completeness(t: Tables):
+    return A.completeness(t.sql(SNAPSHOTS), t.sql(ANSWERS), max_answers=3)
+
+
+_QA_BLOCK = f"""'### 回答 ' || answer_no || '｜' || author || {_N} || '> ' || vote_text || ' · 原回答：' || url || {NL2} || body_md || {NL2} || '---' || {_N}"""
+
+
+@query("qa_render", f"""
+  WITH q AS (SELECT question_id, coalesce(arg_min(detail_md, round) FILTER (WHERE detail_md <> ''), '') AS d FROM ({SNAPSHOTS}) GROUP BY question_id),
+  b AS (SELECT question_id, string_agg({_QA_BLOCK}, {_N} ORDER BY answer_no) AS body FROM ({_NUMBERED}) GROUP BY question_id)
+  SELECT question_id, CASE WHEN d <> '' THEN '## 问题描述' || {NL2} || d || {NL2} ELSE '' END || '## 回答' || {NL2} || rtrim(body, '- ' || {_N}) || {_N} AS body_md FROM b JOIN q USING (question_id)""")
+def qa_render(t: Tables):
+    answers = A.number_answers(t.sql(ANSWERS))
+    return A.render_questions(A.merge_questions(t.sql(SNAPSHOTS)), answers).select("question_id", "body_md")
