@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .clock import capture_day
-from .strings import ANY_SPACE, rstrip_only, strip, strip_only
+from .strings import ANY_SPACE, let, rstrip_only, strip, strip_only
 
 # The byte budget of `<day>__<title>.md` and what the prefix and suffix use.
 NAME_BYTES = 150
@@ -15,7 +15,8 @@ UNTITLED = "untitled"
 
 def _fit_bytes(text: Column, budget: int) -> Column:
     """Longest prefix of whole characters within the byte budget."""
-    lengths = F.sequence(F.lit(0), F.lit(budget))
+    # Between budget / 4 and budget characters fit, since a character has one to four bytes.
+    lengths = F.sequence(F.lit(budget // 4), F.lit(budget))
     fitting = F.filter(lengths, lambda n: F.octet_length(F.left(text, n)) <= budget)
     return F.when(F.octet_length(text) <= budget, text).otherwise(
         F.left(text, F.array_max(fitting))
@@ -25,9 +26,13 @@ def _fit_bytes(text: Column, budget: int) -> Column:
 def safe_title(title: Column, budget: int = TITLE_BYTES) -> Column:
     clean = F.regexp_replace(title, r'[/\\?%*:|"<>\x00-\x1f]', "_")
     clean = strip_only(strip(F.regexp_replace(clean, f"{ANY_SPACE}+", " ")), ".")
-    clean = F.when(strip_only(clean, "_ ") == "", F.lit(UNTITLED)).otherwise(clean)
-    fitted = rstrip_only(_fit_bytes(clean, budget), " .")
-    return F.when(fitted == "", F.lit(UNTITLED)).otherwise(fitted)
+    def fit(text: Column) -> Column:
+        named = F.when(strip_only(text, "_ ") == "", F.lit(UNTITLED)).otherwise(text)
+        return rstrip_only(_fit_bytes(named, budget), " .")
+
+    # The budget bounds the characters that matter; one more keeps the length test honest.
+    fitted = let(F.left(clean, F.lit(budget + 1)), fit)
+    return F.coalesce(F.nullif(fitted, F.lit("")), F.lit(UNTITLED))
 
 
 def dated_name(title: Column, captured_at: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .strings import SPACE_CLASS, rstrip_only, strip, strip_only, text_or_empty
+from .strings import SPACE_CLASS, let, rstrip_only, strip, strip_only, text_or_empty
 
 # Punctuation that never ends a pasted link, ASCII then CJK.
 TRAILING_PUNCTUATION = ",.;:!?，。；：！？、）)]】》〉」』\"'"
@@ -40,18 +40,27 @@ def unquote_paste(text: Column) -> Column:
 
 def normalize_reference(raw: Column, local_path: Column | None = None) -> Column:
     """One canonical reference per raw input; `local_path` (null if none) wins."""
-    value = unquote_paste(raw)
-    link = first_url(value)
-    url = F.when(link != "", link).otherwise(value)
+    out = let(unquote_paste(raw), lambda v: let(_bare_url(v), lambda url: _completed(v, url)))
+    return out if local_path is None else F.coalesce(local_path, out)
+
+
+def _bare_url(value: Column) -> Column:
+    """First link of the text, else the text, with paste escapes undone."""
+    url = F.coalesce(F.nullif(first_url(value), F.lit("")), value)
     url = F.replace(url, F.lit("\\&"), F.lit("&"))
     url = F.replace(url, F.lit("\\?"), F.lit("?"))
-    url = F.replace(url, F.lit("&amp;"), F.lit("&"))
-    url = F.when(url.rlike(_HTTP_PREFIX), url).otherwise(F.concat(F.lit("https://"), url))
-    out = F.when(
-        value.rlike(rf"^{_VIDEO_CODE}$"),
-        F.concat(F.lit("https://www.bilibili.com/video/"), value),
-    ).otherwise(url)
-    return out if local_path is None else F.coalesce(local_path, out)
+    return F.replace(url, F.lit("&amp;"), F.lit("&"))
+
+
+def _completed(value: Column, url: Column) -> Column:
+    return (
+        F.when(
+            value.rlike(rf"^{_VIDEO_CODE}$"),
+            F.concat(F.lit("https://www.bilibili.com/video/"), value),
+        )
+        .when(url.rlike(_HTTP_PREFIX), url)
+        .otherwise(F.concat(F.lit("https://"), url))
+    )
 
 
 def is_plain_domain(text: Column) -> Column:
@@ -92,7 +101,10 @@ NO_LINK = ("", "—", "本地视频")
 
 def link_key(value: Column) -> Column:
     """Compare key for links: scheme and host fold case, the rest stays exact."""
-    raw = strip_only(strip(text_or_empty(value)), "`")
+    return let(strip_only(strip(text_or_empty(value)), "`"), _link_key)
+
+
+def _link_key(raw: Column) -> Column:
     scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     authority = F.regexp_extract(raw, _AUTHORITY, 1)
     user = F.regexp_extract(authority, r"^.*@", 0)
@@ -125,25 +137,23 @@ def product_key(cell: Column) -> Column:
 
 def resolve_link(base: Column, href: Column) -> Column:
     """Absolute form of a link found on a page at `base`."""
-    href = strip(text_or_empty(href))
+    return let(strip(text_or_empty(href)), lambda h: _resolve(base, h))
+
+
+def _resolve(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
-    base_path = path_of(base)
-    folder = F.regexp_extract(base_path, r"^.*/", 0)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(base), r"^.*/", 0), F.lit("")), F.lit("/"))
     href_path = F.regexp_extract(href, r"^[^?#]*", 0)
-    tail = F.substring(href, F.length(href_path) + 1, F.length(href))
-    joined = F.when(href_path.startswith("/"), href_path).otherwise(F.concat(folder, href_path))
+    tail = F.regexp_extract(href, r"[?#].*$", 0)
+    joined = F.when(href.startswith("/"), href_path).otherwise(F.concat(folder, href_path))
     return (
         F.when(href == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(
-            href.startswith("#"),
-            F.concat(F.regexp_replace(base, r"#.*$", ""), href),
-        )
-        .when(href.startswith("?"), F.concat(origin, base_path, href))
-        .otherwise(F.concat(origin, collapse_dots(joined), tail))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(origin, path_of(base), href))
+        .otherwise(F.concat(origin, let(joined, collapse_dots), tail))
     )
 
 

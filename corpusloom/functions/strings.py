@@ -27,6 +27,15 @@ def rstrip_only(value: Column, chars: str) -> Column:
     return F.rtrim(value, F.lit(chars))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it many times in `body`.
+
+    Column expressions are trees: a value mentioned n times is planned n times, and inside a
+    lambda it would be evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 

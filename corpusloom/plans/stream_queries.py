@@ -1 +1,72 @@
-"""Queries."""
+"""Streaming runs over the tables as landing folders, each driven to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.tasks import fingerprint
+from ..runtime import scratch_path
+from ..sinks.snapshots import SnapshotTable
+from ..streaming import jobs as J
+from . import duck as D
+from .registry import Tables, query
+from .task_queries import _STATE
+
+
+def _stream(t: Tables, table: str):
+    schema = t[table].schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+
+
+def _events(t: Tables):
+    """Event stream with an instant as event time (the table has a time without zone)."""
+    micros = (F.unix_micros(F.to_timestamp(F.col("ts").cast("string"))))
+    return _stream(t, "events").withColumn("at", F.timestamp_micros(micros))
+
+
+@query("stream_manifests", f"SELECT DISTINCT sha256('ref:' || {D.normalized('url')}) AS task_key, {D.normalized('url')} AS normalized_source FROM {{pages}}")
+def stream_manifests(t: Tables):
+    work = scratch_path(t.spark, "stream-manifests")
+    tasks = J.register_stream(_stream(t, "pages"), "url", fingerprint())
+    return J.run_to_table(tasks, f"{work}/out", f"{work}/checkpoint").select("task_key", "normalized_source")
+
+
+def _attempts(t: Tables):
+    kind = F.col("event_type")
+    event = F.when(kind.isin("click", "view"), "start").when(kind == "purchase", "success").otherwise("failed")
+    return _events(t).select(
+        F.col("user_id").alias("task_id"), "at", F.col("event_id").alias("seq"), event.alias("event"),
+        F.concat(kind, F.lit(" HTTP "), F.regexp_extract("props", "[0-9]+", 0)).alias("message"),
+    )
+
+
+@query("stream_task_state", _STATE)
+def stream_task_state(t: Tables):
+    work = scratch_path(t.spark, "stream-state")
+    table = SnapshotTable(t.spark, f"{work}/tasks")
+    J.state_stream(_attempts(t), "task_id", table, f"{work}/checkpoint").awaitTermination()
+    return table.read().select("task_id", "attempts", "status", "error_message")
+
+
+@query("stream_stalled")
+def stream_stalled(t: Tables):
+    work = scratch_path(t.spark, "stream-stalled")
+    quiet = J.stalled(_attempts(t), "task_id", idle="2 hours")
+    return J.run_to_table(quiet, f"{work}/out", f"{work}/checkpoint")
+
+
+@query("stream_segments")
+def stream_segments(t: Tables):
+    work = scratch_path(t.spark, "stream-segments")
+    live = _events(t).select(F.col("user_id").alias("doc_id"), "at", F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    return J.run_to_table(J.segment_stream(live, "doc_id"), f"{work}/out", f"{work}/checkpoint")
+
+
+@query("stream_source_counts", f"""
+  SELECT {D.channel(D.normalized("'https://' || event_type || '.douyin.com/x'"))} AS channel, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS count FROM {{events}} GROUP BY 1, 2""")
+def stream_source_counts(t: Tables):
+    work = scratch_path(t.spark, "stream-counts")
+    links = _events(t).withColumn("url", F.concat(F.lit("https://"), "event_type", F.lit(".douyin.com/x")))
+    counts = J.run_to_rows(J.channel_counts(links, "url", "at"), f"{work}/out", f"{work}/checkpoint", ["window", "channel"])
+    day = F.date_format(F.col("window.start"), "yyyy-MM-dd")
+    return counts.select("channel", day.alias("day"), "count")
