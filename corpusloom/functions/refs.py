@@ -40,7 +40,9 @@ def unquote_paste(text: Column) -> Column:
 
 def normalize_reference(raw: Column, local_path: Column | None = None) -> Column:
     """One canonical reference per raw input; `local_path` (null if none) wins."""
-    out = let(unquote_paste(raw), lambda v: let(_bare_url(v), lambda url: _completed(v, url)))
+    # No lambdas here: the result often feeds Python functions, which plain expressions suit.
+    value = unquote_paste(raw)
+    out = _completed(value, _bare_url(value))
     return out if local_path is None else F.coalesce(local_path, out)
 
 

@@ -59,39 +59,38 @@ def join_blocks(*parts: Column, sep: str = "\n\n") -> Column:
 
 
 # Named entities decoded in the JVM tier. The first group also counts without
-# its semicolon, as browsers read it; `&amp;` is decoded last.
+# its semicolon, as browsers read it.
 LEGACY_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "reg": "®", "middot": "·",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "reg": "®", "middot": "·",
     "laquo": "«", "raquo": "»", "times": "×", "deg": "°",
 }
 STRICT_ENTITIES = {
     "apos": "'", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
     "rdquo": "”", "bull": "•", "trade": "™", "euro": "€",
 }
-_END = "(?:;|(?![A-Za-z0-9]*;))"
-_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_ENTITY = (
+    "&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};"
+    f"|(?:{'|'.join(STRICT_ENTITIES)});|(?:{'|'.join(LEGACY_ENTITIES)})(?:;|(?![A-Za-z0-9]*;)))"
+)
 
 
-def _code_point(entity: Column) -> Column:
-    digits = F.regexp_extract(entity, r"&#[xX]?([0-9a-fA-F]+);", 1)
+def _entity_char(entity: Column) -> Column:
+    """Character of one matched entity: a table look-up, or the code point of a number."""
+    name = F.regexp_replace(entity, "[&;]", "")
+    known = {**LEGACY_ENTITIES, **STRICT_ENTITIES}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    digits = F.regexp_extract(entity, "#[xX]?([0-9a-fA-F]+)", 1)
     base_ten = digits.try_cast("long")
-    number = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(base_ten)
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    safe = F.when(valid, number).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    number = F.when(entity.rlike("#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(base_ten)
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    point = F.when(valid, number).otherwise(F.lit(0xFFFD))
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(F.contains(entity, F.lit("#")), char).otherwise(F.try_element_at(table, name))
 
 
 def decode_entities(value: Column) -> Column:
-    """Decode numeric references and the common named ones; `&amp;` goes last."""
-    pieces = F.split(value, _NUMERIC, -1)
-    chars = F.transform(F.regexp_extract_all(value, F.lit(_NUMERIC), F.lit(0)), _code_point)
-    numeric = F.array_join(
-        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(chars, i), F.lit("")))), ""
-    )
-    out = F.when(F.contains(value, F.lit("&#")), numeric).otherwise(value)
-    # A plain chain: every step mentions its input once, so the expression stays small.
-    for name, char in STRICT_ENTITIES.items():
-        out = replace_text(out, f"&{name};", char)
-    for name, char in LEGACY_ENTITIES.items():
-        out = F.regexp_replace(out, f"&{name}{_END}", char)
-    return F.regexp_replace(out, f"&amp{_END}", "&")
+    """Decode named and numeric entities in one pass over the text."""
+    pieces = F.split(value, _ENTITY, -1)
+    chars = F.transform(F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0)), _entity_char)
+    joined = F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(chars, i), F.lit(""))))
+    return F.when(F.contains(value, F.lit("&")), F.array_join(joined, "")).otherwise(value)

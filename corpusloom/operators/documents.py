@@ -12,6 +12,7 @@ from ..functions.refs import canonical_key, host_of, normalize_reference, task_k
 from ..functions.routing import classify
 from ..functions.text import document_markdown
 from ..functions.verdicts import is_thin
+from ..runtime import materialize
 from .publish import publish_latest
 
 
@@ -50,8 +51,12 @@ def web_documents(pages: DataFrame) -> DataFrame:
 
 
 def published_documents(documents: DataFrame) -> DataFrame:
-    """Newest capture per title with its path and Markdown."""
-    latest = publish_latest(documents)
+    """Newest capture per title with its path and Markdown.
+
+    The parsed documents become a table first: choosing the newest captures then reads four
+    narrow columns of it, and no page is parsed twice.
+    """
+    latest = publish_latest(materialize(documents, "documents"))
     none = F.lit(0)
     return latest.select(
         "title",

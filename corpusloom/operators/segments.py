@@ -11,7 +11,6 @@ from .ordered import (
     BLOCK_ROWS,
     PART_ROWS,
     block_of,
-    keep_first,
     ordered_text,
     part_of,
     with_neighbour,
@@ -55,8 +54,6 @@ def segment_windows(
     window_seconds: int = READING_WINDOW,
     processed: DataFrame | None = None,
     *,
-    keys: tuple[str, ...] = ("doc_id",),
-    total: str | None = None,
     part_rows: int = PART_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -64,35 +61,27 @@ def segment_windows(
 
     A window is a run of segments whose start falls in the same slot, so it is found with
     block-wise runs; the window's own rows are then one bounded group per text part.
-    Result: keys, first_seg, part_no, window_start, window_end, n_segments, text.
+    Result: doc_id, first_seg, part_no, window_start, window_end, n_segments, text.
     """
     if window_seconds <= 0:
         raise ValueError("window_seconds must be a positive integer")
-    keys = list(keys)
     slot = F.floor(F.greatest(F.lit(0.0), F.col("start")) / F.lit(window_seconds)).cast("long")
     live = usable(segments).withColumn("__slot", slot)
-    runs = with_runs(live, keys, "seg_no", F.col("__slot"), "first_seg", block_rows)
-    extra = [F.max(total).alias("__total")] if total else []
+    runs = with_runs(live, ["doc_id"], "seg_no", F.col("__slot"), "first_seg", block_rows)
     parts = runs.groupBy(
-        *keys, "first_seg", part_of(F.col("seg_no"), F.col("first_seg"), part_rows).alias("part_no")
+        "doc_id", "first_seg", part_of(F.col("seg_no"), F.col("first_seg"), part_rows).alias("part_no")
     ).agg(
         F.min("__slot").alias("__slot"),
         F.max("end").alias("__end"),
         F.count(F.lit(1)).alias("n_segments"),
         ordered_text("seg_no", strip(F.col("text")), "\n\n").alias("text"),
-        *extra,
     )
-    if total:
-        ends = live.groupBy(*keys).agg(F.max("end").alias("__live_end"))
-        parts = parts.join(ends, keys).withColumn("__total", F.greatest("__total", "__live_end"))
-    else:
-        parts = parts.join(
-            bounds(live, processed).withColumnRenamed("total_seconds", "__total"), keys
-        )
+    totals = bounds(live, processed).withColumnRenamed("total_seconds", "__total")
+    parts = parts.join(totals, "doc_id")
     start = (F.col("__slot") * window_seconds).cast("double")
     end = F.least("__total", F.greatest(F.least(start + window_seconds, "__total"), "__end"))
     return parts.select(
-        *keys, "first_seg", "part_no", start.alias("window_start"), end.alias("window_end"), "n_segments", "text"
+        "doc_id", "first_seg", "part_no", start.alias("window_start"), end.alias("window_end"), "n_segments", "text"
     )
 
 
@@ -217,25 +206,25 @@ def render_chapters(
     totals = bounds(segments, processed)
     bounded = chapter_bounds(chapters, totals)
     placed = segments_in_chapters(segments, bounded)
-    windows = segment_windows(
-        placed, window_seconds, keys=("doc_id", "chapter_start", "chapter_title"), total="chapter_end"
+    # Windows inside a chapter only set paragraphs apart, as the segments themselves do, so the
+    # chapter's segments are joined directly; parts keep very long chapters split.
+    heading = F.concat(
+        F.lit("### "), short_time(F.col("chapter_start")), F.lit(" "), F.col("chapter_title"), F.lit("\n\n")
     )
-    order = F.struct(F.col("first_seg"), F.col("part_no"))
-    pairs = F.sort_array(F.collect_list(F.struct(order.alias("p"), F.col("text").alias("t"))))
-    # Windows of one chapter are bounded by its length; parts keep very long chapters split.
-    part = F.floor(F.col("window_start") / F.lit(window_seconds * 4096)).cast("long")
-    heading = F.concat(F.lit("### "), short_time(F.col("chapter_start")), F.lit(" "), F.col("chapter_title"), F.lit("\n\n"))
+    part = F.floor((F.col("start") - F.col("chapter_start")) / F.lit(window_seconds * 4096)).cast("long")
     chaptered = (
-        windows.groupBy("doc_id", "chapter_start", "chapter_title", part.alias("part_no"))
-        .agg(F.array_join(F.transform(pairs, lambda p: p["t"]), "\n\n").alias("body"))
+        placed.groupBy(
+            "doc_id", "chapter_start", "chapter_title", F.greatest(part, F.lit(0)).alias("part_no")
+        )
+        .agg(ordered_text("seg_no", strip(F.col("text")), "\n\n").alias("body"))
         .select(
             "doc_id",
             F.rint(F.col("chapter_start") * 1000).cast("long").alias("block_no"),
             "part_no",
-            F.concat(heading, F.col("body")).alias("block_md"),
+            F.concat(F.when(F.col("part_no") == 0, heading).otherwise(""), F.col("body")).alias("block_md"),
         )
     )
-    has_text = chaptered.select("doc_id").distinct()
+    has_text = placed.select("doc_id").distinct()
     plain = render_windows(
         segment_windows(segments.join(has_text, "doc_id", "left_anti"), window_seconds, processed)
     ).select("doc_id", F.col("first_seg").cast("long").alias("block_no"), "part_no", "block_md")

@@ -156,7 +156,7 @@ def candidate_dedup(t: Tables):
     return keep_first(t["lineitem"].select("l_partkey", "l_suppkey", pos), ["l_partkey", "l_suppkey"], ["pos"])
 
 
-CANDIDATES = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey AS pos, 'https://m/' || CAST(l_partkey AS STRING) AS url,
+CANDIDATES = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, 'https://m/' || CAST(l_partkey AS STRING) AS url,
     l_returnflag <> 'R' AS has_audio, CASE WHEN l_linestatus = 'F' THEN 0.25 ELSE l_quantity END AS actual, CAST(l_suppkey AS DOUBLE) AS expected FROM {lineitem}"""
 _REASON = "CASE WHEN NOT has_audio THEN 'no_audio' WHEN actual <= 0.5 THEN 'bad_duration' WHEN expected >= 3 AND actual < expected * 0.5 THEN 'too_short' ELSE '' END"
 

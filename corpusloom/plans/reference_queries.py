@@ -176,7 +176,7 @@ def route_explain(t: Tables):
 def channel_rules(t: Tables):
     from ..operators.hooks import route_with
 
-    blog = C.Channel(10, "blog", "Blogs", "BlogAdapter", lambda ref, is_file: R.host_of(ref).startswith("blog."))
+    blog = C.Channel(10, "blog", "Blogs", "BlogAdapter", lambda ref: ref.host.startswith("blog."))
     refs = t.sql(ROUTED).select("kind", "id", R.normalize_reference(F.col("raw")).alias("reference"))
     return route_with(refs, "reference", [blog]).select("kind", "id", "channel")
 
