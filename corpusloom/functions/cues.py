@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .clock import CUE_TIME, cue_seconds
-from .strings import ANY_SPACE, decode_entities, strip, text_or_empty
+from .strings import ANY_SPACE, decode_entities, let, strip, text_or_empty
 
 # Language preference, the chat overlay that is not a subtitle, inline formats.
 LANGUAGES = ("zh-Hans", "zh-CN", "zh", "zh-TW", "zh-Hant", "en", "en-US", "en-GB")
@@ -26,12 +26,7 @@ def parse_cues(text: Column) -> Column:
     unix = F.regexp_replace(text_or_empty(text), "\r\n?", "\n")
     blocks = F.split(unix, rf"\n(?:{ANY_SPACE}*\n)+", -1)
 
-    def cue(block: Column) -> Column:
-        lines = F.split(block, "\n", -1)
-        timed = F.filter(
-            F.transform(lines, lambda l, i: F.when(l.rlike(_TIME_LINE), i)), lambda i: i.isNotNull()
-        )
-        at = F.get(timed, F.lit(0))
+    def cue(lines: Column, at: Column) -> Column:
         head = F.get(lines, at)
         payload = F.filter(
             F.transform(
@@ -49,14 +44,26 @@ def parse_cues(text: Column) -> Column:
             ),
         )
 
-    cues = F.filter(F.transform(blocks, cue), lambda c: c.isNotNull() & (c["text"] != ""))
+    def first_timed(lines: Column) -> Column:
+        return F.array_min(F.transform(lines, lambda l, i: F.when(l.rlike(_TIME_LINE), i)))
+
+    def of_block(block: Column) -> Column:
+        return let(
+            F.split(block, "\n", -1), lambda lines: let(first_timed(lines), lambda at: cue(lines, at))
+        )
+
+    timed = F.filter(blocks, lambda b: F.contains(b, F.lit("-->")))
+    cues = F.filter(F.transform(timed, of_block), lambda c: c.isNotNull() & (c["text"] != ""))
     return drop_repeats(cues)
 
 
 def drop_repeats(cues: Column) -> Column:
     """Keep a cue only if its text differs from the cue kept before it."""
-    return F.filter(
-        cues, lambda c, i: (i == 0) | ~c["text"].eqNullSafe(F.get(cues, i - 1)["text"])
+    return let(
+        cues,
+        lambda cs: F.filter(
+            cs, lambda c, i: (i == 0) | ~c["text"].eqNullSafe(F.get(cs, i - 1)["text"])
+        ),
     )
 
 

@@ -36,6 +36,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def interleave(pieces: Column, between: Column) -> Column:
+    """pieces[0] + between[0] + pieces[1] + ...; `between` is bound once, not per piece."""
+    return let(
+        between,
+        lambda b: F.array_join(
+            F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(b, i), F.lit("")))), ""
+        ),
+    )
+
+
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
@@ -90,7 +100,6 @@ def _entity_char(entity: Column) -> Column:
 
 def decode_entities(value: Column) -> Column:
     """Decode named and numeric entities in one pass over the text."""
-    pieces = F.split(value, _ENTITY, -1)
-    chars = F.transform(F.regexp_extract_all(value, F.lit(_ENTITY), F.lit(0)), _entity_char)
-    joined = F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(chars, i), F.lit(""))))
-    return F.when(F.contains(value, F.lit("&")), F.array_join(joined, "")).otherwise(value)
+    found = lambda v: F.transform(F.regexp_extract_all(v, F.lit(_ENTITY), F.lit(0)), _entity_char)
+    decoded = lambda v: interleave(F.split(v, _ENTITY, -1), found(v))
+    return let(value, lambda v: F.when(F.contains(v, F.lit("&")), decoded(v)).otherwise(v))

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .strings import ANY_SPACE, is_blank, rstrip_only, strip, strip_only, text_or_empty
+from .clock import mark_seconds
+from .strings import (
+    ANY_SPACE,
+    SPACE_CHARS,
+    interleave,
+    is_blank,
+    let,
+    rstrip_only,
+    strip,
+    strip_only,
+    text_or_empty,
+)
 
 # Patterns of the deterministic clean-up, in the order they apply.
 DECORATIVE = "[🎼😊😄😁😂😅😆😢😭😔😞😡😠😱😰😨🤢🤧😷🤒🤕]+"
@@ -31,16 +42,14 @@ LIST_MARKER = rf"^{ANY_SPACE}*(?:#{{1,6}}{ANY_SPACE}+|[-*+>]{ANY_SPACE}+)+"
 
 def merge_spelled(text: Column) -> Column:
     """`f d e` and `A.P.I` become `FDE` and `API`."""
-    pieces = F.split(text, SPELLED, -1)
-    found = F.regexp_extract_all(text, F.lit(SPELLED), F.lit(0))
-    merged = F.transform(
-        pieces,
-        lambda piece, i: F.concat(
-            piece,
-            F.coalesce(F.upper(F.regexp_replace(F.get(found, i), "[^A-Za-z]", "")), F.lit("")),
-        ),
+    letters = lambda v: F.transform(
+        F.regexp_extract_all(v, F.lit(SPELLED), F.lit(0)),
+        lambda hit: F.upper(F.regexp_replace(hit, "[^A-Za-z]", "")),
+    )
+    return let(
+        text,
+        lambda v: F.when(v.rlike(SPELLED), interleave(F.split(v, SPELLED, -1), letters(v))).otherwise(v),
     )
-    return F.when(text.rlike(SPELLED), F.array_join(merged, "")).otherwise(text)
 
 
 def canonicalize_terms(text: Column, terms: Column) -> Column:
@@ -57,7 +66,7 @@ def canonicalize_terms(text: Column, terms: Column) -> Column:
         target = F.replace(F.replace(term, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
         return F.regexp_replace(acc, pattern, target)
 
-    return F.when(F.size(ranked) > 0, F.aggregate(ranked, text, apply)).otherwise(text)
+    return let(text, lambda v: F.aggregate(ranked, v, apply))
 
 
 def normalize_text(text: Column, terms: Column | None = None) -> Column:
@@ -162,8 +171,6 @@ def episode_context(podcast: Column, description: Column, notes: Column) -> Colu
 
 def chapter_lines(notes: Column) -> Column:
     """Array of struct(start, title) from time-stamped note lines, first of equal starts, sorted."""
-    from .clock import mark_seconds
-
     time = r"(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}"
     line_form = rf"^({time}){ANY_SPACE}*(?:[-–—:：]{ANY_SPACE}*)?(.+?){ANY_SPACE}*$"
     lines = F.transform(
@@ -180,9 +187,12 @@ def chapter_lines(notes: Column) -> Column:
         ),
     )
     named = F.filter(marks, lambda m: m["title"] != "")
-    starts = F.transform(named, lambda m: m["start"])
-    firsts = F.filter(named, lambda m, i: F.array_position(starts, m["start"]) == i + 1)
-    return F.array_sort(firsts)
+    by_start = F.array_sort(F.transform(named, lambda m, i: F.struct(m["start"].alias("start"), i.alias("i"), m["title"].alias("title"))))
+    firsts = let(
+        by_start,
+        lambda ms: F.filter(ms, lambda m, i: (i == 0) | (m["start"] != F.get(ms, i - 1)["start"])),
+    )
+    return F.transform(firsts, lambda m: F.struct(m["start"].alias("start"), m["title"].alias("title")))
 
 
 def episode_body(description: Column, notes: Column, transcript_md: Column) -> Column:
@@ -223,6 +233,4 @@ def document_markdown(title: Column, pairs: Column, link: Column, body: Column)
 
 def transcript_file(transcript: Column, body: Column) -> Column:
     """Text export: the transcript when there is one, else the body."""
-    from .strings import SPACE_CHARS
-
     return F.concat(rstrip_only(F.coalesce(transcript, body, F.lit("")), SPACE_CHARS), F.lit("\n"))

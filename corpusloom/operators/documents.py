@@ -12,13 +12,13 @@ from ..functions.refs import canonical_key, host_of, normalize_reference, task_k
 from ..functions.routing import classify
 from ..functions.text import document_markdown
 from ..functions.verdicts import is_thin
-from ..runtime import materialize
+from ..runtime import materialize, spread
 from .publish import publish_latest
 
 
 def web_documents(pages: DataFrame) -> DataFrame:
     """pages(url, html, captured_at, seq) -> one document row per web page with a body."""
-    routed = pages.withColumn("reference", normalize_reference(F.col("url"))).withColumn(
+    routed = spread(pages).withColumn("reference", normalize_reference(F.col("url"))).withColumn(
         "channel", classify(F.col("reference"))
     )
     web = routed.where(F.col("channel") == "web")

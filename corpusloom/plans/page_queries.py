@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.naming import safe_title
 from ..functions.verdicts import is_thin
 from ..operators.media import prefer
+from ..runtime import spread
 from ..sources import captures as S
 from . import duck as D
 from .flagship import corpus_documents
@@ -59,7 +60,7 @@ META_PAGES = """SELECT page_id, url, replace(html, '<head>', '<head>' || CASE CA
     CASE page_id % 4 WHEN 0 THEN 'A ' || page_id WHEN 1 THEN 'B' ELSE '' END AS author,
     CASE page_id % 4 WHEN 2 THEN '2024-05-06' WHEN 3 THEN '2023' ELSE '' END AS published FROM ({META_PAGES})""")
 def html_meta(t: Tables):
-    rows = t.sql(META_PAGES).withColumn("tags", H.meta_tags(F.col("html")))
+    rows = spread(t.sql(META_PAGES)).withColumn("tags", H.meta_tags(F.col("html")))
     return rows.select(
         "page_id",
         H.document_title(F.col("html"), F.col("tags"), F.col("url")).alias("title"),
@@ -70,7 +71,7 @@ def html_meta(t: Tables):
 
 @query("html_text", f"SELECT page_id, {_visible('html')} AS text FROM {{pages}}")
 def html_text(t: Tables):
-    return t["pages"].select("page_id", H.visible_text(F.col("html")).alias("text"))
+    return t.wide("pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
 
 
 _ARTICLE = _visible("regexp_extract(html, '(?is)<article>(.*)</article>', 1)")
@@ -79,19 +80,19 @@ _ARTICLE = _visible("regexp_extract(html, '(?is)<article>(.*)</article>', 1)")
 @query("html_main_content", f"SELECT page_id, CAST(length({_ARTICLE}) AS INT) AS text_length, {_ARTICLE} AS text FROM {{pages}}")
 def html_main_content(t: Tables):
     main = P.main_content(F.col("html"), F.col("url"))
-    return t["pages"].select("page_id", main.alias("m")).select("page_id", "m.text_length", "m.text")
+    return t.wide("pages").select("page_id", main.alias("m")).select("page_id", "m.text_length", "m.text")
 
 
 @query("thin_content_filter", f"SELECT page_id, {_ARTICLE} AS text FROM {{pages}} WHERE length({_ARTICLE}) < 120")
 def thin_content_filter(t: Tables):
     text = H.visible_text(F.regexp_extract("html", "(?is)<article>(.*)</article>", 1))
-    return t["pages"].select("page_id", text.alias("text")).where(is_thin(F.col("text")))
+    return t.wide("pages").select("page_id", text.alias("text")).where(is_thin(F.col("text")))
 
 
 @query("html_to_markdown")
 def html_to_markdown(t: Tables):
     main = P.main_content(F.col("html"), F.col("url"))
-    return t["pages"].select("page_id", main["markdown"].alias("markdown"))
+    return t.wide("pages").select("page_id", main["markdown"].alias("markdown"))
 
 
 LINKED = """SELECT page_id, url, replace(html, 'href="/', CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'href="/' WHEN 1 THEN 'href="'
@@ -109,7 +110,7 @@ LINKED = """SELECT page_id, url, replace(html, 'href="/', CASE CAST(page_id % 5
       WHEN h LIKE '../%' THEN origin || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]+/$', '') END || h[4:]
       ELSE origin || folder || h END AS resolved FROM e""")
 def html_links_resolve(t: Tables):
-    rows = t.sql(LINKED)
+    rows = spread(t.sql(LINKED))
     found = rows.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l"))
     return found.select("page_id", "pos", F.col("l")["resolved"].alias("resolved"))
 
@@ -202,7 +203,7 @@ QUESTIONS = f"""SELECT conv_id, turn, 'https://www.zhihu.com/question/' || CAST(
     'https://www.zhihu.com/question/' || conv_id || '/answer/1' || turn AS first_url, 't' || turn AS first_time,
     CASE WHEN turn >= 0 THEN '赞同 5' END AS first_votes FROM ({QUESTIONS})""")
 def qa_parse(t: Tables):
-    rows = P.question_snapshots(t.sql(QUESTIONS), F.col("html"), F.col("url"), "q")
+    rows = P.question_snapshots(spread(t.sql(QUESTIONS)), F.col("html"), F.col("url"), "q")
     first = F.get("q.answers", F.lit(0))
     return rows.select(
         "conv_id", "turn", "q.question_id", "q.title", "q.detail_md", "q.expected", F.size("q.answers").alias("answers"),
@@ -338,4 +339,4 @@ def corpus(t: Tables):
   n AS (SELECT doc_id, s, list_max(list_filter(range(0, length(s) + 1), lambda n: strlen(left(s, n)) <= 137)) AS n FROM d)
   SELECT doc_id, coalesce(nullif(rtrim(left(s, n), ' .'), ''), 'untitled') AS title FROM n""")
 def safe_titles(t: Tables):
-    return t["documents"].select("doc_id", safe_title(F.col("text")).alias("title"))
+    return t.wide("documents").select("doc_id", safe_title(F.col("text")).alias("title"))

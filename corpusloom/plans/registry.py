@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -32,6 +34,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def wide(self, name: str) -> DataFrame:
+        """The table over at least as many partitions as cores, for heavy per-row work."""
+        return spread(self[name])
+
     def sql(self, text: str) -> DataFrame:
         def view(match: re.Match) -> str:
             return f"parquet.`{self.path(match.group(1))}`"

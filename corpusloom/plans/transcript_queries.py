@@ -15,7 +15,7 @@ from ..operators import edits as E
 from ..operators import hooks as HK
 from ..operators import media as M
 from ..operators import segments as S
-from ..runtime import scratch_path
+from ..runtime import scratch_path, spread
 from ..sinks.documents import export_files
 from ..sources.captures import subtitle_files
 from . import duck as D
@@ -165,7 +165,7 @@ _CUE_ROWS = f"""
 
 @query("subtitle_parse", f"SELECT track_id, CAST(cue_no AS INT) AS cue_no, CAST(start AS DOUBLE) AS start, CAST(\"end\" AS DOUBLE) AS \"end\", text FROM ({_CUE_ROWS})")
 def subtitle_parse(t: Tables):
-    rows = t.sql(CUES).select("track_id", F.posexplode(Q.parse_cues(F.col("payload"))).alias("cue_no", "c"))
+    rows = spread(t.sql(CUES)).select("track_id", F.posexplode(Q.parse_cues(F.col("payload"))).alias("cue_no", "c"))
     return rows.select("track_id", "cue_no", "c.start", "c.end", "c.text")
 
 
@@ -181,13 +181,13 @@ def subtitle_udtf(t: Tables):
 @query("time_parse", f"SELECT track_id, 3600.0 * (turn % 3) + 60 * (turn % 60) + 7.125 AS seconds FROM ({CUES})")
 def time_parse(t: Tables):
     text = F.format_string("x %d:%02d:07.125", F.col("turn") % 3, F.col("turn") % 60)
-    return t.sql(CUES).select("track_id", C.cue_seconds(text).alias("seconds"))
+    return spread(t.sql(CUES)).select("track_id", C.cue_seconds(text).alias("seconds"))
 
 
 @query("limit_seconds_filter", f"SELECT track_id, count(*) AS cues FROM ({_CUE_ROWS}) WHERE start < 300 GROUP BY track_id")
 def limit_seconds_filter(t: Tables):
     kept = Q.cues_before(Q.parse_cues(F.col("payload")), F.lit(300))
-    return t.sql(CUES).select("track_id", F.size(kept).cast("long").alias("cues"))
+    return spread(t.sql(CUES)).select("track_id", F.size(kept).cast("long").alias("cues"))
 
 
 @query("subtitle_windows", f"""
@@ -195,7 +195,7 @@ def limit_seconds_filter(t: Tables):
   UNION ALL SELECT track_id, 1, CAST(300.0 + turn % 60 AS DOUBLE), CAST(1200.0 AS DOUBLE), 'late ' || conv_id || ' line' FROM ({CUES})""")
 def subtitle_windows(t: Tables):
     windows = Q.reading_windows(Q.parse_cues(F.col("payload")))
-    rows = t.sql(CUES).select("track_id", F.posexplode(windows).alias("window_no", "w"))
+    rows = spread(t.sql(CUES)).select("track_id", F.posexplode(windows).alias("window_no", "w"))
     return rows.select("track_id", "window_no", "w.start", "w.end", "w.text")
 
 
@@ -227,7 +227,7 @@ def pick_inline_format(t: Tables):
     form = lambda ext, data: F.struct(F.lit(ext).alias("ext"), data.alias("data"))
     payload = F.col("payload")
     listed = F.array(form("json", payload), form("vtt", F.lit("WEBVTT")), form("SRT", payload), form("vtt", F.lit("nothing here")), form("ttml", payload))
-    picked = t.sql(CUES).select("track_id", Q.pick_inline(listed).alias("c"))
+    picked = spread(t.sql(CUES)).select("track_id", Q.pick_inline(listed).alias("c"))
     return picked.select("track_id", F.size("c").alias("cues"), F.get("c", F.lit(0))["text"].alias("first_text"))
 
 
@@ -302,7 +302,7 @@ def text_basic_normalize(t: Tables):
 
 @query("text_basic_normalize_documents")
 def text_basic_normalize_documents(t: Tables):
-    return t["documents"].select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return t.wide("documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
 HINTS = """SELECT p_partkey AS doc_id, p_name AS title, '' AS context, 'Api' AS t1, upper(p_name) AS t2, ' ' AS person FROM {part} WHERE p_partkey % 2 = 0"""
