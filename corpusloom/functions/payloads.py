@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .refs import path_of
 from .routing import SHORT_VIDEO_PATH, canonical_video_url
-from .strings import first_filled, strip, text_or_empty
+from .strings import first_filled, let, strip, text_or_empty
 from .verdicts import is_live
 
 VIEW_SCHEMA = (
@@ -229,11 +229,9 @@ def page_snapshot(
 def reply_json(reply: Column) -> Column:
     """The JSON object inside a model reply: fences off, first `{` to last `}`."""
     plain = F.regexp_replace(strip(text_or_empty(reply)), r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    start = F.instr(plain, "{")
-    body = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
-    parsed = F.try_parse_json(F.nullif(body, F.lit("")))
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    return F.when((start > 0) & is_object, parsed)
+    body = F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    return let(F.try_parse_json(body), lambda v: F.when(is_object(v), v))
 
 
 def chat_reply(payload: Column) -> Column:

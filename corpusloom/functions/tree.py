@@ -6,6 +6,7 @@ Only used inside Arrow batches (see `pages.py`): one page in, a handful of strin
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = {
@@ -87,44 +88,71 @@ def parse(html: str) -> Node:
 _PART = re.compile(r"([#.]?)([\w-]+)|\[([\w-]+)(?:([*]?=)'?\"?([^\]'\"]*)'?\"?)?\]")
 
 
-def _fits(node: Node, simple: str) -> bool:
-    for kind, word, attr, op, value in _PART.findall(simple):
-        if attr:
-            have = node.attrs.get(attr)
-            good = have is not None and (not op or (value in have if op == "*=" else have == value))
+@lru_cache(maxsize=512)
+def _paths(selectors: str):
+    """Selector list as paths of compounds, each a tuple of (kind, word, operator, value) tests."""
+    out = []
+    for selector in re.split(r",\s*(?![^\[]*\])", selectors):
+        path = []
+        for simple in selector.split():
+            path.append(
+                tuple(
+                    ("[", attr, op, value) if attr else (kind, word, "", "")
+                    for kind, word, attr, op, value in _PART.findall(simple)
+                )
+            )
+        out.append(path)
+    return out
+
+
+def _fits(node: Node, tests) -> bool:
+    for kind, word, op, value in tests:
+        if kind == "":
+            good = node.tag == word
+        elif kind == ".":
+            good = "class" in node.attrs and word in node.attrs["class"].split()
         elif kind == "#":
             good = node.attrs.get("id") == word
-        elif kind == ".":
-            good = word in node.attrs.get("class", "").split()
         else:
-            good = node.tag == word
+            have = node.attrs.get(word)
+            good = have is not None and (not op or (value in have if op == "*=" else have == value))
         if not good:
             return False
     return True
 
 
-def _matches(node: Node, path: list[str]) -> bool:
+def _matches(node: Node, path) -> bool:
     if not _fits(node, path[-1]):
         return False
-    rest, up = path[:-1], node.parent
-    while rest and up is not None:
-        if _fits(up, rest[-1]):
-            rest = rest[:-1]
+    left, up = len(path) - 1, node.parent
+    while left and up is not None:
+        if _fits(up, path[left - 1]):
+            left -= 1
         up = up.parent
-    return not rest
+    return not left
 
 
 def select(root: Node, selectors: str):
     """Nodes that match any of the comma-separated descendant selectors, in page order."""
-    paths = [s.split() for s in re.split(r",\s*(?![^\[]*\])", selectors)]
+    paths = _paths(selectors)
     return [n for n in root.walk() if any(_matches(n, p) for p in paths)]
 
 
 def first(root: Node, selectors: str):
-    paths = [s.split() for s in re.split(r",\s*(?![^\[]*\])", selectors)]
+    paths = _paths(selectors)
     return next((n for n in root.walk() if any(_matches(n, p) for p in paths)), None)
 
 
+def ranked(root: Node, selectors):
+    """(rank of the first matching selector, node) in page order, from one walk."""
+    lists = [_paths(s) for s in selectors]
+    for node in root.walk():
+        for rank, paths in enumerate(lists):
+            if any(_matches(node, p) for p in paths):
+                yield rank, node
+                break
+
+
 _WRAP = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
 
 

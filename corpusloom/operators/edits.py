@@ -17,14 +17,13 @@ def explode_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     Replies without a usable `edits` array yield one row with number 0 and `reply_ok` false,
     so that the window can keep its text and a warning.
     """
-    parsed = replies.withColumn("__edits", proposed_edits(F.col(reply)))
     rest = [c for c in replies.columns if c != reply]
-    rows = parsed.select(
-        *rest, F.col("__edits").isNotNull().alias("reply_ok"), F.posexplode_outer("__edits").alias("__i", "__e")
-    )
+    rows = replies.select(*rest, F.posexplode_outer(proposed_edits(F.col(reply))).alias("__i", "__e"), F.col(reply))
     kind = lambda path: F.schema_of_variant(F.try_variant_get("__e", path, "variant"))
     text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get("__e", path, "string"))
-    return rows.where(~F.col("reply_ok") | F.col("__i").isNotNull()).select(
+    # Only rows without an element need a second look at the reply: it was empty or unusable.
+    ok = F.col("__i").isNotNull() | proposed_edits(F.col(reply)).isNotNull()
+    return rows.withColumn("reply_ok", ok).where(~F.col("reply_ok") | F.col("__i").isNotNull()).select(
         *rest,
         "reply_ok",
         F.coalesce(F.col("__i") + 1, F.lit(0)).cast("long").alias("number"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.refs import normalize_reference, task_key
 from ..functions.strings import text_or_empty
 from ..functions.verdicts import clipped_message
+from ..runtime import materialize
 from .ordered import block_of, keep_first, with_row_number
 
 STATUSES = ("success", "failed", "pending", "running")
@@ -76,7 +77,8 @@ def register(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Insert or ignore: new identities get the next ids in order of `pos`, old rows stay.
 
     `items` comes from `identify`; of several items with one identity the first gives the
-    name and tags.
+    name and tags. The new rows become a table before they are numbered, so hashing and
+    de-duplication run once and a retried task cannot renumber them.
     """
     firsts = keep_first(items, IDENTITY, ["pos"])
     if tasks is None:
@@ -85,6 +87,7 @@ def register(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
         fresh = firsts.join(tasks.select(*IDENTITY), IDENTITY, "left_anti")
         top = tasks.agg(F.coalesce(F.max("task_id"), F.lit(0)).alias("__top"))
         fresh = fresh.crossJoin(F.broadcast(top))  # one row: the highest id so far
+    fresh = materialize(fresh, "new-tasks")
     numbered = with_row_number(fresh, [], ["pos"], block_of(F.col("pos")), "__no")
     added = blank_task(numbered.withColumn("task_id", F.col("__top") + F.col("__no")))
     return added if tasks is None else tasks.unionByName(added)

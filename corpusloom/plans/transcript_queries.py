@@ -402,7 +402,7 @@ _KEYS = ["doc_id", "window_no"]
 
 
 def _replies(t: Tables):
-    return E.explode_replies(t.sql(REPLIES).select("doc_id", "window_no", "reply"))
+    return E.explode_replies(spread(t.sql(REPLIES)).select("doc_id", "window_no", "reply"))
 
 
 def _targets(t: Tables):
