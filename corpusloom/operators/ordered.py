@@ -8,6 +8,9 @@ spread like any other data.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 1 << 16
@@ -21,6 +24,14 @@ def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
+def _attach(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the carry table on keys that may be null, so that no row is lost."""
+    rest = [c for c in carry.columns if c not in keys]
+    right = carry.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *rest)
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return df.join(right, match).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_row_number(
     df: DataFrame, group: list[str], order: list, block: Column, name: str
 ) -> DataFrame:
@@ -33,8 +44,7 @@ def with_row_number(
     carry = sizes.select(*group, _BLK, F.coalesce(before, F.lit(0)).alias("__before"))
     local = F.row_number().over(W.partitionBy(*group, _BLK).orderBy(*order))
     return (
-        cut.withColumn("__local", local)
-        .join(carry, [*group, _BLK])
+        _attach(cut.withColumn("__local", local), carry, [*group, _BLK])
         .withColumn(name, (F.col("__local") + F.col("__before")).cast("long"))
         .drop("__local", "__before", _BLK)
     )
@@ -53,8 +63,7 @@ def with_neighbour(
     ).drop("__edge")
     local = shift("__v").over(W.partitionBy(*group, _BLK).orderBy(order))
     return (
-        cut.withColumn("__local", local)
-        .join(carry, [*group, _BLK])
+        _attach(cut.withColumn("__local", local), carry, [*group, _BLK])
         .withColumn(name, F.coalesce("__local", "__carry")["v"])
         .drop("__v", "__local", "__carry", _BLK)
     )
@@ -85,8 +94,7 @@ def with_runs(
     carry = edges.select(*group, _BLK, F.coalesce(F.col("__edge"), older).alias("__carry"))
     running = F.max("__change").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     return (
-        marked.withColumn("__run", running)
-        .join(carry, [*group, _BLK])
+        _attach(marked.withColumn("__run", running), carry, [*group, _BLK])
         .withColumn(name, F.coalesce("__run", "__carry"))
         .drop("__k", "__change", "__run", "__carry", _BLK)
     )

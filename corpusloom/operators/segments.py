@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.clock import short_time, srt_time
 from ..functions.strings import is_blank, strip, text_or_empty
 from ..functions.text import hint_count, normalize_text
+from ..runtime import materialize
 from .ordered import (
     BLOCK_ROWS,
     PART_ROWS,
@@ -95,16 +96,19 @@ def render_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def render_segments(windows: DataFrame, windows_per_part: int = 4096) -> DataFrame:
-    """doc_id, part_no, markdown: the window blocks of a document in order."""
+def render_segments(windows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """doc_id, part_no, markdown: the window blocks of a document in order.
+
+    A part holds the windows of at most `part_rows` segment positions.
+    """
     blocks = render_windows(windows)
-    by_time = F.struct(F.col("first_seg"), F.col("part_no"))
-    pairs = F.sort_array(F.collect_list(F.struct(by_time.alias("p"), F.col("block_md").alias("t"))))
-    # The part follows the window start, so a document splits only beyond 4096 windows.
-    part = F.floor(F.col("window_start") / F.lit(READING_WINDOW * windows_per_part)).cast("long")
-    return blocks.groupBy("doc_id", part.alias("md_part")).agg(
-        F.array_join(F.transform(pairs, lambda p: p["t"]), "\n\n").alias("markdown")
-    ).withColumnRenamed("md_part", "part_no")
+    at = F.col("first_seg") + F.col("part_no") * PART_ROWS
+    pairs = F.sort_array(F.collect_list(F.struct(at.alias("p"), F.col("block_md").alias("t"))))
+    return (
+        blocks.groupBy("doc_id", part_of(at, F.lit(0), part_rows).alias("md_part"))
+        .agg(F.array_join(F.transform(pairs, lambda p: p["t"]), "\n\n").alias("markdown"))
+        .withColumnRenamed("md_part", "part_no")
+    )
 
 
 def srt_blocks(segments: DataFrame) -> DataFrame:
@@ -197,32 +201,35 @@ def render_chapters(
     chapters: DataFrame,
     window_seconds: int = READING_WINDOW,
     processed: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """doc_id, block_no, block_md: one block per chapter text, else per reading window.
+    """doc_id, block_no, part_no, block_md: one block per chapter text, else per reading window.
 
     Documents with no chapter text fall back to plain window blocks. `block_no` orders the
     blocks of a document (chapter start in milliseconds, or first segment).
     """
     totals = bounds(segments, processed)
-    bounded = chapter_bounds(chapters, totals)
+    # A small table that three steps read: written once, so segment ends are scanned once.
+    bounded = materialize(chapter_bounds(chapters, totals), "chapters")
     placed = segments_in_chapters(segments, bounded)
     # Windows inside a chapter only set paragraphs apart, as the segments themselves do, so the
     # chapter's segments are joined directly; parts keep very long chapters split.
     heading = F.concat(
         F.lit("### "), short_time(F.col("chapter_start")), F.lit(" "), F.col("chapter_title"), F.lit("\n\n")
     )
-    part = F.floor((F.col("start") - F.col("chapter_start")) / F.lit(window_seconds * 4096)).cast("long")
-    chaptered = (
-        placed.groupBy(
-            "doc_id", "chapter_start", "chapter_title", F.greatest(part, F.lit(0)).alias("part_no")
-        )
-        .agg(ordered_text("seg_no", strip(F.col("text")), "\n\n").alias("body"))
-        .select(
-            "doc_id",
-            F.rint(F.col("chapter_start") * 1000).cast("long").alias("block_no"),
-            "part_no",
-            F.concat(F.when(F.col("part_no") == 0, heading).otherwise(""), F.col("body")).alias("block_md"),
-        )
+    chapter = ["doc_id", "chapter_start"]
+    firsts = placed.groupBy(*chapter).agg(F.min("seg_no").alias("first_seg"))
+    body = placed.groupBy(
+        *chapter, "chapter_title", part_of(F.col("seg_no"), F.lit(0), part_rows).alias("part")
+    ).agg(ordered_text("seg_no", strip(F.col("text")), "\n\n").alias("body"))
+    numbered = body.join(firsts, chapter).withColumn(
+        "part_no", F.col("part") - part_of(F.col("first_seg"), F.lit(0), part_rows)
+    )
+    chaptered = numbered.select(
+        "doc_id",
+        F.rint(F.col("chapter_start") * 1000).cast("long").alias("block_no"),
+        "part_no",
+        F.concat(F.when(F.col("part_no") == 0, heading).otherwise(""), F.col("body")).alias("block_md"),
     )
     has_text = placed.select("doc_id").distinct()
     plain = render_windows(

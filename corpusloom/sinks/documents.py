@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import NAMING_OFFSET_SECONDS
@@ -51,17 +55,24 @@ def write_markdown(published: DataFrame, path: str) -> None:
 
 
 def export_files(rows: DataFrame, name: str, text: str, folder: str) -> None:
-    """Opt-in: one file per row below a shared folder, written by the executors."""
-    import os
+    """Opt-in: one file per row below a shared folder, written by the executors.
+
+    Each file is written under a task-private name and then moved, so a task that dies or runs
+    twice leaves no half file. `folder` may be a path or a URI.
+    """
+    target = re.sub("^file:/+", "/", folder)
 
     def write(batch):
+        files = None
         for row in batch:
-            target = os.path.join(folder, row[name])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            partial = f"{target}.{os.getpid()}.part"
-            with open(partial, "w", encoding="utf-8", newline="\n") as stream:
-                stream.write(row[text])
-            os.replace(partial, target)
+            if files is None:
+                files, root = fs.FileSystem.from_uri(target)
+            path = f"{root}/{row[name]}"
+            files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            partial = f"{path}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(partial) as stream:
+                stream.write(row[text].encode("utf-8"))
+            files.move(partial, path)
 
     rows.select(name, text).foreachPartition(write)
 

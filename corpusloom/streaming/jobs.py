@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.refs import extract_references, normalize_reference, task_key
 from ..functions.routing import classify
 from ..functions.strings import strip
-from ..operators.ordered import ordered_text
+from ..operators.ordered import PART_ROWS, block_of, ordered_text
 from ..sinks.snapshots import SnapshotTable
 
 
@@ -89,13 +89,17 @@ def stalled(events: DataFrame, key: str, idle: str = "1 hour", delay: str = "10
 
 
 def segment_stream(segments: DataFrame, key: str, window_seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
-    """Live segments (key, at, seq, text) to fixed reading windows; the window bounds each text."""
+    """Live segments (key, at, seq, text) to fixed reading windows, in bounded text parts."""
     live = segments.where(strip(F.col("text")) != "")
+    part = block_of(F.col("seq"), PART_ROWS).alias("part_no")
     return live.withWatermark("at", delay).groupBy(
-        F.window("at", f"{window_seconds} seconds"), key
+        F.window("at", f"{window_seconds} seconds"), key, part
     ).agg(
         F.count(F.lit(1)).alias("n_segments"), ordered_text("seq", strip(F.col("text")), "\n\n").alias("text")
-    ).select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_segments", "text")
+    ).select(
+        key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "part_no", "n_segments", "text",
+    )
 
 
 def channel_counts(references: DataFrame, url: str, at: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -18,7 +18,7 @@ from corpusloom.operators import tasks as K
 
 def hot(rng, n):
     """Group numbers where one group holds over a third of the rows."""
-    return [0 if rng.random() < 0.4 else rng.randrange(1, 9) for _ in range(n)]
+    return [0 if rng.random() < 0.4 else rng.choice([None, *range(1, 9)]) for _ in range(n)]
 
 
 @pytest.fixture
