@@ -274,16 +274,26 @@ def chapters_parse(t: Tables):
     return t.sql(MARKS).select("p_partkey", marks).select("p_partkey", "pos", "m.start", "m.title")
 
 
-HINTS = """SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) AS title, source AS podcast, '主播：Ann' || CAST(doc_id AS STRING) || '｜host' || chr(10)
-    || '- Bob | guest' || chr(10) || '[GraphQL Kit](https://k.org/a) see https://Skip.org/Me' || chr(10) || '12:30｜late' || chr(10)
-    || regexp_replace(replace(replace(replace(text, '|', ' '), '[', ' '), '#', ' '), '[^a-zA-Z ]', ' ') AS notes FROM {documents}"""
-_TOKENS = "[A-Za-z][A-Za-z0-9.+_-]{1,31}|[0-9]+[A-Za-z][A-Za-z0-9.+_-]{0,31}"
-
-
-@query("hints_extract")
+def _notes_sql(flags: str = "") -> str:
+    """Show notes around the letters of each document (`flags`: DuckDB needs 'g')."""
+    return f"""SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) AS title, source AS podcast, '主播：Ann' || CAST(doc_id AS STRING) || '｜host' || chr(10)
+    || '- Bob | guest' || chr(10) || '[GraphQL Kit](https://k.org/a) see https://Skip.org/Me' || chr(10) || '12:30｜late' || chr(10) || letters AS notes, letters
+    FROM (SELECT doc_id, source, regexp_replace(text, '[^a-zA-Z ]', ' '{flags}) AS letters FROM {{documents}})"""
+
+
+@query("hints_extract", f"""
+  WITH n AS ({_notes_sql(", 'g'")}),
+  l AS (SELECT doc_id, ['GraphQL Kit', 'Doc', 'Ann' || doc_id, 'Bob', 'GraphQL', 'Kit'] || list_filter(string_split(letters, ' '),
+      lambda w: length(w) BETWEEN 2 AND 32 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ('http', 'https', 'www', 'com', 'fm')) AS words FROM n),
+  e AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM l),
+  d AS (SELECT doc_id, w, min(i) AS i FROM e GROUP BY doc_id, w),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM d),
+  t AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS terms FROM r WHERE k <= 80 GROUP BY doc_id)
+  SELECT n.doc_id, 'Ann' || n.doc_id || '|Bob' AS people, t.terms, '播客：' || podcast || chr(10) || '节目简介：' || title || chr(10) || 'Show Notes：' || left(notes, 2500) AS context
+  FROM n JOIN t USING (doc_id)""")
 def hints_extract(t: Tables):
     notes = F.col("notes")
-    return t.sql(HINTS.replace("'[^a-zA-Z ]', ' ')", "'[^a-zA-Z ]', ' ', 1)")).select(
+    return spread(t.sql(_notes_sql())).select(
         "doc_id",
         F.array_join(T.hint_people(notes), "|").alias("people"),
         F.array_join(T.hint_terms(F.col("title"), F.col("podcast"), notes), "|").alias("terms"),
