@@ -59,15 +59,6 @@ def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-def replace_text(value: Column, old: str, new: str) -> Column:
-    return F.replace(value, F.lit(old), F.lit(new))
-
-
-def join_blocks(*parts: Column, sep: str = "\n\n") -> Column:
-    """Join the parts that are present; null parts vanish."""
-    return F.concat_ws(sep, *parts)
-
-
 # Named entities decoded in the JVM tier. The first group also counts without
 # its semicolon, as browsers read it.
 LEGACY_ENTITIES = {

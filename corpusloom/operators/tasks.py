@@ -8,7 +8,6 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.refs import normalize_reference, task_key
-from ..functions.strings import text_or_empty
 from ..functions.verdicts import clipped_message
 from ..runtime import materialize
 from .ordered import block_of, keep_first, with_row_number
