@@ -80,16 +80,13 @@ def register(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     de-duplication run once and a retried task cannot renumber them.
     """
     firsts = keep_first(items, IDENTITY, ["pos"])
-    if tasks is None:
-        fresh, top = firsts.withColumn("__top", F.lit(0).cast("long")), None
-    else:
-        fresh = firsts.join(tasks.select(*IDENTITY), IDENTITY, "left_anti")
-        top = tasks.agg(F.coalesce(F.max("task_id"), F.lit(0)).alias("__top"))
-        fresh = fresh.crossJoin(F.broadcast(top))  # one row: the highest id so far
+    fresh = firsts if tasks is None else firsts.join(tasks.select(*IDENTITY), IDENTITY, "left_anti")
     fresh = materialize(fresh, "new-tasks")
     numbered = with_row_number(fresh, [], ["pos"], block_of(F.col("pos")), "__no")
-    added = blank_task(numbered.withColumn("task_id", F.col("__top") + F.col("__no")))
-    return added if tasks is None else tasks.unionByName(added)
+    if tasks is None:
+        return blank_task(numbered.withColumn("task_id", F.col("__no")))
+    highest = tasks.agg(F.coalesce(F.max("task_id"), F.lit(0))).scalar()
+    return tasks.unionByName(blank_task(numbered.withColumn("task_id", highest + F.col("__no"))))
 
 
 def ids_of(items: DataFrame, tasks: DataFrame) -> DataFrame:
