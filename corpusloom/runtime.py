@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for functions that run in Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "corpusloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._corpusloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private temporary one only where none is named."""
+    """The cluster's shared folder; a private temporary one only on a local master that names none."""
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"name a folder that all executors share in {CHECKPOINT_SETTING}")
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
