@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .arrays import slices
 
@@ -149,7 +150,7 @@ def encode_words(df: DataFrame, path: str) -> DataFrame:
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
-    schema = df.schema.add("ids", "binary")
+    schema = StructType([*df.schema.fields, StructField("ids", BinaryType())])
     return df.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 

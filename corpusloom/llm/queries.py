@@ -59,3 +59,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from . import quality
+
+    return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
