@@ -66,3 +66,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from . import quality
 
     return quality.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.graded(table(spark, folder, "documents"), table(spark, folder, "labels"))
