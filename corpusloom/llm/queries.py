@@ -73,3 +73,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from . import toxicity
 
     return toxicity.graded(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_block_search")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from .block_search import nearest
+
+    found = nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
