@@ -104,7 +104,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
             found = []
         else:
             dim = left.column("dim")[0].as_py()
-            found = search_block(np.asarray(left.column("id")), matrix(left.column("v"), dim), np.asarray(right.column("c_id")), matrix(right.column("c_v"), dim), k)
+            found = search_block(np.asarray(left.column("id")), matrix(left.column("v"), dim).astype(float), np.asarray(right.column("c_id")), matrix(right.column("c_v"), dim).astype(float), k)
         flat = [(i, j, s) for i, best in found for s, j in best]
         return pa.table([pa.array([x[n] for x in flat], t) for n, t in enumerate((left.schema.field("id").type, left.schema.field("id").type, pa.float64()))], names=["query_id", "id", "score"])
 

@@ -81,3 +81,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
     found = nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op6_hamming_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from .hamming_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings"))

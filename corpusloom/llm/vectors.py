@@ -15,7 +15,8 @@ def usable(vector: Column) -> Column:
 
 def prepared(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, dim, v) of the usable vectors, v holding the components; an id that repeats keeps its least vector."""
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    single = dict(df.dtypes)[vector] == "array<float>"
+    rows = df.select(F.col(key).alias("id"), (F.col(vector) if single else F.col(vector).cast("array<double>")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     return rows.groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v")
 
 
