@@ -88,3 +88,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from .hamming_dedup import near_duplicates
 
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_bag_minhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from .bag_minhash import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
