@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .arrays import slices
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 # Code points on which Python's and the tokenizer library's Unicode tables agree.
 _PLAIN = regex.compile(r"[\x00-ԯ‐-⁞₠-₿←-⇿]*")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -210,9 +210,9 @@ def _join(texts: pa.Table, table: pa.Table, path: str) -> pa.Table:
     for row in texts.to_pylist():
         order = np.frombuffer(zstandard.decompress(row["order"]), "<u4").tolist()
         by_rank, text_by_rank = [ids[i] for i in order], [shown[i] for i in order]
-        at, flat = 0, _unpack(row["places"]).tolist()
+        at, flat = 0, _unpack(row["places"])
         for key, size in zip(row["keys"], row["sizes"]):
-            own = flat[at : at + size]
+            own = flat[at : at + size].tolist()
             at += size
             keys.append(key)
             encoded.append(b"".join([by_rank[p] for p in own]))
