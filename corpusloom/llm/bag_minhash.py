@@ -84,7 +84,7 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int
     step = 0
     while len(doc):
         step += 1
-        draw = mix(seed + _U(step) * _GOLD)
+        draw = mix(seed + np.array([step], np.uint64) * _GOLD)
         uniform = ((draw >> _U(11)).astype(float) + 0.5) * 2.0**-53
         time = time - np.log(uniform) / (width * m)
         other = mix(draw ^ _U(0xA5A5A5A5A5A5A5A5))
@@ -210,19 +210,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stars = met.where(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     tested = materialize(_verified(stars, bags, similarity), "compared")
     links = tested.where("linked").select("a", "b")
+    labels = components(links)
     for most in ROUNDS:
-        labels = components(links)
-        fresh = _alike(met.select("band", "key", "id"), signed, labels, most).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "candidates")
-        if fresh.isEmpty():
-            # Nothing new looks alike within the limit of this round; only an unlimited round proves the end.
-            if most is None:
-                break
-            continue
-        now = materialize(_verified(fresh, bags, similarity), "compared")
-        tested, links = tested.unionByName(now), links.unionByName(now.where("linked").select("a", "b"))
+        alike = materialize(_alike(met.select("band", "key", "id"), signed, labels, most), "candidates")
+        if alike.isEmpty():
+            break  # no two texts of different components look alike
+        now = materialize(_verified(alike.join(tested.select("a", "b"), ["a", "b"], "left_anti"), bags, similarity), "compared")
+        tested = tested.unionByName(now)
+        if not now.where("linked").isEmpty():
+            links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(now.where("linked").select("a", "b"))
+            labels = components(links)
     own = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    whole = components(links.unionByName(own))
+    whole = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(own))
     return (
         every.select("id").distinct().join(whole, "id", "left")
         .select(F.col("id").alias(key), F.coalesce("component", "id").alias("class_id"))

@@ -16,8 +16,8 @@ from ..runtime import materialize
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node that has a link, component being the smallest id reachable."""
     edges = materialize(
-        links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
+        _small_star(links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()),
         "links",
     )
     state = _state(edges)
