@@ -96,3 +96,52 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+_MIX_SQL = r"""
+with d as (
+  select doc_id, coalesce(source, '') as source, len(regexp_extract_all(text, '[^ \t-\r]+')) as n_tokens,
+    ('0x' || substr(md5(coalesce(source, '') || '|' || coalesce(cast(doc_id as varchar), 'null')), 1, 15))::bigint as place
+  from documents),
+s as (select source, sum(n_tokens)::bigint as tokens from d group by source having sum(n_tokens) > 0),
+tot as (select sum(tokens)::bigint as total, count(*) as n, min(tokens) as least from s),
+p as (select s.source, s.tokens, s.tokens / tot.total as p from s, tot),
+grid as (
+  select k, ln(sum(pow(p, k / 4096))) - (k / 4096) * sum(pow(p, k / 4096) * ln(p)) / sum(pow(p, k / 4096)) as h,
+    pow(min(p), k / 4096 - 1) / sum(pow(p, k / 4096)) as r
+  from p, range(0, 4097) as g(k) group by k),
+base as (select coalesce(max(k) filter (h >= 0.98 * ln(n) - 1e-12), 0) as k from grid, tot),
+pick as (
+  select case when (select r from grid where grid.k = base.k) <= 2 + 1e-12 then base.k
+    else coalesce((select min(g.k) from grid g, base b where g.k > b.k and g.r <= 2 + 1e-12), 4096) end as k
+  from base),
+q as (
+  select p.source, tokens, round(pow(p, k / 4096) / (select sum(pow(p, k / 4096)) from p, pick) * total)::bigint as quota
+  from p, pick, tot),
+m as (select source, quota // tokens as passes, quota % tokens as rest, cast(ceil(tokens / 65536) as bigint) as blocks from q),
+r as (select d.*, passes, rest, place % blocks as block from d join m using (source)),
+b as (
+  select source, block, passes, rest, sum(n_tokens) as n,
+    ('0x' || substr(md5(source || '|' || block || '|' || passes), 1, 15))::bigint as turn
+  from r group by source, block, passes, rest),
+c as (select *, sum(n) over (partition by source order by turn, block) as upto from b),
+e as (
+  select r.doc_id, r.source, r.n_tokens, r.block, r.passes, r.rest, c.upto, c.n,
+    sum(r.n_tokens) over (partition by r.source, r.block order by r.place) as within
+  from r join c on r.source = c.source and r.block = c.block)
+select doc_id, source, n_tokens, block,
+  passes + case when upto - n >= rest then 0 when upto <= rest then 1 when within <= rest - upto + n then 1 else 0 end as copies
+from e
+"""
+
+
+@query("op2_mixing", _MIX_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from . import mixing
+
+    light = mixing.light_rows(table(spark, folder, "documents"))
+    found = mixing.plan(light)
+    rows = light.select("doc_id", "source", F.col("tokens").alias("n_tokens"))
+    if found is None:
+        return rows.withColumns({"block": F.lit(0).cast("long"), "copies": F.lit(0).cast("long")})
+    return mixing.with_copies(rows, found).withColumnsRenamed({"__block": "block", "__copies": "copies"})
