@@ -145,3 +145,48 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     if found is None:
         return rows.withColumns({"block": F.lit(0).cast("long"), "copies": F.lit(0).cast("long")})
     return mixing.with_copies(rows, found).withColumnsRenamed({"__block": "block", "__copies": "copies"})
+
+
+_LINE_SQL = r"""
+with l as (
+  select doc_id, unnest(range(0, len(parts))) as line, unnest(parts) as line_text
+  from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)),
+w as (
+  select doc_id, line, unnest(list_distinct(regexp_extract_all(line_text, '[^ \t-\r]+'))) as word from l),
+f as (select word, count(*) as n from w group by word),
+o as (
+  select doc_id, line, word, count(*) over (partition by doc_id, line) as size,
+    row_number() over (partition by doc_id, line order by f.n, word) as pos
+  from w join f using (word)),
+pre as (select * from o where pos <= size - ceil(0.8 * size - 1e-9) + 1),
+cand as (
+  select distinct a.doc_id, a.line, a.size, b.doc_id as e_doc, b.line as e_line, b.size as e_size
+  from pre a join pre b on a.word = b.word and (b.doc_id < a.doc_id or (b.doc_id = a.doc_id and b.line < a.line))
+    and b.size >= 0.8 * a.size - 1e-9 and a.size >= 0.8 * b.size - 1e-9),
+sim as (
+  select c.doc_id, c.line from cand c
+    join w x on x.doc_id = c.doc_id and x.line = c.line
+    join w y on y.doc_id = c.e_doc and y.line = c.e_line and y.word = x.word
+  group by c.doc_id, c.line, c.size, c.e_doc, c.e_line, c.e_size
+  having 9 * count(*) >= 4 * (c.size + c.e_size)),
+gone as (select distinct doc_id, line from sim)
+select d.doc_id, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(g.n, 0)::bigint as n_removed,
+  sha256(coalesce(k.kept, '')) as kept_sha256
+from documents d
+  left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)
+  left join (
+    select l.doc_id, string_agg(line_text, chr(10) order by line) as kept
+    from l anti join gone using (doc_id, line) group by l.doc_id) k using (doc_id)
+"""
+
+
+@query("op1_line_dedup", _LINE_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from . import line_dedup
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    left = line_dedup.kept_lines(docs, line_dedup.removed_lines(docs))
+    return left.select(
+        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
