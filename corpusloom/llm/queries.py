@@ -190,3 +190,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+_REPEAT_SQL = r"""
+with w as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^ \t-\r]+'), []) as words from documents),
+p as (select doc_id, words, len(words) as n_words from w),
+s as (select doc_id, words, unnest(range(1, n_words - 11)) as pos from p where n_words >= 13),
+h as (select doc_id, pos, md5(array_to_string(words[pos:pos + 12], ' ')) as win from s),
+f as (select win, min(doc_id) as first_doc from h group by win having count(*) > 1),
+c as (select distinct doc_id, pos + k as pos from h join f using (win), range(0, 13) as r(k) where doc_id > first_doc),
+u as (select doc_id, unnest(words) as word, unnest(range(1, n_words + 1)) as pos from p)
+select p.doc_id, p.n_words::bigint as n_words, count(c.pos)::bigint as n_removed,
+  sha256(coalesce(string_agg(case when c.pos is null then u.word end, ' ' order by u.pos), '')) as kept_sha256
+from p left join u on u.doc_id = p.doc_id left join c on c.doc_id = u.doc_id and c.pos = u.pos
+group by p.doc_id, p.n_words
+"""
+
+
+@query("op10_recompression", _REPEAT_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from .recompression import without_repeats
+
+    return without_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
