@@ -7,7 +7,7 @@
 3. The ids go back to their chunk, are joined by position, and decoded through the id-to-piece list.
 
 The shuffle carries distinct words per chunk and positions, never one row per word occurrence, and
-nothing is broadcast except the vocabulary file's path, which every executor must be able to open.
+nothing is broadcast; every executor must be able to open the vocabulary file at the given path.
 
 Defined cases: a null text is encoded as the empty text; every row gives one row, repeated ids and
 repeated texts included; a null id stays null; other columns are not carried along.
@@ -18,23 +18,34 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .arrays import slices
 
-CHUNK_BYTES = 8 << 20
-# Code points on which Python's and the tokenizer library's Unicode tables agree.
-_PLAIN = regex.compile(r"[\x00-ԯ‐-⁞₠-₿←-⇿]*")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+CHUNK_BYTES = 12 << 20
+
+
+def _ranges(kind: str, limit: int = 0x530) -> str:
+    """Class members of a Unicode category among the code points below `limit` and their lower-case forms."""
+    letters = {x for c in range(limit) for x in chr(c) + chr(c).lower()}
+    return "".join(re.escape(x) for x in sorted(letters) if unicodedata.category(x)[0] == kind)
+
+
+# Texts of these code points only, on which Python's and the tokenizer library's Unicode tables agree.
+_PLAIN = re.compile(r"[\x00-\u052f\u2010-\u2027\u202a-\u202e\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff]*")
+_L, _N = _ranges("L"), _ranges("N")
+_SPLIT = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\t-\r \x85\xa0{_L}{_N}]+")
 
 
 class Codec:
@@ -49,16 +60,14 @@ class Codec:
         self.ranks = {tuple(pair): k for k, pair in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.pieces = {i: p for p, i in self.vocab.items()} | {i: p for p, i in self.special.items()}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self._library = None
 
     def _plain_words(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
+        if _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
             # Letter by letter: no rule for a sigma at a word's end.
             return _SPLIT.findall(text.replace("Σ", "σ").lower())
         if self._library is None:
@@ -109,26 +118,22 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, key: str, text: str):
-    """(chunk name, distinct words, ids of the texts, words per text, position list) of each chunk."""
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[int, pa.RecordBatch, Iterator[list[str]]]]:
+    """(chunk number, rows, words of each text). Numbers follow the partition and the order in it."""
     split = codec(path).words
+    number = TaskContext.get().partitionId() << 20
     for part in slices(batches, text, CHUNK_BYTES):
-        index: dict[str, int] = {}
-        sizes, places = [], []
-        for value in part.column(text):
-            found = split(value.as_py() or "")
-            sizes.append(len(found))
-            places.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found)))
-        flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
-        ids = part.column(key)
-        name = hashlib.blake2b("\0".join(index).encode(), digest_size=16)
-        name.update(flat.tobytes() + np.asarray(sizes, np.int64).tobytes())
-        name.update("\0".join(map(str, ids.to_pylist())).encode())
-        yield name.digest(), list(index), ids, np.asarray(sizes, np.int64), flat
+        yield number, part, (split(v.as_py() or "") for v in part.column(text))
+        number += 1
+
+
+def _digest(words: list[str], texts: int) -> str:
+    """What a chunk is, to see that two readings of the input cut it alike."""
+    return hashlib.blake2b("\0".join(words).encode() + str(texts).encode(), digest_size=12).hexdigest()
 
 
 def _pack(flat: np.ndarray) -> bytes:
-    """Positions by frequency rank as 7-bit groups, compressed."""
+    """Positions, byte by byte of all numbers, compressed."""
     return zstandard.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
@@ -160,34 +165,47 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     key_type = source.schema["key"].dataType.simpleString()
 
     def requests(batches):
-        for name, words, *_ in _chunks(batches, path, "key", "text"):
+        for number, part, split in _chunks(batches, path, "text"):
+            seen: set[str] = set()
+            for found in split:
+                seen.update(found)
+            words = sorted(seen)
+            words.append(_digest(words, part.num_rows))
             for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
+                own = words[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part), pa.binary()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())],
+                    [pa.array([number] * len(own), pa.int64()), pa.array(range(at, at + len(own)), pa.int32()), pa.array(own, pa.string())],
                     names=["chunk", "place", "word"],
                 )
 
     def positions(batches):
-        for name, words, ids, sizes, flat in _chunks(batches, path, "key", "text"):
-            # Frequent words get small numbers, which compress better.
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
+        for number, part, split in _chunks(batches, path, "text"):
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            places = [np.array(list(map(index.__getitem__, found)), np.uint32) for found in split]
+            sizes = [len(p) for p in places]
+            flat = np.concatenate(places)
+            # Frequent words get small numbers, which compress better; `order` leads from them to the sorted words.
+            by_count = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            rank = np.empty(len(index), np.uint32)
+            rank[by_count] = np.arange(len(index), dtype=np.uint32)
+            words = list(index)
+            place = np.empty(len(words), np.uint32)
+            place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words), dtype=np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name], pa.binary()),
-                    pa.array([len(words)], pa.int32()),
-                    pa.array([ids.to_pylist()], pa.list_(ids.type)),
-                    pa.array([sizes.tolist()], pa.list_(pa.int64())),
+                    pa.array([number], pa.int64()),
+                    pa.array([_digest(sorted(words), part.num_rows)]),
+                    pa.array([part.column("key").to_pylist()], pa.list_(part.column("key").type)),
+                    pa.array([sizes], pa.list_(pa.int64())),
                     pa.array([_pack(rank[flat])], pa.binary()),
-                    pa.array([zstandard.compress(order.astype("<u4").tobytes(), 3)], pa.binary()),
+                    pa.array([_pack(place[by_count])], pa.binary()),
                 ],
-                names=["chunk", "n_words", "keys", "sizes", "places", "order"],
+                names=["chunk", "digest", "keys", "sizes", "places", "order"],
             )
 
-    table = encode_words(source.mapInArrow(requests, "chunk binary, place int, word string"), path).drop("word")
-    texts = source.mapInArrow(positions, f"chunk binary, n_words int, keys array<{key_type}>, sizes array<bigint>, places binary, order binary")
+    table = encode_words(source.mapInArrow(requests, "chunk bigint, place int, word string"), path).drop("word")
+    texts = source.mapInArrow(positions, f"chunk bigint, digest string, keys array<{key_type}>, sizes array<bigint>, places binary, order binary")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         return _join(left, right, path)
@@ -196,25 +214,25 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
 
 def _join(texts: pa.Table, table: pa.Table, path: str) -> pa.Table:
-    """Ids of a chunk's words joined to its texts by position. Equal chunks come as several rows."""
-    pieces = codec(path).pieces
-    kind = texts.schema.field("keys").type.value_type
-    keys, encoded, decoded = [], [], []
+    """Ids of a chunk's words joined to its texts by position."""
+    own = codec(path)
+    row = texts.to_pylist()[0] if texts.num_rows else {"keys": [], "sizes": []}
+    keys, encoded, decoded = row["keys"], [], []
     if texts.num_rows:
-        ids: list = [None] * texts.column("n_words")[0].as_py()
+        ids: list = [None] * table.num_rows
         for place, value in zip(table.column("place").to_pylist(), table.column("ids").to_pylist()):
             ids[place] = value
-        if None in ids:
+        if not ids or ids[-1] != np.asarray(own.encode(row["digest"]), "<u4").tobytes():
             raise RuntimeError("a chunk of texts differs between two readings of the input; write the input to a table first")
+        order = _unpack(row["order"]).tolist()
+        ids = [ids[i] for i in order]
+        pieces = own.pieces
         shown = [" ".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]).encode() for x in ids]
-    for row in texts.to_pylist():
-        order = np.frombuffer(zstandard.decompress(row["order"]), "<u4").tolist()
-        by_rank, text_by_rank = [ids[i] for i in order], [shown[i] for i in order]
         at, flat = 0, _unpack(row["places"])
-        for key, size in zip(row["keys"], row["sizes"]):
-            own = flat[at : at + size].tolist()
+        for size in row["sizes"]:
+            places = flat[at : at + size].tolist()
             at += size
-            keys.append(key)
-            encoded.append(b"".join([by_rank[p] for p in own]))
-            decoded.append(b" ".join([text_by_rank[p] for p in own]))
+            encoded.append(b"".join(map(ids.__getitem__, places)))
+            decoded.append(b" ".join(map(shown.__getitem__, places)))
+    kind = texts.schema.field("keys").type.value_type
     return pa.table([pa.array(keys, kind), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "ids", "decoded"])
