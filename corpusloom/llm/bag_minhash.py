@@ -11,11 +11,12 @@ component's earliest point agrees with a probability equal to the weighted Jacca
 drawn in order of time and a process stops once it is later than every component's earliest point, so a
 long text costs little more than one draw per shingle.
 
-Signatures are banded. Texts that meet in a band are first compared with the smallest id of the bucket;
-then, round by round, with the members of other components that look most alike by signature, and in the
-last round with all that look alike. Every comparison is exact on the shingle multisets. Members of one
-component are not compared again, which keeps large groups of copies linear. Equal texts form one class
-before all this and are compared once.
+Signatures are banded. Texts that meet in a band are first compared with the smallest id of the bucket,
+then with the few of other components that look most alike by signature. Buckets that still hold several
+components are dealt out in pairs of blocks, with the multisets, and all their pairs that look alike are
+compared there; only links come out, no pairs. Every comparison is exact on the shingle multisets. Members
+of one component are not compared again, which keeps large groups of copies short. Equal texts form one
+class before all this and are compared once.
 
 Result: one row per id with class_id, the smallest id of its component.
 
@@ -43,8 +44,10 @@ COMPONENTS, BANDS = 64, 16
 # Pairs whose signatures agree in a smaller share of the components are not compared: at a similarity of
 # 0.8 this lies more than five standard deviations below the mean.
 LOOKS_ALIKE = 0.53
-# Compared neighbours per text and foreign component in each round; the last round takes all.
-ROUNDS = (4, 32, None)
+# Texts of other components that each text is compared with in a round, the most alike first.
+NEIGHBOURS = 4
+# Members per block where the rest of a bucket is compared; a block holds their multisets.
+BLOCK_ROWS = 256
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -147,46 +150,91 @@ def _verified(candidates: DataFrame, bags: DataFrame, similarity: float) -> Data
     return both.select("a", "b", (shared >= F.lit(similarity) * union - 1e-9).alias("linked"))
 
 
-def _alike(members: DataFrame, signed: DataFrame, labels: DataFrame, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b), a > b, of different components from buckets that hold several."""
-    label = F.coalesce("component", "id")
-    open_rows = members.join(labels, "id", "left").select("band", "key", "id", label.alias("label"))
-    mixed = open_rows.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("m")).where("m").drop("m")
-    group = ["band", "key", "left", "right"]
-    rows = in_blocks(open_rows.join(mixed, ["band", "key"]), ["band", "key"], "id").join(signed.select("id", "sig"), "id")
+def _open(members: DataFrame, signed: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """Members of buckets with several components, in blocks: band, key, left, right, side, id, label, sig."""
+    each = members.join(labels, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("label"))
+    mixed = each.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("m")).where("m").drop("m")
+    return in_blocks(each.join(mixed, ["band", "key"]), ["band", "key"], "id", rows=rows).join(signed.select("id", "sig"), "id")
+
+
+_GROUP = ["band", "key", "left", "right"]
+
+
+def _look_alike(table: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, share of equal components) of the rows of different components that look alike in this band first."""
+    n, per = table.num_rows, COMPONENTS // BANDS
+    label, band, side = (table.column(c).to_numpy() for c in ("label", "band", "side"))
+    apart = table.column("left").to_numpy() != table.column("right").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, COMPONENTS)
+    found = [np.zeros((3, 0))]
+    for i, j in pairs(starts, n, 1 << 17):
+        ok = (label[i] != label[j]) & ~(apart[i] & (side[i] == side[j]))
+        i, j = i[ok], j[ok]
+        same = sig[i] == sig[j]
+        share = same.mean(axis=1)
+        first = same.reshape(len(i), BANDS, per).all(axis=2).argmax(axis=1)
+        keep = (share >= LOOKS_ALIKE) & (first == band[i])
+        found.append(np.stack([i[keep], j[keep], share[keep]]))
+    i, j, share = np.concatenate(found, axis=1)
+    return i.astype(np.int64), j.astype(np.int64), share
+
+
+def _neighbours(members: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b), a > b: for each row and bucket the most alike rows of other components."""
     kind = dict(members.dtypes)["id"]
-    per = COMPONENTS // BANDS
 
     def run(batches):
-        for table, starts in bundles(batches, group, 20_000):
-            n = table.num_rows
-            ids, label, band, side = (table.column(c).to_numpy() for c in ("id", "label", "band", "side"))
-            apart = table.column("left").to_numpy() != table.column("right").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, COMPONENTS)
-            rows, others, alike = [], [], []
-            for i, j in pairs(starts, n, 1 << 17):
-                ok = (label[i] != label[j]) & ~(apart[i] & (side[i] == side[j]))
-                i, j = i[ok], j[ok]
-                same = sig[i] == sig[j]
-                share = same.mean(axis=1)
-                first = same.reshape(len(i), BANDS, per).all(axis=2).argmax(axis=1)
-                keep = (share >= LOOKS_ALIKE) & (first == band[i])
-                rows.append(i[keep]), others.append(j[keep]), alike.append(share[keep])
-            if not rows or not sum(map(len, rows)):
-                continue
-            i, j, share = np.concatenate(rows), np.concatenate(others), np.concatenate(alike)
-            if most is not None:
-                i, j, share = np.append(i, j), np.append(j, i), np.append(share, share)
-                order = np.lexsort((-share, label[j], i))
-                i, j = i[order], j[order]
-                head = np.ones(len(i), bool)
-                head[1:] = (i[1:] != i[:-1]) | (label[j[1:]] != label[j[:-1]])
-                first = np.flatnonzero(head)
-                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                i, j = i[rank < most], j[rank < most]
+        for table, starts in bundles(batches, _GROUP, 20_000):
+            ids = table.column("id").to_numpy()
+            i, j, share = _look_alike(table, starts)
+            i, j, share = np.append(i, j), np.append(j, i), np.append(share, share)
+            order = np.lexsort((-share, i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)])
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            i, j = i[rank < NEIGHBOURS], j[rank < NEIGHBOURS]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
 
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    rows = _open(members, signed, labels, 1024)
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _remaining_links(members: DataFrame, signed: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of a bucket, enough to join all that any link joins."""
+    kind = dict(members.dtypes)["id"]
+
+    def run(batches):
+        for table, starts in bundles(batches, _GROUP, 2000):
+            ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+            i, j, share = _look_alike(table, starts)
+            order = np.argsort(-share, kind="stable")
+            root: dict = {}
+
+            def find(x):
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            column, sets, out = table.column("bag").combine_chunks(), {}, []
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                a, b = find(label[x]), find(label[y])
+                if a == b:
+                    continue
+                for r in (x, y):
+                    if r not in sets:
+                        sets[r] = set(column[r].values.to_pylist())
+                p, q = sets[x], sets[y]
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)) - 1e-9:
+                    continue
+                shared = len(p & q)
+                if shared >= similarity * (len(p) + len(q) - shared) - 1e-9:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[x]), int(ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in out], pa.int64()), pa.array([min(p) for p in out], pa.int64())], names=["a", "b"])
+
+    rows = _open(members, signed, labels, BLOCK_ROWS).join(bags, "id")
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -210,18 +258,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stars = met.where(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     tested = materialize(_verified(stars, bags, similarity), "compared")
     links = tested.where("linked").select("a", "b")
+    met = met.select("band", "key", "id")
     labels = components(links)
-    for most in ROUNDS:
-        alike = materialize(_alike(met.select("band", "key", "id"), signed, labels, most), "candidates")
-        if alike.isEmpty():
-            break  # no two texts of different components look alike
-        now = materialize(_verified(alike.join(tested.select("a", "b"), ["a", "b"], "left_anti"), bags, similarity), "compared")
-        tested = tested.unionByName(now)
-        if not now.where("linked").isEmpty():
-            links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(now.where("linked").select("a", "b"))
-            labels = components(links)
+    near = materialize(_neighbours(met, signed, labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    more = materialize(_verified(near, bags, similarity).where("linked").select("a", "b"), "links")
+    known = lambda: labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if not more.isEmpty():
+        labels = components(known().unionByName(more))
+    rest = materialize(_remaining_links(met, signed, labels, bags, similarity), "links")
     own = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    whole = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(own))
+    whole = components(known().unionByName(rest).unionByName(own))
     return (
         every.select("id").distinct().join(whole, "id", "left")
         .select(F.col("id").alias(key), F.coalesce("component", "id").alias("class_id"))

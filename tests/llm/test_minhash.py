@@ -55,7 +55,7 @@ def near_copies(seed, groups=12, each=9, words=120):
 
 def test_classes_match_brute_force(make_docs, monkeypatch):
     real = bag_minhash.in_blocks
-    monkeypatch.setattr(bag_minhash, "in_blocks", lambda df, group, member: real(df, group, member, rows=4))
+    monkeypatch.setattr(bag_minhash, "in_blocks", lambda df, group, member, rows: real(df, group, member, rows=4))
     texts = near_copies(1)
     found = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(make_docs(texts)).collect()}
     assert found == classes(texts)
