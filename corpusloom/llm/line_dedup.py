@@ -52,9 +52,9 @@ def word_slots(docs: DataFrame) -> np.ndarray:
             own = used[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], names=["slot", "n"])
 
-    found = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
@@ -157,7 +157,7 @@ def _candidates(first: DataFrame, similarity: float) -> DataFrame:
 
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rid, words) of the wanted lines (rid, id, doc_hash, line)."""
-    lists = narrow_side(materialize(wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("line", "rid")).alias("lines")), "wanted-lines"))
+    lists = narrow_side(materialize(wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("line", "rid")).alias("lines")), "wanted-lines"), F.size("lines"))
     flat = np.zeros(1 << SLOT_BITS, np.uint8)
 
     def run(batches):
@@ -200,7 +200,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 def kept_lines(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with the removed lines taken out of `text`, and `__lines`, `__gone`: how many there were and went."""
-    side = narrow_side(materialize(gone.toDF("__id", "__hash", "__numbers"), "removed-lines"))
+    side = narrow_side(materialize(gone.toDF("__id", "__hash", "__numbers"), "removed-lines"), F.size("__numbers"))
     joined = docs.join(side, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
     parts = F.split(F.col(text), "\n", -1)
     lost = F.coalesce(F.size("__numbers"), F.lit(0))
