@@ -28,9 +28,6 @@ AFTER_OPENING = rf"([（(【\[]){ANY_SPACE}+"
 BEFORE_CLOSING = rf"{ANY_SPACE}+([）)】\]])"
 SPEECH_TAG = r"<\|[^>]+?\|>"
 NO_SPEECH = "[无语音]"
-# Caps on hint lists and context lengths.
-MAX_TERMS, MAX_PEOPLE = 80, 30
-CONTEXT_LIMIT, DESCRIPTION_LIMIT, NOTES_LIMIT = 4000, 1200, 2500
 LINK_LABEL = r"(?i)\[([^\]]{2,64})\]\(https?://[^)]+\)"
 LATIN_TERM = (
     r"(?<![A-Za-z0-9])(?:[A-Za-z][A-Za-z0-9.+_-]{1,31}|"
@@ -102,10 +99,18 @@ def hint_count(title: Column, context: Column, terms: Column, people: Column) ->
     return (singles + filled(terms) + filled(people)).cast("int")
 
 
-def hint_context(title: Column, people: Column, terms: Column, context: Column) -> Column:
-    """Compact prompt context: title, people, terms, context, clipped."""
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
+def _clipped(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
+def hint_context(title: Column, people: Column, terms: Column, context: Column, limit: int | None = None) -> Column:
+    """Compact prompt context: title, people, terms, context; clipped to `limit` characters if given."""
     line = lambda label, value: F.when(value != "", F.concat(F.lit(label), value))
-    return F.left(
+    return _clipped(
         F.concat_ws(
             "\n",
             line("标题：", title),
@@ -113,7 +118,7 @@ def hint_context(title: Column, people: Column, terms: Column, context: Column)
             F.when(F.size(terms) > 0, F.concat(F.lit("术语："), F.array_join(terms, "、"))),
             F.nullif(context, F.lit("")),
         ),
-        F.lit(CONTEXT_LIMIT),
+        limit,
     )
 
 
@@ -121,7 +126,7 @@ def _lines(text: Column) -> Column:
     return F.split(text_or_empty(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
 
 
-def hint_people(notes: Column) -> Column:
+def hint_people(notes: Column, most: int | None = None) -> Column:
     """Names from host lines and from `name | role` lines, first mention first."""
     lines = F.transform(_lines(notes), lambda l: strip(F.regexp_replace(l, LIST_MARKER, "")))
     host = rf"^主播[:：]{ANY_SPACE}*([^｜|，。,；;]{{1,24}})"
@@ -138,10 +143,10 @@ def hint_people(notes: Column) -> Column:
             ),
         )
     )
-    return F.slice(F.array_distinct(F.filter(names, lambda n: n != "")), 1, MAX_PEOPLE)
+    return _first(F.array_distinct(F.filter(names, lambda n: n != "")), most)
 
 
-def hint_terms(title: Column, podcast: Column, notes: Column) -> Column:
+def hint_terms(title: Column, podcast: Column, notes: Column, most: int | None = None) -> Column:
     """Link labels of the notes, then Latin tokens that start upper-case or with a digit."""
     stripped = F.transform(_lines(notes), lambda l: strip(F.regexp_replace(l, LIST_MARKER, "")))
     labels = F.flatten(
@@ -154,18 +159,18 @@ def hint_terms(title: Column, podcast: Column, notes: Column) -> Column:
         lambda t: ~F.lower(t).isin(*LATIN_STOP) & t.rlike("^[A-Z0-9]"),
     )
     kept = F.filter(F.transform(F.concat(labels, tokens), lambda t: strip(t)), lambda t: t != "")
-    return F.slice(F.array_distinct(kept), 1, MAX_TERMS)
+    return _first(F.array_distinct(kept), most)
 
 
-def episode_context(podcast: Column, description: Column, notes: Column) -> Column:
-    part = lambda label, value, n: F.when(
-        value != "", F.concat(F.lit(label), value if n is None else F.left(value, F.lit(n)))
-    )
+def episode_context(
+    podcast: Column, description: Column, notes: Column, description_limit: int | None = None, notes_limit: int | None = None
+) -> Column:
+    part = lambda label, value, n: F.when(value != "", F.concat(F.lit(label), _clipped(value, n)))
     return F.concat_ws(
         "\n",
         part("播客：", podcast, None),
-        part("节目简介：", description, DESCRIPTION_LIMIT),
-        part("Show Notes：", notes, NOTES_LIMIT),
+        part("节目简介：", description, description_limit),
+        part("Show Notes：", notes, notes_limit),
     )
 
 

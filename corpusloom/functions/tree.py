@@ -18,10 +18,11 @@ DROPPED = {"script", "style", "noscript", "svg", "form", "button", "iframe"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "number", "numbered")
 
     def __init__(self, tag, attrs=None, parent=None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self.number = self.numbered = 0
 
     def walk(self):
         """Element nodes below this one in document order."""
@@ -153,6 +154,8 @@ def ranked(root: Node, selectors):
                 break
 
 
+# A code listing put in by a page reader: attrs lang and code, shown as they are.
+FENCE = "#fence"
 _WRAP = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
 
 
@@ -165,10 +168,30 @@ def _inline_text(text: str, pre: bool) -> str:
 
 
 def _render(node: Node, pre: bool = False) -> str:
-    parts = []
-    for child in node.children:
-        parts.append(_render_one(child, pre) if isinstance(child, Node) else _inline_text(child, pre))
-    return "".join(parts)
+    """Markdown of what is inside a node; an explicit stack, so depth is no limit."""
+    open_nodes = [(node, pre, iter(node.children), [])]
+    while True:
+        at, inside_pre, rest, parts = open_nodes[-1]
+        item = 0
+        for child in rest:
+            if not isinstance(child, Node):
+                parts.append(_inline_text(child, inside_pre))
+                continue
+            if at.tag == "ol" and child.tag == "li":
+                item = at.numbered = at.numbered + 1
+            done = _leaf(child)
+            if done is None:
+                child.number = item if at.tag == "ol" else 0
+                open_nodes.append((child, inside_pre or child.tag in ("pre", "code"), iter(child.children), []))
+                break
+            parts.append(done)
+        else:
+            open_nodes.pop()
+            text = "".join(parts)
+            if not open_nodes:
+                return text
+            parent = open_nodes[-1]
+            parent[3].append(_dress(at, text, parent[1]))
 
 
 def _cells(row: Node):
@@ -186,10 +209,13 @@ def _table(node: Node) -> str:
     return "\n\n" + "\n".join(lines) + "\n\n"
 
 
-def _render_one(node: Node, pre: bool) -> str:
+def _leaf(node: Node) -> str | None:
+    """Markdown of a node whose inside is not rendered by the general rule, else None."""
     tag = node.tag
     if tag in DROPPED or tag in SILENT:
         return ""
+    if tag == FENCE:
+        return f"\n\n\n```{node.attrs['lang']}\n{node.attrs['code']}\n```\n\n\n"
     if tag == "br":
         return "\n"
     if tag == "hr":
@@ -198,8 +224,12 @@ def _render_one(node: Node, pre: bool) -> str:
         return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
     if tag == "table":
         return _table(node)
-    inner = _render(node, pre or tag in ("pre", "code"))
-    bare = inner.strip()
+    return None
+
+
+def _dress(node: Node, inner: str, pre: bool) -> str:
+    """A node's own marks around the Markdown of its inside."""
+    tag, bare = node.tag, inner.strip()
     if re.fullmatch(r"h[1-6]", tag):
         title = re.sub(r"\s+", " ", bare)
         return f"\n\n{'#' * int(tag[1])} {title}\n\n" if title else ""
@@ -219,10 +249,7 @@ def _render_one(node: Node, pre: bool) -> str:
     if tag == "blockquote":
         return "\n\n" + "\n".join("> " + l if l else ">" for l in bare.split("\n")) + "\n\n" if bare else ""
     if tag == "li":
-        number = ""
-        if node.parent is not None and node.parent.tag == "ol":
-            before = [c for c in node.parent.children if isinstance(c, Node) and c.tag == "li"]
-            number = f"{before.index(node) + 1}. "
+        number = f"{node.number}. " if node.number else ""
         body = bare.replace("\n", "\n  ")
         return f"{number or '- '}{body}\n"
     if tag in ("ul", "ol"):
@@ -235,6 +262,14 @@ def _render_one(node: Node, pre: bool) -> str:
 
 def to_markdown(node: Node) -> str:
     """Readable Markdown of a fragment: ATX headings, `-` bullets, blank lines collapsed."""
-    text = _render(node) if node.tag == "#root" else _render_one(node, False)
+    if node.tag == "#root":
+        text = _render(node)
+    elif (text := _leaf(node)) is None:
+        text = _dress(node, _render(node, node.tag in ("pre", "code")), False)
     text = re.sub(r"\n[ \t]+\n", "\n\n", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    # Around a fence one blank line more is kept.
+    return re.sub(r"\n{3,}", lambda m: "\n\n\n" if _beside_fence(text, m) else "\n\n", text).strip()
+
+
+def _beside_fence(text: str, gap: re.Match) -> bool:
+    return len(gap[0]) > 2 and (text.startswith("```", gap.end()) or text.endswith("\n```", 0, gap.start()))

@@ -20,7 +20,6 @@ ERROR_KINDS = (
     ("input_missing", False, ("FileNotFoundError",)),
     ("timeout", True, ("TimeoutError",)),
 )
-MESSAGE_LIMIT = 4000
 
 
 def _any_of(text: Column, fragments) -> Column:
@@ -66,8 +65,9 @@ def access_class(message: Column) -> Column:
     )
 
 
-def clipped_message(message: Column) -> Column:
-    return F.left(text_or_empty(message), F.lit(MESSAGE_LIMIT))
+def clipped_message(message: Column, limit: int | None = None) -> Column:
+    """The message, never null; cut to `limit` characters if given."""
+    return text_or_empty(message) if limit is None else F.left(text_or_empty(message), F.lit(limit))
 
 
 def acquisition_choice(

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.strings import text_or_empty
 from .ordered import BLOCK_ROWS, PART_ROWS, ordered_text, part_of, with_row_number
 
-# A question is scrolled at most this often, and this many idle rounds end it.
-MAX_ROUNDS, STABLE_ROUNDS = 60, 5
+# Fixed value: this many rounds without a new answer end a capture.
+STABLE_ROUNDS = 5
 
 
 def merge_questions(snapshots: DataFrame) -> DataFrame:
@@ -31,15 +31,14 @@ def first_seen(answers: DataFrame) -> DataFrame:
     return picked.select("question_id", "answer_id", *[F.col("__a")[c].alias(c) for c in rest])
 
 
-def completeness(snapshots: DataFrame, answers: DataFrame, max_answers: int = 0) -> DataFrame:
+def completeness(snapshots: DataFrame, answers: DataFrame, max_answers: int = 0, max_rounds: int | None = None) -> DataFrame:
     """Per question: the round that ends the capture, why, and the answers found by then."""
     new = first_seen(answers).groupBy("question_id", "round").agg(F.count(F.lit(1)).alias("fresh"))
     rounds = (
-        snapshots.where(F.col("round") < MAX_ROUNDS)
+        (snapshots if max_rounds is None else snapshots.where(F.col("round") < max_rounds))
         .join(new, ["question_id", "round"], "left")
         .select("question_id", "round", "expected", F.coalesce("fresh", F.lit(0)).alias("fresh"))
     )
-    # At most MAX_ROUNDS rows per question.
     line = W.partitionBy("question_id").orderBy("round").rowsBetween(W.unboundedPreceding, W.currentRow)
     grown = F.max(F.when((F.col("fresh") > 0) | (F.col("round") == 0), F.col("round"))).over(line)
     scored = rounds.withColumn("found", F.sum("fresh").over(line)).withColumn(

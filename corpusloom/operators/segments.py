@@ -102,7 +102,7 @@ def render_segments(windows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
     A part holds the windows of at most `part_rows` segment positions.
     """
     blocks = render_windows(windows)
-    at = F.col("first_seg") + F.col("part_no") * PART_ROWS
+    at = F.col("first_seg") + F.col("part_no") * part_rows
     pairs = F.sort_array(F.collect_list(F.struct(at.alias("p"), F.col("block_md").alias("t"))))
     return (
         blocks.groupBy("doc_id", part_of(at, F.lit(0), part_rows).alias("md_part"))
@@ -233,7 +233,7 @@ def render_chapters(
     )
     has_text = placed.select("doc_id").distinct()
     plain = render_windows(
-        segment_windows(segments.join(has_text, "doc_id", "left_anti"), window_seconds, processed)
+        segment_windows(segments.join(has_text, "doc_id", "left_anti"), window_seconds, processed, part_rows=part_rows)
     ).select("doc_id", F.col("first_seg").cast("long").alias("block_no"), "part_no", "block_md")
     return chaptered.unionByName(plain)
 
@@ -241,10 +241,11 @@ def render_chapters(
 def normalize_segments(segments: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """Clean text per segment; the raw text is kept, count, order and times are untouched.
 
-    `hints` has one row per document (doc_id, terms array); documents without hints keep
+    `hints` has one row per document (doc_id, terms array, people array); documents without hints keep
     null terms. The join key is the document, whose hint list is capped when it is built.
     """
-    source = segments if hints is None else segments.join(hints.select("doc_id", "terms"), "doc_id", "left")
+    filled = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in hints.columns else F.array().cast("array<string>")
+    source = segments if hints is None else segments.join(hints.select("doc_id", F.concat(filled("terms"), filled("people")).alias("terms")), "doc_id", "left")
     terms = None if hints is None else F.col("terms")
     raw = F.col("raw_text") if "raw_text" in segments.columns else F.lit("")
     out = source.withColumn("raw_text", F.coalesce(F.nullif(raw, F.lit("")), F.col("text"))).withColumn(

@@ -220,7 +220,7 @@ def answer_hash(t: Tables):
 NOTES = f"""SELECT doc_id, text, '<head>' || CASE WHEN doc_id % 3 = 0 THEN '<meta property="og:title" content=" Note ' || CAST(doc_id AS STRING) || '">' ELSE '' END
     || '<meta property="og:description" content="og text"><meta property="og:image" content="https://i.org/cover.jpg"></head>'
     || '<div id="detail-title">T' || CAST(doc_id AS STRING) || '</div><div class="author"><span class="name">' || source || '</span></div>'
-    || CASE WHEN doc_id % 3 = 1 THEN '' ELSE '<div id="detail-desc">' || {_escaped("replace(replace(left(text, 30), '*', ''), '_', '')")} || '</div>' END
+    || CASE WHEN doc_id % 3 = 1 THEN '' ELSE '<div id="detail-desc">' || {_escaped("replace(replace(text, '*', ''), '_', '')")} || '</div>' END
     || '<div class="carousel"><img src="https://i.org/' || CAST(doc_id AS STRING) || '.jpg"><img src="https://i.org/cover.jpg"><img src="/x.jpg"></div>' AS html FROM {{documents}}"""
 
 
@@ -288,8 +288,8 @@ def _notes_sql(flags: str = "") -> str:
   e AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM l),
   d AS (SELECT doc_id, w, min(i) AS i FROM e GROUP BY doc_id, w),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM d),
-  t AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS terms FROM r WHERE k <= 80 GROUP BY doc_id)
-  SELECT n.doc_id, 'Ann' || n.doc_id || '|Bob' AS people, t.terms, '播客：' || podcast || chr(10) || '节目简介：' || title || chr(10) || 'Show Notes：' || left(notes, 2500) AS context
+  t AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS terms FROM r GROUP BY doc_id)
+  SELECT n.doc_id, 'Ann' || n.doc_id || '|Bob' AS people, t.terms, '播客：' || podcast || chr(10) || '节目简介：' || title || chr(10) || 'Show Notes：' || notes AS context
   FROM n JOIN t USING (doc_id)""")
 def hints_extract(t: Tables):
     notes = F.col("notes")
@@ -301,7 +301,7 @@ def hints_extract(t: Tables):
     )
 
 
-BODIES = """SELECT doc_id, left(text, 200) AS about, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'intro ' || text WHEN 1 THEN 'other notes' ELSE '' END AS notes FROM {documents}"""
+BODIES = """SELECT doc_id, text AS about, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'intro ' || text WHEN 1 THEN 'other notes' ELSE '' END AS notes FROM {documents}"""
 
 
 def _packed(e: str) -> str:
@@ -325,12 +325,12 @@ def video_description(t: Tables):
 
 
 @query("join_fallback_capture", f"""
-  WITH a AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN left({_ARTICLE}, 60) ELSE {_ARTICLE} END AS body FROM {{pages}})
+  WITH a AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE {_ARTICLE} END AS body FROM {{pages}})
   SELECT page_id, CASE WHEN length(body) >= 120 THEN 'primary' WHEN page_id % 2 = 0 THEN 'fallback' ELSE 'none' END AS origin,
     CASE WHEN length(body) >= 120 THEN body WHEN page_id % 2 = 0 THEN 'rendered ' || page_id ELSE '' END AS body FROM a""")
 def join_fallback_capture(t: Tables):
     text = H.visible_text(F.regexp_extract("html", "(?is)<article>(.*)</article>", 1))
-    plain = t["pages"].select("page_id", F.when(F.col("page_id") % 3 == 0, F.left(text, F.lit(60))).otherwise(text).alias("body"))
+    plain = t["pages"].select("page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(text).alias("body"))
     rendered = t["pages"].where(F.col("page_id") % 2 == 0).select(
         "page_id", F.concat(F.lit("rendered "), F.col("page_id").cast("string")).alias("body")
     )

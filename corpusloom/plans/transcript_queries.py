@@ -34,10 +34,13 @@ def _segments(t: Tables):
     return t.sql(SEGMENTS)
 
 
-@query("transcript_text", f"SELECT doc_id, CAST(0 AS BIGINT) AS part_no, string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM ({_LIVE}) GROUP BY doc_id")
+# Parts of few positions, so that cutting is exercised at every scale.
+PART = 500
+
+
+@query("transcript_text", f"SELECT doc_id, seg_no // {PART} AS part_no, string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM ({_LIVE}) GROUP BY doc_id, seg_no // {PART}")
 def transcript_text(t: Tables):
-    # Event ids are sparse positions: one wide part per document keeps the check simple.
-    return S.transcript_text(_segments(t), part_rows=1 << 40)
+    return S.transcript_text(_segments(t), part_rows=PART)
 
 
 @query("transcript_bounds", f"""
@@ -52,25 +55,26 @@ _WINDOWS = f"""
   WITH k AS (SELECT *, CAST(floor(greatest(0, start) / 300) AS BIGINT) AS slot FROM ({_LIVE})),
   c AS (SELECT *, CASE WHEN lag(slot) OVER (PARTITION BY doc_id ORDER BY seg_no) = slot THEN 0 ELSE 1 END AS fresh FROM k),
   i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY seg_no) AS island, max("end") OVER (PARTITION BY doc_id) AS total FROM c),
-  w AS (SELECT doc_id, island, min(seg_no) AS first_seg, slot * 300.0 AS window_start, max("end") AS e, max(total) AS total, count(*) AS n_segments,
-      string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM i GROUP BY doc_id, island, slot)
-  SELECT doc_id, first_seg, CAST(window_start AS DOUBLE) AS window_start, CAST(least(total, greatest(least(window_start + 300, total), e)) AS DOUBLE) AS window_end, n_segments, text FROM w"""
+  f AS (SELECT *, min(seg_no) OVER (PARTITION BY doc_id, island) AS first_seg FROM i),
+  w AS (SELECT doc_id, first_seg, (seg_no - first_seg) // {PART} AS part_no, slot * 300.0 AS window_start, max("end") AS e, max(total) AS total, count(*) AS n_segments,
+      string_agg(trim(text), {NL2} ORDER BY seg_no) AS text FROM f GROUP BY doc_id, first_seg, slot, (seg_no - first_seg) // {PART})
+  SELECT doc_id, first_seg, part_no, CAST(window_start AS DOUBLE) AS window_start, CAST(least(total, greatest(least(window_start + 300, total), e)) AS DOUBLE) AS window_end, n_segments, text FROM w"""
 
 
 @query("segment_windows", _WINDOWS)
 def segment_windows(t: Tables):
     # Small blocks so that the carry between blocks is exercised at every scale.
-    return S.segment_windows(_segments(t), block_rows=512).select(
-        "doc_id", "first_seg", "window_start", "window_end", "n_segments", "text"
-    )
+    return S.segment_windows(_segments(t), block_rows=512, part_rows=PART)
 
 
 _HEAD = f"'### ' || {D.short_time('window_start')} || '–' || {D.short_time('window_end')} || {NL2}"
 
 
-@query("render_segments_md", f"SELECT doc_id, string_agg({_HEAD} || text, {NL2} ORDER BY first_seg) AS markdown FROM ({_WINDOWS}) GROUP BY doc_id")
+@query("render_segments_md", f"""
+  WITH w AS (SELECT doc_id, first_seg + part_no * {PART} AS pos, CASE WHEN part_no = 0 THEN {_HEAD} ELSE '' END || text AS block FROM ({_WINDOWS}))
+  SELECT doc_id, pos // {PART} AS part_no, string_agg(block, {NL2} ORDER BY pos) AS markdown FROM w GROUP BY doc_id, pos // {PART}""")
 def render_segments_md(t: Tables):
-    return S.render_segments(S.segment_windows(_segments(t))).select("doc_id", "markdown")
+    return S.render_segments(S.segment_windows(_segments(t), part_rows=PART), part_rows=PART)
 
 
 CHAPTERS = f"""SELECT {_DOC} AS doc_id, {_SECONDS} AS start, event_id AS pos,
@@ -101,12 +105,13 @@ def join_chapter_range(t: Tables):
 
 @query("render_chapters_md", f"""
   WITH p AS ({_PLACED}),
-  m AS (SELECT doc_id, CAST(round_even(chapter_start * 1000, 0) AS BIGINT) AS block_no, '### ' || {D.short_time('chapter_start')} || ' ' || chapter_title || {NL2}
-      || string_agg(text, {NL2} ORDER BY seg_no) AS block_md FROM p GROUP BY doc_id, chapter_start, chapter_title)
-  SELECT doc_id, block_no, block_md FROM m
-  UNION ALL SELECT doc_id, first_seg AS block_no, {_HEAD} || text AS block_md FROM ({_WINDOWS}) WHERE doc_id NOT IN (SELECT doc_id FROM m)""")
+  q AS (SELECT *, seg_no // {PART} - (min(seg_no) OVER (PARTITION BY doc_id, chapter_start)) // {PART} AS part_no FROM p),
+  m AS (SELECT doc_id, CAST(round_even(chapter_start * 1000, 0) AS BIGINT) AS block_no, part_no, CASE WHEN part_no = 0 THEN '### ' || {D.short_time('chapter_start')} || ' ' || chapter_title || {NL2} ELSE '' END
+      || string_agg(text, {NL2} ORDER BY seg_no) AS block_md FROM q GROUP BY doc_id, chapter_start, chapter_title, part_no)
+  SELECT doc_id, block_no, part_no, block_md FROM m
+  UNION ALL SELECT doc_id, first_seg AS block_no, part_no, CASE WHEN part_no = 0 THEN {_HEAD} ELSE '' END || text AS block_md FROM ({_WINDOWS}) WHERE doc_id NOT IN (SELECT doc_id FROM m)""")
 def render_chapters_md(t: Tables):
-    return S.render_chapters(_segments(t), t.sql(CHAPTERS)).select("doc_id", "block_no", "block_md")
+    return S.render_chapters(_segments(t), t.sql(CHAPTERS), part_rows=PART)
 
 
 DURATIONS = "SELECT o_orderkey, o_totalprice / 1000 AS duration FROM {orders}"
@@ -285,9 +290,9 @@ def srt_number(t: Tables):
     return S.srt_blocks(t.sql(TURNS))
 
 
-@query("sink_srt", f"SELECT doc_id, string_agg(srt, '' ORDER BY seg_no) AS srt FROM ({_SRT}) GROUP BY doc_id")
+@query("sink_srt", f"SELECT doc_id, seg_no // 2 AS part_no, string_agg(srt, '' ORDER BY seg_no) AS srt FROM ({_SRT}) GROUP BY doc_id, seg_no // 2")
 def sink_srt(t: Tables):
-    return S.render_srt(t.sql(TURNS)).select("doc_id", "srt")
+    return S.render_srt(t.sql(TURNS), part_rows=2)
 
 
 # ---- normalisation ----
@@ -305,7 +310,7 @@ def text_basic_normalize_documents(t: Tables):
     return t.wide("documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
-HINTS = """SELECT p_partkey AS doc_id, p_name AS title, '' AS context, 'Api' AS t1, upper(p_name) AS t2, ' ' AS person FROM {part} WHERE p_partkey % 2 = 0"""
+HINTS = """SELECT p_partkey AS doc_id, p_name AS title, '' AS context, 'Api' AS t1, upper(p_name) AS t2, upper(p_brand) AS person FROM {part} WHERE p_partkey % 2 = 0"""
 
 
 def _hints(t: Tables):
@@ -322,21 +327,21 @@ def term_canonicalize(t: Tables):
     return named.select("doc_id", T.normalize_text(F.col("text"), terms).alias("text"))
 
 
-@query("join_terms", f"SELECT p_partkey AS doc_id, {_TERMED} AS text FROM {{part}}")
+@query("join_terms", f"SELECT p_partkey AS doc_id, {_TERMED.replace('p_brand', 'upper(p_brand)', 1)} AS text FROM {{part}}")
 def join_terms(t: Tables):
     return S.normalize_segments(t.sql(SPOKEN), _hints(t)).select("doc_id", "text")
 
 
 @query("normalization_report", """
   SELECT p_partkey AS doc_id, 'basic' AS mode, CAST(1 AS BIGINT) AS processed_segments, CAST(1 AS BIGINT) AS changed_segments,
-    CAST(CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS hints_used FROM {part}""")
+    CAST(CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 0 END AS BIGINT) AS hints_used FROM {part}""")
 def normalization_report(t: Tables):
     hints = _hints(t)
     return S.normalization_report(S.normalize_segments(t.sql(SPOKEN), hints), hints)
 
 
 @query("hint_context", """
-  SELECT doc_id, left('标题：' || source || chr(10) || '人物：A、B' || chr(10) || '术语：' || lang || chr(10) || text, 4000) AS context FROM {documents}""")
+  SELECT doc_id, '标题：' || source || chr(10) || '人物：A、B' || chr(10) || '术语：' || lang || chr(10) || text AS context FROM {documents}""")
 def hint_context(t: Tables):
     people, terms = F.array(F.lit("A"), F.lit("B")), F.array("lang")
     return t["documents"].select("doc_id", T.hint_context(F.col("source"), people, terms, F.col("text")).alias("context"))
@@ -530,8 +535,8 @@ _QA_BLOCK = f"""'### 回答 ' || answer_no || '｜' || author || {_N} || '> ' ||
 
 @query("qa_render", f"""
   WITH q AS (SELECT question_id, coalesce(arg_min(detail_md, round) FILTER (WHERE detail_md <> ''), '') AS d FROM ({SNAPSHOTS}) GROUP BY question_id),
-  b AS (SELECT question_id, string_agg({_QA_BLOCK}, {_N} ORDER BY answer_no) AS body FROM ({_NUMBERED}) GROUP BY question_id)
-  SELECT question_id, CASE WHEN d <> '' THEN '## 问题描述' || {NL2} || d || {NL2} ELSE '' END || '## 回答' || {NL2} || rtrim(body, '- ' || {_N}) || {_N} AS body_md FROM b JOIN q USING (question_id)""")
+  b AS (SELECT question_id, (answer_no - 1) // 2 AS part_no, string_agg({_QA_BLOCK}, {_N} ORDER BY answer_no) AS body FROM ({_NUMBERED}) GROUP BY question_id, (answer_no - 1) // 2)
+  SELECT question_id, CAST(part_no AS BIGINT) AS part_no, CASE WHEN part_no > 0 THEN '' ELSE CASE WHEN d <> '' THEN '## 问题描述' || {NL2} || d || {NL2} ELSE '' END || '## 回答' || {NL2} END || rtrim(body, '- ' || {_N}) || {_N} AS body_md FROM b JOIN q USING (question_id)""")
 def qa_render(t: Tables):
     answers = A.number_answers(t.sql(ANSWERS))
-    return A.render_questions(A.merge_questions(t.sql(SNAPSHOTS)), answers).select("question_id", "body_md")
+    return A.render_questions(A.merge_questions(t.sql(SNAPSHOTS)), answers, part_rows=2)
