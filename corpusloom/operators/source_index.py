@@ -77,9 +77,15 @@ def _killers(index: DataFrame, incoming: DataFrame) -> DataFrame:
         new.where(F.col("product_key") != "").select("product_key", "seq").unionByName(_obsolete(new)).distinct()
     )
     first = lambda events, key, name: events.groupBy(key).agg(F.min("seq").alias(name))
+
+    def matched(rows: DataFrame, events: DataFrame, key: str, name: str) -> DataFrame:
+        """First event per key; rows without a key match nothing and stay out of the exchange."""
+        has = F.coalesce(F.col(key) != "", F.lit(False))
+        found = rows.where(has).join(first(events, key, name), key, "left")
+        return found.unionByName(rows.where(~has).withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
+
     nodes_old = (
-        old.join(first(link_events, "link_key", "by_link"), "link_key", "left")
-        .join(first(product_events, "product_key", "by_product"), "product_key", "left")
+        matched(matched(old, link_events, "link_key", "by_link"), product_events, "product_key", "by_product")
         .select(
             (-F.col("row_no") - 1).alias("node"),
             F.struct(F.lit(0).alias("k"), F.col("row_no").cast("long").alias("n")).alias("place"),

@@ -93,31 +93,38 @@ def json_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def csv_items(spark: SparkSession, path, suffix: str = ".csv") -> DataFrame:
     """Items of CSV manifests with a `source` column; line_number counts records from 2.
 
-    Quoted fields may hold newlines, so one file is read by one task, as the format demands.
+    Each file is read by its own header, whatever the order of its columns; a file without a
+    `source` column is an error. Quoted fields may hold newlines, so one file is read by one
+    task, as the format demands.
     """
+    titles = numbered_lines(spark, path, suffix).where(F.col("line_number") == 1)
+    width = titles.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
     frame = (
         spark.read.option("pathGlobFilter", f"*{suffix}")
-        .csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+        .schema(", ".join(f"c{k} string" for k in range(width)))
+        .csv(path, header=False, multiLine=True, escape='"')
     )
-    if "source" not in frame.columns:
-        raise ValueError("a CSV manifest needs a source column")
-    optional = lambda c: F.col(c) if c in frame.columns else F.lit("")
-    raw = frame.select(
+    records = frame.select(
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("at"),
-        strip(text_or_empty(F.col("source"))).alias("source"),
-        strip(text_or_empty(optional("name"))).alias("name"),
-        text_or_empty(optional("tags")).alias("tags_text"),
+        F.array(*[text_or_empty(F.col(f"c{k}")) for k in range(width)]).alias("cells"),
     )
-    firsts = raw.groupBy("file").agg(F.min("at").alias("first"))
-    return raw.join(firsts, "file").where(F.col("source") != "").select(
+    title = lambda c: strip(F.regexp_replace(c, "^\ufeff", ""))
+    heads = records.groupBy("file").agg(
+        F.min("at").alias("first"), F.transform(F.min_by("cells", "at"), title).alias("head")
+    )
+    place = lambda name: F.array_position("head", F.lit(name)).cast("int")
+    cell = lambda name: F.when(place(name) > 0, F.get("cells", place(name) - 1)).otherwise("")
+    missing = F.raise_error(F.concat(F.lit("a CSV manifest needs a source column: "), F.col("file"))).cast("string")
+    rows = records.join(heads, "file").where(F.col("at") > F.col("first"))
+    return rows.select(
         "file",
-        (F.col("at") - F.col("first") + 2).cast("long").alias("line_number"),
+        (F.col("at") - F.col("first") + 1).cast("long").alias("line_number"),
         F.lit(0).alias("pos"),
-        _clean_source(F.col("source")).alias("source"),
-        "name",
-        parse_tags(F.col("tags_text")).alias("tags"),
-    )
+        F.when(place("source") > 0, strip(cell("source"))).otherwise(missing).alias("source"),
+        strip(cell("name")).alias("name"),
+        parse_tags(cell("tags")).alias("tags"),
+    ).where(F.col("source") != "").withColumn("source", _clean_source(F.col("source")))
 
 
 def load_manifests(
@@ -125,11 +132,17 @@ def load_manifests(
 ) -> DataFrame:
     """All manifests below a folder as one item table; the suffix decides the format.
 
-    `strict` turns bad JSON lines into an error that names the line.
+    `strict` turns bad JSON lines into an error that names the line, and files of another
+    format and a folder without any item into errors as well.
     """
     unknown = [s for s in suffixes if s not in ("txt", "jsonl", "csv")]
     if unknown:
         raise ValueError(f"manifest formats are txt, jsonl and csv, not {unknown}")
+    if strict:
+        known = r"\.(?i:" + "|".join({"jsonl": "jsonl|json"}.get(s, s) for s in suffixes) + r")$"
+        other = spark.read.format("binaryFile").load(path).select("path").where(~F.col("path").rlike(known)).limit(5).collect()
+        if other:
+            raise ValueError("not a manifest: " + ", ".join(r["path"] for r in other))
     parts = []
     if "txt" in suffixes:
         parts.append(text_items(numbered_lines(spark, path, ".txt")))
@@ -148,4 +161,6 @@ def load_manifests(
     out = parts[0]
     for other in parts[1:]:
         out = out.unionByName(other)
+    if strict and out.isEmpty():
+        raise ValueError(f"no items in the manifests below {path}")
     return out

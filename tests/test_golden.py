@@ -250,3 +250,27 @@ def test_one_bad_page_costs_one_row(spark):
     assert rows[0]["markdown"] == "x" and rows[0]["error"] is None
     assert rows[1]["error"] and rows[1]["markdown"] is None
     assert rows[2]["markdown"] == "fine" and rows[2]["error"] is None
+
+
+def test_csv_files_have_headers_of_their_own(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.csv").write_text("source,name\nhttps://a.org,A\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("tags,name,source,more\nx,B,https://b.org,1\n", encoding="utf-8")
+    rows = {(r["source"], r["name"], r["line_number"]) for r in M.csv_items(spark, str(tmp_path)).collect()}
+    assert rows == {("https://a.org", "A", 2), ("https://b.org", "B", 2)}
+    (tmp_path / "c.csv").write_text("name\nC\n", encoding="utf-8")
+    with pytest.raises(Exception, match="needs a source column"):
+        M.csv_items(spark, str(tmp_path)).collect()
+
+
+def test_other_files_and_empty_manifests_are_errors(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "m.txt").write_text("# nothing\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="no items"):
+        M.load_manifests(spark, str(tmp_path))
+    (tmp_path / "m.txt").write_text("https://a.org\n", encoding="utf-8")
+    (tmp_path / "notes.md").write_text("x", encoding="utf-8")
+    with pytest.raises(ValueError, match="not a manifest"):
+        M.load_manifests(spark, str(tmp_path))
