@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.refs import normalize_reference, task_key
 from ..functions.verdicts import clipped_message
 from ..runtime import materialize
-from .ordered import block_of, keep_first, with_row_number
+from .ordered import keep_first, with_row_number
 
 STATUSES = ("success", "failed", "pending", "running")
 # The settings that change what an ingestion produces.
@@ -82,7 +82,9 @@ def register(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     firsts = keep_first(items, IDENTITY, ["pos"])
     fresh = firsts if tasks is None else firsts.join(tasks.select(*IDENTITY), IDENTITY, "left_anti")
     fresh = materialize(fresh, "new-tasks")
-    numbered = with_row_number(fresh, [], ["pos"], block_of(F.col("pos")), "__no")
+    # Blocks of equal size whatever the positions are; written, so that both readings agree on them.
+    ranged = materialize(fresh.repartitionByRange("pos").withColumn("__range", F.spark_partition_id()), "ranged-tasks")
+    numbered = with_row_number(ranged, [], ["pos"], F.col("__range"), "__no").drop("__range")
     if tasks is None:
         return blank_task(numbered.withColumn("task_id", F.col("__no")))
     highest = tasks.agg(F.coalesce(F.max("task_id"), F.lit(0))).scalar()

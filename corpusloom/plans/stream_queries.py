@@ -55,11 +55,17 @@ def stream_stalled(t: Tables):
     return J.run_to_table(quiet, f"{work}/out", f"{work}/checkpoint")
 
 
-@query("stream_segments")
+@query("stream_segments", """
+  SELECT user_id AS doc_id, strftime(make_timestamp(CAST(floor(epoch(ts) / 300) AS BIGINT) * 300000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+    event_id // 1000 AS part_no, count(*) AS n_segments, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS text
+  FROM {events} GROUP BY ALL""")
 def stream_segments(t: Tables):
     work = scratch_path(t.spark, "stream-segments")
     live = _events(t).select(F.col("user_id").alias("doc_id"), "at", F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
-    return J.run_to_table(J.segment_stream(live, "doc_id"), f"{work}/out", f"{work}/checkpoint")
+    windows = J.segment_stream(live, "doc_id", part_rows=1000)
+    rows = J.run_to_rows(windows, f"{work}/out", f"{work}/checkpoint", ["doc_id", "window_start", "part_no"])
+    start = F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return rows.select("doc_id", start, "part_no", "n_segments", "text")
 
 
 @query("stream_source_counts", f"""

@@ -88,10 +88,12 @@ def stalled(events: DataFrame, key: str, idle: str = "1 hour", delay: str = "10
     )
 
 
-def segment_stream(segments: DataFrame, key: str, window_seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
+def segment_stream(
+    segments: DataFrame, key: str, window_seconds: int = 300, delay: str = "10 minutes", part_rows: int = PART_ROWS
+) -> DataFrame:
     """Live segments (key, at, seq, text) to fixed reading windows, in bounded text parts."""
     live = segments.where(strip(F.col("text")) != "")
-    part = block_of(F.col("seq"), PART_ROWS).alias("part_no")
+    part = block_of(F.col("seq"), part_rows).alias("part_no")
     return live.withWatermark("at", delay).groupBy(
         F.window("at", f"{window_seconds} seconds"), key, part
     ).agg(

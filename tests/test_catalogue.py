@@ -43,15 +43,3 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_streamed_windows_match_batch(spark):
-    """Windows the stream closed carry the same texts as a batch grouping of the table."""
-    from pyspark.sql import functions as F
-
-    got = QUERIES["stream_segments"](spark, FOLDER)
-    events = spark.read.parquet(f"{FOLDER}/events.parquet")
-    batch = events.groupBy(F.col("user_id").alias("doc_id"), F.window("ts", "300 seconds").start.alias("s")).agg(F.count("*").alias("n"))
-    want = {(r["doc_id"], r["s"].isoformat()): r["n"] for r in batch.collect()}
-    mine = {(r["doc_id"], r["window_start"].isoformat()): r["n_segments"] for r in got.collect()}
-    assert mine and all(want[k] == n for k, n in mine.items())
