@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.routing import Channel, classify, with_channels
+from ..functions.routing import Channel, with_channel, with_channels
 from ..functions.strings import is_blank
 from ..functions.text import is_speech, strip_speech_tags
 from ..functions.verdicts import error_class
@@ -71,4 +71,4 @@ def infer_segments(chunks: DataFrame, column: str, loader: Loader, batch_size: i
 
 def route_with(df: DataFrame, reference: str, extra: Sequence[Channel]) -> DataFrame:
     """Classify with the caller's own channels; their rank decides, not their registration order."""
-    return df.withColumn("channel", classify(F.col(reference), channels=with_channels(extra)))
+    return with_channel(df, reference, channels=with_channels(extra))

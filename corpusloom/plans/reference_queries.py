@@ -143,14 +143,14 @@ def product_key(t: Tables):
 @query("route_classify", f"SELECT kind, id, reference, {D.channel('reference')} AS channel FROM ({NORMALIZED})")
 def route_classify(t: Tables):
     refs = t.sql(ROUTED).select("kind", "id", R.normalize_reference(F.col("raw")).alias("reference"))
-    return refs.withColumn("channel", C.classify(F.col("reference")))
+    return C.with_channel(refs, "reference")
 
 
 @query("source_stats", f"""
   SELECT {D.channel('reference')} AS channel, count(*) AS sources FROM ({NORMALIZED}) GROUP BY 1""")
 def source_stats(t: Tables):
     refs = t.sql(ROUTED).select(R.normalize_reference(F.col("raw")).alias("reference"))
-    return refs.groupBy(C.classify(F.col("reference")).alias("channel")).agg(F.count(F.lit(1)).alias("sources"))
+    return C.with_channel(refs, "reference").groupBy("channel").agg(F.count(F.lit(1)).alias("sources"))
 
 
 _ADAPTERS = " ".join(f"WHEN '{c.key}' THEN '{c.adapter}'" for c in C.CHANNELS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.refs import extract_references, normalize_reference, task_key
-from ..functions.routing import classify
+from ..functions.routing import with_channel
 from ..functions.strings import strip
 from ..operators.ordered import PART_ROWS, block_of, ordered_text
 from ..sinks.snapshots import SnapshotTable
@@ -106,7 +106,7 @@ def segment_stream(
 
 def channel_counts(references: DataFrame, url: str, at: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Captures per channel and time window."""
-    routed = references.withColumn("channel", classify(normalize_reference(F.col(url))))
+    routed = with_channel(references.withColumn("__reference", normalize_reference(F.col(url))), "__reference")
     return routed.withWatermark(at, delay).groupBy(F.window(at, window), "channel").count()
 
 
