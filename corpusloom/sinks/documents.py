@@ -48,8 +48,9 @@ def json_record(documents: DataFrame) -> DataFrame:
 
 
 def write_markdown(published: DataFrame, path: str) -> None:
-    """Published rows as a table partitioned by capture day, clustered so days make few files."""
-    published.repartition("capture_day", F.pmod(F.xxhash64("path"), F.lit(32))).write.mode(
+    """Published rows as a table partitioned by capture day, clustered so that small days make few files and
+    large ones are split by size."""
+    published.hint("rebalance", F.col("capture_day")).write.mode(
         "errorifexists"
     ).partitionBy("capture_day").parquet(path)
 

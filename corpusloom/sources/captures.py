@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.refs import product_key
 from ..functions.strings import strip, text_or_empty
 from ..functions.verdicts import READ_NO
-from ..operators.source_index import INDEX_COLUMNS
+from ..operators.source_index import INDEX_COLUMNS, INDEX_TITLE
 from .manifests import numbered_lines
 
 INDEX_FILE = "sources.md"
@@ -86,8 +86,30 @@ def parse_index(lines: DataFrame) -> DataFrame:
     )
 
 
+def titled(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
+    """The numbered lines of index files; one whose first line with text is not the title is an error."""
+    first = lines.where(strip(F.col("value")) != "").groupBy("file").agg(F.min_by(strip(F.col("value")), "line_number").alias("__title"))
+    foreign = F.raise_error(F.concat(F.lit("not an index file: "), F.col("file"))).cast("string")
+    kept = lines.join(first, "file")
+    return kept.withColumn("value", F.when(F.col("__title") == title, F.col("value")).otherwise(foreign)).drop("__title")
+
+
+def lines_around_index(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
+    """(file, line_number, value) of the hand-written lines before and after the table, to be written back."""
+    rows = lines.select("file", "line_number", "value", strip(F.col("value")).alias("v"), index_cells(F.col("value")).alias("cells"))
+    header = F.array(*[F.lit(c) for c in INDEX_COLUMNS])
+    is_header = F.col("v").startswith("|") & ((F.col("cells") == header) | (F.col("cells") == F.slice(header, 1, len(INDEX_COLUMNS) - 1)))
+    heads = rows.groupBy("file").agg(F.min(F.when(is_header, F.col("line_number"))).alias("head"))
+    placed = rows.join(heads, "file")
+    ends = placed.groupBy("file").agg(
+        F.min(F.when((F.col("line_number") > F.col("head")) & ~F.col("v").startswith("|"), F.col("line_number"))).alias("end")
+    )
+    outside = F.col("head").isNull() | (F.col("line_number") < F.col("head")) | (F.col("line_number") >= F.col("end"))
+    return placed.join(ends, "file").where(outside & (F.col("v") != title)).select("file", "line_number", "value")
+
+
 def source_index(spark: SparkSession, path) -> DataFrame:
-    return parse_index(numbered_lines(spark, path, ".md"))
+    return parse_index(titled(numbered_lines(spark, path, ".md")))
 
 
 STATUS_SCHEMA = (
