@@ -21,27 +21,24 @@ FINGERPRINT_FIELDS = (
     "llm_model", "llm_api", "llm_chunk_seconds", "llm_candidates", "max_answers", "formats", "keep_audio",
     "keep_chunks",
 )
-# The settings used when a caller names none.
-DEFAULT_SETTINGS = {
-    "asr_backend": "sensevoice", "asr_language": "auto", "limit_seconds": 0, "subtitle_window_seconds": 300,
-    "transcript_window_seconds": 300, "sensevoice_model_dir": "", "sensevoice_chunk_seconds": 30,
-    "sensevoice_batch_size": 2, "sensevoice_quantize": True,
-    "openai_asr_base_url": "https://api.openai.com/v1", "openai_asr_model": "gpt-4o-transcribe",
-    "openai_asr_chunk_seconds": 1200, "asr_prompt": "", "llm_base_url": "https://opencode.ai/zen/go/v1",
-    "llm_model": "mimo-v2.5", "llm_api": "chat", "llm_chunk_seconds": 300, "llm_candidates": [],
-    "max_answers": 0, "formats": ["md"], "keep_audio": False, "keep_chunks": False,
-}
 
 
 def fingerprint(settings: dict | None = None) -> str:
-    """Short hash of the settings that matter; computed once on the driver."""
-    chosen = {**DEFAULT_SETTINGS, **(settings or {})}
+    """Short hash of the given settings that matter, for one run."""
+    given = settings or {}
     text = json.dumps(
-        {f: chosen[f] for f in FINGERPRINT_FIELDS}, ensure_ascii=False, sort_keys=True, default=list
+        {f: given[f] for f in FINGERPRINT_FIELDS if given.get(f) is not None},
+        ensure_ascii=False, sort_keys=True, default=list, separators=(",", ":"),
     )
     return hashlib.sha256(text.encode("utf-8")).hexdigest()[:16]
 
 
+def fingerprint_of(settings: dict[str, Column]) -> Column:
+    """The same hash per row, for a table of settings."""
+    fields = [settings[f].alias(f) for f in sorted(FINGERPRINT_FIELDS) if f in settings]
+    return F.left(F.sha2(F.to_json(F.struct(*fields)), 256), F.lit(16))
+
+
 def identify(items: DataFrame, settings_hash: str, local_path: Column | None = None) -> DataFrame:
     """Items (source, name, tags, pos) with normalised source, key and fingerprint."""
     return items.withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import refs as R
 from ..functions import routing as C
 from ..operators.ordered import keep_first
-from ..operators.tasks import fingerprint
+from ..operators.tasks import fingerprint_of
 from ..runtime import scratch_path
 from ..sources import manifests as M
 from . import duck as D
@@ -264,9 +264,17 @@ def task_identity(t: Tables):
     return t.sql(ROUTED).select("kind", "id", R.task_key(R.normalize_reference(F.col("raw"))).alias("task_key"))
 
 
-@query("config_fingerprint", f"SELECT kind, id, '{fingerprint()}' AS config_fingerprint FROM ({ROUTED})")
+@query("config_fingerprint", """
+  SELECT p_partkey, left(sha256('{' || CASE WHEN p_size % 2 = 0 THEN '' ELSE '"asr_language":"' || p_brand || '",' END
+    || '"formats":["md","' || p_type || '"],"keep_audio":' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ',"limit_seconds":' || p_size || '}'), 16) AS config_fingerprint FROM {part}""")
 def config_fingerprint(t: Tables):
-    return t.sql(ROUTED).select("kind", "id", F.lit(fingerprint()).alias("config_fingerprint"))
+    """One row of settings per part; what is null is not given, other columns do not matter."""
+    size = F.col("p_size")
+    settings = {
+        "limit_seconds": size, "asr_language": F.when(size % 2 != 0, F.col("p_brand")), "formats": F.array(F.lit("md"), F.col("p_type")),
+        "keep_audio": size > 25, "verbose": F.col("p_name"),
+    }
+    return t["part"].select("p_partkey", fingerprint_of(settings).alias("config_fingerprint"))
 
 
 # ---- manifests: files written from `pages`, one folder per thousand pages, then scanned ----

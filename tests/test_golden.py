@@ -290,3 +290,11 @@ def test_index_files_keep_their_other_lines(spark, tmp_path):
     (tmp_path / "j.md").write_text("# other\n", encoding="utf-8")
     with pytest.raises(Exception, match="not an index file"):
         SC.source_index(spark, str(tmp_path)).collect()
+
+
+def test_fingerprints_agree(spark):
+    from corpusloom.operators import tasks as K
+
+    given = {"limit_seconds": 5, "asr_language": "中 \"x\"", "formats": ["md", "srt"], "keep_audio": True}
+    columns = {"limit_seconds": F.lit(5), "asr_language": F.lit("中 \"x\""), "formats": F.array(F.lit("md"), F.lit("srt")), "keep_audio": F.lit(True)}
+    assert one(spark, K.fingerprint_of(columns), x=1) == K.fingerprint({**given, "other": 1}) != K.fingerprint({})
