@@ -7,13 +7,12 @@ megabytes of text at once, or one text if a single one is longer.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -40,18 +39,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    steps = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    for s in steps:
-        s[0] = 1
-    return np.multiply.accumulate(steps[0]), np.multiply.accumulate(steps[1])
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << max(0, n - 1).bit_length())
-    up, down = _powers(base, size)
+    """The first n powers of an odd number and of its inverse, modulo 2**64; the longest asked for are kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = -(-n // (1 << 16)) << 16
+        made = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            made.append(np.multiply.accumulate(steps))
+        if size > 1 << 22:  # for one very long text; not kept
+            return made[0][:n], made[1][:n]
+        _POWERS[base] = made[0], made[1]
+    up, down = _POWERS[base]
     return up[:n], down[:n]
 
 

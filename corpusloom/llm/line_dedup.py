@@ -127,14 +127,14 @@ def _candidates(first: DataFrame, similarity: float) -> DataFrame:
     ratio = similarity / (1 + similarity)
 
     def run(batches):
-        for table, starts in bundles(batches, group, 200_000):
+        for table, starts in bundles(batches, group, 50_000):
             n = table.num_rows
             rid, size, m1, m2, pos, side = (table.column(c).to_numpy() for c in ("rid", "size", "m1", "m2", "pos", "side"))
             m1, m2 = m1.view(np.uint64), m2.view(np.uint64)  # bits of a negative number are counted otherwise
             apart = table.column("left").to_numpy() != table.column("right").to_numpy()
             some_apart = bool(apart.any())
             found = []
-            for i, j in pairs(starts, n):
+            for i, j in pairs(starts, n, 1 << 17):
                 if some_apart:
                     ok = ~(apart[i] & (side[i] == side[j]))
                     i, j = i[ok], j[ok]
