@@ -141,8 +141,12 @@ def _words(part: pa.RecordBatch):
     return texts, doc, words, at
 
 
+_ROW = "symbol bigint, content bigint, id bigint, doc_hash bigint, place int, n int, more binary"
+_NAMES = ["symbol", "content", "id", "doc_hash", "place", "n", "more"]
+
+
 def _records(docs: DataFrame, window: int) -> DataFrame:
-    """(symbol, content, id, doc_hash, place, n): windows place .. place + n - 1 of a document."""
+    """Windows place .. place + n - 1 of a document; `more` has the other places of the same content in it."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -151,21 +155,32 @@ def _records(docs: DataFrame, window: int) -> DataFrame:
             if not len(first):
                 continue
             content = range_hashes(words, first, first + n + window - 1)
+            order = np.lexsort((first, content, symbol, doc[first]))
+            first, n, symbol, content = first[order], n[order], symbol[order], content[order]
             own = doc[first]
+            fresh = np.ones(len(first), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1]) | (content[1:] != content[:-1])
+            head = np.flatnonzero(fresh)
+            end = np.append(head[1:], len(first))
+            place = (first - at[own]).astype("<i4")
+            more: list = [None] * len(head)
+            for k in np.flatnonzero(end - head > 1).tolist():
+                more[k] = place[head[k] + 1 : end[k]].tobytes()
+            texts_of = pa.array(own[head])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(symbol.view(np.int64)), pa.array(content.view(np.int64)), part.column("id").take(pa.array(own)), part.column("doc_hash").take(pa.array(own)),
-                    pa.array((first - at[own]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(symbol[head].view(np.int64)), pa.array(content[head].view(np.int64)), part.column("id").take(texts_of), part.column("doc_hash").take(texts_of),
+                    pa.array(place[head]), pa.array(n[head].astype(np.int32)), pa.array(more, pa.binary()),
                 ],
-                names=["symbol", "content", "id", "doc_hash", "place", "n"],
+                names=_NAMES,
             )
 
-    return docs.mapInArrow(run, "symbol bigint, content bigint, id bigint, doc_hash bigint, place int, n int")
+    return docs.mapInArrow(run, _ROW)
 
 
 def _open_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(symbol, content, id, doc_hash, place, n) with one row per window of the open records (n is 1)."""
-    lists = wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n", "symbol")).alias("open"))
+    """Rows as of `_records` with one per window of the open records (n is 1)."""
+    lists = wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n", "symbol", "more")).alias("open"))
     side = narrow_side(materialize(lists, "open-records"), F.size("open"))
 
     def run(batches):
@@ -175,19 +190,23 @@ def _open_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             flat = entries.flatten()
             owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(entries.offsets)))
             place, n, symbol = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
-            start = np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            owner, symbol = np.repeat(owner, n), np.repeat(symbol, n)
+            shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(place, n) + shift
+            record = np.repeat(np.arange(len(n)), n)
+            owner, symbol = owner[record], symbol[record]
+            others = flat.field(3).to_pylist()
+            more = [o and (np.frombuffer(o, "<i4") + k).astype("<i4").tobytes() for o, k in zip([others[r] for r in record.tolist()], shift.tolist())]
             content = range_hashes(words, at[owner] + start, at[owner] + start + window)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(symbol), pa.array(content.view(np.int64)), part.column("id").take(pa.array(owner)), part.column("doc_hash").take(pa.array(owner)),
-                    pa.array(start.astype(np.int32)), pa.array(np.ones(len(start), np.int32)),
+                    pa.array(start.astype(np.int32)), pa.array(np.ones(len(start), np.int32)), pa.array(more, pa.binary()),
                 ],
-                names=["symbol", "content", "id", "doc_hash", "place", "n"],
+                names=_NAMES,
             )
 
     joined = docs.join(side, ["id", "doc_hash"]).select("id", "doc_hash", "text", "open")
-    return joined.mapInArrow(run, "symbol bigint, content bigint, id bigint, doc_hash bigint, place int, n int")
+    return joined.mapInArrow(run, _ROW)
 
 
 def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -199,13 +218,14 @@ def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     judged = found.withColumn("earliest", F.min("id").over(same)).withColumns({"low": F.min("content").over(about), "high": F.max("content").over(about)})
     state = materialize(
         judged.where((F.col("id") > F.col("earliest")) | (F.col("low") != F.col("high")))
-        .select("symbol", "id", "doc_hash", "place", "n", (F.col("id") > F.col("earliest")).alias("covered")),
+        .select("symbol", "id", "doc_hash", "place", "n", "more", (F.col("id") > F.col("earliest")).alias("covered")),
         "records",
     )
     windows = _open_windows(source, state.where(~F.col("covered")), window)
     single = windows.withColumn("earliest", F.min("id").over(same)).where(F.col("id") > F.col("earliest"))
-    gone = state.where("covered").select("id", "doc_hash", "place", "n").unionByName(single.select("id", "doc_hash", "place", "n"))
-    lists = gone.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n")).alias("parts"))
+    spot = ["id", "doc_hash", "place", "n", "more"]
+    gone = state.where("covered").select(*spot).unionByName(single.select(*spot))
+    lists = gone.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n", "more")).alias("parts"))
 
     def unite(batches):
         for b in batches:
@@ -213,6 +233,9 @@ def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             for own in b.column("parts"):
                 flat = own.values
                 start, n = (np.asarray(flat.field(k)).astype(np.int64) for k in range(2))
+                others = [(np.frombuffer(o, "<i4").astype(np.int64), c) for o, c in zip(flat.field(2).to_pylist(), n.tolist()) if o]
+                start = np.concatenate([start, *[o for o, _ in others]])
+                n = np.concatenate([n, *[np.full(len(o), c) for o, c in others]])
                 order = np.argsort(start, kind="stable")
                 start, end = start[order], np.maximum.accumulate(start[order] + n[order] + window - 1)
                 head = np.ones(len(start), bool)
