@@ -6,6 +6,7 @@ megabytes of text at once, or one text if a single one is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +129,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive between tasks, and their next one may need none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def counts_of(doc: np.ndarray, n: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .arrays import slices
+from .arrays import give_back, slices
 
 CHUNK_BYTES = 12 << 20
 
@@ -154,6 +154,7 @@ def encode_words(df: DataFrame, path: str) -> DataFrame:
                     last, ids = word, np.asarray(encode(word), "<u4").tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
+        give_back()
 
     schema = StructType([*df.schema.fields, StructField("ids", BinaryType())])
     return df.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
@@ -235,4 +236,5 @@ def _join(texts: pa.Table, table: pa.Table, path: str) -> pa.Table:
             encoded.append(b"".join(map(ids.__getitem__, places)))
             decoded.append(b" ".join(map(shown.__getitem__, places)))
     kind = texts.schema.field("keys").type.value_type
+    give_back()
     return pa.table([pa.array(keys, kind), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "ids", "decoded"])

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .arrays import give_back
 
 BLOCK_ROWS = 1024
 
@@ -63,6 +65,9 @@ def bundles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_
     if held:
         table = pa.Table.from_batches(held)
         yield table, heads(table, keys)
+        del table
+    held.clear()
+    give_back()
 
 
 def pairs(starts: np.ndarray, n: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
