@@ -12,6 +12,8 @@ from corpusloom.llm import bag_minhash, bpe_words, line_dedup, mixing, quality,
 from corpusloom.runtime import materialize
 
 QUALITY_THRESHOLD = 0.3
+# Chunks of the encoder: the executors' memory is also used by the stages before it.
+CHUNK_BYTES = 4 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids and digests of the ids and of the decoded text."""
-    coded = bpe_words.encode_texts(docs, queries.vocabulary())
+    coded = bpe_words.encode_texts(docs, queries.vocabulary(), chunk_bytes=CHUNK_BYTES)
     return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -118,11 +118,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[int, pa.RecordBatch, Iterator[list[str]]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, text: str, limit: int) -> Iterator[tuple[int, pa.RecordBatch, Iterator[list[str]]]]:
     """(chunk number, rows, words of each text). Numbers follow the partition and the order in it."""
     split = codec(path).words
     number = TaskContext.get().partitionId() << 20
-    for part in slices(batches, text, CHUNK_BYTES):
+    for part in slices(batches, text, limit):
         yield number, part, (split(v.as_py() or "") for v in part.column(text))
         number += 1
 
@@ -160,13 +160,17 @@ def encode_words(df: DataFrame, path: str) -> DataFrame:
     return df.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
-def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: key, ids (binary, little-endian 32-bit) and the decoded text (UTF-8 bytes)."""
+def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+    """One row per text: key, ids (binary, little-endian 32-bit) and the decoded text (UTF-8 bytes).
+
+    A task holds a chunk of about `chunk_bytes` of text; smaller chunks need less memory and a larger exchange.
+    """
+    limit = chunk_bytes or CHUNK_BYTES
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = source.schema["key"].dataType.simpleString()
 
     def requests(batches):
-        for number, part, split in _chunks(batches, path, "text"):
+        for number, part, split in _chunks(batches, path, "text", limit):
             seen: set[str] = set()
             for found in split:
                 seen.update(found)
@@ -180,7 +184,7 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 )
 
     def positions(batches):
-        for number, part, split in _chunks(batches, path, "text"):
+        for number, part, split in _chunks(batches, path, "text", limit):
             index: defaultdict[str, int] = defaultdict()
             index.default_factory = index.__len__
             places = [np.array(list(map(index.__getitem__, found)), np.uint32) for found in split]
