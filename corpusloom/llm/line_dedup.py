@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 SLOT_BITS = 20
 # A word counted more often than this may have a long list of lines; those lists are counted and cut.
 LONG_LIST = 4096
+# Fewer lines than this, their numbers fit a 64-bit sort key beside rarity and the low 36 bits of a word.
+PACKED_LINES = 1 << 20
 _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
 
@@ -58,8 +60,11 @@ def word_slots(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def line_sets(texts: Texts, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number, offsets, words) of the lines that have words; words by rarity, without repeats."""
+def line_sets(texts: Texts, rarity: np.ndarray, packed: int = PACKED_LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, offsets, words) of the lines that have words; words by rarity, low 36 bits and value, without repeats.
+
+    The order is the same for all slices: the prefix filter and the hashes of the sets need one order of the words.
+    """
     _, starts, _, words = texts.words()
     line_doc, line_start, _ = texts.lines()
     line = np.searchsorted(line_start, starts, side="right") - 1
@@ -70,8 +75,8 @@ def line_sets(texts: Texts, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     key, words, local = key[order], words[order], local[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
-    if len(used) >= 1 << 20 or ((words[1:] != words[:-1]) & ~fresh[1:]).any():
-        order = np.lexsort((words, rarity[(words >> _U(64 - SLOT_BITS)).astype(np.int64)], local))
+    if len(used) >= packed or ((words[1:] != words[:-1]) & ~fresh[1:]).any():
+        order = np.lexsort((words, words & _LOW36, rarity[(words >> _U(64 - SLOT_BITS)).astype(np.int64)], local))
         words, local = words[order], local[order]
         fresh[1:] = (words[1:] != words[:-1]) | (local[1:] != local[:-1])
     words, local = words[fresh], local[fresh]
@@ -87,12 +92,13 @@ def _lines(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     # Shared as a broadcast variable of fixed size: one byte for the order, one for long lists, per slot.
     rarity = np.minimum(255, np.floor(10 * np.log2(counts + 1))).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast((rarity, counts > LONG_LIST))
+    packed = PACKED_LINES
 
     def run(batches):
         rarity, long = shared.value
         rid = TaskContext.get().partitionId() << 36
         for part in slices(batches, "text"):
-            doc, number, at, words = line_sets(Texts(part.column("text")), rarity)
+            doc, number, at, words = line_sets(Texts(part.column("text")), rarity, packed)
             if not len(doc):
                 continue
             size = np.diff(at)

@@ -49,6 +49,47 @@ def test_long_lists_are_cut_into_blocks(make_docs, monkeypatch):
     assert found(make_docs(rows)) == brute(rows)
 
 
+def test_one_order_of_words_on_both_paths(make_docs, monkeypatch):
+    # The long document is a slice of its own with more lines than fit the sort key; the short ones stay below.
+    monkeypatch.setattr(line_dedup, "PACKED_LINES", 500)
+    rng = random.Random(3)
+    lines = [rng.sample(WORDS, rng.choice([3, 5, 9, 10, 12])) for _ in range(60)]
+    near = [" ".join([*x[1:], "new"] if k % 3 == 0 else x[::-1]) for k, x in enumerate(lines)]
+    filler = [f"f{k}" + "y" * 1000 for k in range(600)]
+    rows = [(1, "\n".join(filler + [" ".join(x) for x in lines])), *((10 + k, x) for k, x in enumerate(near))]
+    assert found(make_docs(rows)) == brute(rows)
+
+
+def test_words_with_equal_low_bits_keep_the_order():
+    import numpy as np
+
+    class Made:
+        """One text whose lines hold the given word hashes."""
+
+        n = 1
+
+        def __init__(self, lines):
+            self.hashes = [np.array(x, np.uint64) for x in lines]
+
+        def words(self):
+            line = np.repeat(np.arange(len(self.hashes)), [len(x) for x in self.hashes])
+            return np.zeros(len(line), int), line * 100 + 1, line * 100 + 2, np.concatenate(self.hashes)
+
+        def lines(self):
+            starts = np.arange(len(self.hashes)) * 100
+            return np.zeros(len(starts), int), starts, starts + 99
+
+    rarity = np.zeros(1 << line_dedup.SLOT_BITS, np.uint8)
+    common = [(9 << 40) | 5, (3 << 40) | 7, (8 << 40) | 6]
+    # The last line has two words that agree in the low 36 bits, so its whole slice is sorted the long way.
+    alone, beside = Made([common]), Made([common, [(1 << 50) | 4, (2 << 50) | 4, (1 << 50) | 4]])
+    first = line_dedup.line_sets(alone, rarity)[3]
+    _, number, at, words = line_dedup.line_sets(beside, rarity)
+    assert number.tolist() == [0, 1] and at.tolist() == [0, 3, 5]
+    assert words[:3].tolist() == first.tolist()
+    assert line_dedup.line_sets(beside, rarity, 0)[3].tolist() == words.tolist()
+
+
 def test_odd_rows(make_docs):
     long = "\n".join(f"a{k} b{k}" for k in range(20_000))
     rows = [(1, "x y z\n\nx y z"), (1, "x y z\n\nx y z"), (2, None), (3, ""), (4, "x y z"), (None, "x y z"), (5, long), (6, long), (7, "new\r\nx  y z\n")]
