@@ -4,7 +4,8 @@
 non-overlapping matches per kind; a match that fails its check is dropped. They keep their place
 whatever their score. Two further kinds are added where they overlap no base span:
 
-- iban: country, check digits and account, confirmed by the mod-97 rule;
+- iban: country, check digits and account, confirmed by the mod-97 rule; words in capitals and numbers after
+  the account may look like a part of it, so every end at a word's end is tried, the country's length first;
 - local_phone, national_id: number shapes without a checksum, kept only where a word near them
   lifts the score to `threshold`.
 
@@ -31,10 +32,23 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Every start, with the longest run of characters behind it that may belong to the account.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+-])\(?0?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+# Lengths of the accounts by country, without spaces; they only say which end is tried first.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 _WINDOW = 48
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,6 +101,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start not used by an earlier match: the end at the country's length, or else the longest, that passes mod-97."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        if start < free:
+            continue
+        ends = [e for e in range(m.end(1), start + 14, -1) if text[e - 1] != " " and text[e : e + 1] not in _ALNUM]
+        accounts = [(e, a) for e in ends if len(a := text[start:e].replace(" ", "")) >= 15]
+        accounts.sort(key=lambda x: len(x[1]) != _IBAN_LENGTHS.get(x[1][:2]))
+        if (end := next((e for e, a in accounts if mod97(a)), None)) is not None:
+            yield start, end
+            free = end
+
+
 def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
@@ -99,9 +128,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(a := m[0].replace(" ", "")) <= 34 and mod97(a):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in _LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end()
     for m in _NATIONAL_ID.finditer(text):

@@ -47,6 +47,46 @@ def test_added_kinds_and_scores():
     assert near.kind == "card" and near.score > pii.find_spans("order 4111111111111111")[0].score
 
 
+def made_iban(rng, country, length):
+    body = "".join(rng.choices("ABCXYZ0123456789", k=length - 4))
+    rest = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def ibans(text):
+    return [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+
+
+def test_ibans_end_before_words_in_capitals_and_numbers():
+    german, british, norse = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for iban in (german, british, norse, german.replace(" ", "")):
+        for rest in ("", " BIC COBADEFF", " OR", " 2024 AND MORE", " BIC COBADEFFXXX OR CALL 555", ".", " or", " A B C D E F G H I J K L"):
+            assert ibans(f"To {iban}{rest}") == [iban], (iban, rest)
+    assert ibans(f"{german} {british} {norse} X") == [german, british, norse]
+    assert ibans(f"REF AB12 {german} END") == [german]
+    assert ibans("DE89 3704 0044 0532 0130 01") == []
+
+
+def test_ibans_of_made_countries():
+    import random
+
+    rng = random.Random(4)
+    for country, length in [*pii._IBAN_LENGTHS.items(), ("ZZ", 34), ("QQ", 15)]:
+        iban = made_iban(rng, country, length)
+        assert ibans(iban) == [iban]
+        grouped = " ".join(iban[k : k + 4] for k in range(0, length, 4))
+        assert ibans(f"{grouped}, x") == [grouped]
+        if length < 34 and country in pii._IBAN_LENGTHS:
+            assert ibans(f"{grouped} NOW 12 PAY") == [grouped]
+        elif country == "QQ":
+            assert ibans(f"{iban} NOW") and ibans(f"{iban} NOW")[0].startswith(iban)
+
+
+def test_long_account_like_runs_are_linear():
+    for text in ("AB12 " * 100_000, "AB12" * 100_000, "DE89 3704 0044 0532 0130 01 " * 20_000):
+        pii.find_spans(text)
+
+
 def test_long_runs_are_linear():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 200_000, "+" + "1 " * 200_000, "a@" * 200_000, "A1 " * 100_000):
         pii.find_spans(text)
