@@ -100,6 +100,11 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n: int
     return (mix(best.view(np.uint64)) & _U(0xFFFFFFFF)).astype(np.uint32).reshape(n, m)
 
 
+def _text_hashes(texts: Texts) -> pa.Array:
+    raw = [hashlib.blake2b(texts.bytes[a:b], digest_size=16).digest() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
+    return pa.array(raw, pa.binary())
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """(id, text_hash, n, sig, bands) of every text with an id."""
 
@@ -111,10 +116,9 @@ def _signed(docs: DataFrame) -> DataFrame:
             per = COMPONENTS // BANDS
             band = range_hashes(sig.reshape(-1).astype(np.uint64) + _U(1), np.arange(0, sig.size, per), np.arange(per, sig.size + 1, per))
             band = mix(band + np.tile(np.arange(BANDS, dtype=np.uint64), texts.n) * _GOLD)
-            raw = [hashlib.blake2b(texts.bytes[a:b], digest_size=16).digest() for a, b in zip(texts.offsets[:-1], texts.offsets[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("id"), pa.array(raw, pa.binary()), pa.array(np.bincount(owner, minlength=texts.n), pa.int64()),
+                    part.column("id"), _text_hashes(texts), pa.array(np.bincount(owner, minlength=texts.n), pa.int64()),
                     pa.array([s.tobytes() for s in sig], pa.binary()),
                     spans_to_list(band.view(np.int64), np.arange(0, len(band) + 1, BANDS), pa.int64()),
                 ],
@@ -126,7 +130,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _multisets(docs: DataFrame) -> DataFrame:
-    """(id, bag): the shingles as a set in which the k-th occurrence of a shingle is an element of its own."""
+    """(text_hash, bag): the shingles as a set in which the k-th occurrence of a shingle is an element of its own."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -135,10 +139,9 @@ def _multisets(docs: DataFrame) -> DataFrame:
             turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             doc = np.repeat(owner, count)
             each = mix(np.repeat(hashes, count) + turn.astype(np.uint64) * _GOLD)
-            yield pa.RecordBatch.from_arrays([part.column("id"), spans_to_list(each.view(np.int64), bounds_of(doc, texts.n), pa.int64())], names=["id", "bag"])
+            yield pa.RecordBatch.from_arrays([_text_hashes(texts), spans_to_list(each.view(np.int64), bounds_of(doc, texts.n), pa.int64())], names=["text_hash", "bag"])
 
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, bag array<bigint>")
+    return docs.mapInArrow(run, "text_hash binary, bag array<bigint>")
 
 
 def _verified(candidates: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -242,19 +245,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     every = materialize(_signed(source), "signatures")
     # Equal texts: one class. Texts without words stay apart.
-    classes = every.where(F.col("n") > 0).groupBy("text_hash").agg(F.min("id").alias("rep"))
-    members = materialize(every.where(F.col("n") > 0).select("id", "text_hash").join(classes, "text_hash").select("id", "rep").distinct(), "members")
-    # An id may stand for several classes; its own text is the first one by hash.
-    signed = materialize(
-        every.where(F.col("n") > 0).join(classes, "text_hash").where(F.col("id") == F.col("rep"))
-        .groupBy("id").agg(F.min_by(F.struct("sig", "bands", "text_hash"), "text_hash").alias("r")).select("id", "r.sig", "r.bands"),
-        "representatives",
-    )
+    worded = every.where(F.col("n") > 0)
+    classes = worded.groupBy("text_hash").agg(F.min("id").alias("rep"))
+    members = materialize(worded.select("id", "text_hash").join(classes, "text_hash").select("id", "rep").distinct(), "members")
+    # Texts are compared under numbers of their own, since an id may stand for several; from here on to the links, id is that number.
+    first = worded.join(classes, "text_hash").where(F.col("id") == F.col("rep")).groupBy("text_hash").agg(F.min(F.struct("rep", "sig", "bands")).alias("r"))
+    signed = materialize(first.select(F.monotonically_increasing_id().alias("id"), "text_hash", "r.rep", "r.sig", "r.bands"), "representatives")
     bucketed = signed.select("id", F.posexplode("bands").alias("band", "key"))
     shared = bucketed.groupBy("band", "key").agg(F.count("id").alias("n"), F.min("id").alias("leader")).where(F.col("n") > 1)
     met = materialize(bucketed.join(shared.drop("n"), ["band", "key"]), "buckets")
-    wanted = narrow_side(materialize(met.select("id").distinct(), "compared-ids"))
-    bags = materialize(_multisets(source.join(wanted, "id", "left_semi")).groupBy("id").agg(F.min("bag").alias("bag")), "multisets")
+    wanted = materialize(signed.select("id", "rep", "text_hash").join(met.select("id").distinct(), "id", "left_semi"), "compared-texts")
+    owners = narrow_side(materialize(wanted.select(F.col("rep").alias("id")).distinct(), "compared-ids"))
+    each = _multisets(source.join(owners, "id", "left_semi")).groupBy("text_hash").agg(F.min("bag").alias("bag"))
+    bags = materialize(each.join(wanted.select("id", "text_hash"), "text_hash").select("id", "bag"), "multisets")
     stars = met.where(F.col("id") != F.col("leader")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     tested = materialize(_verified(stars, bags, similarity), "compared")
     links = tested.where("linked").select("a", "b")
@@ -267,7 +270,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         labels = components(known().unionByName(more))
     rest = materialize(_remaining_links(met, signed, labels, bags, similarity), "links")
     own = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    whole = components(known().unionByName(rest).unionByName(own))
+    rep = lambda c: wanted.select(F.col("id").alias(c), F.col("rep").alias(f"rep_{c}"))
+    between = known().unionByName(rest).join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    whole = components(between.unionByName(own))
     return (
         every.select("id").distinct().join(whole, "id", "left")
         .select(F.col("id").alias(key), F.coalesce("component", "id").alias("class_id"))

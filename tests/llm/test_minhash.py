@@ -92,6 +92,22 @@ def test_a_repeated_id_joins_its_texts(make_docs):
     assert found == {5: 5, 6: 5, 7: 5, 8: 8}
 
 
+def test_near_copies_of_all_texts_of_a_repeated_id(make_docs):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(6):
+        low = 10 * k
+        for turn in range(3):
+            base = rng.choices(LETTERS, k=100)
+            near = list(base)
+            near[50] = "other"
+            # The near copy of each of the three texts, one of them with a smaller id.
+            rows += [(low + 5, " ".join(base)), (low + (4, 6, 7)[turn], " ".join(near))]
+        want |= {low + d: low + 4 for d in (4, 5, 6, 7)}
+    found = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(make_docs(rows)).collect()}
+    assert found == want
+
+
 def test_query_matches_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
