@@ -213,3 +213,67 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from .recompression import without_repeats
 
     return without_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_MIDDLE_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+u as (
+  select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[25:32])::bigint as h4 from d),
+c as (
+  select *, len(units)::bigint as n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+    when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+k as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from c),
+p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:n], '') as suffix from k)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op12_fill_middle", _MIDDLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_NEGATIVES_SQL = r"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as code
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, list_dot_product(a.code, b.code)::bigint as score
+  from r a join r b on a.vec_id <> b.vec_id and len(a.code) = len(b.code) where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, own, vec_id as positive_id, score as positive_score from s where label = own
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank, vec_id as negative_id, positive_score,
+  score as negative_score
+from p join s using (anchor_id) where label <> p.own and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5
+"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
