@@ -245,7 +245,24 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op11_suffix_dedup")
+_SUFFIX_SQL = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select r, doc_id, x, (length(x) // 2)::bigint as n from d),
+b as (select r, n, blk, substr(x, 512 * blk + 1, 912) as part from (select r, n, x, unnest(range(0, n // 256 + 1)) as blk from w where n >= 200)),
+s as (select r, n, blk, part, unnest(range(0, 256)) as k from b),
+h as (select r, 256 * blk + k as pos, md5(substr(part, 2 * k + 1, 400)) as win from s where 256 * blk + k <= n - 200),
+g as (select r, pos from h qualify count(*) over (partition by win) > 1),
+e as (select r, pos, case when pos - lag(pos) over (partition by r order by pos) <= 200 then 0 else 1 end as fresh from g),
+u as (select r, pos, sum(fresh) over (partition by r order by pos) as run from e),
+m as (select r, run, min(pos) as a, max(pos) + 200 as b from u group by r, run),
+l as (select r, list(a order by a) as starts, list(b order by a) as ends, sum(b - a)::bigint as lost, count(*) as spans from m group by r)
+select w.doc_id, w.n as n_bytes, coalesce(lost, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(case when lost is null then x else array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(x, coalesce(2 * ends[k], 0) + 1, coalesce(2 * starts[k + 1], 2 * n) - coalesce(2 * ends[k], 0))), '') end)) as kept_sha256
+from w left join l using (r)
+"""
+
+
+@query("op11_suffix_dedup", _SUFFIX_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     from .suffix_dedup import without_repeats
 
