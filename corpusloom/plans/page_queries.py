@@ -219,19 +219,25 @@ def answer_hash(t: Tables):
 
 NOTES = f"""SELECT doc_id, text, '<head>' || CASE WHEN doc_id % 3 = 0 THEN '<meta property="og:title" content=" Note ' || CAST(doc_id AS STRING) || '">' ELSE '' END
     || '<meta property="og:description" content="og text"><meta property="og:image" content="https://i.org/cover.jpg"></head>'
-    || '<div id="detail-title">T' || CAST(doc_id AS STRING) || '</div><div class="author"><span class="name">' || source || '</span></div>'
+    || CASE WHEN doc_id % 5 = 4 THEN '' ELSE '<div id="detail-title">T' || CAST(doc_id AS STRING) || '</div>' END
+    || CASE WHEN doc_id % 7 = 6 THEN '' ELSE '<div class="author"><span class="name">' || source || '</span></div>' END
     || CASE WHEN doc_id % 3 = 1 THEN '' ELSE '<div id="detail-desc">' || {_escaped("replace(replace(text, '*', ''), '_', '')")} || '</div>' END
     || '<div class="carousel"><img src="https://i.org/' || CAST(doc_id AS STRING) || '.jpg"><img src="https://i.org/cover.jpg"><img src="/x.jpg"></div>' AS html FROM {{documents}}"""
 
 
-@query("note_parse", """
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Note ' ELSE 'T' END || doc_id AS title, source AS author, doc_id % 3 = 1 AS from_meta,
-    'https://i.org/cover.jpg,https://i.org/' || doc_id || '.jpg' AS images FROM {documents}""")
+# A note's text as running text: white space runs are one space each.
+_NOTE_BODY = "trim(regexp_replace(replace(replace(text, '*', ''), '_', ''), '\\s+', ' ', 'g'))"
+
+
+@query("note_parse", f"""
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Note ' || doc_id WHEN doc_id % 5 = 4 THEN '小红书笔记' ELSE 'T' || doc_id END AS title,
+    CASE WHEN doc_id % 7 = 6 THEN '' ELSE source END AS author, CASE WHEN doc_id % 3 = 1 OR {_NOTE_BODY} = '' THEN 'og text' ELSE {_NOTE_BODY} END AS body,
+    'https://i.org/cover.jpg,https://i.org/' || doc_id || '.jpg' AS images FROM {{documents}}""")
 def note_parse(t: Tables):
+    """Notes with and without their own title, author and body; bodies compared as running text."""
     rows = P.note_pages(t.sql(NOTES), F.col("html"), "n")
-    return rows.select(
-        "doc_id", "n.title", "n.author", (F.col("n.body_md") == "og text").alias("from_meta"), F.array_join("n.images", ",").alias("images")
-    )
+    body = F.trim(F.regexp_replace("n.body_md", r"\s+", " "))
+    return rows.select("doc_id", "n.title", "n.author", body.alias("body"), F.array_join("n.images", ",").alias("images"))
 
 
 EPISODES = """SELECT p_partkey, 'https://www.xiaoyuzhoufm.com/episode/' || lpad(CAST(p_partkey AS STRING), 24, '0') AS url,
