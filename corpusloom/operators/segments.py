@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.clock import short_time, srt_time
 from ..functions.strings import is_blank, strip, text_or_empty
@@ -11,16 +11,19 @@ from ..runtime import materialize
 from .ordered import (
     BLOCK_ROWS,
     PART_ROWS,
+    as_of,
     block_of,
+    local_runs,
     ordered_text,
     part_of,
+    run_edges,
     with_neighbour,
     with_row_number,
     with_runs,
 )
 
 READING_WINDOW = 300
-# Chapters and segments meet in slots of this many seconds, which splits long documents.
+# Blocks of time of this many seconds split long documents.
 SLOT_SECONDS = 900
 # Fixed value: title of the chapter put before the first one.
 OPENING = "开场"
@@ -60,25 +63,41 @@ def segment_windows(
 ) -> DataFrame:
     """Fixed reading windows over segments in `seg_no` order.
 
-    A window is a run of segments whose start falls in the same slot, so it is found with
-    block-wise runs; the window's own rows are then one bounded group per text part.
+    A window is a run of segments whose start falls in the same slot; text parts bound its rows.
+    Where runs begin is found on narrow rows. Texts are dealt out once, into the blocks of their document, and
+    joined there; only the pieces of a part that lies across a block boundary meet again.
     Result: doc_id, first_seg, part_no, window_start, window_end, n_segments, text.
     """
     if window_seconds <= 0:
         raise ValueError("window_seconds must be a positive integer")
     slot = F.floor(F.greatest(F.lit(0.0), F.col("start")) / F.lit(window_seconds)).cast("long")
-    live = usable(segments).withColumn("__slot", slot)
-    runs = with_runs(live, ["doc_id"], "seg_no", F.col("__slot"), "first_seg", block_rows)
-    parts = runs.groupBy(
-        "doc_id", "first_seg", part_of(F.col("seg_no"), F.col("first_seg"), part_rows).alias("part_no")
-    ).agg(
-        F.min("__slot").alias("__slot"),
-        F.max("end").alias("__end"),
-        F.count(F.lit(1)).alias("n_segments"),
-        ordered_text("seg_no", strip(F.col("text")), "\n\n").alias("text"),
+    live = usable(segments).select("doc_id", "seg_no", "end", strip(F.col("text")).alias("text"), slot.alias("__slot"))
+    totals = bounds(live, processed).select(F.col("doc_id").alias("__doc"), F.col("total_seconds").alias("__total"))
+    edges = run_edges(live, ["doc_id"], "seg_no", F.col("__slot"), block_rows)
+    edges = edges.join(totals, F.col("__key")["doc_id"].eqNullSafe(F.col("__doc"))).drop("__doc")
+    rows = local_runs(live, ["doc_id"], "seg_no", F.col("__slot"), block_rows).join(edges, "__key")
+    part = part_of(F.col("seg_no"), F.col("first_seg"), part_rows)
+    pieces = (
+        rows.withColumn("first_seg", F.coalesce("__run", "__carry")).withColumn("part_no", part)
+        .groupBy("__key", "first_seg", "part_no").agg(
+            F.min("__slot").alias("__slot"), F.max("end").alias("__end"), F.count(F.lit(1)).alias("n_segments"),
+            ordered_text("seg_no", F.col("text"), "\n\n").alias("text"), F.max("seg_no").alias("__to"),
+            F.min("__total").alias("__total"), F.first(F.when(F.col("__goes_on"), F.coalesce("__last", "__carry"))).alias("__open_run"),
+        )
+        .withColumn("doc_id", F.col("__key")["doc_id"])
     )
-    totals = bounds(live, processed).withColumnRenamed("total_seconds", "__total")
-    parts = parts.join(totals, "doc_id")
+    # A part lies across if its first place is before the block, or if the block's last run goes on and has room in it.
+    block = F.col("__key")["__block"]
+    begin = F.col("first_seg") + F.col("part_no") * part_rows
+    goes_on = F.coalesce(F.col("first_seg") == F.col("__open_run"), F.lit(False))
+    across = (begin < block * block_rows) | (goes_on & (begin + part_rows > (block + 1) * block_rows))
+    columns = ["doc_id", "first_seg", "part_no", "__slot", "__end", "n_segments", "__total", "text"]
+    whole = pieces.where(~across).select(*columns)
+    joined = pieces.where(across).groupBy("doc_id", "first_seg", "part_no").agg(
+        F.min("__slot").alias("__slot"), F.max("__end").alias("__end"), F.sum("n_segments").alias("n_segments"), F.min("__total").alias("__total"),
+        ordered_text("__to", F.col("text"), "\n\n").alias("text"),
+    ).select(*columns)
+    parts = whole.unionByName(joined)
     start = (F.col("__slot") * window_seconds).cast("double")
     end = F.least("__total", F.greatest(F.least(start + window_seconds, "__total"), "__end"))
     return parts.select(
@@ -176,24 +195,17 @@ def chapter_bounds(chapters: DataFrame, totals: DataFrame, opening: str = OPENIN
 def segments_in_chapters(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     """Each usable segment with the chapter that holds its midpoint.
 
-    Both sides meet on (document, time slot), so the range test runs within a slot and a
-    long document is spread over its slots.
+    Chapters do not overlap, so the one that holds a place is the last that starts before it: an as-of join in
+    blocks of time. A long document is spread over its blocks, and no segment meets more than one chapter.
     """
-    slot = lambda c: F.floor(c / F.lit(SLOT_SECONDS)).cast("long")
-    pieces = chapters.select(
-        "doc_id",
-        F.col("start").alias("chapter_start"),
-        F.col("end").alias("chapter_end"),
-        F.col("title").alias("chapter_title"),
-        F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))).alias("__slot"),
-    )
     middle = (F.col("start") + F.col("end")) / 2
-    placed = usable(segments).withColumn("__mid", middle).withColumn("__slot", slot(middle))
-    return (
-        placed.join(pieces, ["doc_id", "__slot"])
-        .where((F.col("__mid") >= F.col("chapter_start")) & (F.col("__mid") < F.col("chapter_end")))
-        .drop("__mid", "__slot")
+    marks = chapters.select(
+        "doc_id", F.col("start").alias("chapter_start"), F.col("end").alias("chapter_end"), F.col("title").alias("chapter_title")
     )
+    block = lambda at: F.floor(at / F.lit(SLOT_SECONDS)).cast("long")
+    placed = as_of(usable(segments), marks, ["doc_id"], middle, "chapter_start", block, "__chapter")
+    inside = placed.where(F.col("__chapter").isNotNull() & (middle < F.col("__chapter")["chapter_end"]))
+    return inside.select(*segments.columns, *[F.col("__chapter")[c].alias(c) for c in ("chapter_start", "chapter_end", "chapter_title")])
 
 
 def render_chapters(
@@ -275,34 +287,44 @@ def normalization_report(
 
 
 def context_windows(segments: DataFrame, size: int = 8) -> DataFrame:
-    """Blocks of `size` consecutive segments with the texts just before and after each."""
-    if size < 1:
-        size = 1
-    blocks = segments.groupBy("doc_id", F.floor(F.col("seg_no") / F.lit(size)).cast("long").alias("window_no")).agg(
-        F.min("seg_no").alias("first_seg"),
-        F.max("seg_no").alias("last_seg"),
-        F.sort_array(F.collect_list(F.struct("seg_no", "text"))).alias("targets"),
-    )
-    head = blocks.select("doc_id", (F.col("window_no") - 1).alias("window_no"), F.get("targets", F.lit(0))["text"].alias("context_after"))
-    tail = blocks.select(
-        "doc_id", (F.col("window_no") + 1).alias("window_no"),
-        F.get("targets", F.size("targets") - 1)["text"].alias("context_before"),
+    """Blocks of `size` consecutive segments with the texts just before and after each.
+
+    Each segment also goes to the blocks next to its own, where only the nearest one counts: the aggregate keeps
+    one before and one after already on the map side, so texts travel once, in one exchange.
+    """
+    size = max(1, size)
+    own = F.floor(F.col("seg_no") / F.lit(size)).cast("long")
+    side = F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1)))
+    rows = segments.select("doc_id", "seg_no", "text", own.alias("__own"), side.alias("__side"))
+    at = lambda k: F.when(F.col("__side") == k, F.struct("seg_no", F.col("text").alias("text")))
+    blocks = rows.groupBy("doc_id", (F.col("__own") + F.col("__side")).alias("window_no")).agg(
+        F.min(F.when(F.col("__side") == 0, F.col("seg_no"))).alias("first_seg"),
+        F.max(F.when(F.col("__side") == 0, F.col("seg_no"))).alias("last_seg"),
+        F.sort_array(F.collect_list(at(0))).alias("targets"),
+        F.max(at(1)).alias("__before"),
+        F.min(at(-1)).alias("__after"),
     )
-    return (
-        blocks.join(tail, ["doc_id", "window_no"], "left")
-        .join(head, ["doc_id", "window_no"], "left")
-        .withColumn("context_before", text_or_empty(F.col("context_before")))
-        .withColumn("context_after", text_or_empty(F.col("context_after")))
+    return blocks.where(F.col("first_seg").isNotNull()).select(
+        "doc_id", "window_no", "first_seg", "last_seg", "targets",
+        text_or_empty(F.col("__before")["text"]).alias("context_before"), text_or_empty(F.col("__after")["text"]).alias("context_after"),
     )
 
 
-def with_neighbours(segments: DataFrame) -> DataFrame:
-    """Previous and next segment text, found by list position."""
-    before = segments.select("doc_id", (F.col("seg_no") + 1).alias("seg_no"), F.col("text").alias("text_before"))
-    after = segments.select("doc_id", (F.col("seg_no") - 1).alias("seg_no"), F.col("text").alias("text_after"))
-    out = segments.join(before, ["doc_id", "seg_no"], "left").join(after, ["doc_id", "seg_no"], "left")
-    return out.withColumn("text_before", text_or_empty(F.col("text_before"))).withColumn(
-        "text_after", text_or_empty(F.col("text_after"))
+def with_neighbours(segments: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Previous and next segment text, found by list position.
+
+    The first and last segment of a block are copied into the block next to theirs; then every neighbour is
+    local, and texts travel once.
+    """
+    place = F.pmod(F.col("seg_no"), F.lit(block_rows))
+    own = block_of(F.col("seg_no"), block_rows)
+    copies = F.array_compact(F.array(own, F.when(place == 0, own - 1), F.when(place == block_rows - 1, own + 1)))
+    rows = segments.withColumn("__own", own).withColumn("__block", F.explode(copies))
+    order = Window.partitionBy("doc_id", "__block").orderBy("seg_no")
+    beside = lambda shift, step: F.when(shift("seg_no").over(order) == F.col("seg_no") + step, shift("text").over(order))
+    return (
+        rows.withColumn("text_before", text_or_empty(beside(F.lag, -1))).withColumn("text_after", text_or_empty(beside(F.lead, 1)))
+        .where(F.col("__block") == F.col("__own")).select(*segments.columns, "text_before", "text_after")
     )
 
 

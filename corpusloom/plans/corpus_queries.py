@@ -13,6 +13,7 @@ from ..operators import publish as P
 from ..operators import source_index as X
 from ..runtime import scratch_path
 from ..sinks import documents as SD
+from ..sinks.published import PublishedTable
 from ..sources import captures as SC
 from ..sources.manifests import numbered_lines
 from . import duck as D
@@ -21,11 +22,22 @@ from .registry import Tables, query
 # Titles repeat: about eight captures each, some long enough to be cut to one stem.
 CAPTURES = """SELECT doc_id AS seq, CASE WHEN doc_id % 4 = 0 THEN repeat('long title ', 15) || CAST(doc_id % 3 AS STRING) ELSE lang || ' ' || CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING) END AS title,
     1704067200 + (doc_id * 7919) % 1000003 AS at_seconds, doc_id % 9 <> 1 AS ok FROM {documents}"""
+BATCHES = 3
 _DAY = "strftime(make_timestamp((at_seconds + 28800) * 1000000), '%Y%m%d')"
 _NAMED = f"SELECT *, {_DAY} || '__' || rtrim(left(title, 137), ' .') AS name FROM ({CAPTURES})"
-_DAYS = f"SELECT name, title, min(struct_pack(t := at_seconds, s := seq)) AS first, max(struct_pack(t := at_seconds, s := seq)) AS last, count(*) AS captures FROM ({_NAMED}) WHERE ok GROUP BY name, title"
-_OWNED = f"SELECT d.*, first_value(title) OVER (PARTITION BY name ORDER BY first, title) AS owner FROM ({_DAYS}) d"
-_CURRENT = f"""SELECT title, arg_max(name, last) AS name, max(last) AS last FROM ({_OWNED}) WHERE title = owner GROUP BY title"""
+
+
+def _owned(which: str = "true") -> str:
+    """(name, title) pairs of some captures with the owner of each name."""
+    days = f"SELECT name, title, min(struct_pack(t := at_seconds, s := seq)) AS first, max(struct_pack(t := at_seconds, s := seq)) AS last, count(*) AS captures FROM ({_NAMED}) WHERE ok AND {which} GROUP BY name, title"
+    return f"SELECT d.*, first_value(title) OVER (PARTITION BY name ORDER BY first, title) AS owner FROM ({days}) d"
+
+
+def _current(which: str = "true") -> str:
+    return f"SELECT title, arg_max(name, last) AS name, max(last) AS last FROM ({_owned(which)}) WHERE title = owner GROUP BY title"
+
+
+_OWNED, _CURRENT = _owned(), _current()
 
 
 def _captures(t: Tables):
@@ -107,15 +119,37 @@ def sink_markdown(t: Tables):
     return t.spark.read.parquet(path).select("path", F.col("capture_day").cast("string").alias("day"), "markdown")
 
 
-@query("sink_publish", f"SELECT c.title, c.name || '.md' AS path FROM ({_CURRENT}) c")
+def _published(t: Tables) -> PublishedTable:
+    """All captures merged in batches that cut across their times, so that early captures come late."""
+    table = PublishedTable(t.spark, scratch_path(t.spark, "published"))
+    for batch in range(BATCHES):
+        table.merge(_captures(t).where(F.col("seq") % BATCHES == batch), batch)
+    return table
+
+
+_CAPTURE_COLUMNS = "seq bigint, title string, at_seconds bigint, ok boolean, captured_at timestamp"
+
+
+@query("sink_publish", f"""
+  SELECT c.title, c.name || '.md' AS path, last.s AS seq, strftime(make_timestamp((last.t + 28800) * 1000000), '%Y-%m-%d') AS day FROM ({_CURRENT}) c""")
 def sink_publish(t: Tables):
-    """Published rows written as a day-partitioned table and read back."""
-    path = scratch_path(t.spark, "published")
-    rows = P.publish_latest(_captures(t)).select(
-        "title", F.concat("name", F.lit(".md")).alias("path"), C.capture_day(F.col("captured_at")).alias("capture_day")
-    )
-    SD.write_markdown(rows, path)
-    return t.spark.read.parquet(path).select("title", "path")
+    """Several batches give what one run over all captures gives."""
+    rows = _published(t).read(_CAPTURE_COLUMNS)
+    return rows.select("title", F.concat("name", F.lit(".md")).alias("path"), "seq", F.col("capture_day").cast("string").alias("day"))
+
+
+@query("publish_collisions", f"SELECT name, title, owner, captures FROM ({_OWNED}) WHERE title <> owner")
+def publish_collisions(t: Tables):
+    """Refused titles by the ledger of all batches."""
+    return _published(t).collisions()
+
+
+@query("publish_batches", " UNION ALL ".join(f"""
+  SELECT CAST({k} AS BIGINT) AS batch, o.title, o.name AS old_name, n.name AS new_name FROM ({_current(f"seq % {BATCHES} < {k}")}) o LEFT JOIN ({_current(f"seq % {BATCHES} <= {k}")}) n ON n.title = o.title
+  WHERE n.name IS NULL OR n.name <> o.name""" for k in range(1, BATCHES)))
+def publish_batches(t: Tables):
+    """Paths that each batch made obsolete."""
+    return _published(t).replaced().select("batch", "title", "old_name", "new_name")
 
 
 @query("sink_txt", f"SELECT doc_id, rtrim(CASE WHEN doc_id % 2 = 0 THEN 'spoken ' || doc_id || chr(10) ELSE text END, {D.SPACES}) || chr(10) AS content FROM {{documents}}")

@@ -377,7 +377,7 @@ def context_windows(t: Tables):
 @query("join_neighbours", f"""
   SELECT doc_id, seg_no, coalesce(lag(text) OVER w, '') AS text_before, coalesce(lead(text) OVER w, '') AS text_after FROM ({TURNS}) WINDOW w AS (PARTITION BY doc_id ORDER BY seg_no)""")
 def join_neighbours(t: Tables):
-    return S.with_neighbours(t.sql(TURNS)).select("doc_id", "seg_no", "text_before", "text_after")
+    return S.with_neighbours(t.sql(TURNS), block_rows=2).select("doc_id", "seg_no", "text_before", "text_after")
 
 
 # The reply to a turn proposes: first word, first two words, last word, a strange id, blanks, a non-object.
