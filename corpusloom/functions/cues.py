@@ -76,45 +76,35 @@ def cues_before(cues: Column, limit_seconds: Column) -> Column:
 def reading_windows(cues: Column, window_seconds: int = DEFAULT_WINDOW) -> Column:
     """Fold a cue array into struct(start, end, text) windows.
 
-    A window opens at its first cue and closes at the first cue that starts a full window
-    length later. The fold carries one open window; the row's own cue array bounds it.
+    A window opens at its first cue and closes at the first cue that starts a full window length later. The
+    fold only collects where windows open, so the work follows the number of cues; texts are cut out afterwards.
+    Tracks too long for one row go through `operators.tracks.cue_windows`.
     """
-    window_type = "array<struct<start:double,end:double,texts:array<string>>>"
-    opened = lambda c: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), F.array(c["text"]).alias("texts")
-    )
-    start = F.struct(
-        F.array().cast(window_type).alias("done"),
-        F.lit(None).cast("struct<start:double,end:double,texts:array<string>>").alias("open"),
-    )
+    none = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(None).cast("double").alias("open"))
 
     def step(acc: Column, c: Column) -> Column:
-        open_ = acc["open"]
-        extended = F.struct(
-            open_["start"].alias("start"),
-            F.greatest(open_["end"], c["end"]).alias("end"),
-            F.concat(open_["texts"], F.array(c["text"])).alias("texts"),
-        )
-        closes = open_.isNotNull() & (c["start"] >= open_["start"] + F.lit(float(window_seconds)))
+        opens = acc["open"].isNull() | (c["start"] >= acc["open"] + F.lit(float(window_seconds)))
         return F.struct(
-            F.when(closes, F.concat(acc["done"], F.array(open_))).otherwise(acc["done"]).alias("done"),
-            F.when(open_.isNull() | closes, opened(c)).otherwise(extended).alias("open"),
+            F.when(opens, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"),
+            (acc["at"] + 1).alias("at"),
+            F.when(opens, c["start"]).otherwise(acc["open"]).alias("open"),
         )
 
-    folded = F.aggregate(
-        cues,
-        start,
-        step,
-        lambda acc: F.when(
-            acc["open"].isNotNull(), F.concat(acc["done"], F.array(acc["open"]))
-        ).otherwise(acc["done"]),
-    )
-    return F.transform(
-        folded,
-        lambda w: F.struct(
-            w["start"].alias("start"), w["end"].alias("end"), F.array_join(w["texts"], " ").alias("text")
-        ),
-    )
+    def window(cs: Column, first: Column, after: Column) -> Column:
+        return let(
+            F.slice(cs, first + 1, after - first),
+            lambda own: F.struct(
+                F.get(own, F.lit(0))["start"].alias("start"),
+                F.array_max(F.transform(own, lambda c: c["end"])).alias("end"),
+                F.array_join(F.transform(own, lambda c: c["text"]), " ").alias("text"),
+            ),
+        )
+
+    def windows(cs: Column) -> Column:
+        cuts = F.aggregate(cs, none, step, lambda acc: acc["cuts"])
+        return let(cuts, lambda at: F.transform(at, lambda first, k: window(cs, first, F.coalesce(F.get(at, k + 1), F.size(cs)))))
+
+    return let(cues, windows)
 
 
 def processed_seconds(windows: Column, limit_seconds: Column) -> Column:

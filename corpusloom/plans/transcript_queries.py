@@ -15,6 +15,7 @@ from ..operators import edits as E
 from ..operators import hooks as HK
 from ..operators import media as M
 from ..operators import segments as S
+from ..operators import tracks as TR
 from ..runtime import scratch_path, spread
 from ..sinks.documents import export_files
 from ..sources.captures import subtitle_files
@@ -204,6 +205,24 @@ def subtitle_windows(t: Tables):
     return rows.select("track_id", "window_no", "w.start", "w.end", "w.text")
 
 
+# One track per event type over all days: long tracks with many cues, some of which start before the one before.
+LONG_TRACKS = """SELECT event_type AS track_id, event_id AS cue_no, CAST(event_id * 7 + event_id % 13 * 20 AS DOUBLE) AS start, CAST(event_id * 7 + event_id % 13 * 20 + 5 AS DOUBLE) AS end,
+    event_type || CAST(event_id AS STRING) AS text FROM {events}"""
+
+
+@query("subtitle_windows_long", f"""
+  WITH RECURSIVE c AS (SELECT * FROM ({LONG_TRACKS.replace(' AS end', ' AS "end"')})),
+  f AS (SELECT track_id, min(cue_no) AS cue_no FROM c GROUP BY track_id),
+  j AS (SELECT a.track_id, a.cue_no, min(b.cue_no) AS nxt FROM c a JOIN c b ON b.track_id = a.track_id AND b.cue_no > a.cue_no AND b.cue_no < a.cue_no + 300 AND b.start >= a.start + 300 GROUP BY a.track_id, a.cue_no),
+  w AS (SELECT track_id, cue_no FROM f UNION ALL SELECT j.track_id, j.nxt FROM w JOIN j ON j.track_id = w.track_id AND j.cue_no = w.cue_no),
+  r AS (SELECT track_id, cue_no AS first_cue, lead(cue_no) OVER (PARTITION BY track_id ORDER BY cue_no) AS stop FROM w),
+  p AS (SELECT c.*, r.first_cue, (c.cue_no - r.first_cue) // 20 AS part_no FROM c JOIN r ON r.track_id = c.track_id AND c.cue_no >= r.first_cue AND (r.stop IS NULL OR c.cue_no < r.stop))
+  SELECT track_id, first_cue, part_no, CAST(arg_min(o.start, o.cue_no) AS DOUBLE) AS start, CAST(max(p."end") AS DOUBLE) AS "end", string_agg(p.text, ' ' ORDER BY p.cue_no) AS text
+  FROM p JOIN c o ON o.track_id = p.track_id AND o.cue_no = p.first_cue GROUP BY ALL""".replace("SELECT track_id, first_cue, part_no, CAST", "SELECT p.track_id, p.first_cue, p.part_no, CAST"))
+def subtitle_windows_long(t: Tables):
+    return TR.cue_windows(t.sql(LONG_TRACKS), part_rows=20, block_rows=256)
+
+
 REPEATS = "SELECT user_id AS track_id, event_id AS cue_no, event_type AS text FROM {events}"
 
 

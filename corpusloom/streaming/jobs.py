@@ -2,84 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.refs import extract_references, normalize_reference, task_key
 from ..functions.routing import with_channel
 from ..functions.strings import strip
 from ..operators.ordered import PART_ROWS, block_of, ordered_text
-from ..sinks.snapshots import SnapshotTable
+from ..operators.tasks import IDENTITY, state_from_events
 
+# Folders of the task table by key hash: a batch only reads those its keys fall into.
+TASK_BUCKETS = 64
+CLOSING = "close"
 
-def register_stream(texts: DataFrame, column: str, settings_hash: str) -> DataFrame:
-    """Text rows to tasks, each identity once; the checkpoint makes a restart a resume."""
-    refs = texts.select(F.explode(extract_references(F.col(column))).alias("source"))
+
+def identified_stream(texts: DataFrame, column: str, settings_hash: str, delay: str = "1 day", at: Column | None = None) -> DataFrame:
+    """Text rows to tasks (source, normalized_source, task_key, config_fingerprint, at); repeats within `delay` go.
+
+    The state forgets a key once the watermark has passed it, so it is bounded by what `delay` brings. `at` is the
+    time of arrival unless given; no row is ever late for that one.
+    """
+    refs = texts.select(F.explode(extract_references(F.col(column))).alias("source"), (F.current_timestamp() if at is None else at).alias("at"))
     keyed = refs.withColumn("normalized_source", normalize_reference(F.col("source"))).withColumn(
         "task_key", task_key(F.col("normalized_source"))
     )
-    return keyed.withColumn("config_fingerprint", F.lit(settings_hash)).dropDuplicates(
-        ["task_key", "config_fingerprint"]
-    )
+    return keyed.withColumn("config_fingerprint", F.lit(settings_hash)).withWatermark("at", delay).dropDuplicatesWithinWatermark(IDENTITY)
 
 
-def merge_state(old: DataFrame | None, fresh: DataFrame, key: str) -> DataFrame:
-    """Add a batch's attempt summary to the stored one; the later event decides the status."""
-    if old is None:
-        return fresh
-    both = old.unionByName(fresh)
-    last = F.max_by(F.struct("status", "error_message"), F.struct("updated_at", "updated_seq"))
-    return both.groupBy(key).agg(
-        F.sum("attempts").alias("attempts"),
-        last.alias("__l"),
-        F.max(F.struct("updated_at", "updated_seq")).alias("__at"),
-    ).select(
-        key, "attempts", F.col("__l")["status"].alias("status"),
-        F.col("__l")["error_message"].alias("error_message"),
-        F.col("__at")["updated_at"].alias("updated_at"), F.col("__at")["updated_seq"].alias("updated_seq"),
-    )
+def registered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The task table that `register_stream` keeps, with the batch `b` and bucket of each row."""
+    try:
+        return spark.read.schema(f"{schema}, b bigint, bucket int").parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, b bigint, bucket int")
 
 
-def batch_state(events: DataFrame, key: str) -> DataFrame:
-    order = F.struct("at", "seq")
-    last = F.max_by(F.struct("event", "message"), order)
-    return events.groupBy(key).agg(
-        F.count_if(F.col("event") == "start").alias("attempts"), last.alias("__l"), F.max(order).alias("__at")
-    ).select(
-        key, "attempts",
-        F.when(F.col("__l")["event"] == "start", "running").otherwise(F.col("__l")["event"]).alias("status"),
-        F.when(F.col("__l")["event"] == "failed", F.col("__l")["message"]).otherwise("").alias("error_message"),
-        F.col("__at")["at"].alias("updated_at"), F.col("__at")["seq"].alias("updated_seq"),
-    )
+def register_stream(tasks: DataFrame, path: str, checkpoint: str, buckets: int = TASK_BUCKETS) -> StreamingQuery:
+    """Add every identity once to the task table at `path`, whatever its age.
 
+    Old repeats are found in the table itself: only the buckets of the batch's keys are read. A batch writes its
+    own folder and only looks at those before it, so one that runs again after a crash gives the same rows.
+    """
+    schema = tasks.schema.toDDL()
 
-def state_stream(events: DataFrame, key: str, table: SnapshotTable, checkpoint: str):
-    """Keep a versioned task-state table up to date from an attempt stream.
+    def add(batch: DataFrame, batch_id: int) -> None:
+        bucket = F.pmod(F.xxhash64("task_key"), F.lit(buckets)).cast("int")
+        fresh = batch.dropDuplicates(IDENTITY).withColumn("bucket", bucket)
+        old = registered(batch.sparkSession, path, schema).where(F.col("b") < batch_id)
+        keys = ["bucket", *IDENTITY]
+        known = old.select(*keys).join(fresh.select(*keys), keys, "left_semi")
+        fresh.join(known, keys, "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/b={batch_id}")
 
-    Version n+1 belongs to batch n, so a batch replayed after a crash rewrites its own version
-    from the one before it and is never counted twice.
+    return tasks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def save_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an updating aggregate: each batch appends the rows it changed, in a folder of its own.
+
+    The aggregate itself lives in the state store, so a batch costs what it touches, not what the table holds.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = [v for v in table.versions() if v < batch_id + 1]
-        old = spark.read.parquet(f"{table.path}/v={done[-1]}") if done else None
-        merged = merge_state(old, batch_state(batch, key), key)
-        merged.write.mode("overwrite").parquet(f"{table.path}/v={batch_id + 1}")
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/b={batch_id}")
 
     return (
-        events.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.outputMode("update").foreachBatch(save)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last row of each key in a folder of changes."""
+    columns = [f.name for f in schema]
+    rest = [c for c in columns if c not in keys]
+    rows = spark.read.schema(f"{schema.toDDL()}, b bigint").parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "b").alias("__r"))
+    return last.select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
+
+
+def task_states(events: DataFrame, key: str) -> DataFrame:
+    """Current state of each task from its attempts, as an updating aggregate: the batch operator itself."""
+    return state_from_events(events, key)
+
+
+def with_closing(events: DataFrame, control: str) -> DataFrame:
+    """The event stream with closing records of the folder `control`: rows of no key, only a time."""
+    closing = events.sparkSession.readStream.schema("at timestamp").parquet(control)
+    rest = [F.lit(CLOSING if c == "event" else None).cast(t).alias(c) for c, t in events.dtypes if c != "at"]
+    return events.unionByName(closing.select("at", *rest))
+
+
+def close(spark: SparkSession, control: str, at: str | None = None) -> None:
+    """Say that no event before `at` will come (none at all: the far future); without it only lays out the folder."""
+    times = [] if at is None else [(at,)]
+    spark.createDataFrame(times, "at string").select(F.to_timestamp("at").alias("at")).coalesce(1).write.mode("append").parquet(control)
+
+
 def stalled(events: DataFrame, key: str, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Tasks whose last session of events ended in a start and then went quiet: pending again.
+    """Tasks whose session of events ended in a start and then went quiet: pending again.
 
-    A session closes when the watermark passes its end; later events for it are ignored.
+    A session closes when the watermark passes its end; later events for it are ignored. At the end of a stream
+    nothing moves the watermark any more: a closing record does (see `with_closing`), and the last session of
+    every task comes out. Closing records belong to no session.
     """
-    sessions = events.withWatermark("at", delay).groupBy(F.session_window("at", idle), key).agg(
+    # The condition names the event time, so it stays above the watermark, which has to see closing records.
+    timed = events.withWatermark("at", delay).where(F.when(F.col("event") != CLOSING, F.col("at")).isNotNull())
+    sessions = timed.groupBy(F.session_window("at", idle), key).agg(
         F.max_by("event", F.struct("at", "seq")).alias("last_event"),
         F.count_if(F.col("event") == "start").alias("attempts"),
     )
@@ -122,18 +153,6 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def run_to_rows(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
-    """Run an updating aggregate to its end: each batch is a version, the last row per key stays."""
-    spark = stream.sparkSession
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__v", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    rest = [c for c in stream.columns if c not in keys]
-    rows = spark.read.parquet(f"{path}/b=*")
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__v").alias("__r"))
-    return last.select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
+    """Run an updating aggregate to its end and give the last row of each key."""
+    save_changes(stream, path, checkpoint).awaitTermination()
+    return latest(stream.sparkSession, path, stream.schema, keys)
