@@ -7,6 +7,7 @@ megabytes of text at once, or one text if a single one is longer.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
+# Longer words are hashed by a digest: powers modulo 2**64 take some long words of a regular build for equal.
+LONG_WORD = 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -52,7 +55,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, factor, np.uint64)
             steps[0] = 1
             made.append(np.multiply.accumulate(steps))
-        if size > 1 << 22:  # for one very long text; not kept
+        if size > 1 << 20:  # for one very long text; not kept
             return made[0][:n], made[1][:n]
         _POWERS[base] = made[0], made[1]
     up, down = _POWERS[base]
@@ -98,7 +101,10 @@ class Texts:
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text number, start, end, hash) of every word."""
         doc, starts, ends = self.pieces(WORD_ENDS)
-        return doc, starts, ends, range_hashes(_BYTES[self.bytes], starts, ends)
+        hashes = range_hashes(_BYTES[self.bytes], starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            hashes[k] = np.frombuffer(hashlib.blake2b(self.bytes[starts[k] : ends[k]], digest_size=8).digest(), np.uint64)[0]
+        return doc, starts, ends, hashes
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, start, end) of every line, blank ones included, ends without the line feed."""
@@ -118,6 +124,13 @@ class Texts:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices whose texts come to about `limit` bytes; a longer text is a slice of its own."""
+    try:
+        yield from _slices(batches, column, limit)
+    finally:  # also of a task that is ended early
+        give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -130,7 +143,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(at, to - at)
             at = to
         del batch
-    give_back()
 
 
 def give_back() -> None:

@@ -47,6 +47,13 @@ def heads(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 def bundles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(table, group starts): runs of whole groups of about `rows` rows. The input is sorted by integer keys."""
+    try:
+        yield from _bundles(batches, keys, rows)
+    finally:
+        give_back()
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -65,9 +72,6 @@ def bundles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_
     if held:
         table = pa.Table.from_batches(held)
         yield table, heads(table, keys)
-        del table
-    held.clear()
-    give_back()
 
 
 def pairs(starts: np.ndarray, n: int, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
