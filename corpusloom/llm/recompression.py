@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import materialize
 from .arrays import Texts, bounds_of, mix, range_hashes, slices
-from .sides import narrow_side
 
 WINDOW = 13
 PAIR_ROUNDS = 3
@@ -180,8 +179,7 @@ def _records(docs: DataFrame, window: int) -> DataFrame:
 
 def _open_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """Rows as of `_records` with one per window of the open records (n is 1)."""
-    lists = wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n", "symbol", "more")).alias("open"))
-    side = narrow_side(materialize(lists, "open-records"), F.size("open"))
+    side = wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("place", "n", "symbol", "more")).alias("open"))
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -249,7 +247,7 @@ def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept, kept_sha256) of every row; kept joins the left words by single spaces."""
-    side = narrow_side(covered_ranges(docs, key, text, window).toDF("__id", "__hash", "ranges"), F.length("ranges") / 8)
+    side = covered_ranges(docs, key, text, window).toDF("__id", "__hash", "ranges")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     joined = rows.join(side, (F.col("key").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").select("key", "text", "ranges")
     kind = dict(rows.dtypes)["key"]
