@@ -4,7 +4,8 @@
    its distinct words and, per text, the positions of its words in that list.
 2. The distinct words of all chunks meet in an exchange on the word. Equal words stand next to
    each other there, so each distinct word of the corpus is encoded once.
-3. The ids go back to their chunk, are joined by position, and decoded through the id-to-piece list.
+3. The ids go back to their chunk, packed into one row per chunk and bounded range of words, are joined by
+   position, and decoded through the id-to-piece list.
 
 The shuffle carries distinct words per chunk and positions, never one row per word occurrence, and
 nothing is broadcast; every executor must be able to open the vocabulary file at the given path.
@@ -142,24 +143,74 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def encode_words(df: DataFrame, path: str) -> DataFrame:
-    """The distinct-word table: one row (word, ids) per distinct value of column `word`."""
-
-    def run(batches):
-        encode, last, ids = codec(path).encode, None, None
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches with the ids of their column `word`; a word that equals the one before it is not encoded again."""
+    encode, last, ids = codec(path).encode, None, None
+    try:
         for batch in batches:
             out = []
             for word in batch.column(batch.schema.get_field_index("word")).to_pylist():
                 if word != last:
                     last, ids = word, np.asarray(encode(word), "<u4").tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
+            yield batch, out
+    finally:
         give_back()
 
+
+def encode_words(df: DataFrame, path: str) -> DataFrame:
+    """The distinct-word table: one row (word, ids) per distinct value of column `word`."""
+
+    def run(batches):
+        for batch, ids in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
+
     schema = StructType([*df.schema.fields, StructField("ids", BinaryType())])
     return df.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
 
 
+# Words of a range held until they are packed by chunk.
+PACKED_WORDS = 1 << 19
+
+
+def _packed_words(df: DataFrame, path: str) -> DataFrame:
+    """(chunk, places, sizes, ids): the same table for words (chunk, place, word), packed; each distinct word is encoded once."""
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        chunk, place, size, flat = (np.concatenate([h[k] for h in held]) for k in range(4))
+        order = np.lexsort((place, chunk))
+        begin = np.cumsum(size) - size
+        chunk, place, size, begin = chunk[order], place[order], size[order], begin[order]
+        flat = flat[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        last = np.append(first[1:], len(chunk))
+        at = np.append(0, np.cumsum(size))
+        gaps = lambda x: np.diff(x, prepend=0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(chunk[first]), pa.array([_pack(gaps(place[a:b])) for a, b in zip(first, last)], pa.binary()),
+                pa.array([_pack(size[a:b]) for a, b in zip(first, last)], pa.binary()), pa.array([_pack(flat[at[a] : at[b]]) for a, b in zip(first, last)], pa.binary()),
+            ],
+            names=["chunk", "places", "sizes", "ids"],
+        )
+
+    def run(batches):
+        held, n = [], 0
+        for batch, ids in _coded(batches, path):
+            if not batch.num_rows:
+                continue
+            size = np.array([len(x) for x in ids], np.int64) // 4
+            held.append((batch.column("chunk").to_numpy(), batch.column("place").to_numpy().astype(np.int64), size, np.frombuffer(b"".join(ids), "<u4")))
+            n += batch.num_rows
+            if n >= PACKED_WORDS:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+
+    return df.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk bigint, places binary, sizes binary, ids binary")
+
+
 def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """One row per text: key, ids (binary, little-endian 32-bit) and the decoded text (UTF-8 bytes).
 
@@ -209,7 +260,7 @@ def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 names=["chunk", "digest", "keys", "sizes", "places", "order"],
             )
 
-    table = encode_words(source.mapInArrow(requests, "chunk bigint, place int, word string"), path).drop("word")
+    table = _packed_words(source.mapInArrow(requests, "chunk bigint, place int, word string"), path)
     texts = source.mapInArrow(positions, f"chunk bigint, digest string, keys array<{key_type}>, sizes array<bigint>, places binary, order binary")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -224,9 +275,14 @@ def _join(texts: pa.Table, table: pa.Table, path: str) -> pa.Table:
     row = texts.to_pylist()[0] if texts.num_rows else {"keys": [], "sizes": []}
     keys, encoded, decoded = row["keys"], [], []
     if texts.num_rows:
-        ids: list = [None] * table.num_rows
-        for place, value in zip(table.column("place").to_pylist(), table.column("ids").to_pylist()):
-            ids[place] = value
+        packed = lambda name: [_unpack(x) for x in table.column(name).to_pylist()]
+        place = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(x.astype(np.int64)) for x in packed("places")]])
+        size = np.concatenate([np.zeros(0, np.int64), *[x.astype(np.int64) for x in packed("sizes")]])
+        raw = b"".join([x.tobytes() for x in packed("ids")])
+        ids: list = [None] * len(place)
+        begin = (np.cumsum(size) - size) * 4
+        for k, a, b in zip(place.tolist(), begin.tolist(), (begin + size * 4).tolist()):
+            ids[k] = raw[a:b]
         if not ids or ids[-1] != np.asarray(own.encode(row["digest"]), "<u4").tobytes():
             raise RuntimeError("a chunk of texts differs between two readings of the input; write the input to a table first")
         order = _unpack(row["order"]).tolist()
