@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import materialize
 from .arrays import Texts, bounds_of, mix, range_hashes, slices, spans_to_list
-from .bundles import bundles, in_blocks, pairs
+from .bundles import bundles, pairs
 from .components import components
 from .sides import narrow_side
 
@@ -153,11 +153,30 @@ def _verified(candidates: DataFrame, bags: DataFrame, similarity: float) -> Data
     return both.select("a", "b", (shared >= F.lit(similarity) * union - 1e-9).alias("linked"))
 
 
-def _open(members: DataFrame, signed: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Members of buckets with several components, in blocks: band, key, left, right, side, id, label, sig."""
-    each = members.join(labels, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = each.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("m")).where("m").drop("m")
-    return in_blocks(each.join(mixed, ["band", "key"]), ["band", "key"], "id", rows=rows).join(signed.select("id", "sig"), "id")
+def _open(members: DataFrame, rows: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """Members of buckets with several components, in pairs of blocks, with what `rows` holds by id.
+
+    The members of a bucket's largest component need not meet each other. Their blocks (numbered -1, -2, ...)
+    only meet those of the other members (0, 1, ...), and those meet among themselves; so a bucket that is
+    settled but for a few members is copied about once, whatever its size.
+    """
+    bucket = ["band", "key"]
+    each = members.join(labels, "id", "left").select(*bucket, "id", F.coalesce("component", "id").alias("label"))
+    parts = each.groupBy(*bucket, "label").agg(F.count("id").alias("n"))
+    shapes = parts.groupBy(*bucket).agg(
+        F.max_by("label", F.struct("n", "label")).alias("base"), F.max("n").alias("n_base"), (F.sum("n") - F.max("n")).alias("n_other")
+    ).where(F.col("n_other") > 0)
+    count = lambda n: F.ceil(F.col(n) / size).cast("int")
+    shapes = shapes.select(*bucket, "base", count("n_base").alias("b_blocks"), count("n_other").alias("o_blocks"))
+    cut = each.join(shapes, bucket).join(rows, "id")
+    is_base = F.col("label") == F.col("base")
+    own = lambda n: F.pmod(F.xxhash64(F.lit(7), "id"), F.col(n)).cast("int")
+    side = F.when(is_base, -1 - own("b_blocks")).otherwise(own("o_blocks"))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("left"), F.greatest(x, y).alias("right"))
+    others = F.sequence(F.lit(0), F.col("o_blocks") - 1)
+    met = F.when(is_base, others).otherwise(F.concat(F.sequence(F.lit(-1), -F.col("b_blocks")), others))
+    placed = cut.withColumn("side", side).withColumn("__met", F.explode(met)).withColumn("__pair", pair(F.col("side"), F.col("__met")))
+    return placed.withColumns({c: F.col("__pair")[c] for c in ("left", "right")}).drop("__met", "__pair", "base", "b_blocks", "o_blocks")
 
 
 _GROUP = ["band", "key", "left", "right"]
@@ -198,7 +217,7 @@ def _neighbours(members: DataFrame, signed: DataFrame, labels: DataFrame) -> Dat
             i, j = i[rank < NEIGHBOURS], j[rank < NEIGHBOURS]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["a", "b"])
 
-    rows = _open(members, signed, labels, 1024)
+    rows = _open(members, signed.select("id", "sig"), labels, 1024)
     return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -236,7 +255,7 @@ def _remaining_links(members: DataFrame, signed: DataFrame, labels: DataFrame, b
                     out.append((int(ids[x]), int(ids[y])))
             yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in out], pa.int64()), pa.array([min(p) for p in out], pa.int64())], names=["a", "b"])
 
-    rows = _open(members, signed, labels, BLOCK_ROWS).join(bags, "id")
+    rows = _open(members, signed.select("id", "sig").join(bags, "id"), labels, BLOCK_ROWS)
     return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, f"a {kind}, b {kind}")
 
 

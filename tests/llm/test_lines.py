@@ -114,3 +114,12 @@ def test_prefix_length_is_never_too_short():
         p = int(line_dedup.prefix_length(np.array([s]), 0.8)[0])
         # A set that shares none of the p rarest words shares s - p at most, too few for any partner.
         assert s - p < 0.8 * s and p >= 1
+
+
+def test_long_words_of_a_regular_build(make_docs):
+    from test_recompression import regular_words
+
+    for a, b in regular_words():
+        rows = [(1, a), (2, b), (3, f"{a}\nx {a}")]
+        gone = {r["id"]: sorted(r["lines"]) for r in line_dedup.removed_lines(make_docs(rows)).collect()}
+        assert gone == {3: [0]}

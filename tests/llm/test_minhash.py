@@ -54,8 +54,8 @@ def near_copies(seed, groups=12, each=9, words=120):
 
 
 def test_classes_match_brute_force(make_docs, monkeypatch):
-    real = bag_minhash.in_blocks
-    monkeypatch.setattr(bag_minhash, "in_blocks", lambda df, group, member, rows: real(df, group, member, rows=4))
+    real = bag_minhash._open
+    monkeypatch.setattr(bag_minhash, "_open", lambda members, rows, labels, size: real(members, rows, labels, 4))
     texts = near_copies(1)
     found = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(make_docs(texts)).collect()}
     assert found == classes(texts)
@@ -112,3 +112,12 @@ def test_query_matches_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert {r["doc_id"]: r["class_id"] for r in op7(spark, folder).collect()} == classes(texts)
+
+
+def test_long_words_of_a_regular_build(make_docs):
+    """Thue-Morse words and their complements are different words."""
+    from test_recompression import regular_words
+
+    for a, b in regular_words():
+        found = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(make_docs([(1, a), (2, b), (3, a)])).collect()}
+        assert found == {1: 1, 2: 2, 3: 1}

@@ -81,3 +81,20 @@ def test_odd_rows(make_docs):
     ]
     assert found(make_docs(rows)) == brute(rows)
     assert found(make_docs([])) == []
+
+
+def regular_words():
+    """Pairs of words that powers modulo 2**64 cannot tell apart: built by the Thue-Morse rule, and the complement."""
+    swap = str.maketrans("ab", "ba")
+    for length in (1024, 65_536):
+        word = "a"
+        while len(word) < length:
+            word += word.translate(swap)
+        yield word, word.translate(swap)
+
+
+def test_long_words_of_a_regular_build(make_docs):
+    for a, b in regular_words():
+        lead = " ".join(f"w{k}" for k in range(12))
+        rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{lead} {b}")]
+        assert found(make_docs(rows)) == brute(rows)
