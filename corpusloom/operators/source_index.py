@@ -37,76 +37,91 @@ def with_keys(rows: DataFrame) -> DataFrame:
     )
 
 
+def _obsolete(new: DataFrame) -> DataFrame:
+    if "obsolete" not in new.columns:
+        return new.select("product_key", "seq").limit(0)
+    return new.select(F.explode("obsolete").alias("__o"), "seq").select(
+        product_key(F.col("__o")).alias("product_key"), "seq"
+    )
+
+
+def _events(new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(link_key, seq) and (product_key, seq): what each incoming row matches by. Blank keys match nothing."""
+    links = new.where(F.col("link_key") != "").select("link_key", "seq")
+    products = new.where(F.col("product_key") != "").select("product_key", "seq").unionByName(_obsolete(new)).distinct()
+    return links, products
+
+
+def _classes(events: DataFrame, key: str, n: str, first: str) -> DataFrame:
+    """One row per key: how many incoming rows match by it, and the first of them."""
+    return events.groupBy(key).agg(F.count("seq").alias(n), F.min("seq").alias(first))
+
+
+def _match(rows: DataFrame, classes: DataFrame, key: str, own: str) -> DataFrame:
+    """Rows with the class of their key; a row without a key gets one that no other row has, so it is dealt out like any."""
+    unique = F.coalesce(F.nullif(F.col(key), F.lit("")), F.concat(F.lit("\x00"), F.col(own).cast("string")))
+    return rows.withColumn("__own", unique).join(classes.withColumnRenamed(key, "__own"), "__own", "left").drop("__own")
+
+
+def match_summary(index: DataFrame, incoming: DataFrame) -> DataFrame:
+    """row_no, links, products, first_seq of the index rows that incoming rows match.
+
+    `links` incoming rows have its link, `products` its product or name it obsolete; first_seq is the first of
+    all. Both sides meet as classes of a key, so a link that n rows and m incoming rows share costs n + m, not n m.
+    """
+    old, new = with_keys(index), with_keys(incoming)
+    links, products = _events(new)
+    found = _match(old.select("row_no", "link_key", "product_key"), _classes(links, "link_key", "links", "__by_link"), "link_key", "row_no")
+    found = _match(found, _classes(products, "product_key", "products", "__by_product"), "product_key", "row_no")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return found.select("row_no", zero("links"), zero("products"), F.least("__by_link", "__by_product").alias("first_seq")).where(F.col("first_seq").isNotNull())
+
+
 def match_rows(index: DataFrame, incoming: DataFrame) -> DataFrame:
     """(row_no, seq) pairs: same link, same product, or product made obsolete.
 
-    Three equi-joins instead of one OR condition; blank keys never match. Repeats of a key in
-    `incoming` are resolved by `upsert`; this is the plain matching relation.
+    For a chosen few rows of the index, since a shared key gives all its pairs; `match_summary` is the relation
+    for whole tables.
     """
     old, new = with_keys(index), with_keys(incoming)
+    links, products = _events(new)
     left = old.select("row_no", "link_key", "product_key")
-    by_link = left.join(
-        new.where(F.col("link_key") != "").select("link_key", "seq"), "link_key"
-    ).select("row_no", "seq")
-    by_product = left.join(
-        new.where(F.col("product_key") != "").select("product_key", "seq"), "product_key"
-    ).select("row_no", "seq")
-    gone = _obsolete(new)
-    by_obsolete = left.join(gone, "product_key").select("row_no", "seq")
-    return by_link.unionByName(by_product).unionByName(by_obsolete).distinct()
+    pairs = [left.join(events, key).select("row_no", "seq") for events, key in ((links, "link_key"), (products, "product_key"))]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
-def _obsolete(new: DataFrame) -> DataFrame:
-    if "obsolete" not in new.columns:
-        return new.select("product_key", "seq").limit(0)
-    return new.select(F.explode("obsolete").alias("__o"), "seq").select(
-        product_key(F.col("__o")).alias("product_key"), "seq"
-    )
+_CELLS = ("link", "extractor", "product", "day")
 
 
-def _killers(index: DataFrame, incoming: DataFrame) -> DataFrame:
+def _killers(old: DataFrame, new: DataFrame) -> DataFrame:
     """Every row version with the first later incoming row that matches it (null: it stays).
 
     A version can only be removed by a later incoming row with its link, its product, or its
     product on the obsolete list; the earliest of those does it. That makes the outcome of
-    the one-by-one procedure a per-version minimum, without replaying it.
+    the one-by-one procedure a per-version minimum, without replaying it. No cells are carried.
     """
-    old, new = with_keys(index), with_keys(incoming)
-    link_events = new.where(F.col("link_key") != "").select("link_key", "seq")
-    product_events = (
-        new.where(F.col("product_key") != "").select("product_key", "seq").unionByName(_obsolete(new)).distinct()
-    )
-    first = lambda events, key, name: events.groupBy(key).agg(F.min("seq").alias(name))
-
-    def matched(rows: DataFrame, events: DataFrame, key: str, name: str) -> DataFrame:
-        """First event per key; rows without a key match nothing and stay out of the exchange."""
-        has = F.coalesce(F.col(key) != "", F.lit(False))
-        found = rows.where(has).join(first(events, key, name), key, "left")
-        return found.unionByName(rows.where(~has).withColumn(name, F.lit(None).cast(found.schema[name].dataType)))
-
-    nodes_old = (
-        matched(matched(old, link_events, "link_key", "by_link"), product_events, "product_key", "by_product")
-        .select(
-            (-F.col("row_no") - 1).alias("node"),
-            F.struct(F.lit(0).alias("k"), F.col("row_no").cast("long").alias("n")).alias("place"),
-            "link", "extractor", "product", "day", "read", "product_key",
-            F.least("by_link", "by_product").alias("killer"),
-        )
+    links, products = _events(new)
+    by_link = _classes(links, "link_key", "__n", "by_link").drop("__n")
+    by_product = _classes(products, "product_key", "__n", "by_product").drop("__n")
+    narrow = old.select("row_no", "link_key", "product_key", "read")
+    nodes_old = _match(_match(narrow, by_link, "link_key", "row_no"), by_product, "product_key", "row_no").select(
+        (-F.col("row_no") - 1).alias("node"),
+        F.struct(F.lit(0).alias("k"), F.col("row_no").cast("long").alias("n")).alias("place"),
+        "read", "product_key", F.least("by_link", "by_product").alias("killer"),
     )
     link_next = with_neighbour(
-        link_events, ["link_key"], "seq", block_of(F.col("seq")), F.col("seq"), "by_link", after=True
+        links, ["link_key"], "seq", block_of(F.col("seq")), F.col("seq"), "by_link", after=True
     ).select("seq", "by_link")
     product_next = with_neighbour(
-        product_events, ["product_key"], "seq", block_of(F.col("seq")), F.col("seq"), "by_product", after=True
+        products, ["product_key"], "seq", block_of(F.col("seq")), F.col("seq"), "by_product", after=True
     )
     nodes_new = (
-        new.join(link_next, "seq", "left")
+        new.select("seq", "product_key").join(link_next, "seq", "left")
         .join(product_next, ["product_key", "seq"], "left")
         .select(
             F.col("seq").alias("node"),
             F.struct(F.lit(1).alias("k"), F.col("seq").cast("long").alias("n")).alias("place"),
-            "link", "extractor", "product", "day", F.lit(READ_NO).alias("read"), "product_key",
-            F.least("by_link", "by_product").alias("killer"),
+            F.lit(READ_NO).alias("read"), "product_key", F.least("by_link", "by_product").alias("killer"),
         )
     )
     return nodes_old.unionByName(nodes_new)
@@ -122,9 +137,11 @@ def upsert(index: DataFrame, incoming: DataFrame) -> DataFrame:
     Versions point to the row that removed them, which gives a forest; its roots are the rows
     that stay. A root takes the place of the foremost leaf below it, and keeps that leaf's
     read flag if the product never changed on the way. Roots are found by pointer doubling,
-    so even one link updated n times takes log2(n) rounds.
+    so even one link updated n times takes log2(n) rounds. The loop carries numbers only; the
+    cells are joined to the roots at the end.
     """
-    nodes = cut_lineage(_killers(index, incoming))
+    old, new = with_keys(index), with_keys(incoming)
+    nodes = cut_lineage(_killers(old, new))
     inner = nodes.where(F.col("killer").isNotNull())
     parents = nodes.select(
         F.col("node").alias("killer"), F.col("product_key").alias("__p"), F.col("killer").isNull().alias("done")
@@ -154,10 +171,11 @@ def upsert(index: DataFrame, incoming: DataFrame) -> DataFrame:
     front = placed.groupBy("node").agg(
         F.min("place").alias("front"), F.min_by("kept_read", "place").alias("kept_read")
     )
-    return nodes.where(F.col("killer").isNull()).join(front, "node").select(
+    cells = index.select((-F.col("row_no") - 1).alias("node"), *_CELLS).unionByName(incoming.select(F.col("seq").alias("node"), *_CELLS))
+    return front.join(cells, "node").select(
         F.col("front")["k"].alias("row_kind"),
         F.col("front")["n"].alias("row_no"),
-        "link", "extractor", "product", "day",
+        *_CELLS,
         F.col("kept_read").alias("read"),
     )
 

@@ -13,6 +13,7 @@ from ..operators import publish as P
 from ..operators import source_index as X
 from ..runtime import scratch_path
 from ..sinks import documents as SD
+from ..sinks.index_files import IndexFile
 from ..sinks.published import PublishedTable
 from ..sources import captures as SC
 from ..sources.manifests import numbered_lines
@@ -268,7 +269,7 @@ INDEX = """SELECT page_id AS row_no, CASE WHEN page_id % 9 = 0 THEN '本地视
 INCOMING = """SELECT page_id AS seq, CASE CAST(page_id % 6 AS INT) WHEN 5 THEN 'https://one.example.org/' WHEN 4 THEN 'https://new.example.org/' || CAST(page_id AS STRING) ELSE url || '/' END AS link,
     'WebV2' AS extractor, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN '20240101__p' || CAST(page_id AS STRING) || '.md' WHEN 1 THEN '20240101__p' || CAST(page_id + 1 AS STRING) || '.md'
       WHEN 5 THEN '20240301__one' || CAST(page_id % 4 AS STRING) || '.md' ELSE '20240202__q' || CAST(page_id AS STRING) || '.md' END AS product, '2024-02-02' AS day,
-    CASE WHEN page_id % 7 = 0 THEN '20240101__p' || CAST(page_id + 3 AS STRING) || '.md' ELSE '' END AS gone FROM {pages} WHERE page_id % 5 < 4"""
+    CASE WHEN page_id % 7 = 0 THEN '20240101__p' || CAST(page_id + 3 AS STRING) || '.md' ELSE '' END AS gone FROM {pages}"""
 
 
 def _key(e: str) -> str:
@@ -279,13 +280,17 @@ def _incoming(t: Tables):
     return t.sql(INCOMING).withColumn("obsolete", F.when(F.col("gone") != "", F.array("gone")).otherwise(F.array().cast("array<string>")))
 
 
-_MATCH = f"""SELECT DISTINCT x.row_no, i.seq FROM (SELECT *, {_key('link')} AS lk FROM ({INDEX})) x JOIN (SELECT *, {_key('link')} AS lk FROM ({INCOMING})) i
-    ON (i.lk <> '' AND i.lk = x.lk) OR i.product = x.product OR (i.gone <> '' AND i.gone = x.product)"""
+_MATCH = f"""
+  WITH x AS (SELECT *, {_key('link')} AS lk FROM ({INDEX})), i AS (SELECT *, {_key('link')} AS lk FROM ({INCOMING})),
+  p AS (SELECT product, seq FROM i UNION SELECT gone, seq FROM i WHERE gone <> ''),
+  a AS (SELECT row_no, count(*) AS links, min(seq) AS first FROM x JOIN i ON i.lk = x.lk AND x.lk <> '' GROUP BY row_no),
+  b AS (SELECT row_no, count(*) AS products, min(seq) AS first FROM x JOIN p ON p.product = x.product GROUP BY row_no)
+  SELECT row_no, coalesce(links, 0) AS links, coalesce(products, 0) AS products, least(a.first, b.first) AS first_seq FROM a FULL JOIN b USING (row_no)"""
 
 
 @query("join_index_match", _MATCH)
 def join_index_match(t: Tables):
-    return X.match_rows(t.sql(INDEX), _incoming(t))
+    return X.match_summary(t.sql(INDEX), _incoming(t))
 
 
 _UPSERT = f"""
@@ -308,16 +313,29 @@ def index_upsert(t: Tables):
 
 
 _ROW = "'| ' || link || ' | ' || extractor || ' | `' || product || '` | ' || day || ' | ' || read || ' |'"
+# What stands around the table, and a line inside it that is no row.
+_BEFORE, _AFTER = (X.INDEX_TITLE, "", "Kept by hand."), ("closing note", "| not | a | table | row |", "")
 
 
-@query("sink_source_index", f"SELECT row_no, {_ROW} AS line FROM ({INDEX})")
+def _lit_lines(values, at: int) -> str:
+    return " UNION ALL ".join(f"SELECT {at} AS part, 0 AS kind, {k} AS no, '{v}' AS line" for k, v in enumerate(values))
+
+
+@query("sink_source_index", f"""
+  WITH l AS ({_lit_lines(_BEFORE, 0)} UNION ALL {_lit_lines((X.INDEX_HEADER, X.INDEX_SEPARATOR), 1)} UNION ALL {_lit_lines(_AFTER, 4)}
+    UNION ALL SELECT 3, row_kind, row_no, {_ROW} FROM ({_UPSERT}))
+  SELECT row_number() OVER (ORDER BY part, kind, no) AS line_number, line FROM l""")
 def sink_source_index(t: Tables):
-    """Index written as ordered text parts, read back as lines."""
-    path = scratch_path(t.spark, "index")
-    SD.write_lines(X.index_lines(t.sql(INDEX)), ["row_no"], path, [X.INDEX_TITLE, "", X.INDEX_HEADER, X.INDEX_SEPARATOR])
-    lines = numbered_lines(t.spark, f"{path}/rows").select("value")
-    number = F.regexp_extract("value", r"__p(\d+)\.md", 1).cast("long")
-    return lines.select(number.alias("row_no"), F.col("value").alias("line"))
+    """An index with lines written by hand, merged with all incoming rows and read back whole."""
+    index = IndexFile(t.spark, scratch_path(t.spark, "index"))
+    hand = t.spark.createDataFrame(
+        [(part, k, v) for part, values in ((0, _BEFORE), (1, (X.INDEX_HEADER, X.INDEX_SEPARATOR)), (3, _AFTER)) for k, v in enumerate(values)],
+        "part int, no bigint, value string",
+    )
+    rows = X.index_lines(t.sql(INDEX)).select(F.lit(2).alias("part"), F.col("row_no").alias("no"), F.col("line").alias("value"))
+    index.write(hand.unionByName(rows), ["part", "no"], 0)
+    index.merge(_incoming(t), expected=0)
+    return index.lines().select("line_number", F.col("value").alias("line"))
 
 
 @query("scan_source_index", f"""

@@ -76,11 +76,3 @@ def export_files(rows: DataFrame, name: str, text: str, folder: str) -> None:
             files.move(partial, path)
 
     rows.select(name, text).foreachPartition(write)
-
-
-def write_lines(lines: DataFrame, order: list[str], path: str, head: list[str]) -> None:
-    """Ordered text output: range-sorted files whose names follow the order; the head comes first."""
-    spark = lines.sparkSession
-    first = spark.createDataFrame([("\n".join(head),)], "value string")
-    first.coalesce(1).write.mode("overwrite").text(f"{path}/head")
-    lines.orderBy(*order).select("line").write.mode("overwrite").text(f"{path}/rows")

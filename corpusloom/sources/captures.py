@@ -94,8 +94,8 @@ def titled(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
     return kept.withColumn("value", F.when(F.col("__title") == title, F.col("value")).otherwise(foreign)).drop("__title")
 
 
-def lines_around_index(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
-    """(file, line_number, value) of the hand-written lines before and after the table, to be written back."""
+def sections(lines: DataFrame) -> DataFrame:
+    """Numbered lines with `place`: -1 before the index table, 0 in it, 1 after it; without a table all come before it."""
     rows = lines.select("file", "line_number", "value", strip(F.col("value")).alias("v"), index_cells(F.col("value")).alias("cells"))
     header = F.array(*[F.lit(c) for c in INDEX_COLUMNS])
     is_header = F.col("v").startswith("|") & ((F.col("cells") == header) | (F.col("cells") == F.slice(header, 1, len(INDEX_COLUMNS) - 1)))
@@ -104,8 +104,13 @@ def lines_around_index(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
     ends = placed.groupBy("file").agg(
         F.min(F.when((F.col("line_number") > F.col("head")) & ~F.col("v").startswith("|"), F.col("line_number"))).alias("end")
     )
-    outside = F.col("head").isNull() | (F.col("line_number") < F.col("head")) | (F.col("line_number") >= F.col("end"))
-    return placed.join(ends, "file").where(outside & (F.col("v") != title)).select("file", "line_number", "value")
+    place = F.when(F.col("head").isNull() | (F.col("line_number") < F.col("head")), -1).when(F.col("line_number") >= F.col("end"), 1).otherwise(0)
+    return placed.join(ends, "file").select("file", "line_number", "value", place.alias("place"), (F.col("line_number") - F.col("head") - 2).alias("row_no"), "cells")
+
+
+def lines_around_index(lines: DataFrame, title: str = INDEX_TITLE) -> DataFrame:
+    """(file, line_number, value) of the hand-written lines before and after the table."""
+    return sections(lines).where((F.col("place") != 0) & (strip(F.col("value")) != title)).select("file", "line_number", "value")
 
 
 def source_index(spark: SparkSession, path) -> DataFrame:

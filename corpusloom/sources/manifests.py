@@ -40,6 +40,17 @@ def _number_lines(raw: DataFrame) -> DataFrame:
     )
 
 
+def lines_of_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder of text parts as one numbered file; the parts' names give their order."""
+    raw = spark.read.text(path).select(
+        F.lit(path).alias("file"),
+        (F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long") * F.lit(1 << 40) + F.col("_metadata.file_block_start")).alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    return _number_lines(raw)
+
+
 def _clean_source(value: Column) -> Column:
     return strip_only(strip(text_or_empty(value)), "\"'")
 
