@@ -174,6 +174,16 @@ def episode_context(
     )
 
 
+def uploader_hints(title: Column, uploader: Column, description: Column, limit: int | None = None) -> Column:
+    """struct(title, context, terms, people) of a video's metadata: its uploader is the only person, its description the context."""
+    name = strip(text_or_empty(uploader))
+    nobody = F.array().cast("array<string>")
+    return F.struct(
+        strip(text_or_empty(title)).alias("title"), _clipped(strip(text_or_empty(description)), limit).alias("context"), nobody.alias("terms"),
+        F.when(name != "", F.array(name)).otherwise(nobody).alias("people"),
+    )
+
+
 def chapter_lines(notes: Column) -> Column:
     """Array of struct(start, title) from time-stamped note lines, first of equal starts, sorted."""
     time = r"(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}"

@@ -240,6 +240,15 @@ def note_parse(t: Tables):
     return rows.select("doc_id", "n.title", "n.author", body.alias("body"), F.array_join("n.images", ",").alias("images"))
 
 
+@query("hints_uploader", """
+  SELECT p_partkey, trim(p_name) AS title, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS people, left(trim(p_type || ' by ' || p_brand || repeat('.', p_size)), 30) AS context FROM {part}""")
+def hints_uploader(t: Tables):
+    uploader = F.when(F.col("p_partkey") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_brand"))
+    about = F.concat(F.lit(" "), "p_type", F.lit(" by "), "p_brand", F.repeat(F.lit("."), F.col("p_size")))
+    hints = T.uploader_hints(F.concat("p_name", F.lit("\n")), uploader, about, limit=30)
+    return t["part"].select("p_partkey", hints.alias("h")).select("p_partkey", "h.title", F.array_join("h.people", "|").alias("people"), "h.context")
+
+
 EPISODES = """SELECT p_partkey, 'https://www.xiaoyuzhoufm.com/episode/' || lpad(CAST(p_partkey AS STRING), 24, '0') AS url,
     '<title>' || p_name || ' - ' || p_brand || ' | 小宇宙</title><meta property="og:audio" content="https://media.org/og.m4a">'
     || '<meta property="og:title" content="OG ' || p_name || '"><meta name="description" content="about">'

@@ -9,6 +9,7 @@ from ..functions import routing as C
 from ..operators.ordered import keep_first
 from ..operators.tasks import fingerprint_of
 from ..runtime import scratch_path
+from ..sinks.documents import export_files
 from ..sources import manifests as M
 from . import duck as D
 from .registry import Tables, query
@@ -153,20 +154,23 @@ def source_stats(t: Tables):
     return C.with_channel(refs, "reference").groupBy("channel").agg(F.count(F.lit(1)).alias("sources"))
 
 
-_ADAPTERS = " ".join(f"WHEN '{c.key}' THEN '{c.adapter}'" for c in C.CHANNELS)
-_STEPS = " ".join(f"WHEN '{c.key}' THEN {len(c.plan)}" for c in C.CHANNELS)
+# What each channel is expected to show: adapter, backend and number of steps; the last one is a caller's rule.
+_SHOWN = """(VALUES ('deferred', 'DeferredMediaExtractor', '', 1), ('douyin', 'DouyinExtractor', '', 3), ('document', 'DocumentExtractor', '', 1),
+    ('wechat', 'WeChatExtractor', '', 2), ('bilibili', 'BilibiliExtractor', '', 3), ('youtube', 'YouTubeExtractor', '', 2), ('xiaoyuzhou', 'XiaoyuzhouExtractor', '', 2),
+    ('zhihu_question', 'ZhihuExtractor', '', 2), ('xiaohongshu', 'XiaohongshuExtractor', '', 1), ('web', 'GenericWebExtractor', '', 2), ('blog', 'BlogAdapter', 'renderer', 1))"""
 
 
 @query("route_explain", f"""
-  WITH c AS (SELECT kind, id, raw, reference, {D.channel('reference')} AS channel FROM ({NORMALIZED}))
+  WITH c AS (SELECT kind, id, raw, reference, CASE WHEN {D.host('reference')} LIKE 'blog.%' THEN 'blog' ELSE {D.channel('reference')} END AS channel FROM ({NORMALIZED}))
   SELECT kind, id, reference AS normalized, channel,
     CASE WHEN raw LIKE 'http://%' OR raw LIKE 'https://%' THEN 'URL'
          WHEN contains(raw, 'http://') OR contains(raw, 'https://') THEN 'App 分享文本 / 含 URL 文本'
          WHEN raw LIKE 'BV%' THEN 'Bilibili BV 号' ELSE 'Content Reference' END AS input_kind,
-    CASE channel {_ADAPTERS} END AS adapter, CAST(CASE channel {_STEPS} END AS INT) AS steps FROM c""")
+    s.adapter, coalesce(s.backend, '') AS backend, CAST(s.steps AS INT) AS steps FROM c LEFT JOIN {_SHOWN} AS s(key, adapter, backend, steps) ON s.key = c.channel""")
 def route_explain(t: Tables):
-    return C.explain_routes(t.sql(ROUTED), "raw").select(
-        "kind", "id", "normalized", "channel", "input_kind", "adapter", F.size("plan").alias("steps")
+    blog = C.Channel(10, "blog", "Blogs", "BlogAdapter", lambda ref: ref.host.startswith("blog."), ("render the page",), backend="renderer")
+    return C.explain_routes(t.sql(ROUTED), "raw", C.with_channels([blog])).select(
+        "kind", "id", "normalized", "channel", "input_kind", "adapter", "backend", F.size("plan").alias("steps")
     )
 
 
@@ -290,9 +294,9 @@ CSV_ROWS = f"""SELECT {_GROUP} AS grp, page_id, CASE WHEN page_id % 6 = 5 THEN '
     'n,' || CAST(page_id AS STRING) AS name, 'web,ai' AS tags FROM {{pages}}"""
 
 
-def _write_groups(t: Tables, sql: str, label: str, form: str) -> str:
+def _write_groups(t: Tables, sql: str, label: str, form: str, path: str | None = None) -> str:
     """One file per group, its rows in page order."""
-    path = scratch_path(t.spark, label)
+    path = path or scratch_path(t.spark, label)
     rows = t.sql(sql).repartition("grp").sortWithinPartitions("grp", "page_id").drop("page_id")
     writer = rows.write.partitionBy("grp")
     writer.csv(path, header=True, escape='"') if form == "csv" else getattr(writer, form)(path)
@@ -353,24 +357,39 @@ _ALL_ITEMS = f"""
   UNION ALL SELECT 'csv' AS form, grp, line_number, source FROM ({_CSV_ITEMS})"""
 
 
-def _all_manifests(t: Tables):
-    """Three folders of three formats below one root, loaded as one table."""
-    parts = [
-        (_write_groups(t, TEXT_LINES, "mixed-text", "text"), "txt"),
-        (_write_groups(t, _GOOD_JSON, "mixed-json", "json"), "jsonl"),
-        (_write_groups(t, CSV_ROWS, "mixed-csv", "csv"), "csv"),
-    ]
-    out = None
-    for path, suffix in parts:
-        items = M.load_manifests(t.spark, path, suffixes=(suffix,))
-        out = items if out is None else out.unionByName(items)
-    return out
-
-
-@query("scan_manifest_dispatch", _ALL_ITEMS)
+def _mixed_folder(t: Tables) -> str:
+    """One root with text, JSON and CSV manifests below it."""
+    root = scratch_path(t.spark, "mixed")
+    for k, (sql, form) in enumerate(((TEXT_LINES, "text"), (_GOOD_JSON, "json"), (CSV_ROWS, "csv"))):
+        _write_groups(t, sql, "", form, f"{root}/kind={k}")
+    return root
+
+
+@query("scan_manifest_dispatch", f"""
+  SELECT form, grp, line_number, source, '' AS reason FROM ({_ALL_ITEMS})
+  UNION ALL SELECT '' AS form, c_nationkey AS grp, 0 AS line_number, '' AS source, 'not_a_manifest' AS reason FROM {{customer}} GROUP BY c_nationkey
+  UNION ALL SELECT 'csv' AS form, c_nationkey AS grp, 1 AS line_number, '' AS source, 'no_source_column' AS reason FROM {{customer}} GROUP BY c_nationkey
+  UNION ALL SELECT 'jsonl' AS form, c_nationkey AS grp, count(*) AS line_number, '' AS source, 'not_json' AS reason FROM {{customer}} GROUP BY c_nationkey""")
 def scan_manifest_dispatch(t: Tables):
-    form = F.regexp_extract("file", r"\.(txt|json|csv)$", 1).alias("form")
-    return _all_manifests(t).select(form, _group_of("file"), "line_number", "source")
+    """One mixed folder in one scan: each file by its suffix, bad lines and foreign files named."""
+    root = _mixed_folder(t)
+    groups = t["customer"].groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    name = lambda suffix: F.concat(F.lit("kind=3/grp="), F.col("c_nationkey").cast("string"), F.lit(f"/x.{suffix}"))
+    for suffix, text in (
+        ("md", F.lit("https://e.org/")), ("csv", F.lit("url,name\nhttps://e.org/,x\n")),
+        ("jsonl", F.concat(F.repeat(F.lit("\n"), (F.col("n") - 1).cast("int")), F.lit("{broken"))),
+    ):
+        export_files(groups.select(name(suffix).alias("name"), text.alias("text")), "name", "text", root)
+    items, bad = M.record_items(M.manifest_records(t.spark, root))
+    form = F.regexp_extract("file", r"\.(txt|jsonl|json|csv)$", 1).alias("form")
+    return items.select(form, _group_of("file"), "line_number", "source", F.lit("").alias("reason")).unionByName(
+        bad.select(form, _group_of("file"), "line_number", F.lit("").alias("source"), "reason")
+    )
+
+
+def _all_manifests(t: Tables):
+    """A mixed folder through the splitting readers."""
+    return M.load_manifests(t.spark, _mixed_folder(t))
 
 
 @query("union_manifests", f"SELECT source, count(*) AS items FROM ({_ALL_ITEMS}) GROUP BY source")

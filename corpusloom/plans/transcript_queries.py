@@ -351,12 +351,17 @@ def join_terms(t: Tables):
     return S.normalize_segments(t.sql(SPOKEN), _hints(t)).select("doc_id", "text")
 
 
+# Three to five segments a document, of which those with an odd number need no cleaning.
+TALK = """SELECT p_partkey AS doc_id, CAST(k AS BIGINT) AS seg_no, CASE WHEN k % 2 = 1 THEN p_brand ELSE '  the  ' || p_name END AS text
+    FROM (SELECT *, explode(sequence(0, 2 + CAST(p_partkey % 3 AS INT))) AS k FROM {part})"""
+
+
 @query("normalization_report", """
-  SELECT p_partkey AS doc_id, 'basic' AS mode, CAST(1 AS BIGINT) AS processed_segments, CAST(1 AS BIGINT) AS changed_segments,
+  SELECT p_partkey AS doc_id, 'basic' AS mode, CAST(3 + p_partkey % 3 AS BIGINT) AS processed_segments, CAST((4 + p_partkey % 3) // 2 + CASE WHEN p_partkey % 2 = 0 THEN (3 + p_partkey % 3) // 2 ELSE 0 END AS BIGINT) AS changed_segments,
     CAST(CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 0 END AS BIGINT) AS hints_used FROM {part}""")
 def normalization_report(t: Tables):
     hints = _hints(t)
-    return S.normalization_report(S.normalize_segments(t.sql(SPOKEN), hints), hints)
+    return S.normalization_report(S.normalize_segments(t.sql(TALK), hints), hints)
 
 
 @query("hint_context", """

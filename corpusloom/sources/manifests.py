@@ -138,6 +138,26 @@ def csv_items(spark: SparkSession, path, suffix: str = ".csv") -> DataFrame:
     ).where(F.col("source") != "").withColumn("source", _clean_source(F.col("source")))
 
 
+def manifest_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records (file, form, line_number, value, fields, error) of a mixed folder, in one scan (see `manifest_source`)."""
+    from .manifest_source import ManifestSource
+
+    spark.dataSource.register(ManifestSource)
+    return spark.read.format("manifests").load(path)
+
+
+def record_items(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, bad records) of such records; a bad one has its file, line number and reason."""
+    lines = lambda form: records.where((F.col("form") == form) & F.col("error").isNull()).select("file", "line_number", "value")
+    field = lambda name: text_or_empty(F.col("fields")[name])
+    table = records.where((F.col("form") == "csv") & F.col("error").isNull()).select(
+        "file", "line_number", F.lit(0).alias("pos"), _clean_source(field("source")).alias("source"), strip(field("name")).alias("name"), parse_tags(field("tags")).alias("tags")
+    ).where(F.col("source") != "")
+    parsed, refused = json_items(lines("json"))
+    items = text_items(lines("txt")).unionByName(parsed).unionByName(table)
+    return items, refused.unionByName(records.where(F.col("error").isNotNull()).select("file", "line_number", F.col("error").alias("reason")))
+
+
 def load_manifests(
     spark: SparkSession, path: str, *, suffixes=("txt", "jsonl", "csv"), strict: bool = True
 ) -> DataFrame:
