@@ -15,6 +15,7 @@ from ..operators import edits as E
 from ..operators import hooks as HK
 from ..operators import media as M
 from ..operators import segments as S
+from ..operators import terms as TM
 from ..operators import tracks as TR
 from ..runtime import scratch_path, spread
 from ..sinks.documents import export_files
@@ -346,6 +347,18 @@ def term_canonicalize(t: Tables):
     return named.select("doc_id", T.normalize_text(F.col("text"), terms).alias("text"))
 
 
+# One dictionary for all: a name for each part, of which a text holds its own and its neighbour's.
+NAMES = "SELECT p_partkey AS pos, 'Part ' || upper(p_name) || ' No' || CAST(p_partkey AS STRING) AS term FROM {part}"
+NAMED = "SELECT p_partkey AS doc_id, 'see part ' || p_name || ' NO' || CAST(p_partkey AS STRING) || ', PART ' || p_name || ' no' || CAST(p_partkey + 1 AS STRING) || '; apart ' || p_name AS text FROM {part}"
+
+
+@query("term_dictionary", """
+  SELECT a.p_partkey AS doc_id, 'see Part ' || upper(a.p_name) || ' No' || a.p_partkey || ', ' || CASE WHEN b.p_name = a.p_name THEN 'Part ' || upper(a.p_name) || ' No' ELSE 'PART ' || a.p_name || ' no' END || (a.p_partkey + 1)
+    || '; apart ' || a.p_name AS text FROM {part} a LEFT JOIN {part} b ON b.p_partkey = a.p_partkey + 1""")
+def term_dictionary(t: Tables):
+    return TM.canonicalized(t.sql(NAMED), t.sql(NAMES), ["doc_id"])
+
+
 @query("join_terms", f"SELECT p_partkey AS doc_id, {_TERMED.replace('p_brand', 'upper(p_brand)', 1)} AS text FROM {{part}}")
 def join_terms(t: Tables):
     return S.normalize_segments(t.sql(SPOKEN), _hints(t)).select("doc_id", "text")
