@@ -9,7 +9,11 @@ similarity of at least `similarity`; lines are judged on the input, not on what
 3. Two sets can only be similar if they share a word among the first s - ceil(t s) + 1 of each (prefix
    filter). First lines meet on these words, and length, the positions of the shared word, and 128-bit
    parity maps of the sets bound the overlap from above; pairs that cannot reach the threshold go.
-4. What is left is verified on the full sets, and of each similar pair the later line is removed.
+4. One earlier line is enough to remove a line, so pairs are no result. In rounds, each line that is still
+   asking takes the earliest lines it may resemble, a few per word and more with every round, and is verified
+   against them on the full sets. A line that found one asks no more, but stays as what others may resemble.
+   Lines ask until they have met all they may resemble: nothing is left out, and a large group of near copies
+   costs each of its lines about one comparison.
 
 Words that stand in very many lines get their lines cut into blocks (see bundles); whether a word may be
 one of them is known from the slot counts, so only those few are counted exactly.
@@ -38,6 +42,10 @@ SLOT_BITS = 20
 LONG_LIST = 4096
 # Fewer lines than this, their numbers fit a 64-bit sort key beside rarity and the low 36 bits of a word.
 PACKED_LINES = 1 << 20
+# A line meets so many of the lines it may resemble per word in the first round, and times as many in each next one.
+FIRST_ROUND, NEXT_ROUND = 1, 16
+# Lists of lines up to this length are compared all at once, longer ones line by line until none asks.
+SHORT_LIST = 64
 _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
 
@@ -124,39 +132,107 @@ def _lines(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, "rid bigint, id bigint, doc_hash bigint, line int, h1 bigint, h2 bigint, size int, m1 bigint, m2 bigint, prefix array<int>")
 
 
-def _candidates(first: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of first lines that may be similar by prefix, positions, lengths and parity maps."""
-    places = first.select("rid", "size", "m1", "m2", F.posexplode("prefix").alias("pos", "token"))
+class _Asking:
+    """The lists of one bundle: rows in order of list, document and line, and what may be similar in them."""
+
+    def __init__(self, table: pa.Table, starts: np.ndarray, similarity: float):
+        n = table.num_rows
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        names = ("rid", "id", "line", "size", "m1", "m2", "pos", "side", "asks")
+        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
+        apart = table.column("left").to_numpy() != table.column("right").to_numpy()
+        order = np.lexsort((own["line"], own["id"], owner))
+        for c in names:
+            setattr(self, c, own[c][order])
+        self.m1, self.m2, self.apart = self.m1.view(np.uint64), self.m2.view(np.uint64), apart[order]
+        self.starts, self.n = starts, n
+        self.some_apart = bool(apart.any())
+        self.ratio = similarity / (1 + similarity)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs, i before j, may be similar; lines of one place are not before each other."""
+        ok = np.ones(len(j), bool)
+        if self.some_apart:
+            ok &= ~(self.apart[i] & (self.side[i] == self.side[j]))
+        both = self.size[i] + self.size[j]
+        needed = np.ceil(self.ratio * both - 1e-9)
+        ok &= np.minimum(self.size[i], self.size[j]) >= needed
+        ok &= np.minimum(self.size[i] - self.pos[i], self.size[j] - self.pos[j]) >= needed
+        kept = np.flatnonzero(ok)
+        i, j, both, needed = i[kept], j[kept], both[kept], needed[kept]
+        differ = np.bitwise_count(self.m1[i] ^ self.m1[j]).astype(np.int64) + np.bitwise_count(self.m2[i] ^ self.m2[j])
+        close = (both - differ >= 2 * needed) & ((self.id[i] != self.id[j]) | (self.line[i] != self.line[j]))
+        return kept[close]
+
+    def found(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b) with b the low-th to (high - 1)-th earliest that a may resemble in a list, and those who have more."""
+        length = np.diff(np.append(self.starts, self.n))
+        met = np.zeros(self.n, np.int64)
+        out = [np.zeros((2, 0), np.int64)]
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            rank = met[j]
+            keep = (rank >= low) & (rank < high)
+            if keep.any():
+                out.append(np.stack([j[keep], i[keep]]))
+
+        short = np.flatnonzero(np.repeat(length <= SHORT_LIST, length))
+        if len(short):
+            starts = np.cumsum(length[length <= SHORT_LIST]) - length[length <= SHORT_LIST]
+            for i, j in pairs(starts, len(short), 1 << 17):
+                i, j = short[i], short[j]
+                ok = self.asks[j]
+                i, j = i[ok], j[ok]
+                ok = self.alike(i, j)
+                i, j = i[ok], j[ok]
+                order = np.argsort(j, kind="stable")  # i stays in order
+                i, j = i[order], j[order]
+                first = np.flatnonzero(np.append(True, j[1:] != j[:-1])[: len(j)])
+                times = np.diff(np.append(first, len(j)))
+                rank = met[j] + np.arange(len(j)) - np.repeat(first, times)
+                keep = (rank >= low) & (rank < high)
+                if keep.any():
+                    out.append(np.stack([j[keep], i[keep]]))
+                met[j[first]] += times
+        for at, size in zip(self.starts[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist()):
+            active = at + np.flatnonzero(self.asks[at : at + size])
+            for i in range(at, at + size - 1):
+                active = active[np.searchsorted(active, i, side="right") :]
+                if not len(active):
+                    break
+                ok = self.alike(np.full(len(active), i), active)
+                j = active[ok]
+                take(np.full(len(j), i), j)
+                met[j] += 1
+                if len(j) and met[j].max() > high:
+                    active = active[met[active] <= high]
+        a, b = np.concatenate(out, axis=1)
+        return self.rid[a], self.rid[b], self.rid[met > high]
+
+
+def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int, similarity: float) -> DataFrame:
+    """(a, b): earlier lines b that the asking lines a may resemble; b is null where a has more than it was given.
+
+    `asking` has the rids that still ask; without it all do.
+    """
+    kept = first if asking is None else first.join(asking.withColumn("asks", F.lit(True)), "rid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    places = kept.select("rid", "id", "line", "size", "m1", "m2", F.posexplode("prefix").alias("pos", "token"), *([F.lit(True).alias("asks")] if asking is None else ["asks"]))
+    if asking is not None:
+        places = places.join(places.where("asks").select("token").distinct(), "token", "left_semi")
     few = places.where(F.col("token") >= 0).withColumns({c: F.lit(0) for c in ("side", "left", "right")})
     many = in_blocks(places.where(F.col("token") < 0), ["token"], "rid", rows=2048).select(*few.columns)
     group = ["token", "left", "right"]
-    ratio = similarity / (1 + similarity)
 
     def run(batches):
         for table, starts in bundles(batches, group, 50_000):
-            n = table.num_rows
-            rid, size, m1, m2, pos, side = (table.column(c).to_numpy() for c in ("rid", "size", "m1", "m2", "pos", "side"))
-            m1, m2 = m1.view(np.uint64), m2.view(np.uint64)  # bits of a negative number are counted otherwise
-            apart = table.column("left").to_numpy() != table.column("right").to_numpy()
-            some_apart = bool(apart.any())
-            found = []
-            for i, j in pairs(starts, n, 1 << 17):
-                if some_apart:
-                    ok = ~(apart[i] & (side[i] == side[j]))
-                    i, j = i[ok], j[ok]
-                both = size[i] + size[j]
-                needed = np.ceil(ratio * both - 1e-9)
-                ok = np.minimum(size[i], size[j]) >= needed
-                ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= needed
-                i, j, both, needed = i[ok], j[ok], both[ok], needed[ok]
-                differ = np.bitwise_count(m1[i] ^ m1[j]).astype(np.int64) + np.bitwise_count(m2[i] ^ m2[j])
-                ok = both - differ >= 2 * needed
-                a, b = rid[i[ok]], rid[j[ok]]
-                if len(a):
-                    found.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
-            if found:
-                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, more = _Asking(table, starts, similarity).found(low, high)
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            more = np.unique(more)
+            if len(a) or len(more):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())])], names=["a", "b"]
+                )
 
     return few.unionByName(many).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -181,26 +257,36 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.min("words").alias("words"))
 
 
+def _similar(source: DataFrame, found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The rids a of the pairs (a, b) whose full sets are similar."""
+    met = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
+    sets = materialize(_word_sets(source, first.join(met, "rid", "left_semi").select("rid", "id", "doc_hash", "line")), "line-words")
+    side = lambda c: sets.select(F.col("rid").alias(c), F.col("words").alias(f"w_{c}"))
+    shared, total = F.size(F.array_intersect("w_a", "w_b")), F.size("w_a") + F.size("w_b")
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    return both.where(shared >= F.lit(similarity / (1 + similarity)) * total - 1e-9).select(F.col("a").alias("rid")).distinct()
+
+
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, doc_hash, lines): the numbers of the removed lines, from 0, of each document that loses any."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("doc_hash"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     lines = materialize(_lines(source, word_slots(source), similarity), "lines")
-    spot = F.struct("id", "line", "rid")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(spot).alias("first")).select("h1", "h2", F.col("first.id").alias("f_id"), F.col("first.line").alias("f_line"), F.col("first.rid").alias("f_rid"), )
-    joined = lines.select("h1", "h2", "rid", "id", "doc_hash", "line").join(firsts, ["h1", "h2"])
-    state = materialize(joined.select("rid", "id", "doc_hash", "line", "f_rid", (F.struct("id", "line") > F.struct("f_id", "f_line")).alias("repeat")), "line-classes")
-    first = lines.join(state.where(F.col("rid") == F.col("f_rid")).select("rid"), "rid", "left_semi")
-    found = materialize(_candidates(first, similarity), "line-candidates")
-    met = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
-    places = materialize(state.join(met, "rid", "left_semi").select("rid", "id", "doc_hash", "line"), "met-lines")
-    sets = materialize(_word_sets(source, places), "line-words")
-    side = lambda c: sets.select(F.col("rid").alias(c), F.col("words").alias(f"w_{c}"))
-    shared, total = F.size(F.array_intersect("w_a", "w_b")), F.size("w_a") + F.size("w_b")
-    similar = found.join(side("a"), "a").join(side("b"), "b").where(shared >= F.lit(similarity / (1 + similarity)) * total - 1e-9).select("a", "b")
-    at = lambda c: places.select(F.col("rid").alias(c), F.struct("id", "line").alias(f"at_{c}"))
-    ordered = similar.join(at("a"), "a").join(at("b"), "b").where(F.col("at_a") != F.col("at_b"))
-    later = ordered.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("rid")).distinct()
-    gone = state.where("repeat").select("id", "doc_hash", "line").unionByName(places.join(later, "rid", "left_semi").select("id", "doc_hash", "line"))
+    # One row for each set: its first line, and whether others have it too.
+    row = F.struct("rid", "id", "doc_hash", "line", "size", "m1", "m2", "prefix")
+    classes = lines.groupBy("h1", "h2").agg(F.min_by(row, F.struct("id", "line", "rid")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = materialize(classes.select("h1", "h2", "f.*", "n"), "line-classes")
+    shared = first.where(F.col("n") > 1).select("h1", "h2", F.struct("id", "line").alias("f"))
+    gone = lines.select("h1", "h2", "id", "doc_hash", "line").join(shared, ["h1", "h2"]).where(F.struct("id", "line") > F.col("f")).select("id", "doc_hash", "line")
+    asking, low, high = None, 0, FIRST_ROUND
+    while True:
+        found = materialize(_candidates(first, asking, low, high, similarity), "line-candidates")
+        pairs_ = found.where(F.col("b").isNotNull())
+        decided = materialize(_similar(source, pairs_, first, similarity), "similar-lines")
+        gone = gone.unionByName(first.join(decided, "rid", "left_semi").select("id", "doc_hash", "line"))
+        asking = materialize(found.where(F.col("b").isNull()).select(F.col("a").alias("rid")).join(decided, "rid", "left_anti"), "asking-lines")
+        if asking.isEmpty():
+            break
+        low, high = high, high * NEXT_ROUND
     return gone.groupBy("id", "doc_hash").agg(F.collect_set("line").alias("lines"))
 
 

@@ -123,3 +123,19 @@ def test_long_words_of_a_regular_build(make_docs):
         rows = [(1, a), (2, b), (3, f"{a}\nx {a}")]
         gone = {r["id"]: sorted(r["lines"]) for r in line_dedup.removed_lines(make_docs(rows)).collect()}
         assert gone == {3: [0]}
+
+
+def test_rounds_end_at_the_first_similar_line(make_docs, monkeypatch):
+    """Lists compared line by line, few lines a round, and lines that resemble none of the earliest ones."""
+    monkeypatch.setattr(line_dedup, "SHORT_LIST", 3)
+    monkeypatch.setattr(line_dedup, "NEXT_ROUND", 2)
+    rng = random.Random(7)
+    rows = random_rows(5, n=30)
+    for group in range(2):
+        base = [f"g{group}w{k}" for k in range(14)]
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                own[rng.randrange(1, 14)] = f"r{rng.randrange(30)}"
+            rows.append((1000 + 50 * group + k, " ".join(own)))
+    assert found(make_docs(rows)) == brute(rows)
