@@ -2,21 +2,25 @@
 
 `find_spans` works on one whole text. The kinds email, ip, card and phone are the base ones: leftmost,
 non-overlapping matches per kind; a match that fails its check is dropped. They keep their place
-whatever their score. Two further kinds are added where they overlap no base span:
+whatever their score. Further kinds are added where they overlap no base span and none added before:
 
 - iban: country, check digits and account, confirmed by the mod-97 rule; words in capitals and numbers after
   the account may look like a part of it, so every end at a word's end is tried, the country's length first;
+- secret: a value assigned to a name such as token or api_key, confirmed if its characters vary like random ones;
 - local_phone, national_id: number shapes without a checksum, kept only where a word near them
   lifts the score to `threshold`.
 
 Defined cases: a null or empty text has no spans; each row gives one row, repeated rows included;
 offsets count code points, the end is exclusive; other columns are not carried along. All scans are
-linear in the text, so long runs of one character do no harm.
+linear in the text, and spans are merged by search in sorted starts, so neither long runs nor many spans do harm.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Kinds in listed order, base ones first.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "local_phone", "national_id")
+KINDS = (*BASE_KINDS, "iban", "secret", "local_phone", "national_id")
 
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -36,6 +40,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+-])\(?0?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(
+    r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|token|secret|passw(?:or)?d)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_=.-]{16,}+)"
+)
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 # Lengths of the accounts by country, without spaces; they only say which end is tried first.
@@ -53,18 +60,20 @@ _IBAN_LENGTHS = {
 _WINDOW = 48
 _WORD = re.compile(r"[^\W\d_]+")
 # Score of a confirmed shape before its surroundings are read.
-_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.3, "national_id": 0.3}
+_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "secret": 0.8, "local_phone": 0.3, "national_id": 0.3}
 _NEAR = {
     "email": {"mail", "email", "contact", "write"},
     "ip": {"ip", "address", "host", "server", "login"},
     "card": {"card", "visa", "credit", "debit", "payment", "mastercard"},
     "phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
     "iban": {"iban", "account", "bank", "transfer"},
+    "secret": {"credentials", "private", "login", "auth"},
     "local_phone": {"phone", "tel", "call", "mobile", "fax", "telephone"},
     "national_id": {"ssn", "social", "security", "identity"},
 }
 _AGAINST = {
     "ip": {"version", "release", "section"},
+    "secret": {"example", "placeholder", "sample"},
     "card": {"order", "tracking", "serial", "token", "key"},
     "local_phone": {"order", "invoice", "serial", "part"},
     "national_id": {"order", "invoice", "serial", "part"},
@@ -88,6 +97,15 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+# Bits a character of a secret carries at least, by the frequencies of its own characters.
+SECRET_BITS = 2.8
+
+
+def varied(value: str) -> bool:
+    """Whether the characters of a value are spread like those of a generated one."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= SECRET_BITS
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Around each at sign: the run of local characters not used by an earlier match, then a domain."""
     free, at = 0, text.find("@")
@@ -130,6 +148,9 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "phone", m.start(), m.end()
     for start, end in _ibans(text):
         yield "iban", start, end
+    for m in _SECRET.finditer(text):
+        if varied(m[1]):
+            yield "secret", m.start(1), m.end(1)
     for m in _LOCAL_PHONE.finditer(text):
         yield "local_phone", m.start(), m.end()
     for m in _NATIONAL_ID.finditer(text):
@@ -142,17 +163,35 @@ def _score(text: str, kind: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, score)), 2)
 
 
+class _Taken:
+    """Places that are taken: given ranges, which may overlap, and those added since, which do not."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        ranges = sorted(ranges)
+        self.starts, self.ends, high = [a for a, _ in ranges], [], 0
+        for _, b in ranges:
+            high = max(high, b)
+            self.ends.append(high)
+        self.added: list[tuple[int, int]] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a range if it is free."""
+        k = bisect_left(self.starts, end)
+        if k and self.ends[k - 1] > start:
+            return False
+        k = bisect_left(self.added, (end, 0))
+        if k and self.added[k - 1][1] > start:
+            return False
+        self.added.insert(k, (start, end))
+        return True
+
+
 def find_spans(text: str, threshold: float = 0.5) -> list[Span]:
     """All spans of one text, ordered by start, then kind as listed."""
     spans = [Span(k, s, e, _score(text, k, s, e)) for k, s, e in _proposals(text)]
     kept = [s for s in spans if s.kind in BASE_KINDS]
-    extra = [s for s in spans if s.kind not in BASE_KINDS and s.score >= threshold]
-    if extra:
-        taken = sorted((s.start, s.end) for s in kept)
-        for span in extra:
-            if all(span.end <= a or span.start >= b for a, b in taken):
-                kept.append(span)
-                taken.append((span.start, span.end))
+    taken = _Taken([(s.start, s.end) for s in kept])
+    kept += [s for s in spans if s.kind not in BASE_KINDS and s.score >= threshold and taken.add(s.start, s.end)]
     return sorted(kept, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 

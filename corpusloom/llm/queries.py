@@ -41,7 +41,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
         F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"),

@@ -110,3 +110,33 @@ def test_query_matches_brute_force(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert r["base_sha256"] == hashlib.sha256(brute(texts[r["doc_id"]]).encode()).hexdigest()
+
+
+def test_secrets():
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for text in (f'x token = "{value}" y', f"API_KEY:{value}", f"my secret={value}."):
+        (span,) = pii.find_spans(text)
+        assert span.kind == "secret" and text[span.start : span.end].startswith(value)
+    for text in ("token = short", "token " + value, "token = " + "a" * 40, "tokens: " + value, f"example token = {value} sample".replace("token = ", "key ")):
+        assert pii.find_spans(text) == []
+
+
+def test_many_spans_are_merged_in_linear_time():
+    import time
+
+    line = "mail a@b.co or call 555-123-4567\n"
+    began = time.perf_counter()
+    spans = pii.find_spans(line * 30_000)
+    assert len(spans) == 60_000 and time.perf_counter() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=8), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=12))
+def test_taken_places(given_, asked):
+    given_ = [(a, a + n) for a, n in given_]
+    taken, slow = pii._Taken(given_), list(given_)
+    for a, n in asked:
+        free = all(a + n <= x or a >= y for x, y in slow)
+        assert taken.add(a, a + n) == free
+        if free:
+            slow.append((a, a + n))
