@@ -1,10 +1,14 @@
+import hashlib
 import math
 
+import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import mixing
+from corpusloom.llm import mixing, quality, queries
 from test_minhash import classes
+from test_models import plain_statistics, walk
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,31 +67,75 @@ def test_odd_rows(make_docs):
     assert mixing.mixed(make_docs([(1, "", "x")])).collect() == []
 
 
-def test_stages(spark):
-    """Each stage keeps the columns, takes effect and works on its predecessor's rows."""
+def by_sql(name, docs):
+    """Rows of an operator's SQL over some documents."""
+    link = duckdb.connect()
+    link.register("documents", docs)
+    return link.execute(queries.ORACLES[name]).fetchdf()
+
+
+def test_run_stage_by_stage(spark):
+    """Every stage of run() recomputed from its predecessor's rows: by plain Python, by SQL, by the tokenizer library."""
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     results = {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
         docs = corpus_pipeline.materialize(stage(spark, docs, FOLDER), name)
-        results[name] = before, docs
+        results[name] = before.toPandas(), docs.toPandas()
         if name != "bpe_encoding":
             assert docs.columns == before.columns and docs.dtypes == before.dtypes
+    plain = lambda frame: sorted(map(tuple, frame.astype(object).where(frame.notna(), None).to_numpy().tolist()), key=str)
+
     before, after = results["quality_classifier"]
-    assert 0 < after.count() < before.count()
-    before, after = (x.toPandas().set_index("doc_id") for x in results["minhash_near_dedup"])
-    label = classes(list(before.text.items()))
-    assert sorted(after.index) == sorted(set(label.values()))
+    forest = quality.train(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    good = before[[walk(forest, plain_statistics(t)) >= 0.3 for t in before.text]]
+    assert 0 < len(after) < len(before) and plain(after) == plain(good)
+
+    before, after = results["line_dedup"]
+    sql = by_sql("op1_line_dedup", before).set_index("doc_id")
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    stays = {d for d in before.doc_id if sql.n_removed[d] == 0 or sql.kept_sha256[d] in set(map(digest, after.text))}
+    assert {d: digest(t) for d, t in zip(after.doc_id, after.text)} == {d: sql.kept_sha256[d] for d in stays}
+    assert (after.n_chars == after.text.str.len()).all() and sql.n_removed.sum() > 0
+
+    before, after = results["minhash_near_dedup"]
+    label = classes(list(zip(before.doc_id, before.text)))
+    assert plain(after) == plain(before[before.doc_id.isin(set(label.values()))])
+
+    before, after = results["source_mixing"]
+    copies = by_sql("op2_mixing", before).set_index("doc_id").copies
+    assert plain(after) == plain(before.loc[before.index.repeat([copies[d] for d in before.doc_id])])
+
     before, after = results["bpe_encoding"]
-    assert after.count() == before.count()
+    library = Tokenizer.from_file(queries.vocabulary())
+    library.no_truncation(), library.no_padding()
+    want = []
+    for d, t in zip(before.doc_id, before.text):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        raw = np.asarray(ids, "<u4").tobytes()
+        want.append((d, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert plain(after[columns]) == sorted(want, key=str)
+    assert plain(corpus_pipeline.run(spark, FOLDER).select(columns).toPandas()) == sorted(want, key=str)
+
+
+def test_run_on_odd_tables(spark, make_docs, tmp_path):
+    """Null ids and texts, repeated rows, empty and long texts, clashing columns, and no rows at all."""
+    rows = [(1, "good words here and there"), (1, "good words here and there"), (None, "a text of no number"), (2, None), (3, ""), (4, "long words " * 20_000), (5, "\n\n")]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", make_docs(rows)), ("none", make_docs([]))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Equal texts are one; texts without words are in no class, and mixing drops what has no token to give.
+    assert {r["doc_id"] for r in found} <= {1, 2, 3, 4, 5, None} and {1, 4, None} <= {r["doc_id"] for r in found}
+    assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in found)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
 
 
 def test_line_stage_drops_emptied_documents(spark, make_docs):
     docs = make_docs([(1, "a b c d e\nf g h"), (2, "a b c d e"), (3, "q\na b c d e"), (4, "")])
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_stage(spark, docs, FOLDER).collect()}
     assert left == {1: ("a b c d e\nf g h", 15), 3: ("q", 1), 4: ("", 0)}
-
-
-def test_run(spark):
-    rows = corpus_pipeline.run(spark, FOLDER).collect()
-    assert rows and all(r["n_tokens"] == len(r["ids"]) // 4 for r in rows)
