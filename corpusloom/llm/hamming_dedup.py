@@ -3,7 +3,9 @@
 1. Equal vectors form one class; its smallest id stands for it.
 2. Rotations are learned by iterative quantisation on a bounded hash sample of the classes: rotate, take
    signs, rotate towards the signs, repeat. Signs under a rotation are a binary code. Vectors are not
-   centred, so that the share of differing bits follows the angle wherever the data lie.
+   centred, so that the share of differing bits follows the angle wherever the data lie. Vectors of more than
+   64 components are turned inside a random 64-dimensional subspace, another one for every rotation: angles are
+   kept there on average, wherever a pair differs, and no direction is left out of all tables.
 3. Every code is cut into substrings, each the key of one Hamming table. The substring length grows with
    the logarithm of the number of classes, which keeps tables' buckets small, and the number of rotations
    follows from it so that a pair at the threshold meets in some table with probability `recall`.
@@ -38,12 +40,12 @@ MOST_BITS = 64
 
 
 def learn_rotation(sample: np.ndarray, dim: int, seed: int, rounds: int = 25) -> np.ndarray:
-    """(dim, bits) projection: principal directions if there are more than 64 components, then ITQ."""
+    """(dim, bits) projection: a random subspace if there are more than 64 components, then ITQ inside it."""
     bits = min(dim, MOST_BITS)
     rng = np.random.default_rng([dim, seed])
     base = np.eye(dim)
     if dim > bits:
-        base = np.linalg.svd(sample, full_matrices=False)[2][:bits].T if len(sample) >= bits else np.linalg.qr(rng.normal(size=(dim, bits)))[0]
+        base = np.linalg.qr(rng.normal(size=(dim, bits)))[0]
     turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
     if len(sample):
         flat = sample @ base
@@ -77,6 +79,11 @@ class Tables:
             self.rotations[dim] = [learn_rotation(rows, dim, s) for s in range(self.shape(dim)[2])]
         return self.rotations[dim]
 
+    def bound(self, dim: int) -> int:
+        """Differing bits of all codes up to which a pair is compared: a pair at the threshold practically never has more."""
+        bits = self.shape(dim)[2] * min(dim, MOST_BITS)
+        return bits if bits < 128 else int(bits * self.flip + 6 * math.sqrt(bits * self.flip * (1 - self.flip))) + 1
+
     def fitted(self) -> Tables:
         for dim in self.sample:
             self.rotation(dim)
@@ -106,10 +113,10 @@ def links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     picked = classes.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("dim", "v").toPandas()
     sample = {int(d): (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(g["v"].to_list()).astype(float)) for d, g in picked.groupby("dim")}
-    tables = Tables(sample, n, threshold, recall).fitted()
-    bound = tables.flip
+    shared = classes.sparkSession.sparkContext.broadcast(Tables(sample, n, threshold, recall).fitted())
 
     def code(batches):
+        tables = shared.value
         for b in batches:
             dims = np.asarray(b.column("dim"))
             for dim in np.unique(dims).tolist():
@@ -135,12 +142,12 @@ def links(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
                 if not len(own):
                     continue
                 end = table.num_rows if own[-1] == starts[-1] else int(starts[np.searchsorted(starts, own[-1]) + 1])
-                yield from _compare(table.slice(int(own[0]), end - int(own[0])), own - own[0], tables, threshold, bound, kind)
+                yield from _compare(table.slice(int(own[0]), end - int(own[0])), own - own[0], shared.value, threshold, kind)
 
     return rows.mapInArrow(compare, f"a {kind}, b {kind}, n bigint")
 
 
-def _compare(table: pa.Table, starts: np.ndarray, tables: Tables, threshold: float, flip: float, kind: str):
+def _compare(table: pa.Table, starts: np.ndarray, tables: Tables, threshold: float, kind: str):
     dim = table.column("dim")[0].as_py()
     n = table.num_rows
     ids, size, number, side = (table.column(c).to_numpy() for c in ("id", "size", "table", "side"))
@@ -149,9 +156,7 @@ def _compare(table: pa.Table, starts: np.ndarray, tables: Tables, threshold: flo
     v_norm = np.sqrt((v * v).sum(axis=1))
     codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint64).reshape(n, -1)
     width, per, turns = tables.shape(dim)
-    bits = turns * min(dim, MOST_BITS)
-    # Wide enough that a pair at the threshold is practically never left out by its codes.
-    most = bits if bits < 128 else int(bits * flip + 6 * math.sqrt(bits * flip * (1 - flip))) + 1
+    most = tables.bound(dim)
     mask = np.uint64((1 << width) - 1) if width < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
     found_i, found_j = [], []
     for i, j in pairs(starts, n):

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import block_search, hamming_dedup
@@ -69,16 +70,24 @@ def test_hamming_links_match_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in hamming_dedup.near_duplicates(make(spark, [(None, [1.0, 2.0])])).collect()] == [(None, 0, None, True)]
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(3)
-    dim, n = 64, 4000
-    x = rng.normal(size=(n, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = rng.normal(size=(n, dim))
-    y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    tables = hamming_dedup.Tables({dim: x[:2000]}, 1_000_000, 0.9, 0.998)
-    assert (tables.codes(x)[1] == tables.codes(y)[1]).any(axis=1).mean() > 0.97
+@pytest.mark.parametrize("dim", [64, 128, 384, 768])
+@pytest.mark.parametrize("difference", ["strong", "weak"])
+def test_recall_at_the_threshold(dim, difference):
+    """Pairs at the threshold on skewed data, differing anywhere, in the strongest directions, or in the weakest."""
+    rng = np.random.default_rng(dim)
+    n = 500
+    spread = 1 / np.arange(1, dim + 1) ** 0.7
+    turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit((rng.normal(size=(n, dim)) * spread) @ turn)
+    where = {"anywhere": np.ones(dim), "strong": np.arange(dim) < max(4, dim // 8), "weak": np.arange(dim) >= dim - dim // 2}[difference]
+    y = (rng.normal(size=(n, dim)) * where) @ turn
+    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y
+    tables = hamming_dedup.Tables({dim: x}, 1_000_000, 0.9, 0.998)
+    (code_x, key_x), (code_y, key_y) = tables.codes(x), tables.codes(y)
+    met = (key_x == key_y).any(axis=1) & (np.bitwise_count(code_x ^ code_y).sum(axis=1) <= tables.bound(dim))
+    assert met.mean() >= 0.97
 
 
 def test_queries(spark):
