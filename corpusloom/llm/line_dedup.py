@@ -7,7 +7,7 @@ similarity of at least `similarity`; lines are judged on the input, not on what
    rarity, so slots shared by several words cost speed, never results.
 2. Every line's words are ordered by rarity. Equal sets form one class, whose first line stands for it.
 3. Two sets can only be similar if they share a word among the first s - ceil(t s) + 1 of each (prefix
-   filter). First lines meet on these words, and length, the positions of the shared word, and 128-bit
+   filter). First lines meet on these words, and length, the positions of the shared word, and 64-bit
    parity maps of the sets bound the overlap from above; pairs that cannot reach the threshold go.
 4. One earlier line is enough to remove a line, so pairs are no result. In rounds, each line that is still
    asking takes the earliest lines it may resemble, a few per word and more with every round, and is verified
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import materialize
 from .arrays import Texts, bounds_of, mix, range_hashes, slices, spans_to_list
-from .bundles import bundles, in_blocks, pairs
+from .bundles import bundles, in_blocks
 from .sides import narrow_side
 
 SIMILARITY = 0.8
@@ -43,9 +43,7 @@ LONG_LIST = 4096
 # Fewer lines than this, their numbers fit a 64-bit sort key beside rarity and the low 36 bits of a word.
 PACKED_LINES = 1 << 20
 # A line meets so many of the lines it may resemble per word in the first round, and times as many in each next one.
-FIRST_ROUND, NEXT_ROUND = 1, 16
-# Lists of lines up to this length are compared all at once, longer ones line by line until none asks.
-SHORT_LIST = 64
+FIRST_ROUND, NEXT_ROUND = 2, 16
 _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
 
@@ -96,7 +94,7 @@ def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """One row per line with words: rid, id, doc_hash, line, h1, h2 (the set), size, m1, m2 (parity maps), prefix."""
+    """One row per line with words: rid, id, doc_hash, line, h1, h2 (the set), size, parity (map of the words), prefix."""
     # Shared as a broadcast variable of fixed size: one byte for the order, one for long lists, per slot.
     rarity = np.minimum(255, np.floor(10 * np.log2(counts + 1))).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast((rarity, counts > LONG_LIST))
@@ -110,9 +108,7 @@ def _lines(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
             if not len(doc):
                 continue
             size = np.diff(at)
-            bit = _U(1) << (words & _U(63))
-            upper = (words >> _U(6)) & _U(1) == 1
-            maps = [np.bitwise_xor.reduceat(np.where(upper == w, bit, _U(0)), at[:-1]) for w in (False, True)]
+            parity = np.bitwise_xor.reduceat(_U(1) << (words & _U(63)), at[:-1])
             length = prefix_length(size, similarity)
             total = np.concatenate([[0], np.cumsum(length)])
             own = np.arange(total[-1]) - np.repeat(total[:-1], length) + np.repeat(at[:-1], length)
@@ -123,91 +119,83 @@ def _lines(docs: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
                 [
                     pa.array(rid + np.arange(len(doc))), ids, hashes, pa.array(number.astype(np.int32)),
                     pa.array(range_hashes(words, at[:-1], at[1:]).view(np.int64)), pa.array(range_hashes(mix(words), at[:-1], at[1:], base=0xD6E8FEB86659FD93).view(np.int64)),
-                    pa.array(size.astype(np.int32)), *[pa.array(m.view(np.int64)) for m in maps], spans_to_list(token, total, pa.int32()),
+                    pa.array(size.astype(np.int32)), pa.array(parity.view(np.int64)), spans_to_list(token, total, pa.int32()),
                 ],
-                names=["rid", "id", "doc_hash", "line", "h1", "h2", "size", "m1", "m2", "prefix"],
+                names=["rid", "id", "doc_hash", "line", "h1", "h2", "size", "parity", "prefix"],
             )
             rid += len(doc)
 
-    return docs.mapInArrow(run, "rid bigint, id bigint, doc_hash bigint, line int, h1 bigint, h2 bigint, size int, m1 bigint, m2 bigint, prefix array<int>")
+    return docs.mapInArrow(run, "rid bigint, id bigint, doc_hash bigint, line int, h1 bigint, h2 bigint, size int, parity bigint, prefix array<int>")
 
 
 class _Asking:
-    """The lists of one bundle: rows in order of list, document and line, and what may be similar in them."""
+    """The lists of one bundle: rows by list and size, and what may be similar in them."""
 
     def __init__(self, table: pa.Table, starts: np.ndarray, similarity: float):
         n = table.num_rows
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        names = ("rid", "id", "line", "size", "m1", "m2", "pos", "side", "asks")
-        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
-        apart = table.column("left").to_numpy() != table.column("right").to_numpy()
-        order = np.lexsort((own["line"], own["id"], owner))
-        for c in names:
-            setattr(self, c, own[c][order])
-        self.m1, self.m2, self.apart = self.m1.view(np.uint64), self.m2.view(np.uint64), apart[order]
-        self.starts, self.n = starts, n
-        self.some_apart = bool(apart.any())
-        self.ratio = similarity / (1 + similarity)
-
-    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs, i before j, may be similar; lines of one place are not before each other."""
-        ok = np.ones(len(j), bool)
-        if self.some_apart:
-            ok &= ~(self.apart[i] & (self.side[i] == self.side[j]))
+        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "high", "low", "size", "parity", "pos", "side", "asks", "left", "right")}
+        order = np.lexsort((own["size"], owner))
+        self.rid, self.high, self.low, self.side, self.asks = (own[c][order] for c in ("rid", "high", "low", "side", "asks"))
+        self.size, self.parity = own["size"][order].astype(np.int64), own["parity"][order].view(np.uint64)
+        self.room = self.size - own["pos"][order]
+        self.apart = (own["left"] != own["right"])[order]
+        self.turn = np.empty(n, np.int64)  # places in order of time
+        self.turn[np.lexsort((self.low, self.high))] = np.arange(n)
+        self.ratio, self.n = similarity / (1 + similarity), n
+        # A row only meets those of its list that follow and are not too long for it.
+        key = owner[order] * (int(self.size.max()) + 1) + self.size
+        longest = np.minimum(np.floor(self.size / similarity + 1e-9).astype(np.int64), int(self.size.max()))
+        self.more = np.searchsorted(key, key - self.size + longest, side="right") - np.arange(n) - 1
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that may be similar; lines of one place are not earlier than each other."""
         both = self.size[i] + self.size[j]
         needed = np.ceil(self.ratio * both - 1e-9)
-        ok &= np.minimum(self.size[i], self.size[j]) >= needed
-        ok &= np.minimum(self.size[i] - self.pos[i], self.size[j] - self.pos[j]) >= needed
-        kept = np.flatnonzero(ok)
-        i, j, both, needed = i[kept], j[kept], both[kept], needed[kept]
-        differ = np.bitwise_count(self.m1[i] ^ self.m1[j]).astype(np.int64) + np.bitwise_count(self.m2[i] ^ self.m2[j])
-        close = (both - differ >= 2 * needed) & ((self.id[i] != self.id[j]) | (self.line[i] != self.line[j]))
-        return kept[close]
+        ok = np.minimum(self.room[i], self.room[j]) >= needed
+        i, j, both, needed = i[ok], j[ok], both[ok], needed[ok]
+        ok = both - np.bitwise_count(self.parity[i] ^ self.parity[j]) >= 2 * needed
+        i, j = i[ok], j[ok]
+        ok = ~(self.apart[i] & (self.side[i] == self.side[j])) & ((self.high[i] != self.high[j]) | (self.low[i] != self.low[j]))
+        return i[ok], j[ok]
 
     def found(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b) with b the low-th to (high - 1)-th earliest that a may resemble in a list, and those who have more."""
-        length = np.diff(np.append(self.starts, self.n))
-        met = np.zeros(self.n, np.int64)
-        out = [np.zeros((2, 0), np.int64)]
-
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            rank = met[j]
-            keep = (rank >= low) & (rank < high)
-            if keep.any():
-                out.append(np.stack([j[keep], i[keep]]))
-
-        short = np.flatnonzero(np.repeat(length <= SHORT_LIST, length))
-        if len(short):
-            starts = np.cumsum(length[length <= SHORT_LIST]) - length[length <= SHORT_LIST]
-            for i, j in pairs(starts, len(short), 1 << 17):
-                i, j = short[i], short[j]
-                ok = self.asks[j]
-                i, j = i[ok], j[ok]
-                ok = self.alike(i, j)
-                i, j = i[ok], j[ok]
-                order = np.argsort(j, kind="stable")  # i stays in order
-                i, j = i[order], j[order]
-                first = np.flatnonzero(np.append(True, j[1:] != j[:-1])[: len(j)])
-                times = np.diff(np.append(first, len(j)))
-                rank = met[j] + np.arange(len(j)) - np.repeat(first, times)
-                keep = (rank >= low) & (rank < high)
-                if keep.any():
-                    out.append(np.stack([j[keep], i[keep]]))
-                met[j[first]] += times
-        for at, size in zip(self.starts[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist()):
-            active = at + np.flatnonzero(self.asks[at : at + size])
-            for i in range(at, at + size - 1):
-                active = active[np.searchsorted(active, i, side="right") :]
-                if not len(active):
-                    break
-                ok = self.alike(np.full(len(active), i), active)
-                j = active[ok]
-                take(np.full(len(j), i), j)
-                met[j] += 1
-                if len(j) and met[j].max() > high:
-                    active = active[met[active] <= high]
-        a, b = np.concatenate(out, axis=1)
-        return self.rid[a], self.rid[b], self.rid[met > high]
+        """(a, b) with b the low-th to (high - 1)-th earliest that an asking a may resemble in its list, and those who have more."""
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def first(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The earliest high + 1 of each a, with their ranks."""
+            order = np.lexsort((self.turn[b], a))
+            a, b = a[order], b[order]
+            head = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+            rank = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a))))
+            keep = rank <= high
+            return a[keep], b[keep], rank[keep]
+
+        total = np.concatenate([[0], np.cumsum(self.more)])
+        at, held, n_held = 0, [], 0
+        while at < self.n:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 17), side="right")) - 1)
+            count = self.more[at:to]
+            if count.any():
+                i = np.repeat(np.arange(at, to), count)
+                i, j = self.alike(i, np.arange(count.sum()) - np.repeat(total[at:to] - total[at], count) + i + 1)
+                later = self.turn[i] > self.turn[j]
+                own = np.stack([np.where(later, i, j), np.where(later, j, i)])
+                own = own[:, self.asks[own[0]]]
+                held.append(own)
+                n_held += own.shape[1]
+                if n_held > 1 << 20:
+                    own = np.concatenate(held, axis=1)
+                    held = [np.stack(first(own[0], own[1])[:2])]
+                    n_held = 0
+            at = to
+        if held:
+            own = np.concatenate(held, axis=1)
+            a, b = own[0], own[1]
+        a, b, rank = first(a, b)
+        keep = (rank >= low) & (rank < high)
+        return self.rid[a[keep]], self.rid[b[keep]], self.rid[a[rank == high]]
 
 
 def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int, similarity: float) -> DataFrame:
@@ -215,10 +203,16 @@ def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int,
 
     `asking` has the rids that still ask; without it all do.
     """
-    kept = first if asking is None else first.join(asking.withColumn("asks", F.lit(True)), "rid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    places = kept.select("rid", "id", "line", "size", "m1", "m2", F.posexplode("prefix").alias("pos", "token"), *([F.lit(True).alias("asks")] if asking is None else ["asks"]))
-    if asking is not None:
-        places = places.join(places.where("asks").select("token").distinct(), "token", "left_semi")
+    columns = ["rid", "high", "low", "size", "parity"]
+    each = F.posexplode("prefix").alias("pos", "token")
+    if asking is None:
+        places = first.select(*columns, each, F.lit(True).alias("asks"))
+    else:
+        # Only the lists that a line still asks in.
+        asks = narrow_side(asking.withColumn("asks", F.lit(True)))
+        wanted = materialize(first.join(asks, "rid", "left_semi").select(F.explode("prefix").alias("token")).distinct(), "asked-lists")
+        marked = first.join(asks, "rid", "left").select(*columns, each, F.coalesce("asks", F.lit(False)).alias("asks"))
+        places = marked.join(narrow_side(wanted), "token", "left_semi").select(*columns, "pos", "token", "asks")
     few = places.where(F.col("token") >= 0).withColumns({c: F.lit(0) for c in ("side", "left", "right")})
     many = in_blocks(places.where(F.col("token") < 0), ["token"], "rid", rows=2048).select(*few.columns)
     group = ["token", "left", "right"]
@@ -257,6 +251,17 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.min("words").alias("words"))
 
 
+def _placed(first: DataFrame) -> DataFrame:
+    """Adds the place of each line as (high, low), in order of document and line.
+
+    Both go into `low` where the range of ids and the longest document let them; `high` is 0 then and costs nothing.
+    """
+    least, most, lines = first.agg(F.min("id"), F.max("id"), F.max("line")).first()
+    if least is not None and (most - least + 1) * (lines + 1) < 1 << 62:
+        return first.withColumns({"high": F.lit(0).cast("long"), "low": (F.col("id") - F.lit(least)) * F.lit(lines + 1) + F.col("line")})
+    return first.withColumns({"high": F.col("id"), "low": F.col("line").cast("long")})
+
+
 def _similar(source: DataFrame, found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """The rids a of the pairs (a, b) whose full sets are similar."""
     met = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
@@ -272,10 +277,11 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("doc_hash"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     lines = materialize(_lines(source, word_slots(source), similarity), "lines")
     # One row for each set: its first line, and whether others have it too.
-    row = F.struct("rid", "id", "doc_hash", "line", "size", "m1", "m2", "prefix")
+    row = F.struct("rid", "id", "doc_hash", "line", "size", "parity", "prefix")
     classes = lines.groupBy("h1", "h2").agg(F.min_by(row, F.struct("id", "line", "rid")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = materialize(classes.select("h1", "h2", "f.*", "n"), "line-classes")
-    shared = first.where(F.col("n") > 1).select("h1", "h2", F.struct("id", "line").alias("f"))
+    kept = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("h1", "h2")]
+    first = _placed(materialize(classes.select(*kept, "f.*"), "line-classes"))
+    shared = first.where(F.col("h1").isNotNull()).select("h1", "h2", F.struct("id", "line").alias("f"))
     gone = lines.select("h1", "h2", "id", "doc_hash", "line").join(shared, ["h1", "h2"]).where(F.struct("id", "line") > F.col("f")).select("id", "doc_hash", "line")
     asking, low, high = None, 0, FIRST_ROUND
     while True:

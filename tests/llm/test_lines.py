@@ -126,8 +126,8 @@ def test_long_words_of_a_regular_build(make_docs):
 
 
 def test_rounds_end_at_the_first_similar_line(make_docs, monkeypatch):
-    """Lists compared line by line, few lines a round, and lines that resemble none of the earliest ones."""
-    monkeypatch.setattr(line_dedup, "SHORT_LIST", 3)
+    """Few lines a round, and lines that resemble none of the earliest ones."""
+    monkeypatch.setattr(line_dedup, "FIRST_ROUND", 1)
     monkeypatch.setattr(line_dedup, "NEXT_ROUND", 2)
     rng = random.Random(7)
     rows = random_rows(5, n=30)
