@@ -9,7 +9,7 @@ from ..functions.clock import capture_day
 from ..functions.naming import output_path
 from ..functions.pages import main_content
 from ..functions.refs import canonical_key, host_of, normalize_reference, task_key
-from ..functions.routing import classify
+from ..functions.routing import with_channel
 from ..functions.text import document_markdown
 from ..functions.verdicts import is_thin
 from ..runtime import materialize, spread
@@ -18,9 +18,7 @@ from .publish import publish_latest
 
 def web_documents(pages: DataFrame) -> DataFrame:
     """pages(url, html, captured_at, seq) -> one document row per web page with a body."""
-    routed = spread(pages).withColumn("reference", normalize_reference(F.col("url"))).withColumn(
-        "channel", classify(F.col("reference"))
-    )
+    routed = with_channel(spread(pages).withColumn("reference", normalize_reference(F.col("url"))), "reference")
     web = routed.where(F.col("channel") == "web")
     parsed = web.withColumn("__main", main_content(F.col("html"), F.col("reference"))).withColumn(
         "__tags", H.meta_tags(F.col("html"))

@@ -73,12 +73,11 @@ def register(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """Insert or ignore: new identities get the next ids in order of `pos`, old rows stay.
 
     `items` comes from `identify`; of several items with one identity the first gives the
-    name and tags. The new rows become a table before they are numbered, so hashing and
-    de-duplication run once and a retried task cannot renumber them.
+    name and tags. The new rows become a table in order of `pos` before they are numbered, so a
+    retried task cannot renumber them.
     """
     firsts = keep_first(items, IDENTITY, ["pos"])
     fresh = firsts if tasks is None else firsts.join(tasks.select(*IDENTITY), IDENTITY, "left_anti")
-    fresh = materialize(fresh, "new-tasks")
     # Blocks of equal size whatever the positions are; written, so that both readings agree on them.
     ranged = materialize(fresh.repartitionByRange("pos").withColumn("__range", F.spark_partition_id()), "ranged-tasks")
     numbered = with_row_number(ranged, [], ["pos"], F.col("__range"), "__no").drop("__range")
