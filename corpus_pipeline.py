@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. `run` writes each
 stage's result to the shared folder and reads it again, so a lost executor costs one stage's tasks.
+
+Defined cases: a row with a null id is never a duplicate of another row, takes part in all stages and keeps its
+null id; rows of one id are one document to the near-duplicate stage, which keeps one of them; a null or empty
+text is scored like any other, has no lines or words to lose, and counts as a row without tokens when sources are
+mixed; a document left without words by line dedup goes; texts are never cut, however long; extra columns, also
+those named like inner ones, are carried to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
