@@ -43,7 +43,7 @@ LONG_LIST = 4096
 # Fewer lines than this, their numbers fit a 64-bit sort key beside rarity and the low 36 bits of a word.
 PACKED_LINES = 1 << 20
 # A line meets so many of the lines it may resemble per word in the first round, and times as many in each next one.
-FIRST_ROUND, NEXT_ROUND = 2, 16
+FIRST_ROUND, NEXT_ROUND = 8, 64
 _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
 
@@ -134,9 +134,9 @@ class _Asking:
     def __init__(self, table: pa.Table, starts: np.ndarray, similarity: float):
         n = table.num_rows
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "high", "low", "size", "parity", "pos", "side", "asks", "left", "right")}
+        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "high", "low", "size", "parity", "pos", "side", "asks", "left", "right", "token")}
         order = np.lexsort((own["size"], owner))
-        self.rid, self.high, self.low, self.side, self.asks = (own[c][order] for c in ("rid", "high", "low", "side", "asks"))
+        self.rid, self.high, self.low, self.side, self.asks, self.token = (own[c][order] for c in ("rid", "high", "low", "side", "asks", "token"))
         self.size, self.parity = own["size"][order].astype(np.int64), own["parity"][order].view(np.uint64)
         self.room = self.size - own["pos"][order]
         self.apart = (own["left"] != own["right"])[order]
@@ -159,8 +159,8 @@ class _Asking:
         ok = ~(self.apart[i] & (self.side[i] == self.side[j])) & ((self.high[i] != self.high[j]) | (self.low[i] != self.low[j]))
         return i[ok], j[ok]
 
-    def found(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b) with b the low-th to (high - 1)-th earliest that an asking a may resemble in its list, and those who have more."""
+    def found(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b) with b the low-th to (high - 1)-th earliest that an asking a may resemble in a list; those who have more, and the lists."""
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def first(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,13 +195,14 @@ class _Asking:
             a, b = own[0], own[1]
         a, b, rank = first(a, b)
         keep = (rank >= low) & (rank < high)
-        return self.rid[a[keep]], self.rid[b[keep]], self.rid[a[rank == high]]
+        over = a[rank == high]
+        return self.rid[a[keep]], self.rid[b[keep]], self.rid[over], self.token[over]
 
 
 def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int, similarity: float) -> DataFrame:
-    """(a, b): earlier lines b that the asking lines a may resemble; b is null where a has more than it was given.
+    """(a, b, token): earlier lines b that the asking lines a may resemble; b is null where a has more than it was given in a list.
 
-    `asking` has the rids that still ask; without it all do.
+    `asking` has those rows of the last round whose a still asks; without it all lines do.
     """
     columns = ["rid", "high", "low", "size", "parity"]
     each = F.posexplode("prefix").alias("pos", "token")
@@ -209,8 +210,8 @@ def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int,
         places = first.select(*columns, each, F.lit(True).alias("asks"))
     else:
         # Only the lists that a line still asks in.
-        asks = narrow_side(asking.withColumn("asks", F.lit(True)))
-        wanted = materialize(first.join(asks, "rid", "left_semi").select(F.explode("prefix").alias("token")).distinct(), "asked-lists")
+        asks = narrow_side(materialize(asking.select(F.col("a").alias("rid"), F.lit(True).alias("asks")).distinct(), "asking-lines"))
+        wanted = materialize(asking.select("token").distinct(), "asked-lists")
         marked = first.join(asks, "rid", "left").select(*columns, each, F.coalesce("asks", F.lit(False)).alias("asks"))
         places = marked.join(narrow_side(wanted), "token", "left_semi").select(*columns, "pos", "token", "asks")
     few = places.where(F.col("token") >= 0).withColumns({c: F.lit(0) for c in ("side", "left", "right")})
@@ -219,16 +220,19 @@ def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int,
 
     def run(batches):
         for table, starts in bundles(batches, group, 50_000):
-            a, b, more = _Asking(table, starts, similarity).found(low, high)
+            a, b, more, token = _Asking(table, starts, similarity).found(low, high)
             if len(a):
                 a, b = np.unique(np.stack([a, b]), axis=1)
-            more = np.unique(more)
             if len(a) or len(more):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())])], names=["a", "b"]
+                    [
+                        pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), pa.nulls(len(more), pa.int64())]),
+                        pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(token.astype(np.int32))]),
+                    ],
+                    names=["a", "b", "token"],
                 )
 
-    return few.unionByName(many).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint").distinct()
+    return few.unionByName(many).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint, token int").distinct()
 
 
 def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -286,10 +290,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     asking, low, high = None, 0, FIRST_ROUND
     while True:
         found = materialize(_candidates(first, asking, low, high, similarity), "line-candidates")
-        pairs_ = found.where(F.col("b").isNotNull())
+        pairs_ = found.where(F.col("b").isNotNull()).select("a", "b")
         decided = materialize(_similar(source, pairs_, first, similarity), "similar-lines")
         gone = gone.unionByName(first.join(decided, "rid", "left_semi").select("id", "doc_hash", "line"))
-        asking = materialize(found.where(F.col("b").isNull()).select(F.col("a").alias("rid")).join(decided, "rid", "left_anti"), "asking-lines")
+        asking = materialize(found.where(F.col("b").isNull()).select("a", "token").join(decided.withColumnRenamed("rid", "a"), "a", "left_anti"), "asking-lines")
         if asking.isEmpty():
             break
         low, high = high, high * NEXT_ROUND
