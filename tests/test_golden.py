@@ -71,7 +71,7 @@ def test_names(spark):
     assert one(spark, N.safe_title(F.col("t")), t='a/b:c  "d".') == 'a_b_c _d_'
     assert one(spark, N.safe_title(F.col("t")), t=" ..") == "untitled"
     long = one(spark, N.safe_title(F.col("t")), t="云" * 90)
-    assert long == "长" * 45
+    assert long == "云" * 45
     emoji = one(spark, N.safe_title(F.col("t")), t="a" * 135 + "😀b")
     assert emoji == "a" * 135
 
