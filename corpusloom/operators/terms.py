@@ -1,7 +1,7 @@
 """Exact spellings from large term dictionaries: phrases are found by hashed words before any pattern runs.
 
-`functions.text.canonicalize_terms` tries every term on every text. Here texts and terms meet on the words they
-share first, so a text only sees the few terms whose words it holds, whatever the size of the dictionary. The
+`functions.text.canonicalize_terms` tries every term on every text. Here texts and terms meet on whole
+runs of words first, so a text only sees the few terms whose words it holds in a row, whatever the size of the dictionary. The
 rule that puts the spellings in is the same one, so results are equal.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.strings import strip, text_or_empty
+from ..functions.strings import let, strip, text_or_empty
 from ..functions.text import canonicalize_terms
 
 
@@ -22,30 +22,37 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, _OTHER_CASE, _LATIN)), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _grams(words: Column) -> Column:
-    """Hashes of the single words and of the neighbouring pairs."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.xxhash64(F.get(words, k - 1), F.get(words, k)))
-    single = F.transform(words, lambda w: F.xxhash64(w))
-    return F.array_distinct(F.when(F.size(words) > 1, F.concat(single, pairs)).otherwise(single))
+def _runs(text: Column, lengths: Column) -> Column:
+    """Hashes of the runs of neighbouring words that have one of the lengths."""
+    none = F.array().cast("array<bigint>")
+    of_length = lambda words, n: F.when(
+        F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.xxhash64(F.slice(words, k, n)))
+    ).otherwise(none)
+    return let(_words(text), lambda words: F.array_distinct(F.flatten(F.transform(lengths, lambda n: of_length(words, n)))))
 
 
 def term_keys(terms: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, pos, term, gram): each usable term with the hash of what a text must hold to have it, two words or one."""
+    """(scope, pos, term, words, run): each usable term with its number of words and the hash of them all."""
     clean = terms.select(*scope, "pos", strip(text_or_empty(F.col("term"))).alias("term")).where(F.col("term").rlike("[A-Za-z]"))
     firsts = clean.groupBy(*scope, "term").agg(F.min("pos").alias("pos")).withColumn("__w", _words(F.col("term")))
-    first, second = F.get("__w", F.lit(0)), F.get("__w", F.lit(1))
-    return firsts.select(*scope, "pos", "term", F.when(F.size("__w") > 1, F.xxhash64(first, second)).otherwise(F.xxhash64(first)).alias("gram"))
+    return firsts.select(*scope, "pos", "term", F.size("__w").alias("words"), F.xxhash64("__w").alias("run"))
 
 
 def terms_in(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text", scope: list[str] | None = None) -> DataFrame:
     """(key, terms): per text the dictionary terms it may hold, in dictionary order.
 
-    `terms` has pos and term, and the columns of `scope` if each group of texts has a dictionary of its own.
+    `terms` has pos and term, and the columns of `scope` if each group of texts has a dictionary of its own. A
+    text meets a term only if it holds all words of it in a row, so terms that begin alike cost nothing more.
     """
     scope = scope or []
     keyed = term_keys(terms, scope)
-    rows = texts.select(*key, *[c for c in scope if c not in key], F.explode(_grams(_words(text_or_empty(F.col(text))))).alias("gram"))
-    met = rows.join(keyed, [*scope, "gram"]).select(*key, F.struct("pos", "term").alias("__t"))
+    lengths = F.sort_array(F.collect_set("words"))
+    if scope:
+        sized = texts.join(keyed.groupBy(*scope).agg(lengths.alias("__lengths")), scope)
+    else:
+        sized = texts.withColumn("__lengths", keyed.agg(lengths).scalar())
+    rows = sized.select(*key, *[c for c in scope if c not in key], F.explode(_runs(text_or_empty(F.col(text)), F.col("__lengths"))).alias("run"))
+    met = rows.join(keyed, [*scope, "run"]).select(*key, F.struct("pos", "term").alias("__t"))
     return met.groupBy(*key).agg(F.sort_array(F.collect_set("__t")).alias("__t")).select(*key, F.transform("__t", lambda t: t["term"]).alias("terms"))
 
 

@@ -31,6 +31,19 @@ def test_a_large_dictionary_only_shows_what_texts_may_hold(spark):
     assert [tuple(r) for r in TM.terms_in(texts, terms, ["id"]).collect()] == [(1, ["Term77 Name", "Term99999 Name"])]
 
 
+def test_terms_that_begin_alike_meet_no_text_without_their_other_words(spark):
+    terms = spark.range(1000).select(F.col("id").alias("pos"), F.concat(F.lit("Part RING No"), F.col("id")).alias("term"))
+    texts = spark.createDataFrame([(1, "part ring no7, PART ring nO8; part ring"), (2, "part ring no1000")], "id int, text string")
+    assert [tuple(r) for r in TM.terms_in(texts, terms, ["id"]).collect()] == [(1, ["Part RING No7", "Part RING No8"])]
+    assert dict(TM.canonicalized(texts, terms, ["id"]).collect()) == {1: "Part RING No7, Part RING No8; part ring", 2: "part ring no1000"}
+
+
+def test_terms_by_scope_and_of_many_lengths(spark):
+    terms = spark.createDataFrame([(1, 0, "A b C d E"), (1, 1, "b c"), (2, 0, "Ab")], "g int, pos int, term string")
+    texts = spark.createDataFrame([(1, 1, "a B c d e, B C"), (2, 2, "ab a b c d e"), (3, 3, "ab")], "id int, g int, text string")
+    assert dict(TM.canonicalized(texts, terms, ["id"], scope=["g"]).select("id", "text").collect()) == {1: "A b c d E, b c", 2: "Ab a b c d e", 3: "ab"}
+
+
 INCOMING = "seq bigint, link string, extractor string, product string, day string, obsolete array<string>"
 
 
