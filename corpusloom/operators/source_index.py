@@ -80,13 +80,13 @@ def match_summary(index: DataFrame, incoming: DataFrame) -> DataFrame:
 def match_rows(index: DataFrame, incoming: DataFrame) -> DataFrame:
     """(row_no, seq) pairs: same link, same product, or product made obsolete.
 
-    For a chosen few rows of the index, since a shared key gives all its pairs; `match_summary` is the relation
-    for whole tables.
+    Every pair, so a key that n rows and m incoming rows share gives n m of them; `match_summary` gives the counts
+    and the first match of each row at the cost of n + m. Rows without a key are left out before they are dealt out.
     """
     old, new = with_keys(index), with_keys(incoming)
     links, products = _events(new)
     left = old.select("row_no", "link_key", "product_key")
-    pairs = [left.join(events, key).select("row_no", "seq") for events, key in ((links, "link_key"), (products, "product_key"))]
+    pairs = [left.where(F.col(key) != "").join(events, key).select("row_no", "seq") for events, key in ((links, "link_key"), (products, "product_key"))]
     return pairs[0].unionByName(pairs[1]).distinct()
 
 

@@ -280,7 +280,16 @@ def _incoming(t: Tables):
     return t.sql(INCOMING).withColumn("obsolete", F.when(F.col("gone") != "", F.array("gone")).otherwise(F.array().cast("array<string>")))
 
 
-_MATCH = f"""
+_MATCH = f"""SELECT DISTINCT x.row_no, i.seq FROM (SELECT *, {_key('link')} AS lk FROM ({INDEX})) x JOIN (SELECT *, {_key('link')} AS lk FROM ({INCOMING})) i
+    ON (i.lk <> '' AND i.lk = x.lk) OR i.product = x.product OR (i.gone <> '' AND i.gone = x.product)"""
+
+
+@query("join_index_match", _MATCH)
+def join_index_match(t: Tables):
+    return X.match_rows(t.sql(INDEX), _incoming(t))
+
+
+_SUMMARY = f"""
   WITH x AS (SELECT *, {_key('link')} AS lk FROM ({INDEX})), i AS (SELECT *, {_key('link')} AS lk FROM ({INCOMING})),
   p AS (SELECT product, seq FROM i UNION SELECT gone, seq FROM i WHERE gone <> ''),
   a AS (SELECT row_no, count(*) AS links, min(seq) AS first FROM x JOIN i ON i.lk = x.lk AND x.lk <> '' GROUP BY row_no),
@@ -288,8 +297,8 @@ _MATCH = f"""
   SELECT row_no, coalesce(links, 0) AS links, coalesce(products, 0) AS products, least(a.first, b.first) AS first_seq FROM a FULL JOIN b USING (row_no)"""
 
 
-@query("join_index_match", _MATCH)
-def join_index_match(t: Tables):
+@query("index_match_summary", _SUMMARY)
+def index_match_summary(t: Tables):
     return X.match_summary(t.sql(INDEX), _incoming(t))
 
 

@@ -122,3 +122,21 @@ def test_mixed_manifests(spark, tmp_path):
     ]
     (tmp_path / "none").mkdir()
     assert M.manifest_records(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_the_index_match_holds_every_pair(spark):
+    index = spark.createDataFrame([(k, "https://e.org/hot" if k < 3 else "本地视频", "W", f"p{k}.md", "d", "否") for k in range(6)], "row_no bigint, link string, extractor string, product string, day string, read string")
+    incoming = spark.createDataFrame([(k, "https://e.org/hot/" if k < 4 else "—", "W", f"p{k}.md", "d", ["p5.md", "p0.md"] if k == 9 else []) for k in range(10)], INCOMING)
+    want = {(r, s) for r in range(3) for s in range(4)} | {(k, k) for k in range(6)} | {(5, 9), (0, 9)}
+    got = [tuple(r) for r in X.match_rows(index, incoming).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_the_match_query_gives_pairs_of_all_pages(spark):
+    from corpusloom.plans import registry
+
+    rows = registry.queries()["join_index_match"](spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["row_no", "seq"]
+    pages = {r.page_id for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    own = {p for p in pages if p % 6 == 0}
+    assert own <= {r.row_no for r in rows.where("row_no = seq").collect()}
