@@ -139,29 +139,38 @@ def retry(tasks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     ).select(*tasks.columns)
 
 
+def _by_path(tasks: DataFrame, named: Column, paths: DataFrame, how: str) -> DataFrame:
+    """`named` tasks joined to a table unique by `__path` on their output path.
+
+    The others get a key that no path has: most tasks have no output yet, and their blank paths would all meet in
+    one task.
+    """
+    unique = F.concat(F.lit("\x00"), F.col("task_id").cast("string"))
+    return tasks.withColumn("__path", F.coalesce(F.when(named, F.col("output_path")), unique)).join(paths, "__path", how).drop("__path")
+
+
 def missing_outputs(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """Successful tasks whose output is not in the file listing (column `path`)."""
-    known = files.select(F.col("path").alias("output_path")).distinct()
-    done = tasks.where(F.col("status") == "success")
-    return done.join(known, "output_path", "left_anti").select(*tasks.columns)
+    known = files.select(F.col("path").alias("__path")).distinct()
+    done = F.col("status") == "success"
+    return _by_path(tasks.where(done), done, known, "left_anti").select(*tasks.columns)
 
 
 def refresh(tasks: DataFrame, files: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Successful tasks whose output is gone are pending again."""
-    known = files.select(F.col("path").alias("output_path")).distinct().withColumn("__known", F.lit(True))
-    t = _listed(tasks, ids).join(known, "output_path", "left")
-    hit = F.col("__listed") & (F.col("status") == "success") & (
-        F.col("__known").isNull() | (F.col("output_path") == "")
-    )
+    known = files.select(F.col("path").alias("__path")).distinct().withColumn("__known", F.lit(True))
+    done = F.col("__listed") & (F.col("status") == "success")
+    t = _by_path(_listed(tasks, ids), done & (F.col("output_path") != ""), known, "left")
+    hit = done & (F.col("__known").isNull() | (F.col("output_path") == ""))
     return _update(t, hit, status=F.lit("pending"), output_path=F.lit("")).select(*tasks.columns)
 
 
 def except_done(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """What a resumed run still has to do: everything but successes whose output exists."""
-    done = tasks.where(F.col("status") == "success").join(
-        files.select(F.col("path").alias("output_path")).distinct(), "output_path", "left_semi"
-    )
-    return tasks.join(done.select("task_id"), "task_id", "left_anti").select(*tasks.columns)
+    known = files.select(F.col("path").alias("__path")).distinct()
+    done = F.col("status") == "success"
+    kept = _by_path(tasks.where(done), done, known, "left_semi")
+    return tasks.join(kept.select("task_id"), "task_id", "left_anti").select(*tasks.columns)
 
 
 def pending(tasks: DataFrame, take: int = 0) -> DataFrame:
