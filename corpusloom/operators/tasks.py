@@ -213,10 +213,11 @@ def finish(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
 def repair_outputs(tasks: DataFrame, replaced: DataFrame) -> DataFrame:
     """Point successful tasks from replaced paths (old_path) to the new ones (new_path)."""
     moves = replaced.where(F.col("old_path") != F.col("new_path")).groupBy(
-        F.col("old_path").alias("output_path")
+        F.col("old_path").alias("__path")
     ).agg(F.max("new_path").alias("__new"))
-    t = tasks.join(moves, "output_path", "left")
-    hit = (F.col("status") == "success") & F.col("__new").isNotNull()
+    done = F.col("status") == "success"
+    t = _by_path(tasks, done, moves, "left")
+    hit = done & F.col("__new").isNotNull()
     return _update(t, hit, output_path=F.col("__new")).select(*tasks.columns)
 
 

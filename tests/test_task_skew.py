@@ -25,7 +25,8 @@ def test_blank_paths_do_not_meet_in_one_task(spark):
     try:
         tasks = _tasks(spark, 4000)
         files = spark.range(0, 4000, 8).select(F.concat(F.lit("out/"), F.col("id")).alias("path"))
-        for rows in (K.refresh(tasks, files),):
+        moves = spark.range(0, 4000, 8).select(F.concat(F.lit("out/"), F.col("id")).alias("old_path"), F.concat(F.lit("new/"), F.col("id")).alias("new_path"))
+        for rows in (K.refresh(tasks, files), K.repair_outputs(tasks, moves)):
             assert rows.count() == 4000
             assert _largest_share(rows) < 0.4
     finally:
@@ -39,9 +40,10 @@ def test_paths_decide_only_for_successes(spark):
         "task_id bigint, status string, stage string, output_path string",
     )
     files = spark.createDataFrame([("a",), ("a",), ("",)], "path string")
+    moves = spark.createDataFrame([("a", "x"), ("", "y")], "old_path string, new_path string")
     state = lambda rows: {r.task_id: (r.status, r.output_path) for r in rows.collect()}
     assert state(K.refresh(tasks, files)) == {
         1: ("success", "a"), 2: ("pending", ""), 3: ("pending", ""), 4: ("failed", "a"), 5: ("pending", ""), 6: ("pending", "")}
     assert set(state(K.missing_outputs(tasks, files))) == {2, 6}
     assert set(state(K.except_done(tasks, files))) == {2, 4, 5, 6}
-
+    assert {k: v[1] for k, v in state(K.repair_outputs(tasks, moves)).items()} == {1: "x", 2: "b", 3: "y", 4: "a", 5: "", 6: None}
