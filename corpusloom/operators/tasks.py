@@ -99,7 +99,9 @@ def _update(tasks: DataFrame, hit: Column, **values) -> DataFrame:
 
 
 def _listed(tasks: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """Adds `__listed`: whether the task belongs to this run."""
+    """Adds `__listed`: whether the task belongs to this run. Tasks that have it already keep it."""
+    if "__listed" in tasks.columns:
+        return tasks
     if ids is None:
         return tasks.withColumn("__listed", F.lit(True))
     marks = ids.select("task_id").distinct().withColumn("__listed", F.lit(True))
@@ -233,14 +235,11 @@ def plan_run(
     resume: bool = False, retry_failed: bool = False, take: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(tasks, work list): resuming keeps results, a new run starts over."""
-    if resume or retry_failed:
-        state = refresh(recover(tasks, ids), files, ids)
-    else:
-        state = reset(tasks, ids)
+    listed = _listed(tasks, ids)
+    state = refresh(recover(listed), files) if resume or retry_failed else reset(listed)
     if retry_failed:
-        state = retry(state, ids)
-    mine = state if ids is None else state.join(ids.select("task_id").distinct(), "task_id", "left_semi")
-    return state, pending(mine.select(*state.columns), take)
+        state = retry(state)
+    return state.select(*tasks.columns), pending(state.where("__listed").select(*tasks.columns), take)
 
 
 def state_from_events(events: DataFrame, key: str = "task_id") -> DataFrame:

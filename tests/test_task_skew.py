@@ -47,3 +47,13 @@ def test_paths_decide_only_for_successes(spark):
     assert set(state(K.missing_outputs(tasks, files))) == {2, 6}
     assert set(state(K.except_done(tasks, files))) == {2, 4, 5, 6}
     assert {k: v[1] for k, v in state(K.repair_outputs(tasks, moves)).items()} == {1: "x", 2: "b", 3: "y", 4: "a", 5: "", 6: None}
+
+
+def test_a_resumed_run_joins_the_ids_once(spark):
+    tasks = _tasks(spark, 40).withColumns({c: F.lit("") for c in ("error_code", "error_message")}).withColumn("finished_at", F.lit(None).cast("timestamp"))
+    files, ids = spark.createDataFrame([("out/8",)], "path string"), spark.range(0, 40, 2).select(F.col("id").alias("task_id"))
+    state, work = K.plan_run(tasks, files, ids, resume=True, retry_failed=True)
+    assert state.columns == tasks.columns and work.columns == tasks.columns
+    assert [r.task_id for r in work.collect()] == [k for k in range(0, 40, 2) if k != 8]
+    assert {r.task_id for r in state.where("status = 'running'").collect()} == {k for k in range(1, 40, 2)}
+    assert work._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
