@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clock import NAMING_OFFSET_SECONDS
 from ..functions.html import epoch_text
+from ..runtime import spread
 
 RECORD_KEYS = (
     "source_url", "source_id", "source_type", "title", "captured_at", "metadata", "body_md", "attachments",
@@ -59,20 +60,24 @@ def export_files(rows: DataFrame, name: str, text: str, folder: str) -> None:
     """Opt-in: one file per row below a shared folder, written by the executors.
 
     Each file is written under a task-private name and then moved, so a task that dies or runs
-    twice leaves no half file. `folder` may be a path or a URI.
+    twice leaves no half file. `folder` may be a path or a URI. Files cost far more than the rows that name them, so
+    a small table is dealt out over all cores first.
     """
     target = re.sub("^file:/+", "/", folder)
 
     def write(batch):
-        files = None
+        files = made = None
         for row in batch:
             if files is None:
                 files, root = fs.FileSystem.from_uri(target)
             path = f"{root}/{row[name]}"
-            files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            parent = path.rsplit("/", 1)[0]
+            if parent != made:
+                files.create_dir(parent, recursive=True)
+                made = parent
             partial = f"{path}.{uuid.uuid4().hex}.part"
             with files.open_output_stream(partial) as stream:
                 stream.write(row[text].encode("utf-8"))
             files.move(partial, path)
 
-    rows.select(name, text).foreachPartition(write)
+    spread(rows.select(name, text)).foreachPartition(write)
