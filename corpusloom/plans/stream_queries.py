@@ -29,7 +29,7 @@ def stream_manifests(t: Tables):
     work = scratch_path(t.spark, "stream-manifests")
     for drop in (F.col("page_id") % 2 == 0, F.lit(True)):
         t["pages"].where(drop).select("url").write.mode("append").parquet(f"{work}/landing")
-        texts = t.spark.readStream.schema("url string").option("maxFilesPerTrigger", 4).parquet(f"{work}/landing")
+        texts = t.spark.readStream.schema("url string").option("maxBytesPerTrigger", 256 << 20).parquet(f"{work}/landing")
         tasks = J.identified_stream(texts, "url", fingerprint())
         J.register_stream(tasks, f"{work}/tasks", f"{work}/checkpoint").awaitTermination()
     return J.registered(t.spark, f"{work}/tasks", tasks.schema.toDDL()).select("task_key", "normalized_source")

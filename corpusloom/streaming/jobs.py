@@ -50,11 +50,17 @@ def register_stream(tasks: DataFrame, path: str, checkpoint: str, buckets: int =
 
     def add(batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64("task_key"), F.lit(buckets)).cast("int")
-        fresh = batch.dropDuplicates(IDENTITY).withColumn("bucket", bucket)
-        old = registered(batch.sparkSession, path, schema).where(F.col("b") < batch_id)
-        keys = ["bucket", *IDENTITY]
-        known = old.select(*keys).join(fresh.select(*keys), keys, "left_semi")
-        fresh.join(known, keys, "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/b={batch_id}")
+        # Read twice; without this each reading would run the batch and its state again.
+        fresh = batch.dropDuplicates(IDENTITY).withColumn("bucket", bucket).persist()
+        try:
+            old = registered(batch.sparkSession, path, schema).where(F.col("b") < batch_id)
+            keys = ["bucket", *IDENTITY]
+            known = old.select(*keys).join(fresh.select(*keys), keys, "left_semi")
+            new = fresh.join(known, keys, "left_anti")
+            # One file a bucket, whatever the number of tasks: every later batch reads them.
+            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/b={batch_id}")
+        finally:
+            fresh.unpersist()
 
     return tasks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,5 @@
 """Exports of small tables use all cores."""
 
-
 from corpusloom.sinks import documents as SD
 
 

@@ -101,6 +101,15 @@ def test_registration_once_with_bounded_state(spark, tmp_path):
     assert max(runs[len(runs) // 2 :]) <= max(runs[: len(runs) // 2])  # keys of a drop or two, not of all
 
 
+def test_a_batch_writes_few_files(spark, tmp_path):
+    texts, table, mark = (str(tmp_path / n) for n in ("texts", "table", "mark"))
+    land(spark, [(f"https://e.org/{k}",) for k in range(200)], "text string", texts)
+    tasks = J.identified_stream(spark.readStream.schema("text string").parquet(texts), "text", "f")
+    J.register_stream(tasks, table, mark, buckets=4).awaitTermination()
+    assert J.registered(spark, table, tasks.schema.toDDL()).count() == 200
+    assert [len(list(p.glob("*.parquet"))) for p in (tmp_path / "table" / "b=0").glob("bucket=*")] == [1, 1, 1, 1]
+
+
 def brute_windows(cues, length):
     out, first = [], None
     for no, start, end, text in cues:
