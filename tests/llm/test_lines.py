@@ -139,3 +139,17 @@ def test_rounds_end_at_the_first_similar_line(make_docs, monkeypatch):
                 own[rng.randrange(1, 14)] = f"r{rng.randrange(30)}"
             rows.append((1000 + 50 * group + k, " ".join(own)))
     assert found(make_docs(rows)) == brute(rows)
+
+
+def test_large_sets_that_differ_are_not_compared_in_full(spark, make_docs, monkeypatch):
+    """Lines of 150 words that share a few: a parity map of 64 bits lets most of their pairs through."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rng.sample(words, 150))) for k in range(60)]
+    near = rows[7][1].split()
+    rows.append((60, " ".join(near[:145] + ["other"])))
+    asked, real = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda source, found, *rest: asked.append(found.count()) or real(source, found, *rest))
+    gone = {r["id"]: sorted(r["lines"]) for r in line_dedup.removed_lines(make_docs(rows)).collect()}
+    assert gone == {60: [0]}
+    assert sum(asked) <= 20
