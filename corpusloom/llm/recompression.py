@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import materialize
 from .arrays import Texts, bounds_of, mix, range_hashes, slices
+from .sides import BROADCAST_ENTRIES
 
 WINDOW = 13
 PAIR_ROUNDS = 3
@@ -207,9 +208,30 @@ def _open_windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, _ROW)
 
 
-def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, doc_hash, ranges): word ranges [start, end) of each document that are covered, as 32-bit pairs."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("doc_hash"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+def _hashed(rows: DataFrame, key: str, text: str, repeated: DataFrame) -> DataFrame:
+    """Adds `__id`, `__hash`: the hash tells the texts of a repeated id apart and is 0, which costs nothing to ship, where the id alone does."""
+    rows = rows.withColumn("__id", F.col(key).cast("long"))
+    n = repeated.count()
+    if n > BROADCAST_ENTRIES:
+        return rows.withColumn("__hash", F.xxhash64(text))
+    if not n:
+        return rows.withColumn("__hash", F.lit(0).cast("long"))
+    again = repeated.select(F.col("id").alias("__again"))
+    joined = rows.join(F.broadcast(again), F.col("__id") == F.col("__again"), "left")
+    return joined.withColumn("__hash", F.when(F.col("__again").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("__again")
+
+
+def _repeated_ids(docs: DataFrame, key: str) -> DataFrame:
+    """The ids that more than one row has; null ids take no part."""
+    ids = docs.select(F.col(key).cast("long").alias("id")).where(F.col("id").isNotNull())
+    return materialize(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("id"), "repeated-ids")
+
+
+def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, repeated: DataFrame | None = None) -> DataFrame:
+    """(id, doc_hash, ranges): word ranges [start, end) of each document that are covered, as 32-bit pairs; ids and hashes as of `_hashed`."""
+    repeated = _repeated_ids(docs, key) if repeated is None else repeated
+    named = _hashed(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", repeated)
+    source = named.select(F.col("__id").alias("id"), F.col("__hash").alias("doc_hash"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
     # One exchange: records of a symbol come together; those of equal content are neighbours in it.
     found = _records(source, window).repartition("symbol")
     same, about = W.partitionBy("symbol", "content"), W.partitionBy("symbol")
@@ -247,9 +269,10 @@ def covered_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept, kept_sha256) of every row; kept joins the left words by single spaces."""
-    side = covered_ranges(docs, key, text, window).toDF("__id", "__hash", "ranges")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    joined = rows.join(side, (F.col("key").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").select("key", "text", "ranges")
+    repeated = _repeated_ids(docs, key)
+    side = covered_ranges(docs, key, text, window, repeated).toDF("__id", "__hash", "ranges")
+    rows = _hashed(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", repeated)
+    joined = rows.join(side, ["__id", "__hash"], "left").select("key", "text", "ranges")
     kind = dict(rows.dtypes)["key"]
 
     def run(batches):
