@@ -6,7 +6,6 @@ megabytes of text at once, or one text if a single one is longer.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..runtime import give_back
+
 SLICE_BYTES = 1 << 19
 # Longer words are hashed by a digest: powers modulo 2**64 take some long words of a regular build for equal.
 LONG_WORD = 256
@@ -145,14 +146,6 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
         del batch
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers stay alive between tasks, and their next one may need none."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def counts_of(doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, minlength=n).astype(np.int64)
 
