@@ -27,6 +27,8 @@ extra columns are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,6 +41,7 @@ from .sides import narrow_side
 
 SIMILARITY = 0.8
 SLOT_BITS = 20
+SLOT_BLOCK = 1 << 14
 # A word counted more often than this may have a long list of lines; those lists are counted and cut.
 LONG_LIST = 4096
 # Fewer lines than this, their numbers fit a 64-bit sort key beside rarity and the low 36 bits of a word.
@@ -51,22 +54,44 @@ _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """Counts by byte places, so that the places most counts do not use cost nothing."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def _counts_of(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+
+
 def word_slots(docs: DataFrame) -> np.ndarray:
-    """Counts of words per slot over the whole corpus; 2**SLOT_BITS numbers whatever the corpus."""
+    """Counts of words per slot over the whole corpus; 2**SLOT_BITS numbers whatever the corpus.
 
-    def run(batches):
+    Tasks give their counts in blocks of slots, which are added up block by block.
+    """
+    kind = "block int, counts binary"
+
+    def rows(blocks):
+        for k, counts in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed_counts(counts)], pa.binary())], names=["block", "counts"])
+
+    def count(batches):
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for part in slices(batches, "text"):
-            total += np.bincount((Texts(part.column("text")).words()[3] >> _U(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 1 << 16):
-            own = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], names=["slot", "n"])
+            np.add.at(total, (Texts(part.column("text")).words()[3] >> _U(64 - SLOT_BITS)).astype(np.int64), 1)
+        yield from rows((k, own) for k, own in enumerate(total.reshape(-1, SLOT_BLOCK)) if own.any())
 
-    found = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                total[k] = total.get(k, 0) + _counts_of(packed.as_buffer())
+        yield from rows(total.items())
+
+    found = docs.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64).reshape(-1, SLOT_BLOCK)
+    for k, packed in zip(found.column("block").to_pylist(), found.column("counts").to_pylist()):
+        counts[k] = _counts_of(packed)
+    return counts.reshape(-1)
 
 
 def line_sets(texts: Texts, rarity: np.ndarray, packed: int = PACKED_LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,12 +167,17 @@ class _Asking:
     def __init__(self, table: pa.Table, starts: np.ndarray, similarity: float):
         n = table.num_rows
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-        own = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "high", "low", "size", "parity", "half", "pos", "side", "asks", "left", "right", "token")}
-        order = np.lexsort((own["size"], owner))
-        self.rid, self.high, self.low, self.side, self.asks, self.token = (own[c][order] for c in ("rid", "high", "low", "side", "asks", "token"))
-        self.size = own["size"][order].astype(np.int64)
+        zero = np.zeros(n, np.int32)
+        own = {c: table.column(c).to_numpy(zero_copy_only=False) if c in table.column_names else zero for c in ("rid", "high", "low", "span", "parity", "half", "side", "left", "right", "token")}
+        size, pos = own["span"] >> 32, own["span"] & 0xFFFFFFFF
+        order = np.lexsort((size, owner))
+        self.rid, self.side, self.token = (own[c][order] for c in ("rid", "side", "token"))
+        self.asks = table.column("asks").to_numpy(zero_copy_only=False)[order] if "asks" in table.column_names else np.ones(n, bool)
+        # Places of lines that are told apart by their number.
+        self.high, self.low = (own["high"][order], own["low"][order]) if "low" in table.column_names else (zero, self.rid)
+        self.size = size[order]
         self.parity, self.half = (own[c][order].view(np.uint64) for c in ("parity", "half"))
-        self.room = self.size - own["pos"][order]
+        self.room = self.size - pos[order]
         self.apart = (own["left"] != own["right"])[order]
         self.turn = np.empty(n, np.int64)  # places in order of time
         self.turn[np.lexsort((self.low, self.high))] = np.arange(n)
@@ -218,21 +248,22 @@ def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int,
 
     `asking` has those rows of the last round whose a still asks; without it all lines do.
     """
-    columns = ["rid", "high", "low", "size", "parity", "half"]
+    # One row per line and word is all that travels here, so it has as few columns as there can be.
+    line = ["rid", *(c for c in ("high", "low") if c in first.columns), "parity", "half"]
     each = F.posexplode("prefix").alias("pos", "token")
+    span = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("span")
     if asking is None:
-        places = first.select(*columns, each, F.lit(True).alias("asks"))
+        places = first.select(*line, "size", each).select("token", span, *line)
     else:
         # Only the lists that a line still asks in.
         asks = narrow_side(materialize(asking.select(F.col("a").alias("rid"), F.lit(True).alias("asks")).distinct(), "asking-lines"))
         wanted = materialize(asking.select("token").distinct(), "asked-lists")
-        marked = first.join(asks, "rid", "left").select(*columns, each, F.coalesce("asks", F.lit(False)).alias("asks"))
-        places = marked.join(narrow_side(wanted), "token", "left_semi").select(*columns, "pos", "token", "asks")
-    few = places.where(F.col("token") >= 0).withColumns({c: F.lit(0) for c in ("side", "left", "right")})
-    many = in_blocks(places.where(F.col("token") < 0), ["token"], "rid", rows=2048).select(*few.columns)
-    group = ["token", "left", "right"]
+        marked = first.join(asks, "rid", "left").select(*line, "size", each, F.coalesce("asks", F.lit(False)).alias("asks"))
+        places = marked.select("token", span, *line, "asks").join(narrow_side(wanted), "token", "left_semi")
+    few = places.where(F.col("token") >= 0)
+    many = in_blocks(places.where(F.col("token") < 0), ["token"], "rid", rows=2048)
 
-    def run(batches):
+    def run(batches, group):
         for table, starts in bundles(batches, group, 50_000):
             a, b, more, token = _Asking(table, starts, similarity).found(low, high)
             if len(a):
@@ -246,11 +277,14 @@ def _candidates(first: DataFrame, asking: DataFrame | None, low: int, high: int,
                     names=["a", "b", "token"],
                 )
 
-    return few.unionByName(many).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a bigint, b bigint, token int").distinct()
+    def met(lists: DataFrame, group: list[str]) -> DataFrame:
+        return lists.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda batches: run(batches, group), "a bigint, b bigint, token int")
+
+    return met(few, ["token"]).unionByName(met(many, ["token", "left", "right"])).distinct()
 
 
-def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, words) of the wanted lines (rid, id, doc_hash, line)."""
+def _word_sets(docs: DataFrame, wanted: DataFrame, unique: bool) -> DataFrame:
+    """(rid, words) of the wanted lines (rid, id, doc_hash, line); rows of one id, if ids are not `unique`, may give a line twice."""
     lists = narrow_side(materialize(wanted.groupBy("id", "doc_hash").agg(F.collect_list(F.struct("line", "rid")).alias("lines")), "wanted-lines"), F.size("lines"))
     flat = np.zeros(1 << SLOT_BITS, np.uint8)
 
@@ -266,24 +300,25 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in picked], pa.int64()), spans_to_list(words.view(np.int64)[own], total, pa.int64())], names=["rid", "words"])
 
     found = docs.join(lists, ["id", "doc_hash"]).select("text", "lines").mapInArrow(run, "rid bigint, words array<bigint>")
-    return found.groupBy("rid").agg(F.min("words").alias("words"))
+    return found if unique else found.groupBy("rid").agg(F.min("words").alias("words"))
 
 
-def _placed(first: DataFrame) -> DataFrame:
-    """Adds the place of each line as (high, low), in order of document and line.
+def _placed(first: DataFrame, unique: bool) -> DataFrame:
+    """Lines numbered in order of document and line: by `rid`, or, where ids repeat or range too far for that, by (high, low).
 
-    Both go into `low` where the range of ids and the longest document let them; `high` is 0 then and costs nothing.
+    Lines of one place, which only a repeated id has, keep a `rid` of their own.
     """
     least, most, lines = first.agg(F.min("id"), F.max("id"), F.max("line")).first()
-    if least is not None and (most - least + 1) * (lines + 1) < 1 << 62:
-        return first.withColumns({"high": F.lit(0).cast("long"), "low": (F.col("id") - F.lit(least)) * F.lit(lines + 1) + F.col("line")})
-    return first.withColumns({"high": F.col("id"), "low": F.col("line").cast("long")})
+    if least is None or (most - least + 1) * (lines + 1) >= 1 << 62:
+        return first.withColumns({"high": F.col("id"), "low": F.col("line").cast("long")})
+    place = (F.col("id") - F.lit(least)) * F.lit(lines + 1) + F.col("line")
+    return first.withColumn("rid" if unique else "low", place)
 
 
-def _similar(source: DataFrame, found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+def _similar(source: DataFrame, found: DataFrame, first: DataFrame, similarity: float, unique: bool) -> DataFrame:
     """The rids a of the pairs (a, b) whose full sets are similar."""
     met = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
-    sets = materialize(_word_sets(source, first.join(met, "rid", "left_semi").select("rid", "id", "doc_hash", "line")), "line-words")
+    sets = materialize(_word_sets(source, first.join(met, "rid", "left_semi").select("rid", "id", "doc_hash", "line"), unique), "line-words")
     side = lambda c: sets.select(F.col("rid").alias(c), F.col("words").alias(f"w_{c}"))
     shared, total = F.size(F.array_intersect("w_a", "w_b")), F.size("w_a") + F.size("w_b")
     both = found.join(side("a"), "a").join(side("b"), "b")
@@ -295,17 +330,19 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     source = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("doc_hash"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     lines = materialize(_lines(source, word_slots(source), similarity), "lines")
     # One row for each set: its first line, and whether others have it too.
-    row = F.struct("rid", "id", "doc_hash", "line", "size", "parity", "half", "prefix")
-    classes = lines.groupBy("h1", "h2").agg(F.min_by(row, F.struct("id", "line", "rid")).alias("f"), F.count(F.lit(1)).alias("n"))
+    row = F.struct("id", "line", "rid", "doc_hash", "size", "parity", "half", "prefix")
+    classes = lines.groupBy("h1", "h2").agg(F.min(row).alias("f"), F.count(F.lit(1)).alias("n"))
     kept = [F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("h1", "h2")]
-    first = _placed(materialize(classes.select(*kept, "f.*"), "line-classes"))
+    repeated = docs.groupBy(F.col(key).cast("long").alias("id")).count().where(F.col("id").isNotNull() & (F.col("count") > 1))
+    unique = repeated.isEmpty()
+    first = _placed(materialize(classes.select(*kept, "f.*"), "line-classes"), unique)
     shared = first.where(F.col("h1").isNotNull()).select("h1", "h2", F.struct("id", "line").alias("f"))
     gone = lines.select("h1", "h2", "id", "doc_hash", "line").join(shared, ["h1", "h2"]).where(F.struct("id", "line") > F.col("f")).select("id", "doc_hash", "line")
     asking, low, high = None, 0, FIRST_ROUND
     while True:
         found = materialize(_candidates(first, asking, low, high, similarity), "line-candidates")
         pairs_ = found.where(F.col("b").isNotNull()).select("a", "b")
-        decided = materialize(_similar(source, pairs_, first, similarity), "similar-lines")
+        decided = materialize(_similar(source, pairs_, first, similarity, unique), "similar-lines")
         gone = gone.unionByName(first.join(decided, "rid", "left_semi").select("id", "doc_hash", "line"))
         asking = materialize(found.where(F.col("b").isNull()).select("a", "token").join(decided.withColumnRenamed("rid", "a"), "a", "left_anti"), "asking-lines")
         if asking.isEmpty():

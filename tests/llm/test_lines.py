@@ -1,4 +1,5 @@
 import random
+import re
 
 from corpusloom.llm import line_dedup
 
@@ -153,3 +154,46 @@ def test_large_sets_that_differ_are_not_compared_in_full(spark, make_docs, monke
     gone = {r["id"]: sorted(r["lines"]) for r in line_dedup.removed_lines(make_docs(rows)).collect()}
     assert gone == {60: [0]}
     assert sum(asked) <= 20
+
+
+def test_slot_counts_are_added_up_in_blocks(spark, make_docs):
+    """Every word is counted, and tasks send blocks of slots, not a row for each slot."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm.arrays import Texts
+
+    texts = [" ".join(f"w{k % (7 + i)}" for k in range(3000)) + f" only{i}" for i in range(40)] + [None, ""]
+    docs = make_docs(list(enumerate(texts))).repartition(3)
+    words = Texts(pa.array(texts)).words()[3]
+    want = np.bincount((words >> np.uint64(64 - line_dedup.SLOT_BITS)).astype(np.int64), minlength=1 << line_dedup.SLOT_BITS)
+    assert (line_dedup.word_slots(docs) == want).all()
+    assert (line_dedup._counts_of(line_dedup._packed_counts(want << 33)) == want << 33).all()
+    assert len(line_dedup._packed_counts(np.ones(1 << 14, np.int64))) < 1 << 11
+
+
+def test_narrow_rows_meet_in_the_lists(spark, make_docs, monkeypatch):
+    """With ids that do not repeat a row of a list has five columns: word, size and position, number, and the two maps."""
+    seen, real = [], line_dedup._candidates
+
+    def spied(*given):
+        df = real(*given)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(sorted(len(x.split(",")) for x in re.findall(r"MapInArrow \S+?\((.*?)\)#", plan)))
+        return df
+
+    monkeypatch.setattr(line_dedup, "_candidates", spied)
+    rows = random_rows(9, n=20)
+    assert found(make_docs(rows)) == brute(rows)
+    # Lists that may be long carry their blocks beside.
+    assert seen[0] == [5, 8]
+
+
+def test_repeated_and_distant_ids(make_docs):
+    """Lines of one place are no earlier than each other; ids of the whole range keep their order."""
+    base = [f"a{k}" for k in range(10)]
+    near = lambda k: " ".join(base[:9] + [f"n{k}"])
+    repeated = [(5, near(1)), (5, near(2)), (3, "x y"), (9, near(3)), (9, "x y")]
+    assert found(make_docs(repeated)) == {(9, 0)}
+    rows = [(3 - (1 << 62), near(1)), ((1 << 62) - 5, near(2)), (0, near(3) + "\n" + near(4)), (7, "p q")]
+    assert found(make_docs(rows)) == brute(rows) == {((1 << 62) - 5, 0), (0, 0), (0, 1)}
