@@ -1,7 +1,8 @@
 """Corpus pipeline: quality filter, line dedup, near-duplicate filter, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. `run` writes each
-stage's result to the shared folder and reads it again, so a lost executor costs one stage's tasks.
+stage's result to the shared folder and reads it again, so a lost executor costs one stage's tasks. Stages that
+hand texts to Python set the session's batch size, unless it has one; `run` takes that back at its end.
 
 Defined cases: a row with a null id is never a duplicate of another row, takes part in all stages and keeps its
 null id; rows of one id are one document to the near-duplicate stage, which keeps one of them; a null or empty
@@ -15,27 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import bag_minhash, bpe_words, line_dedup, mixing, quality, queries
-from corpusloom.runtime import materialize
+from corpusloom.runtime import BATCH_SETTING, materialize, small_batches
 
 QUALITY_THRESHOLD = 0.3
 # Chunks of the encoder: the executors' memory is also used by the stages before it.
 CHUNK_BYTES = 4 << 20
+# Batches of texts that go to Python, instead of 10,000 rows or 64 MB; one batch is one chunk of the encoder.
+BATCH_BYTES = 3 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the model is trained on the labelled ones among `docs`."""
+    small_batches(spark, BATCH_BYTES)
     forest = quality.train(docs, queries.table(spark, sf_dir, "labels"))
     return quality.score(docs, forest, name="__score").where(F.col("__score") >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; n_chars follows the text."""
+    small_batches(spark, BATCH_BYTES)
     left = line_dedup.deduplicated(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    small_batches(spark, BATCH_BYTES)
     return bag_minhash.one_of_each(docs)
 
 
@@ -46,6 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids and digests of the ids and of the decoded text."""
+    small_batches(spark, BATCH_BYTES)
     coded = bpe_words.encode_texts(docs, queries.vocabulary(), chunk_bytes=CHUNK_BYTES)
     return coded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
@@ -67,6 +74,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    own = small_batches(spark, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+    finally:
+        if own:
+            spark.conf.unset(BATCH_SETTING)
     return docs

@@ -65,6 +65,8 @@ class Codec:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        # For the library's own splitting, which needs no merges: they would fill as much memory again.
+        self._rules = json.dumps(data | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}})
         self._library = None
 
     def _plain_words(self, text: str) -> list[str]:
@@ -74,7 +76,7 @@ class Codec:
         if self._library is None:
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
+            self._library = Tokenizer.from_str(self._rules)
         text = self._library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -199,8 +201,9 @@ def _packed_words(df: DataFrame, path: str) -> DataFrame:
         for batch, ids in _coded(batches, path):
             if not batch.num_rows:
                 continue
-            size = np.array([len(x) for x in ids], np.int64) // 4
-            held.append((batch.column("chunk").to_numpy(), batch.column("place").to_numpy().astype(np.int64), size, np.frombuffer(b"".join(ids), "<u4")))
+            size = np.array([len(x) for x in ids], np.int32) // 4
+            # Copies: a view would hold the batch with its words.
+            held.append((batch.column("chunk").to_numpy().copy(), batch.column("place").to_numpy().copy(), size, np.frombuffer(b"".join(ids), "<u4")))
             n += batch.num_rows
             if n >= PACKED_WORDS:
                 yield pack(held)

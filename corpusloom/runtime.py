@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -77,6 +78,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession, size: int) -> bool:
+    """Hand rows to Python in batches of about `size` bytes, unless the session has a size of its own; True if it is set now.
+
+    Every running task holds a batch twice, outside the executor's heap and in its Python worker. Spark reads the
+    setting when a query runs, not when it is written down, so it has to stay until then.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        return False
+    spark.conf.set(BATCH_SETTING, str(size))
+    return True
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers stay alive between tasks, and their next one may need none."""
     pa.default_memory_pool().release_unused()
