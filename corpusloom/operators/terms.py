@@ -2,7 +2,8 @@
 
 `functions.text.canonicalize_terms` tries every term on every text. Here texts and terms meet on whole
 runs of words first, so a text only sees the few terms whose words it holds in a row, whatever the size of the dictionary. The
-rule that puts the spellings in is the same one, so results are equal.
+rule that puts the spellings in is the same one, so results are equal. Dictionaries and hits are as long as their tables,
+whose files tell Spark far too small a size, so they are joined by an exchange and never sent through the driver.
 """
 
 from __future__ import annotations
@@ -48,16 +49,16 @@ def terms_in(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "te
     keyed = term_keys(terms, scope)
     lengths = F.sort_array(F.collect_set("words"))
     if scope:
-        sized = texts.join(keyed.groupBy(*scope).agg(lengths.alias("__lengths")), scope)
+        sized = texts.join(keyed.groupBy(*scope).agg(lengths.alias("__lengths")).hint("merge"), scope)
     else:
         sized = texts.withColumn("__lengths", keyed.agg(lengths).scalar())
     rows = sized.select(*key, *[c for c in scope if c not in key], F.explode(_runs(text_or_empty(F.col(text)), F.col("__lengths"))).alias("run"))
-    met = rows.join(keyed, [*scope, "run"]).select(*key, F.struct("pos", "term").alias("__t"))
+    met = rows.join(keyed.hint("merge"), [*scope, "run"]).select(*key, F.struct("pos", "term").alias("__t"))
     return met.groupBy(*key).agg(F.sort_array(F.collect_set("__t")).alias("__t")).select(*key, F.transform("__t", lambda t: t["term"]).alias("terms"))
 
 
 def canonicalized(texts: DataFrame, terms: DataFrame, key: list[str], text: str = "text", scope: list[str] | None = None) -> DataFrame:
     """The texts with every whole-word hit of a dictionary term in its exact spelling; `key` names a row."""
     found = terms_in(texts, terms, key, text, scope)
-    joined = texts.join(found, key, "left")
+    joined = texts.join(found.hint("merge"), key, "left")
     return joined.withColumn(text, F.when(F.col("terms").isNull(), F.col(text)).otherwise(canonicalize_terms(F.col(text), F.col("terms")))).select(*texts.columns)

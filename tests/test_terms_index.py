@@ -44,6 +44,17 @@ def test_terms_by_scope_and_of_many_lengths(spark):
     assert dict(TM.canonicalized(texts, terms, ["id"], scope=["g"]).select("id", "text").collect()) == {1: "A b c d E, b c", 2: "Ab a b c d e", 3: "ab"}
 
 
+def test_no_dictionary_goes_through_the_driver(spark, tmp_path):
+    """A term costs about 6 bytes in its file and far more as a row: Spark would take millions of them for a small side."""
+    spark.range(500).selectExpr("id AS pos", "concat('Term', id, ' Name') AS term", "id % 5 AS g").write.parquet(f"{tmp_path}/terms")
+    spark.range(500).selectExpr("id", "concat('a TERM', id, ' name') AS text", "id % 5 AS g").write.parquet(f"{tmp_path}/texts")
+    terms, texts = spark.read.parquet(f"{tmp_path}/terms"), spark.read.parquet(f"{tmp_path}/texts")
+    for scope in (None, ["g"]):
+        found = TM.canonicalized(texts, terms, ["id"], scope=scope)
+        assert {r["id"]: r["text"] for r in found.collect()} == {k: f"a Term{k} Name" for k in range(500)}
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 INCOMING = "seq bigint, link string, extractor string, product string, day string, obsolete array<string>"
 
 
