@@ -94,3 +94,11 @@ def decode_entities(value: Column) -> Column:
     found = lambda v: F.transform(F.regexp_extract_all(v, F.lit(_ENTITY), F.lit(0)), _entity_char)
     decoded = lambda v: interleave(F.split(v, _ENTITY, -1), found(v))
     return let(value, lambda v: F.when(F.contains(v, F.lit("&")), decoded(v)).otherwise(v))
+
+
+def bare_names_as_text(value: Column, decoded: tuple[str, ...] = ("amp",)) -> Column:
+    """HTML whose entity names without a semicolon will be read as text, as in a title cut off at a length.
+
+    Browsers and `decode_entities` take the common ones for their characters; here only the names of `decoded` stay entities.
+    """
+    return F.regexp_replace(value, f"&(?=[A-Za-z])(?!{'|'.join(decoded)})(?![A-Za-z0-9]+;)", "&amp;")

@@ -22,3 +22,23 @@ def test_hint_context_of_empty_and_null_values(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got, want = both(spark, tmp_path, "hint_context", "documents")
     assert got == want and len(got) == 7
+
+
+# Titles are cut off at a length, at times inside an entity; ids cover the cases the queries tell apart by id.
+CUT = ["&quot", "&quo", "&copy", "&middot", "&middo", "&amp", "&am", "&lt", "&nbsp", "&quot;", "&amp;", "AT&T", "&amp;quot", "&quotx y", "&ampx y"]
+
+
+@pytest.fixture(scope="module")
+def cut_titles(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("pages")
+    head = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{0}</title><script>var a=1&&b;</script></head><body>'
+    body = '<nav><ul><li><a href="/a">a</a></li></ul></nav><article><h1>{0}</h1><p>{1}</p></article><footer>&copy; x &middot; y</footer></body></html>'
+    pages = [(12 * i + r, f"https://e.org/{i}/{r}", (head + body).format(f"token = {cut}", "word " * (40 if r % 2 else 4))) for i, cut in enumerate(CUT) for r in range(12)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["html_main_content"])
+def test_titles_cut_inside_an_entity(spark, cut_titles, name):
+    got, want = both(spark, cut_titles, name, "pages")
+    assert got == want and len(got) > 0
