@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.refs import product_key
@@ -30,13 +36,79 @@ def subtitle_files(spark: SparkSession, path) -> DataFrame:
     return tagged.groupBy("video_id").agg(F.max_by("text", "age").alias("text"))
 
 
+# A task holds at most so many names, or texts of about so many bytes, at a time.
+_NAMES, _TEXT_BYTES = 10_000, 1 << 20
+
+
+def _local_folder(spark: SparkSession, path: str) -> bytes | None:
+    """The path in the file system of the machines; None if it lies in another store."""
+    if path.startswith("file:"):
+        return os.fsencode(re.sub("^file:/+", "/", path))
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return os.fsencode(os.path.abspath(path)) if "://" not in path and default.startswith("file:") else None
+
+
+def _shown(name: bytes) -> bool:
+    """Names that Spark's file sources read."""
+    return not name.startswith(b".") and (not name.startswith(b"_") or b"=" in name)
+
+
+def _local_corpus(spark: SparkSession, root: bytes) -> DataFrame:
+    """source, markdown of a folder: its names go to all cores and are opened there, so that the driver holds none.
+
+    One task goes through the names without keeping them. Empty files are left out, as Spark's file sources do.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            with os.scandir(root) as entries:
+                shown = ((e.name, e.is_dir()) for e in entries if _shown(e.name))
+                found = (f for f in shown if f[1] or f[0].endswith(b".md"))
+                while part := list(itertools.islice(found, _NAMES)):
+                    yield pa.RecordBatch.from_pydict({"name": [n for n, _ in part], "folder": [d for _, d in part]})
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources, found, size = [], [], 0
+            for name, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                source = name + b"/content.md" if folder else name
+                try:
+                    with open(os.path.join(root, source), "rb") as file:
+                        text = file.read()
+                except (FileNotFoundError, IsADirectoryError):
+                    if folder:
+                        continue
+                    raise
+                if text:
+                    sources.append(source)
+                    found.append(text)
+                    size += len(text)
+                if size >= _TEXT_BYTES:
+                    yield pa.RecordBatch.from_pydict({"source": sources, "markdown": found})
+                    sources, found, size = [], [], 0
+            if sources:
+                yield pa.RecordBatch.from_pydict({"source": sources, "markdown": found})
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(names, "name binary, folder boolean")
+    dealt = listed.repartition(4 * spark.sparkContext.defaultParallelism, "name")
+    read = dealt.mapInArrow(texts, "source binary, markdown binary")
+    return read.select(F.col("source").cast("string"), F.col("markdown").cast("string"))
+
+
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
-    """source, title, markdown of a corpus folder: top-level `.md` files and `<dir>/content.md`."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    full = F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-    root = path.rstrip("/").split("://")[-1].removeprefix("file:")
-    inner = F.regexp_replace(full, rf"^.*\Q{root}\E/", "")
-    listed = files.select(inner.alias("source"), F.col("value").alias("markdown"))
+    """source, title, markdown of a corpus folder: top-level `.md` files and `<dir>/content.md`.
+
+    A folder in another store than the machines' file system is listed by Spark's file source, on the driver.
+    """
+    local = _local_folder(spark, path)
+    if local is not None:
+        listed = _local_corpus(spark, local)
+    else:
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+        full = F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+        root = path.rstrip("/").split("://")[-1]
+        inner = F.regexp_replace(full, rf"^.*\Q{root}\E/", "")
+        listed = files.select(inner.alias("source"), F.col("value").alias("markdown"))
     flat = ~F.contains(F.col("source"), F.lit("/")) & (F.col("source") != INDEX_FILE)
     folder = F.col("source").rlike(r"^[^/]+/content\.md$")
     return listed.where(flat | folder).select(
